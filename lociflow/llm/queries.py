@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lociflow.llm import media, records, simhash
+from lociflow.llm import decontam, langid, licenses, linededup, media, mixing, records, simhash, surrogate, toxicity
 from lociflow.llm.shared import shared_path
 
 
@@ -19,6 +20,31 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.encode_flac(docs))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out("doc_id")))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(toxicity.label_rows(docs, _table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
+    return chain.score(docs).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,12 +54,26 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(spark, folder)
 
 
+def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("lang", F.lit("unknown")).alias("lang"), mixing.topic(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("n_tokens"))
+    out = mixing.mix(docs, {d: F.col(d) for d in MIX}, MIX, F.col("n_tokens"))
+    return out.withColumn("probability", F.round("probability", 9))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate.anonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="lociflow")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Exponents of the target shares: equal sources, tempered languages and topics.
+MIX = {"source": 0.0, "lang": 0.5, "topic": 0.5}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_flac_media, op7_token_records, op10_simhash_near_dedup)
+    f.__name__: f
+    for f in (op1_flac_media, op2_license_scan, op3_language_id, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_token_records, op8_mixing_weights, op9_pii_surrogates, op10_simhash_near_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op8_mixing_weights": mixing.oracle_sql(MIX)}

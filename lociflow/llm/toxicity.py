@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from lociflow.llm.shared import materialise
 
 
+#: The sample is small; few partitions keep the many short jobs of a fit cheap.
+PARTITIONS = 6
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    """Different words of a text: runs of letters, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
 
 
 class ToxicityChain:
@@ -54,11 +59,11 @@ def _fit(df: DataFrame, category: str, earlier: list[str], penalty: float):
     n, positive = df.agg(F.count("*"), F.sum(category)).first()
     if not n or not positive or positive == n:
         return float(positive / n) if n else 0.0
-    lr = LogisticRegression(featuresCol="__x", labelCol=category, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=40, tol=1e-5)
+    lr = LogisticRegression(featuresCol="__x", labelCol=category, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=30, tol=1e-4)
     return lr.fit(_features(df, earlier))
 
 
-def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12000, folds: int = 2, vocabulary_size: int = 20000, min_docs: int = 4, penalty: float = 5e-5) -> ToxicityChain:
+def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20000, folds: int = 2, vocabulary_size: int = 30000, min_docs: int = 4, penalty: float = 5e-5) -> ToxicityChain:
     """Fit the chain on at most ``max_rows`` labelled rows, those with the smallest hashes of their ids.
 
     ``labelled`` has a 0/1 column for each category; rows where any is null are left out. A
@@ -67,16 +72,16 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
     """
     spark = labelled.sparkSession
     given = labelled.select(F.xxhash64(id_col).alias("__h"), F.col(text_col).alias("__text"), *(F.col(c).cast("double").alias(c) for c in categories)).dropna(subset=categories)
-    sample = given.orderBy("__h", "__text", *categories).limit(max_rows).repartition(spark.sparkContext.defaultParallelism)
+    sample = given.orderBy("__h", "__text", *categories).limit(max_rows).repartition(PARTITIONS)
     sample = materialise(sample.select("__h", *categories, words(F.col("__text")).alias("__words"), F.pmod(F.xxhash64("__text"), F.lit(folds)).alias("__fold")), "toxicity-sample")
     if sample.filter(F.size("__words") > 0).limit(1).count() == 0:
         n, *sums = sample.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
         return ToxicityChain(categories, None, [float(s / n) if n else 0.0 for s in sums])
     least = min(min_docs, max(1, sample.count() // 50))
-    vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size, minDF=float(least), binary=True).fit(sample)
+    vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size, minDF=float(least)).fit(sample)
     if not vocabulary.vocabulary:
-        vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size, binary=True).fit(sample)
-    data, models = vocabulary.transform(sample).drop("__words").persist(), []
+        vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size).fit(sample)
+    data, models = vocabulary.transform(sample).drop("__words").coalesce(PARTITIONS).persist(), []
     for i, c in enumerate(categories):
         earlier = [f"p_{d}" for d in categories[:i]]
         models.append(_fit(data, c, earlier, penalty))
@@ -88,7 +93,7 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
-            data = out.persist()
+            data = out.coalesce(PARTITIONS).persist()
     return ToxicityChain(categories, vocabulary, models)
 
 

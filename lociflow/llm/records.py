@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ class Encoder:
     word-end tokens, gets whole texts only.
     """
 
-    def __init__(self, path: str, known: int = 500_000):
+    def __init__(self, path: str, known: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -207,6 +208,12 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The tokenizer of this worker, with the words that it has met in earlier tasks."""
+    return Encoder(path)
+
+
 def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Tokenise whole texts and write record shards in ascending id order below ``folder``.
 
@@ -223,15 +230,15 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         shard = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        temp, encoder, index, out = f"{root}/.{uuid.uuid4().hex}", None, [], None
+        temp, tokens, index, out = f"{root}/.{uuid.uuid4().hex}", encoder(tokenizer), [], None
         done, size = 0, 0
         for batch in batches:
             for piece in slices(batch, "text", 8 << 20):
                 if out is None:
-                    encoder, out = Encoder(tokenizer), store.open_output_stream(temp)
+                    out = store.open_output_stream(temp)
                 texts = piece.column("text").fill_null("").to_pylist()
-                ids, keys = [np.append(x, np.uint32(end_id)) for x in encoder.batch(texts)], piece.column("id").to_pylist()
-                kind = "<u2" if encoder.narrow else "<u4"
+                ids, keys = [np.append(x, np.uint32(end_id)) for x in tokens.batch(texts)], piece.column("id").to_pylist()
+                kind = "<u2" if tokens.narrow else "<u4"
                 data, offsets = frame_records([int(k).to_bytes(8, "little", signed=True) + x.astype(kind).tobytes() for k, x in zip(keys, ids)])
                 counts = np.array([len(x) for x in ids], np.int64)
                 rows = np.zeros(len(keys), INDEX)
@@ -248,7 +255,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         store.move(f"{temp}.idx", f"{root}/part-{shard:06d}.idx")
         store.move(temp, f"{root}/part-{shard:06d}.rec")
         n = sum(map(len, index)) // INDEX.itemsize
-        width = 2 if encoder.narrow else 4
+        width = 2 if tokens.narrow else 4
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [n], "tokens": [done], "bytes": [size], "width": [width]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("width", pa.int64())]))
 
     given = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm.shared import materialise
+
 #: Masks of five compared tokens each.
 MASKS = ("11101001", "11010011", "10110101")
 SPAN = 8
@@ -21,48 +23,51 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text.cast("string")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """``df`` (with an array column ``words``) by token position ``at`` and seed hash ``h``, one row for each mask."""
-    spread = df.filter(F.size("words") >= SPAN).select("*", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")).alias("at"))
-    hashes = [F.xxhash64(F.lit(k), *(F.expr(f"words[at + {i}]") for i, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS)]
-    return spread.select("*", F.explode(F.array(*hashes)).alias("h"))
-
-
-def _verify(window: int) -> tuple[Column, Column]:
-    """Size of the compared window and the most equal tokens of one that holds the hit.
+def seeds(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` by token position ``at`` and seed hash ``h``, one row for each mask; tokens are in ``words``.
 
-    Uses ``words`` and ``at`` of the text, ``item`` and ``item_at`` of the benchmark.
+    The tokens themselves are not carried on, as they would be copied to every position.
     """
-    size = F.least(F.size("item"), F.lit(window))
-    equal = F.transform("item", lambda w, i: F.coalesce((F.try_element_at("words", i + F.col("at") - F.col("item_at") + 1) == w) & (i + F.col("at") - F.col("item_at") >= 0), F.lit(False)).cast("int"))
-    first = F.greatest(F.lit(0), F.least(F.col("item_at") + SPAN, F.size("item")) - size)
-    last = F.least(F.col("item_at"), F.size("item") - size)
-    sums = F.transform(F.sequence(F.least(first, last), F.greatest(first, last)), lambda s: F.aggregate(F.slice(F.col("equal"), s + 1, F.col("size")), F.lit(0), lambda a, x: a + x))
-    return size, equal, F.array_max(sums)
+    spread = df.filter(F.size("words") >= SPAN).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")).alias("at"))
+    hashes = [F.xxhash64(F.lit(k), *(F.expr(f"words[at + {i}]") for i, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS)]
+    return spread.select(*keep, "at", F.explode(F.array(*hashes)).alias("h"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 20, similarity: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 20, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, item, matched, compared): texts that hold part of a benchmark item.
 
     ``compared`` is the smaller of ``window`` and the item's tokens, ``matched`` the most equal
-    tokens of such a window. Up to ``broadcast_rows`` benchmark seeds are broadcast, beyond that
-    both sides are shuffled by seed. Items and texts of under eight tokens, nulls included, hold
-    no seed and give no row; rows that repeat an id are reported once.
+    tokens of such a window on a diagonal with a hit. Benchmark seeds, and the hits while they
+    are verified, are broadcast up to ``broadcast_rows`` rows and shuffled beyond. Items and texts
+    of under eight tokens, nulls included, hold no seed and give no row; rows that repeat an id
+    are reported once.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words")).filter(F.size("words") >= SPAN)
-    bench = seeds(items).select("h", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item")).distinct()
-    given = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    if bench.count() <= broadcast_rows:
-        hits = seeds(given).join(F.broadcast(bench), "h")
-    else:
-        own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), tokens(F.col(text_col)).alias("words"))
-        place = seeds(own).select("id", "key", "at", "h").join(bench.select("h", "item_id", "item_at"), "h")
-        place = place.groupBy("id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), F.floor(F.col("item_at") / window).alias("part")).agg(F.min("item_at").alias("item_at")).withColumn("at", F.col("item_at") + F.col("diagonal"))
-        hits = place.join(own.dropDuplicates(["id", "key"]), ["id", "key"]).join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    size, equal, best = _verify(window)
-    seen = hits.withColumn("size", size).withColumn("equal", equal).withColumn("matched", best)
-    good = seen.filter(F.col("matched") >= similarity * F.col("size"))
-    return good.groupBy("id", "item_id").agg(F.max("matched").cast("bigint").alias("matched"), F.max("size").cast("bigint").alias("compared")).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "matched", "compared")
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words")).filter(F.size("words") >= SPAN).distinct()
+    items = materialise(items.withColumn("item_key", F.xxhash64("words")), "benchmark")
+    bench = materialise(seeds(items, ["item_id", "item_key"]).withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    met = seeds(own.withColumn("words", tokens(F.col("text"))), ["id", "key"]).join(small(bench), "h")
+    diagonals = met.select("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    hits = materialise(diagonals.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "item_key", "diagonal")).alias("hits")), "hits")
+    same_row = own["id"].eqNullSafe(hits["id"]) & (own["key"] == hits["key"])
+    near = own.join(small(hits), same_row).select(own["id"], tokens(F.col("text")).alias("words"), "hits").select("id", "words", F.explode("hits").alias("z"))
+    near = near.join(small(items.withColumnRenamed("words", "item")).withColumnRenamed("item_id", "i").withColumnRenamed("item_key", "k"), F.col("z.item_id").eqNullSafe(F.col("i")) & (F.col("z.item_key") == F.col("k")))
+    return _verified(near, window, similarity).select(F.col("id").alias(id_col), F.col("i").alias(item_col), "matched", "compared")
+
+
+def _verified(near: DataFrame, window: int, similarity: float) -> DataFrame:
+    """Best window of each text and item over its diagonals, where it is similar enough."""
+    start = F.greatest(F.col("z.diagonal"), F.lit(0))
+    cut = near.select("id", "i", "item", F.greatest(-F.col("z.diagonal"), F.lit(0)).alias("skip"), F.slice("words", start + 1, F.size("item")).alias("part"))
+    equal = F.transform("item", lambda w, n: F.coalesce(F.when(n >= F.col("skip"), F.get("part", n - F.col("skip")) == w), F.lit(False)).cast("int"))
+    sized = cut.select("id", "i", equal.alias("equal"), F.least(F.size("item"), F.lit(window)).alias("compared"))
+    sums = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("compared")), lambda s: F.aggregate(F.slice("equal", s + 1, F.col("compared")), F.lit(0), lambda a, x: a + x))
+    best = sized.select("id", "i", F.array_max(sums).alias("matched"), "compared").filter(F.col("matched") >= similarity * F.col("compared"))
+    return best.groupBy("id", "i").agg(F.max("matched").cast("bigint").alias("matched"), F.max("compared").cast("bigint").alias("compared"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

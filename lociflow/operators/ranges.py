@@ -17,22 +17,22 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, point: str, lo: s
     comes twice and the join is an equality join that Spark can deal out and split. Give a
     ``width`` near the usual interval length. Empty intervals match nothing.
     """
-    spread = intervals.filter(F.col(hi) > F.col(lo)).withColumn("__b", _bins(F.col(lo), F.col(hi) - 1, width))
-    keyed = points.withColumn("__p", F.floor(F.col(point) / width).cast("bigint"))
-    cond = (F.col("__p") == F.col("__b")) & (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
+    spread = intervals.filter(F.col(hi) > F.col(lo)).withColumn("__interval_bin", _bins(F.col(lo), F.col(hi) - 1, width))
+    keyed = points.withColumn("__point_bin", F.floor(F.col(point) / width).cast("bigint"))
+    cond = (F.col("__point_bin") == F.col("__interval_bin")) & (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
     for a, b in on:
         cond = cond & (keyed[a] == spread[b])
-    return keyed.join(spread, cond, how).drop("__p", "__b")
+    return keyed.join(spread, cond, how).drop("__point_bin", "__interval_bin")
 
 
 def overlap(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], on: list[tuple[str, str]], width: int) -> DataFrame:
     """Pairs of half-open intervals that share a position; each pair is kept in the first bin of the later start only."""
-    x = left.filter(F.col(a[1]) > F.col(a[0])).withColumn("__x", _bins(F.col(a[0]), F.col(a[1]) - 1, width))
-    y = right.filter(F.col(b[1]) > F.col(b[0])).withColumn("__y", _bins(F.col(b[0]), F.col(b[1]) - 1, width))
-    cond = (F.col("__x") == F.col("__y")) & (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col("__x") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width))
+    x = left.filter(F.col(a[1]) > F.col(a[0])).withColumn("__left_bin", _bins(F.col(a[0]), F.col(a[1]) - 1, width))
+    y = right.filter(F.col(b[1]) > F.col(b[0])).withColumn("__right_bin", _bins(F.col(b[0]), F.col(b[1]) - 1, width))
+    cond = (F.col("__left_bin") == F.col("__right_bin")) & (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col("__left_bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width))
     for p, q in on:
         cond = cond & (x[p] == y[q])
-    return x.join(y, cond).drop("__x", "__y")
+    return x.join(y, cond).drop("__left_bin", "__right_bin")
 
 
 def prefix_sum(deltas: DataFrame, value: str, to: str, key: str = "chrom", pos: str = "pos", block: int = 65536) -> DataFrame:

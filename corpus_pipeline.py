@@ -18,7 +18,7 @@ from lociflow.llm.shared import materialise, shared_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    chain = toxicity.train(toxicity.label_rows(docs, labels), toxicity.CATEGORIES)
+    chain = toxicity.train(docs, toxicity.label_columns(labels), toxicity.CATEGORIES)
     return chain.score(docs).filter(F.col("p_toxic") < toxicity.THRESHOLD).select(docs.columns)
 
 

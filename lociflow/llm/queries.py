@@ -41,7 +41,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.train(toxicity.label_rows(docs, _table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
+    chain = toxicity.train(docs, toxicity.label_columns(_table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
     return chain.score(docs).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
 
 

@@ -63,17 +63,20 @@ def _fit(df: DataFrame, category: str, earlier: list[str], penalty: float):
     return lr.fit(_features(df, earlier))
 
 
-def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20000, folds: int = 2, vocabulary_size: int = 30000, min_docs: int = 4, penalty: float = 5e-5) -> ToxicityChain:
-    """Fit the chain on at most ``max_rows`` labelled rows, those with the smallest hashes of their ids.
-
-    ``labelled`` has a 0/1 column for each category; rows where any is null are left out. A
-    category with one value only, or no rows at all, gets its constant share as probability.
-    Folds follow the text's hash, so equal texts share one.
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20000, folds: int = 2, vocabulary_size: int = 20000, min_docs: int = 4, penalty: float = 5e-5) -> ToxicityChain:
+    """Fit the chain on the documents of at most ``max_rows`` labels, those with the smallest hashes of their ids.
+
+    ``labels`` has the id and a 0/1 column for each category; rows where any is null are left out.
+    The labels are sampled before they meet the texts, so their number is bounded and they are
+    broadcast; no text is shuffled but the sample's. A category with one value only, or no rows at
+    all, gets its constant share as probability. Folds follow the text's hash, so equal texts
+    share one.
     """
-    spark = labelled.sparkSession
-    given = labelled.select(F.xxhash64(id_col).alias("__h"), F.col(text_col).alias("__text"), *(F.col(c).cast("double").alias(c) for c in categories)).dropna(subset=categories)
-    sample = given.orderBy("__h", "__text", *categories).limit(max_rows).repartition(PARTITIONS)
-    sample = materialise(sample.select("__h", *categories, words(F.col("__text")).alias("__words"), F.pmod(F.xxhash64("__text"), F.lit(folds)).alias("__fold")), "toxicity-sample")
+    own = labels.select(F.col(id_col).alias("__id"), *(F.col(c).cast("double").alias(c) for c in categories)).dropna()
+    own = F.broadcast(own.orderBy(F.xxhash64("__id"), "__id", *categories).limit(max_rows))
+    met = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(own, F.col("__doc") == F.col("__id"))
+    sample = met.select(*categories, words(F.col("__text")).alias("__words"), F.pmod(F.xxhash64("__text"), F.lit(folds)).alias("__fold")).repartition(PARTITIONS)
+    sample = materialise(sample, "toxicity-sample")
     if sample.filter(F.size("__words") > 0).limit(1).count() == 0:
         n, *sums = sample.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
         return ToxicityChain(categories, None, [float(s / n) if n else 0.0 for s in sums])
@@ -97,10 +100,9 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
     return ToxicityChain(categories, vocabulary, models)
 
 
-def label_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their labels as categories in chain order: ``low_quality``, then ``toxic``."""
-    own = labels.select(F.col("doc_id").alias("__id"), (1 - F.col("quality").cast("int")).alias("low_quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "low_quality", "toxic")
+def label_columns(labels: DataFrame) -> DataFrame:
+    """Labels as categories in chain order: ``low_quality``, then ``toxic``."""
+    return labels.select("doc_id", (1 - F.col("quality").cast("int")).alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
 
 
 CATEGORIES = ["low_quality", "toxic"]

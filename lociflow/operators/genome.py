@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import calls
 from lociflow.functions import cigar as C
-from lociflow.operators.ranges import prefix_sum
+from lociflow.operators.ranges import next_position, prefix_sum
 
 COVERAGE = ["cov_proper", "cov_disc_F", "cov_disc_R", "cov_improper_F", "cov_improper_R"]
 CLIPPED = [f"{p}{s}_{d}" for p in ("", "disc_") for s in ("left", "right") for d in "FR"] + [f"{k}_{d}" for k in ("D_left", "D_right", "I") for d in "FR"]
@@ -227,3 +227,23 @@ def chr_array(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         long = long.unionByName(p)
     return long.groupBy("chrom", "pos").pivot("channel", ALL).agg(F.first("value"))
+
+
+def channel_stats(channels: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(chrom, channel, mean, sd) over the whole contig of run-length channels; uncovered positions count as zero."""
+    own = next_position(channels.withColumn("key", F.concat_ws("|", "chrom", "channel")), "next", key="key").filter("next is not null")
+    n, v = F.col("next") - F.col("pos"), F.col("value")
+    sums = own.groupBy("chrom", "channel").agg(F.sum(v * n).alias("s"), F.sum(v * v * n).alias("s2"))
+    met = sums.join(F.broadcast(contigs), "chrom")
+    mean = F.col("s") / F.col("len")
+    return met.select("chrom", "channel", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.col("s2") / F.col("len") - mean * mean), 6).alias("sd"))
+
+
+def snv(pile: DataFrame) -> DataFrame:
+    """The three pileup channels in long form."""
+    rows = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(v).cast("double").alias("value")) for c, v in zip(SNV, ("bq_median", "snv_fraction", "mapq_median"))))
+    return pile.select("chrom", "pos", F.explode(rows).alias("x")).select("chrom", "pos", "x.channel", "x.value")
+
+
+def pairs_to_bedpe(pairs: DataFrame) -> DataFrame:
+    return pairs.select("chrom1", F.col("pos1").alias("s1"), (F.col("pos1") + 1).alias("e1"), "chrom2", F.col("pos2").alias("s2"), (F.col("pos2") + 1).alias("e2"), F.col("kind").alias("svtype"), F.substring("strands", 1, 1).alias("strand1"), F.substring("strands", 2, 1).alias("strand2"))

@@ -1,0 +1,482 @@
+"""The operators against brute force, exact round trips, held-out accuracy, and odd inputs."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lociflow.llm import components, decontam, langid, licenses, linededup, media, mixing, records, simhash, surrogate, toxicity
+
+SF = "/root/testdata/sf0.001"
+TOKENIZER = "word_bpe_49k.json"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 97}x{i}" for i in range(20000))
+#: Null in every column, empty, blank, very long, and repeated rows.
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 3), (4, LONG, "en", "b", len(LONG)), (5, "same text here", "de", "a", 14), (5, "same text here", "de", "a", 14), (6, "same text here", None, None, 14), (None, "no id at all", "en", "a", 12)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOC).withColumn("id", F.lit("x")).withColumn("h", F.lit(1)).withColumn("words", F.lit("y")).withColumn("probability", F.lit(2.0))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def tokenizer_path():
+    return pytest.importorskip("public_tokenizers").path(TOKENIZER)
+
+
+# FLAC
+
+
+class BitReader:
+    def __init__(self, data):
+        self.n, self.left = int.from_bytes(data, "big"), 8 * len(data)
+
+    def take(self, k):
+        self.left -= k
+        return self.n >> self.left & ((1 << k) - 1)
+
+    def signed(self, k):
+        v = self.take(k)
+        return v - (1 << k) if v >> k - 1 else v
+
+
+def scalar_frame(data):
+    """One frame of 192 samples, a bit at a time."""
+    r = BitReader(data)
+    assert r.take(32) == 0xFFF81402
+    first = r.take(8)
+    for _ in range(0 if first < 128 else 8 - (first ^ 0xFF).bit_length() - 1):
+        r.take(8)
+    r.take(8)
+    kind = r.take(8) >> 1
+    if kind == 1:
+        return [r.signed(8) for _ in range(192)]
+    order = kind - 8 if kind < 32 else kind - 31
+    x = [r.signed(8) for _ in range(order)]
+    shift, q = 0, [[], [1], [2, -1]][order] if kind < 32 else None
+    if q is None:
+        precision, shift = r.take(4) + 1, r.take(5)
+        q = [r.signed(precision) for _ in range(order)]
+    assert r.take(6) == 0
+    k = r.take(4)
+    for _ in range(192 - order):
+        u = 0
+        while not r.take(1):
+            u += 1
+        u = u << k | (r.take(k) if k else 0)
+        x.append((u >> 1 ^ -(u & 1)) + (sum(a * b for a, b in zip(q, x[::-1])) >> shift))
+    return x
+
+
+def crc(data, poly, bits):
+    reg = 0
+    for b in data:
+        reg ^= b << bits - 8
+        for _ in range(8):
+            reg = (reg << 1 ^ poly if reg >> bits - 1 & 1 else reg << 1) & (1 << bits) - 1
+    return reg
+
+
+def test_flac_round_trip_and_scalar_decoder():
+    rng = random.Random(1)
+    given = [b"", b"hello " * 300, bytes(range(256)) * 3, rng.randbytes(1000), bytes([9]) * 400, b"\xff\xf8\x14\x02" * 200, "Ünï çödé ".encode() * 90]
+    payloads = [media.pad_payload(g) for g in given]
+    streams = media.encode_streams(payloads, seek_every=2)
+    for payload, m, (info, back) in zip(payloads, streams, media.decode_streams(streams)):
+        assert back == payload and info["samples"] == len(payload)
+        starts = [info["at"] + o for s, o, n in info["seek"]]
+        assert [s for s, _, _ in info["seek"]] == list(range(0, len(payload), 384))
+        ends = [*starts[1:], len(m)]
+        for (s, _, _), a, b in zip(info["seek"], starts, ends):  # a seek point's frame decodes to the samples at its offset
+            want = [v - 128 for v in payload[s : s + 192]]
+            assert scalar_frame(m[a:b]) == want
+        if len(starts) == 1:
+            frame = m[starts[0] :]
+            if len(payload) == 192:
+                assert crc(frame[:-2], 0x8005, 16) == int.from_bytes(frame[-2:], "big") and crc(frame[:5], 0x07, 8) == frame[5]
+
+
+def test_flac_notices_damage():
+    m = bytearray(media.encode_streams([media.pad_payload(b"some text " * 60)])[0])
+    m[-9] ^= 4
+    with pytest.raises(ValueError):
+        media.decode_streams([bytes(m)])
+
+
+def test_flac_residual_forms():
+    """Partitioned residuals, long codes, escapes and constant subframes, which the encoder does not make."""
+    bits = []
+
+    def put(v, k):
+        bits.extend(v >> k - 1 - i & 1 for i in range(k))
+
+    def rice(v, k):
+        u = v << 1 ^ v >> 63
+        bits.extend([0] * (u >> k) + [1])
+        put(u & (1 << k) - 1, k)
+
+    x = [(i * 7) % 90 - 45 for i in range(192)]
+    put(8 << 1, 8), put(0, 2), put(1, 4), put(0, 4)  # fixed order 0, two partitions, parameter 0: codes longer than a word
+    [rice(v, 0) for v in x[:96]]
+    put(15, 4), put(8, 5)
+    [put(v & 255, 8) for v in x[96:]]
+    bits.extend([0] * (-len(bits) % 8))
+    body = np.packbits(np.array(bits, np.uint8)).tobytes()
+    head = bytes([0xFF, 0xF8, 0x14, 0x02, 0])
+    frame = head + bytes([crc(head, 0x07, 8)]) + body
+    frame += crc(frame, 0x8005, 16).to_bytes(2, "big")
+    rows = np.frombuffer(frame, np.uint8)[None, :].copy()
+    assert media.decode_frames(rows, np.array([len(frame)]), 192)[0].tolist() == x
+
+
+def test_flac_blocks_and_odd_rows(spark, odd, empty):
+    made = media.encode_flac(odd)
+    out = {r["doc_id"]: r for r in media.media_digest(made).collect()}
+    assert out[1]["n_bytes"] == 0 and out[1]["payload_bytes"] == 192 and out[1]["media_sha256"] == out[2]["media_sha256"]
+    blocks = media.decode_flac(made.filter("doc_id = 4"), frames_per_block=8).orderBy("block").collect()
+    assert b"".join(bytes(b["pcm"]) for b in blocks) == media.pad_payload(LONG.encode())
+    assert [b["sample_offset"] for b in blocks[:3]] == [0, 1536, 3072]
+    assert media.media_digest(media.encode_flac(empty)).count() == 0
+
+
+# Licences
+
+
+def test_license_rules(spark, odd, empty):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    rows = [(1, "Words.\nReleased under the MIT License. More words. Licensed under CC BY-NC 4.0."), (2, "Not a licence at all."), (3, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."), (4, mit)]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["licenses"] == "MIT,CC-BY-NC-4.0" and out[1]["identifiers"] == "MITRef,CCByNc4Ref"
+    assert 2 not in out and out[3]["licenses"] == "" and out[3]["identifiers"] == "MITNotice"
+    assert "MITGrant,MITNotice" in out[4]["identifiers"]
+    assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
+
+
+# Languages
+
+
+def test_language_held_out(spark, docs):
+    model = langid.train(docs.filter(~langid.held_out()))
+    out = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(langid.held_out())
+    assert out.select(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_language_spans_and_scripts(spark, odd, empty):
+    en, de, ru = "the cat sat on the mat with the hat and then it ran away", "der hund und die katze gehen nicht durch das haus", "кошка сидит на окне и смотрит вниз"
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([(en, "en"), (de, "de"), (ru, "ru")] * 5)], "doc_id long, text string, lang string")
+    model = langid.train(train, penalty=6.0)
+    mixed = spark.createDataFrame([(1, f"{en}. {de}! {ru}")], "doc_id long, text string")
+    spans = langid.spans(mixed, model).orderBy("span").collect()
+    assert [s["lang"] for s in spans] == ["en", "de", "ru"] and mixed.first()["text"][spans[2]["begin"] : spans[2]["end"]] == ru
+    out = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
+    assert (out[1]["lang_pred"], out[2]["lang_pred"], out[3]["lang_pred"], out[3]["score"]) == ("und", "und", "und", 0.0)
+    assert out[4]["lang_pred"] in ("en", "de") and langid.predict(empty, model).count() == 0
+    none = langid.train(empty)
+    assert {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
+    digits = spark.createDataFrame([(1, "12 34 !!")], "doc_id long, text string")
+    assert langid.predict(digits, model).first()["lang_pred"] == "und"
+
+
+def brute_viterbi(score, penalty):
+    v, back = score[0].astype(np.float64), []
+    for row in score[1:]:
+        top = int(v.argmax())
+        back.append([i if v[i] >= v[top] - penalty else top for i in range(len(v))])
+        v = np.maximum(v, v[top] - penalty) + row
+    path = [int(v.argmax())]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+def test_viterbi_against_one_text_at_a_time():
+    rng = np.random.default_rng(0)
+    counts = np.array([5, 0, 17, 1, 9])
+    score = rng.normal(size=(counts.sum(), 3)).astype(np.float32) * 4
+    model = langid.LanguageModel(["a", "b", "c"], None, None, 3.0)
+    out, at = model._viterbi(score, counts).tolist(), 0
+    for n in counts.tolist():
+        if n:
+            assert out[at : at + n] == brute_viterbi(score[at : at + n], 3.0)
+        at += n
+
+
+# Lines
+
+
+def brute_lines(rows):
+    lines = {k: t.split("\n") for k, t in rows}
+    first, seen = {}, {}
+    for k in sorted(lines):
+        for i in range(len(lines[k]) - 2):
+            w = tuple(lines[k][i : i + 3])
+            first.setdefault(w, (k, i))
+            seen.setdefault(w, []).append((k, i))
+    gone = {k: set() for k in lines}
+    for w, places in seen.items():
+        for k, i in places:
+            if k != first[w][0] or i >= first[w][1] + 3:
+                gone[k] |= {i, i + 1, i + 2}
+    return {k: "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]) for k in lines}
+
+
+def test_lines_against_brute_force(spark, docs, odd, empty):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randrange(0, 30)))) for i in range(60)] + [(99, "a\n" * 20)]
+    made = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in made.collect()} == brute_lines(rows)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == brute_lines(rows)
+    out = linededup.dedup_lines(odd).collect()
+    assert len(out) == len(ODD) and next(r for r in out if r["doc_id"] == 1)["text"] is None and set(odd.columns) <= set(out[0].asDict())
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+# Decontamination
+
+
+def test_decontamination(spark, docs, odd, empty):
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(500)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, text(rng.randrange(15, 60))) for i in range(20)] + [(50, text(4))]
+    rows, want = [], set()
+    for d in range(60):
+        body = text(rng.randrange(0, 200))
+        if d % 3 == 0:
+            i, words = items[d % 20]
+            copy = list(words)
+            for p in range(3, len(copy), 8 if d % 2 else 10**6):
+                copy[p] = "changed"
+            body[len(body) // 2 : len(body) // 2] = copy
+            want.add((d, i))
+        rows.append((d, " ".join(body).title() + "!"))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(60, None), (61, "")], "item_id long, text string")
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (10**6, 0):  # broadcast and shuffled
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(given, bench, broadcast_rows=limit).collect()} == want
+    assert decontam.clean(given, bench).count() == 60 - len(want)
+    assert decontam.overlaps(odd, bench).count() == 0 and decontam.overlaps(empty, bench).count() == 0 and decontam.overlaps(odd, bench.limit(0)).count() == 0
+    assert decontam.clean(odd, bench).count() == len(ODD)
+    real = spark.read.parquet(f"{SF}/benchmark.parquet")
+    inside = {(d["doc_id"], b["item_id"]) for d in docs.collect() for b in real.collect() if b["text"] in d["text"]}
+    assert inside <= {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs, real).collect()}
+
+
+# Toxicity
+
+
+def test_toxicity_chain(spark, odd, empty):
+    rng = random.Random(7)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words, bad, junk = [rng.choice(vocab) for _ in range(rng.randrange(20, 60))], i % 5 == 0, i % 4 == 0
+        words += ["idiot"] * bad + ["spam"] * junk
+        rows.append((i, " ".join(words), int(junk), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, low_quality int, toxic int")
+    chain = toxicity.train(df.filter("doc_id < 300"), df.select("doc_id", "low_quality", "toxic").filter("doc_id < 300"), toxicity.CATEGORIES)
+    out = chain.score(df.filter("doc_id >= 300")).collect()
+    assert all((r["p_toxic"] >= 0.5) == bool(r["toxic"]) and (r["p_low_quality"] >= 0.5) == bool(r["low_quality"]) for r in out)
+    scored = chain.score(odd)
+    assert scored.count() == len(ODD) and set(odd.columns) <= set(scored.columns) and chain.score(empty).count() == 0
+    none = toxicity.train(empty, df.select("doc_id", "low_quality", "toxic"), toxicity.CATEGORIES)
+    assert {r["p_toxic"] for r in none.score(odd).collect()} == {0.0}
+
+
+# Records
+
+
+def test_records(spark, docs, odd, empty, tmp_path):
+    path = tokenizer_path()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    for name, df in (("a", docs.select("doc_id", "text")), ("b", odd), ("c", empty)):
+        folder = f"file://{tmp_path}/{name}"
+        records.write_token_records(df, folder, path, shards=3)
+        out = sorted((tuple(r) for r in records.read_token_records(spark, folder).collect()))
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in df.filter("doc_id is not null").collect()))
+        want, start = [], 0
+        for k, t in rows:
+            ids = tok.encode(t, add_special_tokens=False).ids + [1]
+            want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert out == want
+
+
+def test_crc32c_and_damage():
+    def slow(data):
+        reg = 0xFFFFFFFF
+        for b in data:
+            reg = int(records.TABLE[(reg ^ b) & 255]) ^ reg >> 8
+        return reg ^ 0xFFFFFFFF
+
+    assert slow(b"123456789") == 0xE3069283
+    rng = random.Random(2)
+    parts = [rng.randbytes(n) for n in (0, 1, 63, 64, 65, 127, 128, 129, 1000, 5)]
+    n = np.array([len(p) for p in parts])
+    assert records.crc32c_many(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(n) - n, n).tolist() == [slow(p) for p in parts]
+    data, at = records.frame_records(parts)
+    assert records.read_records(data, at) == parts
+    bad = bytearray(data)
+    bad[-7] ^= 1
+    with pytest.raises(ValueError):
+        records.read_records(bytes(bad), at)
+
+
+def test_encoder_equals_whole_text_encoding():
+    path = tokenizer_path()
+    e = records.Encoder(path)
+    given = ["a<|endoftext|>b x", "", " \t\n", "İstanbul é don't 12 \x1c x y é,. ÀÉ×÷ß ẞ x't, ,'t a.b .. it's--x 'S 's DON'T ªº µ Ÿ the!_`~", "α Ωμέγα ﬁ ½ 漢字 hello,WORLD x　y", "<|ENDOFTEXT|> Ab,c;d. AB'S"]
+    assert [x.tolist() for x in e.batch(given)] == e.plain(given)
+    assert [x.tolist() for x in e.batch(given)] == e.plain(given)  # with known words
+
+
+# Mixing
+
+
+def test_raking_meets_targets(spark, odd, empty):
+    rows = [(f"s{i % 3}", f"l{i % 2}", 10 * (i + 1)) for i in range(12)]
+    df = spark.createDataFrame(rows, "source string, lang string, n long")
+    table = mixing.cells(df, {"source": F.col("source"), "lang": F.col("lang")}, F.col("n"))
+    targets = mixing.tempered_targets(table, {"source": 0.0, "lang": 0.5})
+    fitted = mixing.rake(table, targets, rounds=12)
+    total = sum(r[2] for r in rows)
+    for d, t in targets.items():
+        want = {r["value"]: r["share"] for r in t.collect()}
+        for r in fitted.groupBy(d).agg(F.sum("weight").alias("w")).collect():
+            assert r["w"] == pytest.approx(want[r[d]] * total, rel=1e-6)
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+    exponents = dict.fromkeys(dims, 0.0)
+    out = mixing.mix(odd, dims, exponents, mixing.token_count(F.col("text")), budget=100.0)
+    assert out.count() == len(ODD) and set(out.columns) == set(odd.columns)  # every cell has tokens here
+    assert mixing.mix(odd, dims, exponents, mixing.token_count(F.col("text")), budget=100.0, broadcast_cells=0).count() == len(ODD)
+    assert mixing.mix(empty, dims, exponents, mixing.token_count(F.col("text"))).count() == 0
+
+
+# PII
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(s[::-1])) % 10 == 0
+
+
+def test_surrogates(spark, odd, empty):
+    rows = [
+        (1, "Write to Jane.Doe9@Mail.example.com or jane.doe9@mail.example.com, call +1 (212) 555-0199 or +1 212 555 0199 from 10.1.2.3."),
+        (2, "Card 4111 1111 1111 1111 and 4111-1111-1111-1111; token = \"0123456789abcdef0123456789abcdef01234567\""),
+        (3, "Mr John Smith met Mrs Anna Smith and Frau Müller; later Mrs. Smith left. Господин Иван Петров stayed."),
+        (4, "Version 2.0 of 1.2.3 costs 12345 and is clean."), (5, "Again jane.doe9@mail.example.com"), (6, "Other other.doe9@mail.example.com"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in surrogate.anonymise(df, "k").collect()}
+    again = {r["doc_id"]: r["text"] for r in surrogate.anonymise(df, "k").collect()}
+    other = {r["doc_id"]: r["text"] for r in surrogate.anonymise(df, "other").collect()}
+    assert again == {k: r["text"] for k, r in out.items()} and other[1] != again[1] and out[4]["text"] == rows[3][1]
+    import re
+
+    mail = re.findall(r"\S+@\S+\.com", out[1]["text"].replace(",", " "))
+    assert len(mail) == 2 and mail[0].lower() == mail[1].lower() and "jane" not in out[1]["text"].lower() and out[5]["text"] == f"Again {mail[0].lower()}"
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d@[a-z]{4}\.[a-z]{7}\.com", mail[1]) and out[6]["text"][6:] != mail[1]
+    phones = re.findall(r"\+1 \(?\d{3}\)? \d{3}[- ]\d{4}", out[1]["text"])
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "5550199" not in re.sub(r"\D", "", phones[0])
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", out[2]["text"])
+    assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and luhn(re.sub(r"\D", "", cards[0])) and "1111 1111" not in out[2]["text"] and re.search(r'"[0-9a-f]{40}"', out[2]["text"])
+    words = re.findall(r"[^\s;.,]+", out[3]["text"])
+    at = lambda w, n=0: [i for i, x in enumerate(words) if x == w][n]
+    smith, mrs = words[at("Mr") + 2], words[at("Mrs") + 2]
+    assert smith == mrs == words[at("Mrs", 1) + 1] and smith != "Smith" and words[at("Mr") + 1].endswith("n") and words[at("Mrs") + 1].endswith("lia")
+    assert re.fullmatch(r"[А-Яа-я]+", words[at("Господин") + 1]) and "Иван" not in out[3]["text"] and "Müller" not in out[3]["text"]
+    assert surrogate.anonymise(odd, "k").count() == len(ODD) and surrogate.anonymise(empty, "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """More addresses than a two-octet space would hold without clashes; real ones are never given out."""
+    rows = [(i, f"from {1 + i % 250}.{1 + i // 250}.9.9 here") for i in range(2000)]
+    out = surrogate.surrogates(spark.createDataFrame([("ip", t.split()[1]) for _, t in rows], "kind string, canon string"), "k").collect()
+    assert len(out) == len({r["surrogate"] for r in out}) == 2000 and not {r["surrogate"] for r in out} & {r["canon"] for r in out}
+
+
+# SimHash
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = [w for w in (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split() if w]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    h = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    """Component of each (id, fingerprint) by comparing all pairs."""
+    ids = sorted(fps)
+    comp = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if comp[b] > comp[a] and (fps[a] ^ fps[b]).bit_count() <= 2:
+                    comp[b], changed = comp[a], True
+    return comp
+
+
+def test_simhash_against_brute_force(spark, docs):
+    out = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.collect()}
+    assert {k: r["fingerprint"] for k, r in out.items()} == {k: f"{v:016x}" for k, v in fps.items()}
+    assert {k: r["component_id"] for k, r in out.items()} == brute_components(fps)
+
+
+@pytest.mark.parametrize("limit", [256, 3])
+def test_links_with_and_without_hot_entries(spark, limit):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(6)] + [0]
+    fps = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(3))) & (1 << 64) - 1 for b in base for _ in range(12)} | set(base)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    got = {(r["x"], r["y"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), limit).collect()}
+    near = {(x, y) for x in signed for y in signed if x < y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 2}
+    assert got <= near
+    if limit == 256:
+        assert got == near
+
+    def classes(pairs):
+        root = {x: x for x in signed}
+        for _ in signed:
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert classes(got) == classes(near)
+
+
+def test_simhash_odd_rows(odd, empty):
+    out = simhash.near_duplicates(odd).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert len(out) == len(ODD) and by[1]["fingerprint"] == "0" * 16 and by[1]["component_id"] == by[2]["component_id"] == by[3]["component_id"] == 1 and by[6]["component_id"] == 5
+    kept = simhash.keep_first(odd)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5] and kept.columns == odd.columns
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
+    out = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert out == {i: 0 for i in range(201)} | {400: 400, 500: 400}

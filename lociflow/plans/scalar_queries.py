@@ -119,7 +119,7 @@ def base_complement(fx):
     return fx.bases.groupBy("chrom", X.base_complement("base").alias("v")).agg(F.count("*").alias("n"))
 
 
-@query("flanked_by_n", f"{K}, b AS ({DUCK_BASES})\nSELECT call_id, coalesce(max(CAST(base = 'N' AS INT)), 0) = 1 AS v FROM cand LEFT JOIN b ON b.chrom = cand.chrom AND b.pos IN (l - 1, l) GROUP BY call_id")
+@query("flanked_by_n", f"{K}, b AS ({DUCK_BASES})\nSELECT call_id, coalesce(max(CAST(base = 'N' AS INT)), 0) = 1 AS v FROM (SELECT call_id, chrom, unnest([l - 1, l]) AS pos FROM cand) LEFT JOIN b USING (chrom, pos) GROUP BY call_id")
 def flanked_by_n(fx):
     near = fx.cand.select("call_id", "chrom", F.explode(F.array(F.col("l") - 1, F.col("l"))).alias("pos"))
     return near.join(fx.bases, ["chrom", "pos"], "left").groupBy("call_id").agg(F.coalesce(F.max(F.col("base") == "N"), F.lit(False)).alias("v"))

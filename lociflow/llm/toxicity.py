@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lociflow.llm.shared import materialise
 
 
-#: The sample is small; few partitions keep the many short jobs of a fit cheap.
-PARTITIONS = 6
+#: The sample is small; with so few partitions each step of a fit is one short job of one stage.
+PARTITIONS = 4
 
 
 def words(text: Column) -> Column:
@@ -59,7 +59,7 @@ def _fit(df: DataFrame, category: str, earlier: list[str], penalty: float):
     n, positive = df.agg(F.count("*"), F.sum(category)).first()
     if not n or not positive or positive == n:
         return float(positive / n) if n else 0.0
-    lr = LogisticRegression(featuresCol="__x", labelCol=category, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=30, tol=1e-4)
+    lr = LogisticRegression(featuresCol="__x", labelCol=category, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=25, tol=1e-4)
     return lr.fit(_features(df, earlier))
 
 

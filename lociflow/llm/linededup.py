@@ -48,3 +48,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     out = joined.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_removed")), F.when(F.col("gone").isNull(), F.col(text_col).cast("string")).otherwise(kept).alias(text_col), n.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"))
     return out
+
+
+def oracle_sql() -> str:
+    """DuckDB twin of ``dedup_lines`` over documents, by whole windows instead of hashes."""
+    return """WITH texts AS (SELECT DISTINCT doc_id, text FROM documents),
+ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM texts),
+w AS (SELECT doc_id, p, l[p + 1 : p + 3] AS k FROM (SELECT doc_id, l, unnest(range(len(l) - 2)) AS p FROM ls WHERE len(l) >= 3)),
+f AS (SELECT k, min({'d': doc_id, 'p': p}) AS f FROM w GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT q) AS g FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM w JOIN f USING (k) WHERE doc_id <> f.f.d OR p >= f.f.p + 3) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string([x FOR x, i IN l IF NOT list_contains(g, i - 1)], chr(10)) END AS text, coalesce(len(l), 0) AS n_lines, coalesce(len(g), 0) AS n_removed
+FROM ls LEFT JOIN gone USING (doc_id)"""

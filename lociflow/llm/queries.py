@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_flac_media, op2_license_scan, op3_language_id, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_token_records, op8_mixing_weights, op9_pii_surrogates, op10_simhash_near_dedup)
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op8_mixing_weights": mixing.oracle_sql(MIX)}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op4_line_dedup": linededup.oracle_sql(), "op8_mixing_weights": mixing.oracle_sql(MIX)}

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lociflow.plans import callset_queries, genome_queries, registry, scalar_queries, signal_queries  # noqa: F401
@@ -25,7 +26,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = [["" if v is None or v != v else repr(round(float(v), 6)) if not isinstance(v, (str, bool)) else str(v) for v in r] for r in frame.itertuples(index=False)]
+    text = [["" if pd.isna(v) else repr(round(float(v), 6)) if not isinstance(v, (str, bool)) else str(v) for v in r] for r in frame.itertuples(index=False)]
     return sorted(frame.columns), sorted(text)
 
 

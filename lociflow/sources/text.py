@@ -16,9 +16,15 @@ def _tab(lines: DataFrame, i: int) -> Column:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines in ``value`` and their order in ``ord``: by file, then place within it."""
-    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-    return own.withColumn("ord", F.monotonically_increasing_id()).drop("f", "b")
+    """Text lines in ``value`` and their order in ``ord``: by file, block of the file, and line.
+
+    Spark reads blocks in any order, so blocks are numbered by file and start; there is one row
+    for each block in that window, and rows keep their order within a block.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), row.alias("i"))
+    blocks = own.select("f", "b").distinct().withColumn("k", F.row_number().over(Window.orderBy("f", "b")).cast("bigint"))
+    return own.join(F.broadcast(blocks), ["f", "b"]).select("value", (F.shiftleft("k", 33) + F.col("i")).alias("ord"))
 
 
 def parse_sam(rows: DataFrame) -> DataFrame:

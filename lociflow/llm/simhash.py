@@ -77,19 +77,13 @@ def links(fps: DataFrame, bucket_limit: int = 256) -> DataFrame:
     few = met.filter(F.col("n") <= bucket_limit).select("key", "fp")
     near = (F.col("x") < F.col("y")) & (F.expr("bit_count(x ^ y)") <= 2)
     plain = few.select("key", F.col("fp").alias("x")).join(few.select("key", F.col("fp").alias("y")), "key").filter(near).select("x", "y")
-    pairs = F.array([F.struct(F.lit(p * 64 + q).alias("w"), F.lit(_mask(p, q)).alias("m")) for p in range(64) for q in range(p + 1, 64)])
-    hot = met.filter(F.col("n") > bucket_limit).select("fp").distinct().select("fp", F.explode(pairs).alias("z"))
-    cliques = hot.groupBy("z.w", F.col("fp").bitwiseAND(F.col("z.m")).alias("kept")).agg(F.min("fp").alias("x"), F.collect_set("fp").alias("all"))
+    hot = met.filter(F.col("n") > bucket_limit).select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("p")).select("fp", "p", F.explode(F.expr("sequence(p + 1, 63)")).alias("q"))
+    kept = F.col("fp").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, p) | shiftleft(1L, q)")))
+    cliques = hot.groupBy("p", "q", kept.alias("kept")).agg(F.min("fp").alias("x"), F.collect_set("fp").alias("all"))
     star = cliques.filter(F.size("all") > 1).select("x", F.explode("all").alias("y")).filter("x < y")
     return plain.union(star).distinct()
 
 
-def _mask(p: int, q: int) -> int:
-    """All bits but p and q, as a signed 64-bit number."""
-    m = ~(1 << p | 1 << q) & (1 << 64) - 1
-    return m - (1 << 64) if m >> 63 else m
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = 256) -> DataFrame:
     """(id, fingerprint, component_id) per row of ``docs``.
 

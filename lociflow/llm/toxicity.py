@@ -85,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     if not vocabulary.vocabulary:
         vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size).fit(sample)
     data, models = vocabulary.transform(sample).drop("__words").coalesce(PARTITIONS).persist(), []
+    held = [data]
     for i, c in enumerate(categories):
         earlier = [f"p_{d}" for d in categories[:i]]
         models.append(_fit(data, c, earlier, penalty))
@@ -97,6 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
             for p in parts[1:]:
                 out = out.unionByName(p)
             data = out.coalesce(PARTITIONS).persist()
+            held.append(data)
+    for frame in held:
+        frame.unpersist()
     return ToxicityChain(categories, vocabulary, models)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import decontam, mixing, records, simhash, toxicity
+from lociflow.llm import decontam, mixing, nearcopies, records, toxicity
 from lociflow.llm.queries import MIX
 from lociflow.llm.shared import materialise, shared_path
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return simhash.keep_first(docs)
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return nearcopies.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,32 @@
 """Mixing to target weights: iterative proportional fitting, with DataFrame operations only.
 
-Tokens are summed by cell (one value of each dimension). Raking multiplies each cell's weight in
-turn so that one dimension's totals meet their targets, until all do. A document's probability is
-its cell's weight by its cell's tokens, scaled to the token budget and at most one.
+Tokens are summed by cell (one value of each dimension). Every value of a dimension has a target in
+tokens, and all targets of a dimension add up to the budget. Raking multiplies the weights of each
+value's cells in turn so that the value's expected tokens meet its target. A cell gives at most all
+its tokens (probability one): the factor is chosen so that what full cells cannot give is given by
+the value's other cells. Rounds go on until every target of every dimension is met.
+
+A value that holds fewer tokens than its share of the budget gives all it has, and its surplus goes
+to the dimension's other values in proportion to their shares, so the budget holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import materialise
+from lociflow.llm.shared import free_name, materialise
 
 WORD = r"[^ \t\n\r\x0B\x0C]+"
 
+#: Raking stops when no target is missed by more than this share of itself.
+TOLERANCE = 1e-4
+MAX_ROUNDS = 60
+#: Up to so many cells are raked in one task, without a shuffle; more are raked by a shuffle for each dimension.
+ONE_TASK_CELLS = 200_000
+
 
 def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -25,44 +38,107 @@ def topic(text: Column) -> Column:
     return F.when(F.contains(t, F.lit("icense")), "legal").when(F.contains(t, F.lit("@")), "contact").when(F.contains(t, F.lit(" | ")), "table").otherwise("prose")
 
 
-def cells(docs: DataFrame, dims: dict[str, Column], tokens: Column) -> DataFrame:
-    """Tokens by cell; null values of a dimension are ``unknown``."""
-    named = [F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in dims.items()]
-    return docs.select(*named, tokens.alias("tokens")).groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
+def _value(dim: Column) -> Column:
+    return F.coalesce(dim.cast("string"), F.lit("unknown"))
 
 
-def tempered_targets(table: DataFrame, exponents: dict[str, float]) -> dict[str, DataFrame]:
-    """Shares (value, share) by dimension: totals to the power of an exponent, then normalised. Zero is equal shares."""
-    out = {}
-    for d, e in exponents.items():
-        own = table.filter("tokens > 0").groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(e)).alias("p"))
-        whole = own.agg(F.sum("p")).first()[0] or 1.0
-        out[d] = own.select("value", (F.col("p") / F.lit(whole)).alias("share"))
-    return out
+def cells(docs: DataFrame, dims: dict[str, Column], tokens: Column) -> DataFrame:
+    """(d0, d1, ..., tokens): tokens by cell, cells without tokens left out; null values of a dimension are ``unknown``."""
+    named = [_value(c).alias(f"d{i}") for i, c in enumerate(dims.values())]
+    summed = docs.select(*named, tokens.cast("bigint").alias("tokens")).groupBy(*(f"d{i}" for i in range(len(dims)))).agg(F.sum("tokens").alias("tokens"))
+    return summed.filter("tokens > 0")
 
 
-def rake(table: DataFrame, targets: dict[str, DataFrame], rounds: int = 10) -> DataFrame:
-    """``table`` with ``weight``: its tokens fitted to all target shares of the whole.
+def _level(part: list[str], cap: Column, base: Column, total: Column, order: list[str]) -> Column:
+    """The factor f by which the sum of least(cap, f * base) over a part is ``total``; null if only all of ``cap`` gives it.
 
-    A value without a target, or a cell without tokens, ends with weight zero. Every round is
-    written to the shared folder; only cells are handled here, no documents.
+    Rows fill up in the order of cap / base. f counts on the first row that does not fill up: what is
+    left of the total, over the bases from there on.
     """
-    columns = table.columns
-    total = table.agg(F.sum("tokens")).first()[0] or 0
-    fitted = table.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for d, target in targets.items():
-            sums = fitted.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(target, "value", "left").select("value", F.when(F.col("sum") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(float(total)) / F.col("sum")).otherwise(0.0).alias("factor"))
-            fitted = fitted.join(factor, fitted[d] == factor["value"]).select(*columns, (F.col("weight") * F.col("factor")).alias("weight"))
-        fitted = materialise(fitted, "raked")
-    return fitted
+    ratio = cap / base
+    up = Window.partitionBy(*part).orderBy(ratio, *order).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*part).orderBy(ratio.desc(), *(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = (total - F.coalesce(F.sum(cap).over(up), F.lit(0.0))) / F.sum(base).over(down)
+    return F.when(level * base <= cap, level)
 
 
-def probabilities(fitted: DataFrame, budget: float) -> DataFrame:
-    """``fitted`` with ``probability``: weight over tokens, times ``budget``, at most one."""
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    return fitted.withColumn("probability", F.least(F.lit(1.0), F.lit(budget) * ratio))
+def targets(table: DataFrame, exponents: dict[str, float], budget: float) -> DataFrame:
+    """(dim, value, available, share, target) of the cells of ``table``, one row for each value.
+
+    ``share`` is the value's tokens to the power of its dimension's exponent, normalised (zero means
+    equal shares). ``target`` is that share of the budget, or all that is there, with the surplus
+    handed on within the dimension.
+    """
+    n = len(exponents)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"d{i}").alias("value")) for i in range(n))))
+    own = table.select(each.alias("own"), F.col("tokens").cast("double").alias("tokens")).groupBy("own.dim", "own.value").agg(F.sum("tokens").alias("available"))
+    power = F.pow("available", F.element_at(F.array(*(F.lit(float(e)) for e in exponents.values())), F.col("dim") + 1))
+    whole = Window.partitionBy("dim")
+    own = own.select("dim", "value", "available", (power / F.sum(power).over(whole)).alias("share"), (F.lit(float(budget)) * F.sum("available").over(whole)).alias("whole"))
+    own = own.withColumn("level", _level(["dim"], F.col("available"), F.col("share"), F.col("whole"), ["value"]))
+    filled = F.least(F.col("available"), F.max("level").over(whole) * F.col("share"))
+    return own.select("dim", "value", "available", "share", F.coalesce(filled, "available").alias("target"))
+
+
+def rake(table: DataFrame, goals: DataFrame, n_dims: int, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, one_task_cells: int = ONE_TASK_CELLS) -> tuple[DataFrame, float]:
+    """``table`` with ``weight``, and the largest gap to a target that was left.
+
+    The expected tokens of a cell are least(tokens, weight). Only cells are handled here, no
+    documents: their number depends on the values of the dimensions. Each round is one step over
+    the cells, written to the shared folder; the driver sees one number of it, the largest gap
+    that the round met. Targets that contradict each other are never met; then the last round stands.
+    """
+    dims = [f"d{i}" for i in range(n_dims)]
+    fitted = table.withColumn("weight", F.col("tokens").cast("double"))
+    for i in range(n_dims):
+        full = F.col("target") >= F.col("available") * (1 - 1e-9)  # such values give all that they have
+        own = goals.filter(F.col("dim") == i).select(F.col("value").alias(f"d{i}"), F.col("target").alias(f"t{i}"), full.alias(f"full{i}"))
+        fitted = fitted.join(own, f"d{i}")
+    few = table.count() <= one_task_cells
+    fitted = materialise(fitted.coalesce(1) if few else fitted, "raked")
+    gap = 0.0
+    for _ in range(max_rounds):
+        step = fitted.coalesce(1) if few else fitted
+        cap, missed = F.col("tokens").cast("double"), F.lit(0.0)
+        for i in range(n_dims):
+            value = Window.partitionBy(f"d{i}")
+            weight, target = F.col("weight"), F.col(f"t{i}")
+            now = F.sum(F.least(cap, weight)).over(value)
+            step = step.withColumns({"now": now, "level": _level([f"d{i}"], cap, weight, target, dims)})
+            step = step.withColumns({"level": F.max("level").over(value), f"m{i}": F.abs(F.col("now") - target) / target})
+            step = step.withColumn("weight", F.coalesce(F.when(~F.col(f"full{i}"), F.col("level") * weight), F.greatest(cap, weight))).drop("level", "now")
+            missed = F.greatest(missed, F.col(f"m{i}"))
+        step = materialise(step.withColumn("missed", missed).drop(*(f"m{i}" for i in range(n_dims))), "raked")
+        gap = step.agg(F.max("missed")).first()[0] or 0.0
+        fitted = step.drop("missed")
+        if gap <= tolerance:
+            break
+    return fitted.select(*dims, "tokens", "weight"), gap
+
+
+def probabilities(fitted: DataFrame) -> DataFrame:
+    """``fitted`` with ``probability``: expected tokens over tokens."""
+    return fitted.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.col("tokens")))
+
+
+def reached(fitted: DataFrame, goals: DataFrame, n_dims: int) -> DataFrame:
+    """(dim, value, available, share, target, reached): the expected tokens of each value beside its target."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"d{i}").alias("value")) for i in range(n_dims))))
+    got = fitted.select(each.alias("own"), F.least(F.col("tokens").cast("double"), F.col("weight")).alias("e")).groupBy("own.dim", "own.value").agg(F.sum("e").alias("reached"))
+    return goals.join(got, ["dim", "value"])
+
+
+def calibrate(docs: DataFrame, dims: dict[str, Column], exponents: dict[str, float], tokens: Column, budget: float = 0.5, strict: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Fitted cells and their targets; a gap above the tolerance is a warning, or with ``strict`` an error."""
+    table = materialise(cells(docs, dims, tokens), "cells")
+    goals = materialise(targets(table, {d: exponents[d] for d in dims}, budget), "targets")
+    fitted, gap = rake(table, goals, len(dims), **options)
+    if gap > options.get("tolerance", TOLERANCE):
+        said = f"mixing targets contradict each other or need more rounds: one is missed by {gap:.2%} of itself"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return fitted, goals
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -70,40 +146,52 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], exponents: dict[str, float], tokens: Column, id_col: str = "doc_id", budget: float = 0.5, rounds: int = 10, seed: str = "mix", broadcast_cells: int = 100_000) -> DataFrame:
-    """Sampled rows of ``docs`` with their ``probability``.
+def mix(docs: DataFrame, dims: dict[str, Column], exponents: dict[str, float], tokens: Column, id_col: str = "doc_id", budget: float = 0.5, seed: str = "mix", broadcast_cells: int = 100_000, **options) -> DataFrame:
+    """Sampled rows of ``docs`` with their ``probability``; a column of that name in ``docs`` is replaced, all others stay.
 
-    Documents of empty cells are never drawn; equal ids are drawn together. The cell table is
-    broadcast up to ``broadcast_cells`` rows and joined by shuffle beyond.
+    Null ids and null texts are drawn like others (a null text has no tokens); rows that repeat an
+    id are drawn together. Documents of cells without any token are never drawn. An empty table
+    gives an empty result. The cell table is broadcast up to ``broadcast_cells`` rows and joined by
+    shuffle beyond.
     """
-    table = materialise(cells(docs, dims, tokens), "cells")
-    p = probabilities(rake(table, tempered_targets(table, exponents), rounds), budget)
-    p = p.select(*(F.col(d).alias(f"__{d}") for d in dims), "probability")
-    p = F.broadcast(p) if table.count() <= broadcast_cells else p
-    on = [F.coalesce(c.cast("string"), F.lit("unknown")) == F.col(f"__{d}") for d, c in dims.items()]
-    rest = docs.drop("probability")
-    out = rest.join(p, on).filter(uniform(F.col(id_col), seed) < F.col("probability"))
-    return out.select(*rest.columns, "probability")
-
-
-def oracle_sql(exponents: dict[str, float], budget: float = 0.5, rounds: int = 10, seed: str = "mix") -> str:
-    """DuckDB twin of ``mix`` over documents by source, lang and topic, one step for each fit."""
-    sql = """WITH own AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+    fitted, _ = calibrate(docs, dims, exponents, tokens, budget, **options)
+    names = [free_name(docs, f"cell_{i}") for i in range(len(dims))]
+    chance = free_name(docs, "chance")
+    p = materialise(probabilities(fitted).select(*(F.col(f"d{i}").alias(n) for i, n in enumerate(names)), F.col("probability").alias(chance)), "probabilities")
+    p = F.broadcast(p) if p.count() <= broadcast_cells else p
+    on = [_value(c) == F.col(n) for c, n in zip(dims.values(), names)]
+    out = docs.join(p, on).filter(uniform(F.col(id_col), seed) < F.col(chance))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "probability"), F.col(chance).alias("probability"))
+
+
+def oracle_sql(exponents: dict[str, float], budget: float = 0.5, seed: str = "mix") -> str:
+    """DuckDB twin of ``mix`` over documents by source, lang and topic: the same rounds as a recursion."""
+    dims = list(exponents)
+
+    def level(inner: str, part: str, cap: str, base: str, total: str, order: list[str]) -> str:
+        up = f"PARTITION BY {part} ORDER BY {cap} / {base}, {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        down = f"PARTITION BY {part} ORDER BY {cap} / {base} DESC, {', '.join(f'{c} DESC' for c in order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        return f"SELECT *, ({total} - coalesce(sum({cap}) OVER ({up}), 0)) / sum({base}) OVER ({down}) AS raw FROM ({inner})"
+
+    step = "SELECT *, 0::DOUBLE AS missed FROM raked WHERE round < " + str(MAX_ROUNDS) + f" AND gap > {TOLERANCE}"
+    for d in dims:
+        step = level(f"SELECT *, sum(least(tokens, weight)) OVER (PARTITION BY {d}) AS now FROM ({step})", d, "tokens", "weight", f"t_{d}", dims)
+        step = f"SELECT *, max(CASE WHEN raw * weight <= tokens THEN raw END) OVER (PARTITION BY {d}) AS f FROM ({step})"
+        step = f"SELECT {', '.join(dims)}, tokens, {', '.join(f't_{x}, full_{x}' for x in dims)}, round, coalesce(CASE WHEN NOT full_{d} THEN f * weight END, greatest(tokens, weight)) AS weight, greatest(missed, abs(now - t_{d}) / t_{d}) AS missed FROM ({step})"
+    powers = " UNION ALL ".join(f"SELECT '{d}' AS dim, {d} AS value, sum(tokens) AS available, pow(sum(tokens), {float(e)}) AS p FROM cells GROUP BY {d}" for d, e in exponents.items())
+    shares = f"SELECT *, p / sum(p) OVER (PARTITION BY dim) AS share, {float(budget)} * sum(available) OVER (PARTITION BY dim) AS whole FROM ({powers})"
+    joins = " ".join(f"JOIN goals g_{d} ON g_{d}.dim = '{d}' AND g_{d}.value = cells.{d}" for d in dims)
+    return f"""WITH RECURSIVE own AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
   CASE WHEN contains(coalesce(text, ''), 'icense') THEN 'legal' WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS topic,
   len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\x0B\\x0C]+')) AS n_tokens FROM documents),
-cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM own GROUP BY ALL),
-whole AS (SELECT sum(tokens) AS total FROM cells)"""
-    for d, e in exponents.items():
-        sql += f""",
-t_{d} AS (SELECT value, p / sum(p) OVER () AS share FROM (SELECT {d} AS value, pow(sum(tokens), {e}) AS p FROM cells WHERE tokens > 0 GROUP BY {d}))"""
-    last = "(SELECT *, tokens AS weight FROM cells)"
-    for k in range(rounds):
-        for d in exponents:
-            sql += f""",
-f{k}_{d} AS (SELECT c.source, c.lang, c.topic, c.tokens, CASE WHEN s.sum > 0 THEN weight * coalesce(share, 0) * total / s.sum ELSE 0 END AS weight
-  FROM {last} c JOIN (SELECT {d} AS value, sum(weight) AS sum FROM {last} GROUP BY {d}) s ON c.{d} = s.value LEFT JOIN t_{d} t ON t.value = c.{d}, whole)"""
-            last = f"f{k}_{d}"
-    return sql + f"""
-SELECT doc_id, source, lang, topic, n_tokens, round(p, 9) AS probability FROM (
-  SELECT own.*, least(1.0, {budget} * CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END) AS p FROM own JOIN {last} USING (source, lang, topic))
+cells AS (SELECT {', '.join(dims)}, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM own GROUP BY ALL HAVING sum(n_tokens) > 0),
+goals AS (SELECT *, target >= available * (1 - 1e-9) AS full FROM (SELECT dim, value, available, coalesce(least(available, max(CASE WHEN raw * share <= available THEN raw END) OVER (PARTITION BY dim) * share), available) AS target
+  FROM ({level(shares, 'dim', 'available', 'share', 'whole', ['value'])}))),
+raked AS (
+  SELECT {', '.join(f'cells.{d}' for d in dims)}, tokens, {', '.join(f'g_{d}.target AS t_{d}, g_{d}.full AS full_{d}' for d in dims)}, 0 AS round, tokens AS weight, 1::DOUBLE AS gap FROM cells {joins}
+  UNION ALL
+  SELECT {', '.join(dims)}, tokens, {', '.join(f't_{d}, full_{d}' for d in dims)}, round + 1 AS round, weight, max(missed) OVER () AS gap FROM ({step})),
+last AS (SELECT * FROM raked WHERE round = (SELECT max(round) FROM raked))
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability FROM (
+  SELECT own.*, least(1.0, weight / tokens) AS p FROM own JOIN last USING ({', '.join(dims)}))
 WHERE CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / {float(16**13)} < p"""

@@ -57,7 +57,7 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("lang", F.lit("unknown")).alias("lang"), mixing.topic(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("n_tokens"))
     out = mixing.mix(docs, {d: F.col(d) for d in MIX}, MIX, F.col("n_tokens"))
-    return out.withColumn("probability", F.round("probability", 9))
+    return out.withColumn("probability", F.round("probability", 6))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,6 +42,25 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once a row even where ``use`` needs it in a lambda for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, at ``row_bytes`` each, take at most ``limit`` bytes; else as it is."""
+    size = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, or a longer name that no column of ``df`` has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``size`` bytes of ``column`` each, at least one row."""
     at, held = 0, 0

@@ -4,6 +4,10 @@ A mask of ones and zeros lies over consecutive tokens; a seed hashes the tokens
 a changed token under a zero does not matter. Seeds of benchmark items and of training texts meet
 in an equality join, and each hit is verified: on its diagonal some window around it must agree
 in ``similarity`` of its tokens. Substituted words are tolerated, unrelated texts are not.
+
+The masks miss nothing at the default similarity: whichever fifth of the tokens of a window of 20,
+or of a whole item of 8 to 19 tokens, is replaced, one of them fits the rest (a test tries all
+ways). Items of under eight tokens are searched for as they are, by a hash of all their tokens.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import materialise
+from lociflow.llm.shared import broadcast_if_small, free_name, materialise
 
 #: Masks of five compared tokens each.
-MASKS = ("11101001", "11010011", "10110101")
-SPAN = 8
+MASKS = ("11111", "111011", "11001011")
+SPAN = max(map(len, MASKS))
 
 
 def tokens(text: Column) -> Column:
@@ -23,54 +27,78 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text.cast("string")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` by token position ``at`` and seed hash ``h``, one row for each mask; tokens are in ``words``.
+def seeds(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
+    """``keep`` by token position ``at`` and seed hash ``h``, one row for each mask that fits there; tokens are in ``words``.
 
     The tokens themselves are not carried on, as they would be copied to every position.
     """
-    spread = df.filter(F.size("words") >= SPAN).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")).alias("at"))
-    hashes = [F.xxhash64(F.lit(k), *(F.expr(f"words[at + {i}]") for i, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS)]
-    return spread.select(*keep, "at", F.explode(F.array(*hashes)).alias("h"))
+    least = min(map(len, masks))
+    spread = df.filter(F.size("words") >= least).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {least})")).alias("at"))
 
+    def seed(mask: str) -> Column:
+        h = F.xxhash64(F.lit(mask), *(F.get("words", F.col("at") + i) for i, c in enumerate(mask) if c == "1"))
+        return h if len(mask) == least else F.when(F.col("at") + len(mask) <= F.size("words"), h)
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 20, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(id, item, matched, compared): texts that hold part of a benchmark item.
+    return spread.select(*keep, "at", F.explode(F.array(*map(seed, masks))).alias("h")).filter("h is not null")
 
-    ``compared`` is the smaller of ``window`` and the item's tokens, ``matched`` the most equal
-    tokens of such a window on a diagonal with a hit. Benchmark seeds, and the hits while they
-    are verified, are broadcast up to ``broadcast_rows`` rows and shuffled beyond. Items and texts
-    of under eight tokens, nulls included, hold no seed and give no row; rows that repeat an id
-    are reported once.
-    """
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
-
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words")).filter(F.size("words") >= SPAN).distinct()
+def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 20, similarity: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(id, key, i, matched, compared): rows of ``docs`` by id and text hash that hold part of item i."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words")).filter(F.size("words") > 0).distinct()
     items = materialise(items.withColumn("item_key", F.xxhash64("words")), "benchmark")
-    bench = materialise(seeds(items, ["item_id", "item_key"]).withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    short = sorted(r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect())  # at most seven lengths
+    keep = ["item_id", "item_key", "exact"]
+    bench = seeds(items.filter(F.size("words") >= SPAN).withColumn("exact", F.lit(False)), keep, list(MASKS))
+    for n in short:
+        bench = bench.union(seeds(items.filter(F.size("words") == n).withColumn("exact", F.lit(True)), keep, ["1" * n]))
+    bench = materialise(bench.withColumnRenamed("at", "item_at"), "benchmark-seeds")
+
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    met = seeds(own.withColumn("words", tokens(F.col("text"))), ["id", "key"]).join(small(bench), "h")
-    diagonals = met.select("id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    masks = [*MASKS, *("1" * n for n in short if "1" * n not in MASKS)]
+    met = seeds(own.withColumn("words", tokens(F.col("text"))), ["id", "key"], masks).join(broadcast_if_small(bench, F.lit(64), broadcast_bytes), "h")
+    diagonal = F.col("at") - F.col("item_at")
+    # One diagonal is enough for an item that is searched for as it is.
+    diagonals = met.groupBy("id", "key", "item_id", "item_key", F.when(~F.col("exact"), diagonal).alias("spaced")).agg(F.min(diagonal).alias("diagonal"))
     hits = materialise(diagonals.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "item_key", "diagonal")).alias("hits")), "hits")
-    same_row = own["id"].eqNullSafe(hits["id"]) & (own["key"] == hits["key"])
-    near = own.join(small(hits), same_row).select(own["id"], tokens(F.col("text")).alias("words"), "hits").select("id", "words", F.explode("hits").alias("z"))
-    near = near.join(small(items.withColumnRenamed("words", "item")).withColumnRenamed("item_id", "i").withColumnRenamed("item_key", "k"), F.col("z.item_id").eqNullSafe(F.col("i")) & (F.col("z.item_key") == F.col("k")))
-    return _verified(near, window, similarity).select(F.col("id").alias(id_col), F.col("i").alias(item_col), "matched", "compared")
+    small_hits = broadcast_if_small(hits, F.size("hits") * 40 + 64, broadcast_bytes)
+    near = own.join(small_hits, own["id"].eqNullSafe(hits["id"]) & (own["key"] == hits["key"])).select(own["id"], own["key"], tokens(F.col("text")).alias("words"), "hits").select("id", "key", "words", F.explode("hits").alias("z"))
+    named = items.select(F.col("item_id").alias("i"), F.col("item_key").alias("k"), F.col("words").alias("item"))
+    near = near.join(broadcast_if_small(named, F.size("item") * 24 + 64, broadcast_bytes), F.col("z.item_id").eqNullSafe(F.col("i")) & (F.col("z.item_key") == F.col("k")))
+    return _verified(near, window, similarity)
 
 
 def _verified(near: DataFrame, window: int, similarity: float) -> DataFrame:
     """Best window of each text and item over its diagonals, where it is similar enough."""
     start = F.greatest(F.col("z.diagonal"), F.lit(0))
-    cut = near.select("id", "i", "item", F.greatest(-F.col("z.diagonal"), F.lit(0)).alias("skip"), F.slice("words", start + 1, F.size("item")).alias("part"))
+    cut = near.select("id", "key", "i", "item", F.greatest(-F.col("z.diagonal"), F.lit(0)).alias("skip"), F.slice("words", start + 1, F.size("item")).alias("part"))
     equal = F.transform("item", lambda w, n: F.coalesce(F.when(n >= F.col("skip"), F.get("part", n - F.col("skip")) == w), F.lit(False)).cast("int"))
-    sized = cut.select("id", "i", equal.alias("equal"), F.least(F.size("item"), F.lit(window)).alias("compared"))
+    sized = cut.select("id", "key", "i", equal.alias("equal"), F.least(F.size("item"), F.lit(window)).alias("compared"))
     sums = F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("compared")), lambda s: F.aggregate(F.slice("equal", s + 1, F.col("compared")), F.lit(0), lambda a, x: a + x))
-    best = sized.select("id", "i", F.array_max(sums).alias("matched"), "compared").filter(F.col("matched") >= similarity * F.col("compared"))
-    return best.groupBy("id", "i").agg(F.max("matched").cast("bigint").alias("matched"), F.max("compared").cast("bigint").alias("compared"))
+    enough = F.when(F.col("compared") < SPAN, F.col("compared")).otherwise(F.lit(similarity) * F.col("compared") - 1e-9)
+    best = sized.select("id", "key", "i", F.array_max(sums).alias("matched"), "compared").filter(F.col("matched") >= enough)
+    return best.groupBy("id", "key", "i").agg(F.max("matched").cast("bigint").alias("matched"), F.max("compared").cast("bigint").alias("compared"))
+
 
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 20, similarity: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(id, item, matched, compared): texts that hold part of a benchmark item.
+
+    ``compared`` is the smaller of ``window`` and the item's tokens, ``matched`` the most equal
+    tokens of such a window on a diagonal with a hit. An item of under eight tokens has to be there
+    as it is. Benchmark seeds, items, and the hits while they are verified are broadcast up to
+    ``broadcast_bytes`` each and shuffled beyond. Items and texts without tokens, nulls included,
+    give no row; ids that repeat, null ids included, are reported once for each item. Empty tables
+    give an empty result; other columns of ``docs`` play no part.
+    """
+    best = found(docs, benchmark, id_col, text_col, item_col, item_text, window, similarity, broadcast_bytes)
+    return best.groupBy(F.col("id").alias(id_col), F.col("i").alias(item_col)).agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that overlap a benchmark item; rows without an id stay."""
-    bad = overlaps(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32 << 20, **options) -> DataFrame:
+    """``docs`` without the rows whose text overlaps a benchmark item.
+
+    Rows are judged by id and text, so of rows that repeat an id only those with an overlap go.
+    Null and empty texts stay. All columns of ``docs`` are kept as they are.
+    """
+    a, b = free_name(docs, "bad_id"), free_name(docs, "bad_key")
+    bad = materialise(found(docs, benchmark, id_col, text_col, broadcast_bytes=broadcast_bytes, **options).select(F.col("id").alias(a), F.col("key").alias(b)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(bad, F.lit(64), broadcast_bytes), F.col(id_col).eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import slices
+from lociflow.llm.shared import materialise, slices
 
 #: The first code point of each script's blocks, and its end.
 SCRIPTS = {
@@ -136,11 +136,16 @@ class LanguageModel:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_docs: int = 8000, penalty: float = 12.0, min_script_share: float = 0.02) -> LanguageModel:
     """Fit the model on at most ``max_docs`` labelled rows, those with the smallest hashes of their ids.
 
-    Rows with a null label are left out. N-grams are counted on the executors; the driver gets the
-    counts, whose number is bounded by the buckets and languages.
+    Rows with a null label are left out; rows that repeat id and text count once. The hashes are
+    chosen without the texts, and only the chosen texts are fetched, so no task holds more texts
+    than its own rows. N-grams are counted on the executors; the driver gets the counts, whose
+    number is bounded by the buckets and languages.
     """
-    given = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(id_col).alias("h"))
-    sample = given.orderBy("h", "text").limit(max_docs).select("lang", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(id_col).alias("h"), F.xxhash64(text).alias("g"))
+    chosen = materialise(given.select("h", "g").orderBy("h", "g").limit(max_docs).distinct(), "language-sample")
+    sample = given.join(F.broadcast(chosen), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min("lang").alias("lang"), F.first("text").alias("text"))
+    sample = sample.select("lang", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, scripts = {}, {}

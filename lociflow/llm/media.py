@@ -222,11 +222,11 @@ def parse_stream(media: bytes) -> dict:
     return found | {"at": at}
 
 
-def frame_starts(data: np.ndarray, base: np.ndarray, first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+def frame_starts(data: np.ndarray, base: np.ndarray, first: np.ndarray, block: int, number_from: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the frames of streams that lie one after another in ``data``, and the stream of each.
 
-    Stream i begins at ``base[i]`` and its first frame at ``first[i]``. A frame starts at the sync word
-    with a valid header checksum and the next frame number of its stream.
+    Stream i begins at ``base[i]`` and its first frame, number ``number_from``, at ``first[i]``. A frame
+    starts at the sync word with a valid header checksum and the next frame number of its stream.
     """
     code = next((c for c, size in BLOCK_CODES.items() if size == block), None)
     if code is None:
@@ -243,7 +243,7 @@ def frame_starts(data: np.ndarray, base: np.ndarray, first: np.ndarray, block: i
     for j in range(1, int(size.max(initial=1))):
         number = np.where(size > j, number << 6 | heads[:, 4 + j] & 0x3F, number)
     good = crc_rows(heads, 4 + size, CRC8) == heads[np.arange(len(hits)), 4 + size]
-    hits, stream, number = hits[good], stream[good], number[good]
+    hits, stream, number = hits[good], stream[good], number[good] - number_from
     rank = np.arange(len(hits)) - np.searchsorted(stream, stream)
     if (number != rank).any():  # chance sync words: keep the numbers that follow on
         keep, want, own = [], 0, -1
@@ -390,6 +390,35 @@ def decode_frames(frames: np.ndarray, lengths: np.ndarray, block: int) -> np.nda
     return out
 
 
+def _frame_rows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Frames as zero-padded rows."""
+    rows = np.zeros((len(sizes), int(sizes.max(initial=1))), np.uint8)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = data[_spans(starts, sizes)]
+    return rows
+
+
+def read_samples(media: bytes, first: int, count: int) -> bytes:
+    """``count`` samples from ``first`` on, as unsigned bytes; only frames from the nearest seek point on are decoded."""
+    info = parse_stream(media)
+    block, stop = info["block"], min(first + count, info["samples"])
+    if not 0 <= first < stop:
+        return b""
+    at, offset, _ = max((p for p in info["seek"] if p[0] <= first), default=(0, 0, block))
+    end = min((p[1] for p in info["seek"] if p[0] >= stop), default=len(media) - info["at"])
+    data = np.frombuffer(media[info["at"] + offset : info["at"] + end], np.uint8)
+    starts, _ = frame_starts(data, np.array([0]), np.array([0]), block, at // block)
+    rows = _frame_rows(data, starts, np.append(starts[1:], len(data)) - starts)
+    samples = (decode_frames(rows, np.append(starts[1:], len(data)) - starts, block).view(np.uint8) ^ 0x80).tobytes()
+    return samples[first - at : stop - at]
+
+
+def pcm_blocks(info: dict, payload: bytes, frames_per_block: int = 64) -> Iterator[tuple[int, int, bytes]]:
+    """(block, sample offset, samples) of a decoded stream."""
+    step = frames_per_block * info["block"]
+    for b, at in enumerate(range(0, len(payload), step)):
+        yield b, at, payload[at : at + step]
+
+
 def decode_streams(media: list[bytes]) -> list[tuple[dict, bytes]]:
     """(stream info, unsigned 8-bit payload) of each stream; verifies headers, frames, sample counts and the MD5."""
     infos, groups = [], {}
@@ -409,10 +438,7 @@ def decode_streams(media: list[bytes]) -> list[tuple[dict, bytes]]:
         parts = []
         for at in range(0, len(starts), FRAMES_AT_ONCE):
             size = sizes[at : at + FRAMES_AT_ONCE]
-            rows = np.zeros((len(size), int(size.max())), np.uint8)
-            inside = np.arange(rows.shape[1]) < size[:, None]
-            rows[inside] = data[_spans(starts[at : at + FRAMES_AT_ONCE], size)]
-            parts.append(decode_frames(rows, size, block).view(np.uint8) ^ 0x80)
+            parts.append(decode_frames(_frame_rows(data, starts[at : at + FRAMES_AT_ONCE], size), size, block).view(np.uint8) ^ 0x80)
         flat, first = np.concatenate(parts).ravel().tobytes(), 0
         for i, count in zip(own, counts.tolist()):
             payload = flat[first : first + count * block]
@@ -424,7 +450,10 @@ def decode_streams(media: list[bytes]) -> list[tuple[dict, bytes]]:
 
 
 def encode_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seek_every: int = 64) -> DataFrame:
-    """One row per input row: (id, n_bytes, media), the padded UTF-8 text as a FLAC stream."""
+    """One row per input row, repeated rows too: (id, n_bytes, media), the padded UTF-8 text as a FLAC stream.
+
+    Null and empty texts give one block of padding; other columns play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,6 +471,7 @@ def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     """PCM blocks: (id, block, sample_offset, pcm), a seekable cut of every decoded stream.
 
     A reader that wants sample s takes the block with the largest ``sample_offset`` not above s.
+    Null streams give no blocks; rows that repeat an id give their blocks each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,9 +479,8 @@ def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
             for piece in slices(batch, "media", SLICE_BYTES):
                 ids, rows = piece.column("id").to_pylist(), ([], [], [], [])
                 for key, (info, payload) in zip(ids, decode_streams(piece.column("media").to_pylist())):
-                    step = frames_per_block * info["block"]
-                    for b, at in enumerate(range(0, len(payload), step)):
-                        for to, v in zip(rows, (key, b, at, payload[at : at + step])):
+                    for row in pcm_blocks(info, payload, frames_per_block):
+                        for to, v in zip(rows, (key, *row)):
                             to.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], piece.schema.field("id").type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], names=["id", "block", "sample_offset", "pcm"])
 
@@ -460,29 +489,38 @@ def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     return given.mapInArrow(run, f"id {kind}, block bigint, sample_offset bigint, pcm binary").withColumnRenamed("id", id_col)
 
 
-def media_digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Decode each stream and describe what was read back.
+def media_digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", frames_per_block: int = 64) -> DataFrame:
+    """Decode each stream into PCM blocks and describe what was read back.
 
-    (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature);
-    ``feature`` holds frames, mean level, root mean square and sign changes of the samples.
+    (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    pcm_offsets, last_block_crc32). ``payload_sha256`` runs over the blocks in order; ``feature``
+    holds frames, mean level, root mean square and sign changes of the samples. ``pcm_offsets`` are
+    the blocks' sample offsets. ``last_block_crc32`` is taken from the last block as a reader gets
+    it who seeks to its offset in the stream. Rows that repeat an id are described each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "media", SLICE_BYTES):
                 streams = piece.column("media").to_pylist()
-                found = {name: [] for name in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+                found = {name: [] for name in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_offsets", "last_block_crc32")}
                 for m, (info, payload) in zip(streams, decode_streams(streams)):
                     x = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8)
                     level, power = int(x.sum(dtype=np.int64)), int((x.astype(np.int16) ** 2).sum(dtype=np.int64))
                     changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
                     feature = f"frames={len(payload) // info['block']};mean={level / len(x):.6f};rms={(power / len(x)) ** 0.5:.6f};crossings={changes}"
-                    for to, v in zip(found.values(), (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature)):
+                    whole, offsets = hashlib.sha256(), []
+                    for _, offset, pcm in pcm_blocks(info, payload, frames_per_block):
+                        whole.update(pcm)
+                        offsets.append(offset)
+                    # A stream of one block was read from its only offset; of others the last block is sought.
+                    last = pcm if len(offsets) == 1 else read_samples(m, offsets[-1], len(pcm))
+                    for to, v in zip(found.values(), (len(payload), whole.hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, offsets, zlib.crc32(last))):
                         to.append(v)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("n_bytes"), *(pa.array(v, t) for v, t in zip(found.values(), kinds))], names=["id", "n_bytes", *found])
 
     given = media.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media"))
     kind = given.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_offsets array<bigint>, last_block_crc32 bigint"
     return given.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -32,14 +32,19 @@ class ToxicityChain:
         self.categories, self.vocabulary, self.models = categories, vocabulary, models
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with one probability column ``p_<category>`` for each category."""
+        """``docs`` with one probability column ``p_<category>`` for each category.
+
+        Columns of those names are replaced, all others stay. Null and empty texts have no words
+        and get what the models give for none; rows that repeat are scored each, alike.
+        """
         made = [f"p_{c}" for c in self.categories]
         kept = [c for c in docs.columns if c not in made]
-        out = docs.withColumn("__words", words(F.col(text_col)))
+        # The row travels as one struct, so that no column of it meets the names used here.
+        out = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), words(F.col(text_col)).alias("__words"))
         out = out if self.vocabulary is None else self.vocabulary.transform(out)
         for i, (c, model) in enumerate(zip(self.categories, self.models)):
             out = _apply(out, model, [f"p_{d}" for d in self.categories[:i]], f"p_{c}")
-        return out.select(*(F.col(f"`{c}`") for c in kept), *made)
+        return out.select(*(F.col(f"__row.`{c}`") for c in kept), *made)
 
 
 def _features(df: DataFrame, earlier: list[str]) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Near copies by word shingles: MinHash bands meet in an equality join, pairs are verified exactly.
+"""The near-duplicate stage on five-word shingles: SimHash links, and MinHash bands for what lies beyond two bits.
 
 A text is the set of its runs of five words. Two texts are near copies at a Jaccard similarity of
-0.8 or more. With 32 bands of five rows a pair at 0.8 meets in no band with a probability of 3e-6,
-and less above. Index entries of over ``bucket_limit`` distinct sets are dealt into groups of about
-``deal`` anew in each band, so the work for one large group grows with its size and not its square;
-there the many links of a group hold it together, while a single pair within may not be compared.
+0.8 or more; every candidate pair is verified by the exact sets. Candidates come from the SimHash
+operator (fingerprints of the same shingles at two or fewer differing bits) and from MinHash bands:
+copies at 0.8 differ in about ten bits of 64, which no one-wildcard index reaches. With 32 bands of
+five rows a pair at 0.8 meets in no band with a probability of 3e-6, and less above.
+
+Index entries of over ``bucket_limit`` distinct sets are dealt into groups of about ``deal`` anew in
+each band, so the work for one large group of copies grows with its size and not its square. What
+such an entry then still holds in different components is compared exactly: sets at the limit share
+one of their rarest shingles (a set of n has n - ceil(0.8 n) + 1 that count), which meet in an
+equality join across components.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm import simhash
 from lociflow.llm.components import connected_components
 from lociflow.llm.shared import materialise, slices
 
@@ -59,7 +66,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, keys, shingles) per row; ``same`` is equal for equal shingle sets."""
+    """(id, same, fp, keys, shingles) per row; ``same`` is equal for equal shingle sets, ``fp`` is the SimHash fingerprint."""
     import xxhash
 
     def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -71,32 +78,84 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for batch in slices(whole, "text", 1 << 23):
                 sets = [shingles(t.as_py()) for t in batch.column("text")]
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same), lists([bands(s) for s in sets]), lists(sets)], names=["id", "same", "keys", "shingles"])
+                fps = np.array([simhash.fingerprint(t.as_py(), SHINGLE_WORDS) for t in batch.column("text")], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same), pa.array(fps), lists([bands(s) for s in sets]), lists(sets)], names=["id", "same", "fp", "keys", "shingles"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, same bigint, keys array<bigint>, shingles array<bigint>")
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, same bigint, fp bigint, keys array<bigint>, shingles array<bigint>")
+
+
+def simhash_pairs(own: DataFrame) -> DataFrame:
+    """Candidate pairs (x, y) of ``same`` values by SimHash links: between the first sets of linked fingerprints, and to the others of each."""
+    sets = own.select("fp", "same").distinct()
+    first = materialise(sets.groupBy("fp").agg(F.min("same").alias("rep")), "fingerprints")
+    equal = sets.join(first, "fp").filter("rep < same").select(F.col("rep").alias("x"), F.col("same").alias("y"))
+    linked = simhash.links(first.select("fp")).select(F.col("x").alias("f"), F.col("y").alias("g"))
+    linked = linked.join(first.select(F.col("fp").alias("f"), F.col("rep").alias("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("rep").alias("b")), "g")
+    return equal.union(linked.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")))
+
+
+def verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are at ``similarity`` or above."""
+    ends = pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct()
+    sets = materialise(own.join(ends, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
+    left, right = (sets.select(F.col("same").alias(v), F.col("shingles").alias(f"s_{v}")) for v in "xy")
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size(F.array_intersect("s_x", "s_y")).alias("common"), (F.size("s_x") + F.size("s_y")).alias("all"))
+    return materialise(both.filter(F.col("common") >= F.lit(similarity) * (F.col("all") - F.col("common")) - 1e-9).select("x", "y"), "near-links")
 
 
 def links(own: DataFrame, similarity: float = SIMILARITY, bucket_limit: int = 64, deal: int = 16) -> DataFrame:
-    """Pairs (x, y), x < y, of ``same`` values whose shingle sets are at ``similarity`` or above."""
+    """Pairs (x, y), x < y, of ``same`` values whose shingle sets are at ``similarity`` or above.
+
+    All pairs below ``bucket_limit`` sets an entry; above it enough pairs to keep every component whole.
+    """
     index = materialise(own.select("same", F.size("shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "bands")
     shared = index.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     group = F.when(F.col("held") > bucket_limit, F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("held") / deal))).otherwise(F.lit(0))
-    met = materialise(index.join(shared, "key").select("key", "same", "n", group.alias("group")), "met")
+    met = materialise(index.join(shared, "key").select("key", "same", "n", "held", group.alias("group")), "met")
     one, two = (met.select("key", "group", F.col("same").alias(v), F.col("n").alias(f"n_{v}")) for v in "xy")
-    fits = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
-    pairs = materialise(one.join(two, ["key", "group"]).filter((F.col("x") < F.col("y")) & fits).select("x", "y").distinct(), "pairs")
-    ends = pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct()
-    sets = materialise(own.join(ends, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
-    left, right = (sets.select(F.col("same").alias(v), F.col("shingles").alias(f"s_{v}")) for v in "xy")
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size(F.array_intersect("s_x", "s_y")).alias("common"), (F.size("s_x") + F.size("s_y")).alias("all"))
-    return both.filter(F.col("common") >= F.lit(similarity) * (F.col("all") - F.col("common")) - 1e-9).select("x", "y")
+    banded = one.join(two, ["key", "group"]).filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
+    sure = verified(own, materialise(banded.union(simhash_pairs(own)).distinct(), "pairs"), similarity)
+    heavy = met.filter(F.col("held") > bucket_limit)
+    if not heavy.limit(1).count():
+        return sure
+    comps = connected_components(sure, "x", "y")
+    named = heavy.join(comps, F.col("same") == F.col("node"), "left").select("key", "same", "n", F.coalesce("component", "same").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    apart = materialise(named.join(mixed, "key", "left_semi").select("same", "n", "component").distinct(), "apart")
+    return sure.union(verified(own, across(own, apart, similarity), similarity)) if apart.limit(1).count() else sure
+
+
+def _fits(similarity: float):
+    return F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
+
+
+def across(own: DataFrame, apart: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (x, y) of sets of different components in ``apart`` (same, n, component) that can reach ``similarity``.
+
+    Shingles are ordered by how many of these sets hold them, rare ones first. Per shingle only the
+    sets outside its largest component are paired, with all of the others.
+    """
+    sets = own.join(apart, "same").groupBy("same", "n", "component").agg(F.first("shingles").alias("shingles"))
+    each = materialise(sets.select("same", "n", "component", F.explode("shingles").alias("shingle")), "apart-shingles")
+    held = each.groupBy("shingle").agg(F.count("*").alias("held"))
+    ordered = each.join(held, "shingle").groupBy("same", "n", "component").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    counted = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
+    rare = materialise(ordered.select("same", "n", "component", F.explode(counted).alias("r")).filter("r.held > 1").select("same", "n", "component", "r.shingle"), "rare-shingles")
+    size = rare.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("largest")).filter("k > 1").select("shingle", "largest")
+    open_sets = rare.join(size, "shingle")
+    one = open_sets.filter(F.col("component") != F.col("largest")).select("shingle", F.col("same").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    two = open_sets.select("shingle", F.col("same").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
+    met = one.join(two, "shingle").filter((F.col("c_x") != F.col("c_y")) & _fits(similarity))
+    return materialise(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs-across")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` with the smallest id of each group of near copies, one row for each id; rows without an id stay.
 
-    Groups are the connected components of the links; texts without words are one group.
+    Groups are the connected components of the links. Null and empty texts and texts of white space
+    only are one group. Of rows that repeat an id one stays. An empty table gives an empty result;
+    all columns of ``docs`` are kept.
     """
     own = materialise(described(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "shingles")
     comps = connected_components(links(own, **options), "x", "y")

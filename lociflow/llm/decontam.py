@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import broadcast_if_small, free_name, materialise
+from lociflow.llm.shared import broadcast_if_small, free_name, materialise, scratch
 
 #: Masks of five compared tokens each.
 MASKS = ("11111", "111011", "11001011")
@@ -89,7 +89,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     give no row; ids that repeat, null ids included, are reported once for each item. Empty tables
     give an empty result; other columns of ``docs`` play no part.
     """
-    best = found(docs, benchmark, id_col, text_col, item_col, item_text, window, similarity, broadcast_bytes)
+    with scratch(docs.sparkSession):
+        best = materialise(found(docs, benchmark, id_col, text_col, item_col, item_text, window, similarity, broadcast_bytes), "overlaps", keep=True)
     return best.groupBy(F.col("id").alias(id_col), F.col("i").alias(item_col)).agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
 
 
@@ -100,5 +101,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts stay. All columns of ``docs`` are kept as they are.
     """
     a, b = free_name(docs, "bad_id"), free_name(docs, "bad_key")
-    bad = materialise(found(docs, benchmark, id_col, text_col, broadcast_bytes=broadcast_bytes, **options).select(F.col("id").alias(a), F.col("key").alias(b)).distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        hits = found(docs, benchmark, id_col, text_col, broadcast_bytes=broadcast_bytes, **options)
+        bad = materialise(hits.select(F.col("id").alias(a), F.col("key").alias(b)).distinct(), "contaminated", keep=True)
     return docs.join(broadcast_if_small(bad, F.lit(64), broadcast_bytes), F.col(id_col).eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")

@@ -17,13 +17,15 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import free_name, materialise
+from lociflow.llm.shared import free_name, materialise, scratch
 
 WORD = r"[^ \t\n\r\x0B\x0C]+"
 
 #: Raking stops when no target is missed by more than this share of itself.
 TOLERANCE = 1e-4
-MAX_ROUNDS = 60
+MAX_STEPS = 20
+#: Rounds of raking in one step, over all dimensions each; then the gap is looked at.
+ROUNDS = 3
 #: Up to so many cells are raked in one task, without a shuffle; more are raked by a shuffle for each dimension.
 ONE_TASK_CELLS = 200_000
 
@@ -80,13 +82,13 @@ def targets(table: DataFrame, exponents: dict[str, float], budget: float) -> Dat
     return own.select("dim", "value", "available", "share", F.coalesce(filled, "available").alias("target"))
 
 
-def rake(table: DataFrame, goals: DataFrame, n_dims: int, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, one_task_cells: int = ONE_TASK_CELLS) -> tuple[DataFrame, float]:
+def rake(table: DataFrame, goals: DataFrame, n_dims: int, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS, one_task_cells: int = ONE_TASK_CELLS) -> tuple[DataFrame, float]:
     """``table`` with ``weight``, and the largest gap to a target that was left.
 
     The expected tokens of a cell are least(tokens, weight). Only cells are handled here, no
-    documents: their number depends on the values of the dimensions. Each round is one step over
-    the cells, written to the shared folder; the driver sees one number of it, the largest gap
-    that the round met. Targets that contradict each other are never met; then the last round stands.
+    documents: their number depends on the values of the dimensions. Every few rounds the cells are
+    written to the shared folder and the driver sees one number, the largest gap that the last
+    round met. Targets that contradict each other are never met; then the last round stands.
     """
     dims = [f"d{i}" for i in range(n_dims)]
     fitted = table.withColumn("weight", F.col("tokens").cast("double"))
@@ -97,17 +99,18 @@ def rake(table: DataFrame, goals: DataFrame, n_dims: int, tolerance: float = TOL
     few = table.count() <= one_task_cells
     fitted = materialise(fitted.coalesce(1) if few else fitted, "raked")
     gap = 0.0
-    for _ in range(max_rounds):
+    for _ in range(max_steps):
         step = fitted.coalesce(1) if few else fitted
         cap, missed = F.col("tokens").cast("double"), F.lit(0.0)
-        for i in range(n_dims):
-            value = Window.partitionBy(f"d{i}")
-            weight, target = F.col("weight"), F.col(f"t{i}")
-            now = F.sum(F.least(cap, weight)).over(value)
-            step = step.withColumns({"now": now, "level": _level([f"d{i}"], cap, weight, target, dims)})
-            step = step.withColumns({"level": F.max("level").over(value), f"m{i}": F.abs(F.col("now") - target) / target})
-            step = step.withColumn("weight", F.coalesce(F.when(~F.col(f"full{i}"), F.col("level") * weight), F.greatest(cap, weight))).drop("level", "now")
-            missed = F.greatest(missed, F.col(f"m{i}"))
+        for turn in range(ROUNDS * n_dims):
+            i = turn % n_dims
+            value, weight, target = Window.partitionBy(f"d{i}"), F.col("weight"), F.col(f"t{i}")
+            if turn >= (ROUNDS - 1) * n_dims:  # the last round's gaps
+                step = step.withColumn(f"m{i}", F.abs(F.sum(F.least(cap, weight)).over(value) - target) / target)
+                missed = F.greatest(missed, F.col(f"m{i}"))
+            step = step.withColumn("level", _level([f"d{i}"], cap, weight, target, dims))
+            step = step.withColumn("level", F.max("level").over(value))
+            step = step.withColumn("weight", F.coalesce(F.when(~F.col(f"full{i}"), F.col("level") * weight), F.greatest(cap, weight))).drop("level")
         step = materialise(step.withColumn("missed", missed).drop(*(f"m{i}" for i in range(n_dims))), "raked")
         gap = step.agg(F.max("missed")).first()[0] or 0.0
         fitted = step.drop("missed")
@@ -154,10 +157,11 @@ def mix(docs: DataFrame, dims: dict[str, Column], exponents: dict[str, float], t
     gives an empty result. The cell table is broadcast up to ``broadcast_cells`` rows and joined by
     shuffle beyond.
     """
-    fitted, _ = calibrate(docs, dims, exponents, tokens, budget, **options)
     names = [free_name(docs, f"cell_{i}") for i in range(len(dims))]
     chance = free_name(docs, "chance")
-    p = materialise(probabilities(fitted).select(*(F.col(f"d{i}").alias(n) for i, n in enumerate(names)), F.col("probability").alias(chance)), "probabilities")
+    with scratch(docs.sparkSession):
+        fitted, _ = calibrate(docs, dims, exponents, tokens, budget, **options)
+        p = materialise(probabilities(fitted).select(*(F.col(f"d{i}").alias(n) for i, n in enumerate(names)), F.col("probability").alias(chance)), "probabilities", keep=True)
     p = F.broadcast(p) if p.count() <= broadcast_cells else p
     on = [_value(c) == F.col(n) for c, n in zip(dims.values(), names)]
     out = docs.join(p, on).filter(uniform(F.col(id_col), seed) < F.col(chance))
@@ -173,11 +177,13 @@ def oracle_sql(exponents: dict[str, float], budget: float = 0.5, seed: str = "mi
         down = f"PARTITION BY {part} ORDER BY {cap} / {base} DESC, {', '.join(f'{c} DESC' for c in order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
         return f"SELECT *, ({total} - coalesce(sum({cap}) OVER ({up}), 0)) / sum({base}) OVER ({down}) AS raw FROM ({inner})"
 
-    step = "SELECT *, 0::DOUBLE AS missed FROM raked WHERE round < " + str(MAX_ROUNDS) + f" AND gap > {TOLERANCE}"
-    for d in dims:
+    step = f"SELECT *, 0::DOUBLE AS missed FROM raked WHERE round < {MAX_STEPS} AND gap > {TOLERANCE}"
+    for turn in range(ROUNDS * len(dims)):
+        d = dims[turn % len(dims)]
+        gap = f"greatest(missed, abs(now - t_{d}) / t_{d})" if turn >= (ROUNDS - 1) * len(dims) else "missed"
         step = level(f"SELECT *, sum(least(tokens, weight)) OVER (PARTITION BY {d}) AS now FROM ({step})", d, "tokens", "weight", f"t_{d}", dims)
         step = f"SELECT *, max(CASE WHEN raw * weight <= tokens THEN raw END) OVER (PARTITION BY {d}) AS f FROM ({step})"
-        step = f"SELECT {', '.join(dims)}, tokens, {', '.join(f't_{x}, full_{x}' for x in dims)}, round, coalesce(CASE WHEN NOT full_{d} THEN f * weight END, greatest(tokens, weight)) AS weight, greatest(missed, abs(now - t_{d}) / t_{d}) AS missed FROM ({step})"
+        step = f"SELECT {', '.join(dims)}, tokens, {', '.join(f't_{x}, full_{x}' for x in dims)}, round, coalesce(CASE WHEN NOT full_{d} THEN f * weight END, greatest(tokens, weight)) AS weight, {gap} AS missed FROM ({step})"
     powers = " UNION ALL ".join(f"SELECT '{d}' AS dim, {d} AS value, sum(tokens) AS available, pow(sum(tokens), {float(e)}) AS p FROM cells GROUP BY {d}" for d, e in exponents.items())
     shares = f"SELECT *, p / sum(p) OVER (PARTITION BY dim) AS share, {float(budget)} * sum(available) OVER (PARTITION BY dim) AS whole FROM ({powers})"
     joins = " ".join(f"JOIN goals g_{d} ON g_{d}.dim = '{d}' AND g_{d}.value = cells.{d}" for d in dims)

@@ -7,24 +7,25 @@ copies at 0.8 differ in about ten bits of 64, which no one-wildcard index reache
 five rows a pair at 0.8 meets in no band with a probability of 3e-6, and less above.
 
 Index entries of over ``bucket_limit`` distinct sets are dealt into groups of about ``deal`` anew in
-each band, so the work for one large group of copies grows with its size and not its square. What
-such an entry then still holds in different components is compared exactly: sets at the limit share
-one of their rarest shingles (a set of n has n - ceil(0.8 n) + 1 that count), which meet in an
-equality join across components.
+each band, and the sets of a group are compared with its first, so the work for one large group of
+copies grows with its size and not its square. What such an entry then still holds in different
+components is compared exactly: with shingles ordered from rare to common, two sets at the limit
+share one early enough in both for what follows to be as much as the limit asks for. Only such
+shingles meet in an equality join, across components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.llm import simhash
 from lociflow.llm.components import connected_components
-from lociflow.llm.shared import materialise, slices
+from lociflow.llm.shared import broadcast_if_small, materialise, scratch, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -65,24 +66,46 @@ def bands(own: np.ndarray) -> np.ndarray:
     return _mixed(rows.sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, fp, keys, shingles) per row; ``same`` is equal for equal shingle sets, ``fp`` is the SimHash fingerprint."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _same(sets: list[np.ndarray]) -> pa.Array:
     import xxhash
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, same, fp, n, keys) per row: ``same`` is equal for equal shingle sets, ``fp`` the SimHash fingerprint, n the shingles, ``keys`` the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 23):
                 sets = [shingles(t.as_py()) for t in batch.column("text")]
-                same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 fps = np.array([simhash.fingerprint(t.as_py(), SHINGLE_WORDS) for t in batch.column("text")], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(same), pa.array(fps), lists([bands(s) for s in sets]), lists(sets)], names=["id", "same", "fp", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _same(sets), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), _lists([bands(s) for s in sets])], names=["id", "same", "fp", "n", "keys"])
+
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, same bigint, fp bigint, n int, keys array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(same, shingles) of the ``wanted`` values of ``same``; made again from one text of each, so that not all sets need be kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 23):
+                sets = [shingles(t.as_py()) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([_same(sets), _lists(sets)], names=["same", "shingles"])
 
+    one_each = own.join(wanted, "same", "left_semi").groupBy("same").agg(F.min("id").alias("wanted_id"))
+    ids = materialise(one_each.select("wanted_id").distinct(), "wanted-ids")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, same bigint, fp bigint, keys array<bigint>, shingles array<bigint>")
+    chosen = given.join(broadcast_if_small(ids, F.lit(32), broadcast_bytes), F.col("id") == F.col("wanted_id"), "left_semi").select("text")
+    made = chosen.mapInArrow(run, "same bigint, shingles array<bigint>")
+    return materialise(made.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def simhash_pairs(own: DataFrame) -> DataFrame:
@@ -95,27 +118,30 @@ def simhash_pairs(own: DataFrame) -> DataFrame:
     return equal.union(linked.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")))
 
 
-def verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are at ``similarity`` or above."""
-    ends = pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct()
-    sets = materialise(own.join(ends, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are at ``similarity`` or above; ``sets_of`` gives the sets of a table of ``same`` values."""
+    sets = sets_of(pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct())
     left, right = (sets.select(F.col("same").alias(v), F.col("shingles").alias(f"s_{v}")) for v in "xy")
     both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size(F.array_intersect("s_x", "s_y")).alias("common"), (F.size("s_x") + F.size("s_y")).alias("all"))
     return materialise(both.filter(F.col("common") >= F.lit(similarity) * (F.col("all") - F.col("common")) - 1e-9).select("x", "y"), "near-links")
 
 
-def links(own: DataFrame, similarity: float = SIMILARITY, bucket_limit: int = 64, deal: int = 16) -> DataFrame:
+def links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, bucket_limit: int = 64, deal: int = 16) -> DataFrame:
     """Pairs (x, y), x < y, of ``same`` values whose shingle sets are at ``similarity`` or above.
 
     All pairs below ``bucket_limit`` sets an entry; above it enough pairs to keep every component whole.
     """
-    index = materialise(own.select("same", F.size("shingles").alias("n"), F.explode("keys").alias("key")).distinct(), "bands")
+    index = materialise(own.select("same", "n", F.explode("keys").alias("key")).distinct(), "bands")
     shared = index.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     group = F.when(F.col("held") > bucket_limit, F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("held") / deal))).otherwise(F.lit(0))
     met = materialise(index.join(shared, "key").select("key", "same", "n", "held", group.alias("group")), "met")
-    one, two = (met.select("key", "group", F.col("same").alias(v), F.col("n").alias(f"n_{v}")) for v in "xy")
-    banded = one.join(two, ["key", "group"]).filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
-    sure = verified(own, materialise(banded.union(simhash_pairs(own)).distinct(), "pairs"), similarity)
+    light = met.filter(F.col("held") <= bucket_limit)
+    one, two = (light.select("key", F.col("same").alias(v), F.col("n").alias(f"n_{v}")) for v in "xy")
+    banded = one.join(two, "key").filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
+    first = Window.partitionBy("key", "group").orderBy("same")
+    dealt = met.filter(F.col("held") > bucket_limit).select(F.first("same").over(first).alias("x"), F.first("n").over(first).alias("n_x"), F.col("same").alias("y"), F.col("n").alias("n_y"))
+    dealt = dealt.filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
+    sure = verified(materialise(banded.union(dealt).union(simhash_pairs(own)).distinct(), "pairs"), sets_of, similarity)
     heavy = met.filter(F.col("held") > bucket_limit)
     if not heavy.limit(1).count():
         return sure
@@ -123,30 +149,35 @@ def links(own: DataFrame, similarity: float = SIMILARITY, bucket_limit: int = 64
     named = heavy.join(comps, F.col("same") == F.col("node"), "left").select("key", "same", "n", F.coalesce("component", "same").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     apart = materialise(named.join(mixed, "key", "left_semi").select("same", "n", "component").distinct(), "apart")
-    return sure.union(verified(own, across(own, apart, similarity), similarity)) if apart.limit(1).count() else sure
+    return sure.union(verified(across(apart, sets_of, similarity), sets_of, similarity)) if apart.limit(1).count() else sure
 
 
 def _fits(similarity: float):
     return F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
 
 
-def across(own: DataFrame, apart: DataFrame, similarity: float) -> DataFrame:
+def across(apart: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Every pair (x, y) of sets of different components in ``apart`` (same, n, component) that can reach ``similarity``.
 
-    Shingles are ordered by how many of these sets hold them, rare ones first. Per shingle only the
-    sets outside its largest component are paired, with all of the others.
+    Shingles are ordered by how many of these sets hold them. After the first shingle that two sets
+    share, at positions p and q, they share at most what follows, and at the limit s they share
+    s / (1 + s) of their sizes' sum. Per shingle only the sets outside its largest component are
+    paired, with all of the others.
     """
-    sets = own.join(apart, "same").groupBy("same", "n", "component").agg(F.first("shingles").alias("shingles"))
-    each = materialise(sets.select("same", "n", "component", F.explode("shingles").alias("shingle")), "apart-shingles")
-    held = each.groupBy("shingle").agg(F.count("*").alias("held"))
-    ordered = each.join(held, "shingle").groupBy("same", "n", "component").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s"))
-    counted = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
-    rare = materialise(ordered.select("same", "n", "component", F.explode(counted).alias("r")).filter("r.held > 1").select("same", "n", "component", "r.shingle"), "rare-shingles")
+    each = sets_of(apart.select("same")).select("same", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    # Shingles of one set only come first in its order and meet nothing, so their number is enough.
+    ordered = each.join(held, "shingle").groupBy("same").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s")).join(apart, "same")
+    alone = F.col("n") - F.size("s")
+    counted = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1 - alone))
+    rare = ordered.select("same", "n", "component", alone.alias("alone"), F.posexplode(counted).alias("at", "r"))
+    rare = materialise(rare.select("same", "n", "component", "r.shingle", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "rare-shingles")
     size = rare.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("largest")).filter("k > 1").select("shingle", "largest")
     open_sets = rare.join(size, "shingle")
-    one = open_sets.filter(F.col("component") != F.col("largest")).select("shingle", F.col("same").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    two = open_sets.select("shingle", F.col("same").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    met = one.join(two, "shingle").filter((F.col("c_x") != F.col("c_y")) & _fits(similarity))
+    one = open_sets.filter(F.col("component") != F.col("largest")).select("shingle", *(F.col(c).alias(v) for c, v in (("same", "x"), ("n", "n_x"), ("component", "c_x"), ("left", "left_x"))))
+    two = open_sets.select("shingle", *(F.col(c).alias(v) for c, v in (("same", "y"), ("n", "n_y"), ("component", "c_y"), ("left", "left_y"))))
+    enough = F.least("left_x", "left_y") >= F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - 1e-9
+    met = one.join(two, "shingle").filter((F.col("c_x") != F.col("c_y")) & _fits(similarity) & enough)
     return materialise(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs-across")
 
 
@@ -157,10 +188,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only are one group. Of rows that repeat an id one stays. An empty table gives an empty result;
     all columns of ``docs`` are kept.
     """
-    own = materialise(described(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "shingles")
-    comps = connected_components(links(own, **options), "x", "y")
-    firsts = own.groupBy("same").agg(F.min("id").alias("id"))
-    named = firsts.join(comps, F.col("same") == F.col("node"), "left").select("id", F.coalesce("component", "same").alias("group"))
-    kept = named.groupBy("group").agg(F.min("id").alias(id_col)).select(id_col).distinct()
+    with scratch(docs.sparkSession):
+        given = docs.filter(F.col(id_col).isNotNull())
+        own = materialise(described(given, id_col, text_col), "bands-by-row")
+        comps = connected_components(links(own, lambda wanted: shingle_sets(given, own, wanted, id_col, text_col), **options), "x", "y")
+        firsts = own.groupBy("same").agg(F.min("id").alias("id"))
+        named = firsts.join(comps, F.col("same") == F.col("node"), "left").select("id", F.coalesce("component", "same").alias("group"))
+        kept = materialise(named.groupBy("group").agg(F.min("id").alias(id_col)).select(id_col).distinct(), "kept", keep=True)
     stay = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return stay.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)

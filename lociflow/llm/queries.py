@@ -16,15 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a FLAC stream, read back as PCM blocks; null texts are empty, one row for each row of ``documents``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.media_digest(media.encode_flac(docs))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every whole text; texts without a known sentence, null and empty ones included, give no row."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learnt from the rows that are not held out; null texts and texts without letters are ``und``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out("doc_id")))
     out = langid.predict(docs, model)
@@ -32,20 +35,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the three-line windows that an earlier place has; null texts stay null, one row for each row of ``documents``."""
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold part of a benchmark item, with the best window; others, null and empty ones included, give no row."""
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for every whole text; null and empty texts are scored as texts without words."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, toxicity.label_columns(_table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
     return chain.score(docs).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, starts and checksums read back from the record files of all texts; null texts are empty, rows without an id are left out."""
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,16 +62,19 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by probabilities raked to source, language and topic targets; null values of a dimension are ``unknown``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("lang", F.lit("unknown")).alias("lang"), mixing.topic(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("n_tokens"))
     out = mixing.mix(docs, {d: F.col(d) for d in MIX}, MIX, F.col("n_tokens"))
     return out.withColumn("probability", F.round("probability", 6))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by surrogates; null texts stay null, one row for each row of ``documents``."""
     return surrogate.anonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="lociflow")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

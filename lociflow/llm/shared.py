@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,13 +33,32 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+#: Folders written inside each open ``scratch``.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialise`` has written inside, but for what was to be kept."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage at files that outlive any executor.
+    This cuts the lineage at files that outlive any executor. Within ``scratch`` they go at its
+    end unless ``keep`` is set.
     """
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

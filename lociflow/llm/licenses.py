@@ -199,11 +199,11 @@ def known_rules() -> list[tuple[str, list[str]]]:
 
 
 #: Comment marks at the start of a line are dropped. A line goes on with the sentence of the line before it if it
-#: starts with a small letter, or if that line is long, as wrapped text is, and does not end a sentence. An SPDX line
+#: starts with a small letter, or if that line is as long as those of wrapped text and does not end a sentence. An SPDX line
 #: stands alone.
 SPDX = "SPDX-License-Identifier"
 MARKS = r"^[ \t*#/;]+"
-WRAPPED = 50
+WRAPPED = (50, 100)
 SENTENCE_END = r"([.!?])[ \t]+"
 
 
@@ -213,7 +213,7 @@ def sentences(text: Column) -> Column:
     def joined(lines: Column) -> Column:
         def part(line: Column, i: Column) -> Column:
             before = F.rtrim(F.get(lines, i - 1))
-            wrapped = (F.length(before) >= WRAPPED) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", ";") & (line != "")
+            wrapped = F.length(before).between(*WRAPPED) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", ";") & (line != "")
             goes_on = (F.substring(line, 1, 1).between("a", "z") | wrapped) & ~F.contains(before, F.lit(SPDX))
             return F.concat(F.when(i == 0, "").when(goes_on, " ").otherwise("\n"), line)
 
@@ -253,7 +253,7 @@ def oracle_sql() -> str:
     rules = known_rules()
     sql = f"""WITH given AS (SELECT DISTINCT doc_id, text FROM documents),
 bare AS (SELECT doc_id, text, [regexp_replace(x, '^[ \\t*#/;]+', '') FOR x IN string_split(text, chr(10))] AS l FROM given),
-whole AS (SELECT doc_id, text, array_to_string([CASE WHEN i = 1 THEN '' WHEN contains(l[i - 1], '{SPDX}') THEN chr(10) WHEN x[1] BETWEEN 'a' AND 'z' OR (x <> '' AND length(rtrim(l[i - 1], ' ')) >= {WRAPPED} AND rtrim(l[i - 1], ' ')[-1] NOT IN ('.', '!', '?', ':', ';')) THEN ' ' ELSE chr(10) END || x FOR x, i IN l], '') AS t FROM bare),
+whole AS (SELECT doc_id, text, array_to_string([CASE WHEN i = 1 THEN '' WHEN contains(l[i - 1], '{SPDX}') THEN chr(10) WHEN x[1] BETWEEN 'a' AND 'z' OR (x <> '' AND length(rtrim(l[i - 1], ' ')) BETWEEN {WRAPPED[0]} AND {WRAPPED[1]} AND rtrim(l[i - 1], ' ')[-1] NOT IN ('.', '!', '?', ':', ';')) THEN ' ' ELSE chr(10) END || x FOR x, i IN l], '') AS t FROM bare),
 cut AS (
   SELECT doc_id, text, string_split(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(t,
     '([.!?])[ \\t]+', '\\1' || chr(10), 'g')), '[^a-z0-9.\\n]+', ' ', 'g'), '[ .]+\\n[ .]*|\\n[ .]+', chr(10), 'g'), '^[ .]+|[ .]+$', '', 'g'), chr(10)) AS s FROM whole),

@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary one is set.
+    Only where a session on one machine names none, as in tests, a temporary one is set; on a
+    cluster its absence is an error, as executors do not share their disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lociflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     jsc = spark.sparkContext._jsc.sc()

@@ -81,9 +81,9 @@ def flt_regions_remove(fx):
     return callsets.remove_regions(fx.cand, fx.regions).select("call_id")
 
 
-@query("flt_regions_keep", f"{KR}, wide AS (SELECT chrom, s - 20000 AS s, e + 20000 AS e FROM regions)\nSELECT call_id FROM cand c WHERE EXISTS (SELECT 1 FROM wide g WHERE g.chrom = c.chrom AND c.l >= s AND c.l < e) AND EXISTS (SELECT 1 FROM wide g WHERE g.chrom = c.chrom AND c.r >= s AND c.r < e)")
+@query("flt_regions_keep", f"{KR}, wide AS (SELECT chrom, s - 200 AS s, e + 200 AS e FROM regions)\nSELECT call_id FROM cand c WHERE EXISTS (SELECT 1 FROM wide g WHERE g.chrom = c.chrom AND c.l >= s AND c.l < e) AND EXISTS (SELECT 1 FROM wide g WHERE g.chrom = c.chrom AND c.r >= s AND c.r < e)")
 def flt_regions_keep(fx):
-    wide = fx.regions.select("chrom", (F.col("s") - 20000).alias("s"), (F.col("e") + 20000).alias("e"))
+    wide = fx.regions.select("chrom", (F.col("s") - 200).alias("s"), (F.col("e") + 200).alias("e"))
     return callsets.keep_regions(fx.cand, wide).select("call_id")
 
 
@@ -168,7 +168,7 @@ def union_callsets(fx):
     return callsets.union_calls(fx.cand.filter("caller = 'A'"), fx.cand.filter("caller = 'B'")).select("call_id")
 
 
-SUP = f"""{G}, {KT[5:]}"""
+SUP = f"""{G}, {with_ctes('truth', after=('reads',))}"""
 NEAR = "EXISTS (SELECT 1 FROM sp WHERE chrom1 = t.chrom AND chrom2 = t.chrom AND {})"
 
 
@@ -203,9 +203,9 @@ def join_score_to_calls(fx):
     return callsets.scores_to_calls(fx.cand.select("call_id", "chrom", F.floor(F.col("r") / 1000).alias("pos")), scores).select("call_id", F.round("prob", 6).alias("prob"))
 
 
-@query("ivl_merge", f"{with_ctes('regions')}, r AS (SELECT chrom, s, e * 1 + 3000 AS e FROM regions), a AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), b AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e) AS g FROM a)\nSELECT chrom, min(s) AS s, max(e) AS e FROM b GROUP BY chrom, g")
+@query("ivl_merge", f"{with_ctes('regions')}, r AS (SELECT chrom, s, e + 300 AS e FROM regions), a AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), b AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e) AS g FROM a)\nSELECT chrom, min(s) AS s, max(e) AS e FROM b GROUP BY chrom, g")
 def ivl_merge(fx):
-    return ranges.merge_intervals(fx.regions.withColumn("e", F.col("e") + 3000))
+    return ranges.merge_intervals(fx.regions.withColumn("e", F.col("e") + 300))
 
 
 @query("ivl_n_runs", f"SELECT chrom, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT chrom, pos, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM ({DUCK_BASES}) WHERE base = 'N') GROUP BY chrom, g HAVING count(*) >= 2")
@@ -362,7 +362,7 @@ def training(fx):
     """Labelled candidates with pooled channel features and class weights."""
     cands = fx.cand.select(F.col("call_id").alias("sv_id"), "chrom", "l", "r")
     sparse = windows.place(windows.hits_1d(cands, signals.signals_1d(fx.reads)))
-    own = datasets.class_weights(rows(fx).filter("y is not null")).withColumn("fold", F.pmod(F.col("call_id") / 20, F.lit(3)).cast("int"))
+    own = datasets.class_weights(rows(fx).filter("y is not null")).withColumn("fold", F.pmod(F.col("call_id"), F.lit(3)).cast("int"))
     pooled = models.pooled_features(sparse, pools=2).withColumnRenamed("sv_id", "call_id")
     return own.join(pooled, "call_id").select("call_id", "chrom", "sample", "y", "weight", "fold", "features").persist()
 
@@ -463,16 +463,16 @@ def src_bed_to_bedpe(fx):
 
 
 def contig_lines(fx):
-    """One line for each contig that calls name."""
-    return fx.cand.select("chrom").distinct().select(F.concat_ws("\t", "chrom", F.lit("402000"), F.lit("4"), F.lit("60"), F.lit("61")).alias("value"))
+    """One line for each contig."""
+    return fx.contigs.select(F.concat_ws("\t", "chrom", F.col("len").cast("string"), F.lit("4"), F.lit("60"), F.lit("61")).alias("value"))
 
 
-@query("src_fai", f"{K}\nSELECT DISTINCT chrom, 402000 AS len FROM cand")
+@query("src_fai", f"{with_ctes('contigs')}\nSELECT chrom, len FROM contigs")
 def src_fai(fx):
     return text.parse_fai(contig_lines(fx))
 
 
-@query("src_contigs_minus1", f"{K}\nSELECT DISTINCT chrom, 401999 AS len FROM cand")
+@query("src_contigs_minus1", f"{with_ctes('contigs')}\nSELECT chrom, len - 1 AS len FROM contigs")
 def src_contigs_minus1(fx):
     return text.contigs_minus1(text.main_contigs(text.parse_fai(contig_lines(fx))))
 
@@ -509,16 +509,16 @@ def snk_channels(fx):
 
 
 def typed(fx):
-    return fx.cand.select("call_id", F.col("chrom").alias("chrom1"), F.col("l").alias("s1"), F.col("chrom").alias("chrom2"), F.col("r").alias("s2"), F.when(F.col("call_id") % 100 == 0, "TRA").otherwise(F.col("svtype")).alias("svtype"), "qual")
+    return fx.cand.select("call_id", F.col("chrom").alias("chrom1"), F.col("l").alias("s1"), F.col("chrom").alias("chrom2"), F.col("r").alias("s2"), F.when(F.col("call_id") % 5 == 0, "TRA").otherwise(F.col("svtype")).alias("svtype"), "qual")
 
 
-@query("snk_bedpe_to_vcf", f"""{K}, o AS MATERIALIZED (SELECT c.*, {BASE.replace('pos', 'l')} AS ref1, {BASE.replace('pos', 'r')} AS ref2 FROM cand c)
-SELECT call_id * 4 AS ord, concat(chrom, chr(9), l + 1, chr(9), 'sv', call_id, chr(9), ref1, chr(9), '<', svtype, '>', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=', svtype, ';END=', r + 1) AS value FROM o WHERE call_id % 100 <> 0
-UNION ALL SELECT call_id * 4, concat(chrom, chr(9), l + 1, chr(9), 'sv', call_id, '_1', chr(9), ref1, chr(9), ref1, '[', chrom, ':', r + 1, '[', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_2') FROM o WHERE call_id % 100 = 0
-UNION ALL SELECT call_id * 4 + 1, concat(chrom, chr(9), r + 1, chr(9), 'sv', call_id, '_2', chr(9), ref2, chr(9), ']', chrom, ':', l + 1, ']', ref2, chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_1') FROM o WHERE call_id % 100 = 0
-UNION ALL SELECT call_id * 4 + 2, concat(chrom, chr(9), l + 1, chr(9), 'sv', call_id, '_3', chr(9), ref1, chr(9), ']', chrom, ':', r + 1, ']', ref1, chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_4') FROM o WHERE call_id % 100 = 0
-UNION ALL SELECT call_id * 4 + 3, concat(chrom, chr(9), r + 1, chr(9), 'sv', call_id, '_4', chr(9), ref2, chr(9), ref2, '[', chrom, ':', l + 1, '[', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_3') FROM o WHERE call_id % 100 = 0
-UNION ALL SELECT -3, '##fileformat=VCFv4.2' UNION ALL SELECT -2, '##contig=<ID=12,length=402000>' UNION ALL SELECT -2, '##contig=<ID=22,length=402000>' UNION ALL SELECT -1, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO')""")
+@query("snk_bedpe_to_vcf", f"""{K}, o AS MATERIALIZED (SELECT c.*, {BASE.replace('pos', 'l').replace('o_cust', 'b1.o_cust')} AS ref1, {BASE.replace('pos', 'r').replace('o_cust', 'b2.o_cust')} AS ref2 FROM cand c JOIN orders b1 ON b1.o_orderkey = l // 40 JOIN orders b2 ON b2.o_orderkey = r // 40)
+SELECT call_id * 4 AS ord, concat(chrom, chr(9), l + 1, chr(9), 'sv', call_id, chr(9), ref1, chr(9), '<', svtype, '>', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=', svtype, ';END=', r + 1) AS value FROM o WHERE call_id % 5 <> 0
+UNION ALL SELECT call_id * 4, concat(chrom, chr(9), l + 1, chr(9), 'sv', call_id, '_1', chr(9), ref1, chr(9), ref1, '[', chrom, ':', r + 1, '[', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_2') FROM o WHERE call_id % 5 = 0
+UNION ALL SELECT call_id * 4 + 1, concat(chrom, chr(9), r + 1, chr(9), 'sv', call_id, '_2', chr(9), ref2, chr(9), ']', chrom, ':', l + 1, ']', ref2, chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_1') FROM o WHERE call_id % 5 = 0
+UNION ALL SELECT call_id * 4 + 2, concat(chrom, chr(9), l + 1, chr(9), 'sv', call_id, '_3', chr(9), ref1, chr(9), ']', chrom, ':', r + 1, ']', ref1, chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_4') FROM o WHERE call_id % 5 = 0
+UNION ALL SELECT call_id * 4 + 3, concat(chrom, chr(9), r + 1, chr(9), 'sv', call_id, '_4', chr(9), ref2, chr(9), ref2, '[', chrom, ':', l + 1, '[', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_3') FROM o WHERE call_id % 5 = 0
+UNION ALL SELECT -3, '##fileformat=VCFv4.2' UNION ALL SELECT -2, concat('##contig=<ID=', chrom, ',length=', len, '>') FROM span, (SELECT unnest(['12', '22']) AS chrom) UNION ALL SELECT -1, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO')""")
 def snk_bedpe_to_vcf(fx):
     return text.bedpe_to_vcf(typed(fx), fx.contigs, fx.bases)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 CTES = {
+    "span": "SELECT (max(o_orderkey) + 1) * 40 AS len, greatest(1000, (max(o_orderkey) + 1) * 40 - 12000) AS m FROM orders",
+    "contigs": "SELECT chrom, len FROM span CROSS JOIN (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE '22' END AS chrom FROM orders) AS named",
     "frag": """SELECT l_orderkey AS ok, l_linenumber AS ln, l_orderkey*31 + l_linenumber*7 AS h, CAST(min(l_quantity) AS INT) AS q
   FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "site": """SELECT *, CASE WHEN ok % 2 = 0 THEN '12' ELSE '22' END AS c1, CASE WHEN h % 29 = 0 OR ok % 2 = 1 THEN '22' ELSE '12' END AS c2,
-  1000 + (ok*7919 + ln*104729) % 400000 AS p1, 1000 + (ok*7919 + ln*104729) % 400000 + 150 + (h*13) % 700 AS p2r,
+  1000 + (ok*7919 + ln*104729) % (SELECT m FROM span) AS p1, 1000 + (ok*7919 + ln*104729) % (SELECT m FROM span) + 150 + (h*13) % 700 AS p2r,
   (h % 5 = 0) AS rev1, (h % 3 <> 0) AS rev2, (h % 37 = 0) AS unm2, (h % 11 <> 0) AS prop, (h % 41 = 0) AS dup FROM frag""",
     "mates": "SELECT *, CASE WHEN unm2 THEN c1 ELSE c2 END AS c2m, CASE WHEN unm2 THEN p1 ELSE p2r END AS p2 FROM site",
     "reads": """SELECT concat('q', CAST(ok AS STRING), '_', CAST(ln AS STRING)) AS qname,
@@ -28,25 +31,25 @@ CTES = {
   c2m, p2, CASE WHEN unm2 THEN 0 ELSE q END,
   CASE WHEN unm2 THEN NULL WHEN h % 7 = 0 THEN '30S70M' WHEN h % 7 = 1 THEN '70M30S' ELSE '100M' END,
   c1, p1, CASE WHEN c1 = c2m THEN p1 - p2 - 100 ELSE 0 END, (h*5) % 17, NULL FROM mates""",
-    "cand": """SELECT o_orderkey AS call_id, CASE WHEN o_orderkey % 40 = 0 THEN '12' ELSE '22' END AS chrom,
-  2000 + (o_orderkey*7907) % 390000 AS l, 2000 + (o_orderkey*7907) % 390000 + 50 + (o_custkey*13) % 1500 AS r,
+    "cand": """SELECT o_orderkey AS call_id, CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE '22' END AS chrom,
+  2000 + (o_orderkey*7907) % (SELECT m FROM span) AS l, 2000 + (o_orderkey*7907) % (SELECT m FROM span) + 50 + (o_custkey*13) % 1500 AS r,
   CAST(floor(o_totalprice) AS BIGINT) % 1000 AS qual,
-  CASE WHEN o_orderkey % 60 = 0 THEN 'A' WHEN o_orderkey % 60 = 20 THEN 'B' ELSE 'C' END AS caller,
+  CASE (o_orderkey*11 + o_custkey) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS caller,
   CASE WHEN o_orderkey % 9 = 0 THEN 'INV' WHEN o_orderkey % 9 = 3 THEN 'DUP' ELSE 'DEL' END AS svtype
-  FROM orders WHERE o_orderkey % 20 = 0""",
-    "truth": """SELECT call_id AS tid, chrom, l + call_id % 81 - 40 AS s1, l + call_id % 81 - 39 AS e1,
-  r + call_id % 61 - 30 AS s2, r + call_id % 61 - 29 AS e2, svtype FROM cand WHERE call_id % 7 < 3""",
-    "regions": """SELECT CASE WHEN p_partkey % 50 = 0 THEN '12' ELSE '22' END AS chrom, (p_partkey*1931) % 400000 AS s,
-  (p_partkey*1931) % 400000 + 50 + p_size*20 AS e FROM part WHERE p_partkey % 25 = 0""",
+  FROM orders """,
+    "truth": """SELECT call_id AS tid, chrom, l + off + call_id % 81 - 40 AS s1, l + off + call_id % 81 - 39 AS e1,
+  r + off + call_id % 61 - 30 AS s2, r + off + call_id % 61 - 29 AS e2, svtype FROM (SELECT *, CASE WHEN call_id % 13 = 5 THEN 5000 ELSE 0 END AS off FROM cand) AS moved WHERE call_id % 7 < 3""",
+    "regions": """SELECT CASE WHEN p_partkey % 2 = 0 THEN '12' ELSE '22' END AS chrom, (p_partkey*1931) % (SELECT m FROM span) AS s,
+  (p_partkey*1931) % (SELECT m FROM span) + 20 + p_size*4 AS e FROM part """,
 }
-NEEDS = {"frag": [], "site": ["frag"], "mates": ["site"], "reads": ["mates"], "cand": [], "truth": ["cand"], "regions": []}
-BASE = "CASE WHEN pos % 5003 < 7 THEN 'N' ELSE substr('ACTG', CAST(1 + (pos*pos + 3*pos + pos % 7) % 4 AS INT), 1) END"
-CONTIGS = [("12", 402000), ("22", 402000)]
+NEEDS = {"span": [], "contigs": ["span"], "frag": [], "site": ["span", "frag"], "mates": ["site"], "reads": ["mates"], "cand": ["span"], "truth": ["cand"], "regions": ["span"]}
+#: Each order gives the bases of 40 positions of both contigs.
+BASE = "CASE WHEN pos % 5003 < 7 THEN 'N' ELSE substr('ACTG', CAST(1 + (pos*pos + 3*pos + pos % 7 + o_custkey) % 4 AS INT), 1) END"
 TABLES = ("lineitem", "orders", "part")
 
 
-def with_ctes(*names: str) -> str:
-    """``WITH`` text of the named fixtures and what they need."""
+def with_ctes(*names: str, after: tuple[str, ...] = ()) -> str:
+    """``WITH`` text of the named fixtures and what they need; to follow a text that has those of ``after``, without these."""
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -55,13 +58,16 @@ def with_ctes(*names: str) -> str:
         if n not in order:
             order.append(n)
 
+    for n in after:
+        add(n)
+    known = len(order)
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    return ("" if after else "WITH ") + ",\n".join(f"{n} AS ({CTES[n]})" for n in order[known:])
 
 
-#: DuckDB text of the tables that Spark builds from ranges.
-DUCK_BASES = f"SELECT chrom, pos, {BASE} AS base FROM (SELECT unnest(range(402000)) AS pos), (SELECT unnest(['12', '22']) AS chrom)"
+#: DuckDB text of the bases.
+DUCK_BASES = f"SELECT chrom, pos, {BASE} AS base FROM (SELECT o_custkey, o_orderkey * 40 + unnest(range(40)) AS pos FROM orders), (SELECT unnest(['12', '22']) AS chrom)"
 
 
 class Fixtures:
@@ -74,10 +80,12 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def _fixture(self, name: str) -> DataFrame:
-        text = f"{with_ctes(name)} SELECT * FROM {name}"
-        used = [t for t in TABLES if f"FROM {t} " in text or f"FROM {t}\n" in text]
+        return self._sql(f"{with_ctes(name)} SELECT * FROM {name}".replace("(SELECT m FROM span)", str(self.modulus)))
+
+    def _sql(self, text: str) -> DataFrame:
+        used = [t for t in TABLES if f"FROM {t} " in text or f"FROM {t})" in text]
         for t in used:
-            text = text.replace(f"FROM {t} ", f"FROM {{{t}}} ")
+            text = re.sub(rf"FROM {t}(?=[ )])", f"FROM {{{t}}}", text)
         return self.spark.sql(text, **{t: self.table(t) for t in used})
 
     @cached_property
@@ -96,10 +104,16 @@ class Fixtures:
     def regions(self) -> DataFrame:
         return self._fixture("regions")
 
+    @cached_property
+    def modulus(self) -> int:
+        """What positions are taken modulo of: one number, so that plans hold a literal and no subquery for each use."""
+        return self._sql(f"{with_ctes('span')} SELECT m FROM span").first()["m"]
+
     @cached_property
     def contigs(self) -> DataFrame:
-        return self.spark.createDataFrame(CONTIGS, "chrom string, len bigint")
+        return self._sql(f"{with_ctes('contigs')} SELECT * FROM contigs")
 
     @cached_property
     def bases(self) -> DataFrame:
-        return self.contigs.selectExpr("chrom", "explode(sequence(0L, len - 1)) AS pos").selectExpr("chrom", "pos", f"{BASE} AS base")
+        places = self.table("orders").selectExpr("o_custkey", "o_orderkey * 40 AS first", "explode(sequence(0L, 39L)) AS i").selectExpr("o_custkey", "first + i AS pos")
+        return places.selectExpr("explode(array('12', '22')) AS chrom", "pos", f"{BASE} AS base")

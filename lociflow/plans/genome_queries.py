@@ -64,7 +64,7 @@ def gw_coverage5(fx):
     return genome.coverage(fx.reads, MEAN, SD)
 
 
-@query("agg_channel_meansd", f"{G}, {COV}, lv AS (SELECT chrom, channel, pos, lead(pos) OVER w AS nxt, sum(delta) OVER w AS v FROM cd WINDOW w AS (PARTITION BY chrom, channel ORDER BY pos))\nSELECT chrom, channel, round(CAST(sum(v * (nxt - pos)) AS DOUBLE) / 402000, 6) AS mean, round(sqrt(CAST(sum(v * v * (nxt - pos)) AS DOUBLE) / 402000 - pow(CAST(sum(v * (nxt - pos)) AS DOUBLE) / 402000, 2)), 6) AS sd FROM lv WHERE nxt IS NOT NULL GROUP BY ALL")
+@query("agg_channel_meansd", f"{G}, {COV}, sz AS (SELECT CAST(len AS DOUBLE) AS len FROM span), lv AS (SELECT chrom, channel, pos, lead(pos) OVER w AS nxt, sum(delta) OVER w AS v FROM cd WINDOW w AS (PARTITION BY chrom, channel ORDER BY pos))\nSELECT chrom, channel, round(CAST(sum(v * (nxt - pos)) AS DOUBLE) / len, 6) AS mean, round(sqrt(CAST(sum(v * v * (nxt - pos)) AS DOUBLE) / len - pow(CAST(sum(v * (nxt - pos)) AS DOUBLE) / len, 2)), 6) AS sd FROM lv, sz WHERE nxt IS NOT NULL GROUP BY chrom, channel, len")
 def agg_channel_meansd(fx):
     return genome.channel_stats(genome.coverage(fx.reads, MEAN, SD), fx.contigs)
 
@@ -135,7 +135,7 @@ def gw_split_bedpe(fx):
     return genome.pairs_to_bedpe(genome.supported_pairs(pairs(fx), genome.split_support(fx.reads, least=2)))
 
 
-@query("gw_candidates_sr", f"{G}\nSELECT {PAIR} FROM ap WHERE kind IN ('DEL', 'INDEL_DEL') AND pos1 BETWEEN 2000 AND 400000 AND pos2 BETWEEN 2000 AND 400000")
+@query("gw_candidates_sr", f"{G}\nSELECT {PAIR} FROM ap WHERE kind IN ('DEL', 'INDEL_DEL') AND pos1 BETWEEN 2000 AND (SELECT len - 2000 FROM span) AND pos2 BETWEEN 2000 AND (SELECT len - 2000 FROM span)")
 def gw_candidates_sr(fx):
     return genome.candidates(pairs(fx), fx.contigs, "DEL", 2000)
 

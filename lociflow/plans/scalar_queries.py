@@ -138,12 +138,12 @@ def flt_min_mapq(fx):
     return reads.min_mapq(fx.reads, 30).select(*READ_COLUMNS.split(", "))
 
 
-@query("flt_candidate_bounds", f"{K}\nSELECT call_id, chrom, least(l, r) AS l, greatest(l, r) AS r FROM cand WHERE least(l, r) >= 5000 AND greatest(l, r) < 402000 - 5000")
+@query("flt_candidate_bounds", f"{K}\nSELECT call_id, chrom, least(l, r) AS l, greatest(l, r) AS r FROM cand WHERE least(l, r) >= 5000 AND greatest(l, r) < (SELECT len FROM span) - 5000")
 def flt_candidate_bounds(fx):
     return callsets.in_bounds(fx.cand, fx.contigs, 5000).select("call_id", "chrom", "l", "r")
 
 
-@query("flt_candidate_window", f"{K}\nSELECT call_id, chrom, l, r FROM cand WHERE l BETWEEN 9000 AND 393000 AND r BETWEEN 9000 AND 393000")
+@query("flt_candidate_window", f"{K}\nSELECT call_id, chrom, l, r FROM cand WHERE l BETWEEN 9000 AND (SELECT len - 9000 FROM span) AND r BETWEEN 9000 AND (SELECT len - 9000 FROM span)")
 def flt_candidate_window(fx):
     return callsets.in_window(fx.cand, fx.contigs, 9000).select("call_id", "chrom", "l", "r")
 

@@ -174,7 +174,7 @@ def join_point_lookup(fx):
     return fx.cand.join(fx.bases, (fx.cand["chrom"] == fx.bases["chrom"]) & (F.col("l") == F.col("pos"))).select("call_id", "base")
 
 
-@query("join_interval_extract", f"{DEPTH}, {with_ctes('regions')[5:]}\nSELECT runs.chrom, runs.s, runs.e, depth, g.s AS g_s, g.e AS g_e FROM runs JOIN regions g ON runs.chrom = g.chrom AND runs.s < g.e AND g.s < runs.e")
+@query("join_interval_extract", f"{DEPTH}, {with_ctes('regions', after=('reads',))}\nSELECT runs.chrom, runs.s, runs.e, depth, g.s AS g_s, g.e AS g_e FROM runs JOIN regions g ON runs.chrom = g.chrom AND runs.s < g.e AND g.s < runs.e")
 def join_interval_extract(fx):
     track, g = reads.depth(fx.reads), fx.regions.select(F.col("chrom").alias("c"), F.col("s").alias("g_s"), F.col("e").alias("g_e"))
     return ranges.overlap(track, g, ("s", "e"), ("g_s", "g_e"), [("chrom", "c")], 512).select("chrom", "s", "e", "depth", "g_s", "g_e")
@@ -233,23 +233,33 @@ def win_offset_clip(fx):
     return windows.place(windows.hits_1d(cands(fx), signals.signals_1d(fx.reads)))
 
 
-SIDES = """sides AS (SELECT call_id AS sv_id, chrom, l - 62 AS lo, l + 62 AS hi, 0 AS col FROM cand UNION ALL SELECT call_id, chrom, r - 62, r + 62, 132 FROM cand)"""
+#: Windows of all candidates have millions of cells, so some queries return sums by window and channel.
+SUMS = 'SELECT sv_id, channel, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * ("offset" + 1)) AS BIGINT) AS weighted'
+
+
+def window_sums(cells, *keys):
+    """Cells of each window and channel: how many, their sum, and their sum weighted by place."""
+    return cells.groupBy(*(keys or ("sv_id", "channel"))).agg(F.count("*").alias("n"), F.sum("value").cast("bigint").alias("total"), F.sum(F.col("value") * (F.col("offset") + 1)).cast("bigint").alias("weighted"))
+
+
+SIDES = """sides AS (SELECT call_id AS sv_id, chrom, l - 62 AS lo, l + 62 AS hi, 0 AS col FROM cand UNION ALL SELECT call_id, chrom, r - 62, r + 62, 132 FROM cand),
+places AS (SELECT sv_id, chrom, lo, col, unnest(range(lo, hi)) AS p FROM sides)"""
 WDEPTH = f"""dd AS (SELECT chrom, depth, unnest(range(s, e)) AS p FROM runs), {SIDES},
-wd AS (SELECT sv_id, 0 AS channel, p - lo + col AS "offset", depth AS value FROM sides JOIN dd ON dd.chrom = sides.chrom AND p >= lo AND p < hi)"""
+wd AS (SELECT sv_id, 0 AS channel, p - lo + col AS "offset", depth AS value FROM places JOIN dd USING (chrom, p))"""
 
 
-@query("win_depth", f"{DEPTH}, {K[5:]}, {WDEPTH}\nSELECT sv_id, channel, \"offset\", value FROM wd")
+@query("win_depth", f"{DEPTH}, {with_ctes('cand', after=('reads',))}, {WDEPTH}\n{SUMS} FROM wd GROUP BY sv_id, channel")
 def win_depth(fx):
-    return windows.window_depth(cands(fx), reads.depth(fx.reads))
+    return window_sums(windows.window_depth(cands(fx), reads.depth(fx.reads)))
 
 
 WHOT = f"""b AS ({DUCK_BASES}), {SIDES},
-wh AS (SELECT sv_id, 29 + strpos('ACTGN', base) AS channel, pos - lo + col AS "offset", 1 AS value FROM sides JOIN b ON b.chrom = sides.chrom AND pos >= lo AND pos < hi)"""
+wh AS (SELECT sv_id, 29 + strpos('ACTGN', base) AS channel, pos - lo + col AS "offset", 1 AS value FROM places JOIN b ON b.chrom = places.chrom AND pos = p)"""
 
 
-@query("win_one_hot", f"{K}, {WHOT}\nSELECT sv_id, channel, \"offset\", value FROM wh")
+@query("win_one_hot", f"{K}, {WHOT}\n{SUMS} FROM wh GROUP BY sv_id, channel")
 def win_one_hot(fx):
-    return windows.window_one_hot(cands(fx), fx.bases)
+    return window_sums(windows.window_one_hot(cands(fx), fx.bases))
 
 
 @query("join_window_common_reads", f"""{with_ctes('reads', 'cand')}, sides AS (SELECT call_id AS sv_id, chrom, l - 62 AS lo, l + 62 AS hi, 'left' AS side FROM cand UNION ALL SELECT call_id, chrom, r - 62, r + 62, 'right' FROM cand),
@@ -260,9 +270,10 @@ def join_window_common_reads(fx):
     return windows.common_reads(fx.reads, cands(fx)).select("sv_id", "side", "qname", "ord")
 
 
-@query("win_pair_slice", f"{DEPTH}, {K[5:]}, {WDEPTH}, z AS (SELECT call_id AS sv_id, unnest(range(256)) AS \"offset\" FROM cand)\nSELECT sv_id, z.\"offset\", coalesce(value, 0) AS depth FROM z LEFT JOIN wd USING (sv_id, \"offset\")")
+@query("win_pair_slice", f"{DEPTH}, {with_ctes('cand', after=('reads',))}, {WDEPTH}, z AS (SELECT call_id AS sv_id, unnest(range(256)) AS \"offset\" FROM cand)\nSELECT sv_id, count(*) AS n, CAST(sum(coalesce(value, 0)) AS BIGINT) AS total, CAST(sum(coalesce(value, 0) * (z.\"offset\" + 1)) AS BIGINT) AS weighted FROM z LEFT JOIN wd USING (sv_id, \"offset\") GROUP BY sv_id")
 def win_pair_slice(fx):
-    return windows.pair_slice(cands(fx), reads.dense_depth(reads.depth(fx.reads)), ["depth"], half=62, pad=8)
+    own = windows.pair_slice(cands(fx), reads.dense_depth(reads.depth(fx.reads)), ["depth"], half=62, pad=8)
+    return window_sums(own.withColumnRenamed("depth", "value"), "sv_id")
 
 
 @query("win_shift_discordant", f"{W}, {hits_sql(3)}, p AS ({PLACE.format('hits')})\nSELECT sv_id, channel, CASE WHEN \"offset\" < 124 THEN \"offset\" - 5 ELSE \"offset\" + 5 END AS \"offset\", value FROM p WHERE CASE WHEN \"offset\" < 124 THEN \"offset\" - 5 ELSE \"offset\" + 5 END BETWEEN 0 AND 255")
@@ -270,9 +281,10 @@ def win_shift_discordant(fx):
     return windows.shift_discordant(windows.place(two(fx, 3)), 5)
 
 
-@query("win_minmax", f"{DEPTH}, {K[5:]}, {WDEPTH}, m AS (SELECT sv_id, CASE WHEN count(*) < 256 THEN least(min(value), 0) ELSE min(value) END AS lo, CASE WHEN count(*) < 256 THEN greatest(max(value), 0) ELSE max(value) END AS hi FROM wd GROUP BY sv_id)\nSELECT sv_id, 0 AS channel, \"offset\", round((value - m.lo) / CAST(m.hi - m.lo AS DOUBLE), 9) AS scaled FROM wd JOIN m USING (sv_id)")
+@query("win_minmax", f"{DEPTH}, {with_ctes('cand', after=('reads',))}, {WDEPTH}, m AS (SELECT sv_id, CASE WHEN count(*) < 256 THEN least(min(value), 0) ELSE min(value) END AS lo, CASE WHEN count(*) < 256 THEN greatest(max(value), 0) ELSE max(value) END AS hi FROM wd GROUP BY sv_id)\nSELECT sv_id, 0 AS channel, count(*) AS n, round(min((value - m.lo) / CAST(m.hi - m.lo AS DOUBLE)), 6) AS low, round(max((value - m.lo) / CAST(m.hi - m.lo AS DOUBLE)), 6) AS high, round(sum((value - m.lo) / CAST(m.hi - m.lo AS DOUBLE)), 4) AS total FROM wd JOIN m USING (sv_id) GROUP BY sv_id")
 def win_minmax(fx):
-    return windows.min_max(windows.window_depth(cands(fx), reads.depth(fx.reads))).withColumn("scaled", F.round("scaled", 9))
+    own = windows.min_max(windows.window_depth(cands(fx), reads.depth(fx.reads)))
+    return own.groupBy("sv_id", "channel").agg(F.count("*").alias("n"), F.round(F.min("scaled"), 6).alias("low"), F.round(F.max("scaled"), 6).alias("high"), F.round(F.sum("scaled"), 4).alias("total"))
 
 
 TENSOR = f"""{W}, {DEPTH[DEPTH.index("ops AS"):]}, {WDEPTH}, {WHOT.replace(SIDES + ",", "").replace("base) AS channel", "base) AS channel")}, {ONE_D},

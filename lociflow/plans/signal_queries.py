@@ -163,7 +163,7 @@ def join_region_overlap(fx):
     return callsets.touching(fx.cand, fx.regions, "l")
 
 
-@query("join_signal_window", f"{SIG}\nSELECT call_id, count(*) AS n FROM cand c JOIN s1 ON s1.chrom = c.chrom AND s1.pos BETWEEN c.l - 62 AND c.l + 62 GROUP BY call_id")
+@query("join_signal_window", f"{SIG}\nSELECT call_id, count(*) AS n FROM (SELECT call_id, chrom, unnest(range(l - 62, l + 63)) AS p FROM cand) c JOIN s1 ON s1.chrom = c.chrom AND s1.pos = c.p GROUP BY call_id")
 def join_signal_window(fx):
     spans = fx.cand.select("call_id", F.col("chrom").alias("c"), (F.col("l") - 62).alias("lo"), (F.col("l") + 63).alias("hi"))
     return ranges.point_in_interval(signals.signals_1d(fx.reads), spans, "pos", "lo", "hi", [("chrom", "c")], 256).groupBy("call_id").agg(F.count("*").alias("n"))
@@ -191,8 +191,8 @@ def hits_sql(shift: int) -> str:
     where = "event BETWEEN 18 AND 21" if shift else "event NOT BETWEEN 18 AND 21"
     return f"""cz AS (SELECT sv_id, chrom, {f('l')} AS l, {f('r')} AS r FROM cw),
 ev AS (SELECT a_chrom, {f('a_pos')} AS a_pos, b_chrom, {f('b_pos')} AS b_pos, event FROM s2 WHERE {where}),
-la AS (SELECT sv_id, a_pos - l AS x, b_pos - r AS y, event, b_chrom = chrom AND b_pos BETWEEN r - 62 AND r + 62 AS sh FROM cz JOIN ev ON a_chrom = chrom AND a_pos BETWEEN l - 62 AND l + 62),
-rb AS (SELECT sv_id, b_pos - r AS y, event FROM cz JOIN ev ON b_chrom = chrom AND b_pos BETWEEN r - 62 AND r + 62 WHERE NOT (a_chrom = chrom AND a_pos BETWEEN l - 62 AND l + 62)),
+la AS (SELECT sv_id, a_pos - l AS x, b_pos - r AS y, event, b_chrom = chrom AND b_pos BETWEEN r - 62 AND r + 62 AS sh FROM (SELECT *, unnest(range(l - 62, l + 63)) AS p FROM cz) JOIN ev ON a_chrom = chrom AND a_pos = p),
+rb AS (SELECT sv_id, b_pos - r AS y, event FROM (SELECT *, unnest(range(r - 62, r + 63)) AS p FROM cz) JOIN ev ON b_chrom = chrom AND b_pos = p WHERE NOT (a_chrom = chrom AND a_pos BETWEEN l - 62 AND l + 62)),
 hits AS (SELECT sv_id, 'left' AS side, CASE WHEN sh THEN 'shared' ELSE 'left' END AS which, x AS off, event FROM la UNION ALL SELECT sv_id, 'right', 'shared', y, event FROM la WHERE sh UNION ALL SELECT sv_id, 'right', 'right', y, event FROM rb)"""
 
 
@@ -212,8 +212,8 @@ hit_query("win_left_only", "which = 'left'")
 hit_query("win_right_only", "which = 'right'")
 hit_query("win_discordant_8x", "which is not null", 3)
 
-ONE_D = """h1 AS (SELECT sv_id, 'left' AS side, 'left' AS which, pos - l AS off, event FROM cw JOIN s1 ON s1.chrom = cw.chrom AND pos BETWEEN l - 62 AND l + 62 UNION ALL
-SELECT sv_id, 'right', 'right', pos - r, event FROM cw JOIN s1 ON s1.chrom = cw.chrom AND pos BETWEEN r - 62 AND r + 62)"""
+ONE_D = """h1 AS (SELECT sv_id, 'left' AS side, 'left' AS which, pos - l AS off, event FROM (SELECT *, unnest(range(l - 62, l + 63)) AS p FROM cw) JOIN s1 USING (chrom) WHERE pos = p UNION ALL
+SELECT sv_id, 'right', 'right', pos - r, event FROM (SELECT *, unnest(range(r - 62, r + 63)) AS p FROM cw) JOIN s1 USING (chrom) WHERE pos = p)"""
 PLACE = """SELECT sv_id, CASE WHEN which <> 'shared' AND event BETWEEN 14 AND 21 THEN event + 8 ELSE event END AS channel, off + CASE side WHEN 'left' THEN 62 ELSE 194 END AS "offset", count(*) AS value
   FROM {} WHERE off < 62 AND off >= -62 GROUP BY ALL"""
 
@@ -264,7 +264,7 @@ def win_one_hot(fx):
 
 @query("join_window_common_reads", f"""{with_ctes('reads', 'cand')}, sides AS (SELECT call_id AS sv_id, chrom, l - 62 AS lo, l + 62 AS hi, 'left' AS side FROM cand UNION ALL SELECT call_id, chrom, r - 62, r + 62, 'right' FROM cand),
 sp AS (SELECT *, pos0 + CAST(coalesce(list_sum([CAST(v AS BIGINT) FOR v IN regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1)]), 0) AS BIGINT) AS e FROM reads WHERE cigar IS NOT NULL),
-met AS (SELECT sv_id, side, qname, ord FROM sides JOIN sp ON sp.chrom = sides.chrom AND pos0 < hi AND lo < e)
+met AS (SELECT DISTINCT sv_id, side, qname, ord FROM (SELECT *, unnest(range(lo // 256, hi // 256 + 1)) AS k FROM sides) w JOIN (SELECT *, unnest(range(pos0 // 256, e // 256 + 1)) AS k FROM sp) v ON v.chrom = w.chrom AND v.k = w.k AND pos0 < hi AND lo < e)
 SELECT sv_id, side, qname, ord FROM met m WHERE EXISTS (SELECT 1 FROM met o WHERE o.sv_id = m.sv_id AND o.qname = m.qname AND o.side <> m.side)""")
 def join_window_common_reads(fx):
     return windows.common_reads(fx.reads, cands(fx)).select("sv_id", "side", "qname", "ord")

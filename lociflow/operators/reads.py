@@ -57,17 +57,17 @@ def dense_depth(runs: DataFrame) -> DataFrame:
     return runs.select("chrom", F.explode(F.expr("sequence(s, e - 1)")).alias("pos"), "depth")
 
 
-def insert_size_percentile(reads: DataFrame, p: float = 0.995, least: int = 30, skip: int = 400_000, take: int = 300_000, large: int = 700_000, compat: bool = False) -> DataFrame:
+def insert_size_percentile(reads: DataFrame, p: float = 0.995, least: int = 30, skip: int = 400_000, take: int = 300_000, large: int | None = None, compat: bool = False) -> DataFrame:
     """One row (n, insert_size): the element of that rank, not interpolated.
 
-    First reads of a pair on one chromosome and opposite strands, with good quality. Where there
-    are more than ``large``, the first ``skip`` by file order are left out and ``take`` are used:
-    the rank by file order comes from a global sort, cut by counts of its partitions.
+    First reads of a pair on one chromosome and opposite strands, with good quality, all of them.
+    Only with ``large`` set, and where there are more, the first ``skip`` by file order are left
+    out and ``take`` are used.
     """
     own = min_mapq(drop_failed(reads), least).filter(C.flag_has("flag", C.READ1) & C.flag_has("flag", C.PAIRED) & (F.col("chrom") == F.col("next_chrom")))
     rev, mate = C.flag_has("flag", C.REVERSE), C.flag_has("flag", C.MATE_REVERSE)
     own = own.filter(rev | mate) if compat else own.filter(rev != mate)
-    if own.count() > large:
+    if large is not None and own.count() > large:
         own = own.orderBy("ord").offset(skip).limit(take)
     sizes = own.groupBy(F.abs("tlen").alias("size")).agg(F.count("*").alias("c"))  # few distinct sizes
     ranked = sizes.withColumn("upto", F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
@@ -75,11 +75,12 @@ def insert_size_percentile(reads: DataFrame, p: float = 0.995, least: int = 30,
     return ranked.filter(F.col("upto") >= rank).groupBy("n").agg(F.min("size").cast("bigint").alias("insert_size"))
 
 
-def insert_size_stats(reads: DataFrame, longest: int = 1000, first: int = 2_000_001) -> DataFrame:
-    """One row (mean, sd) of mate distances below ``longest`` on opposite strands, over the first reads by file order."""
+def insert_size_stats(reads: DataFrame, longest: int = 1000, first: int | None = None) -> DataFrame:
+    """One row (mean, sd) of mate distances below ``longest`` on opposite strands, over all reads or the ``first`` ones by file order."""
     rev, mate = C.flag_has("flag", C.REVERSE), C.flag_has("flag", C.MATE_REVERSE)
     own = reads.filter((F.col("chrom") == F.col("next_chrom")) & (rev != mate)).withColumn("d", F.abs(F.col("pos0") - F.col("next_pos0"))).filter(F.col("d") < longest)
-    return own.orderBy("ord").limit(first).agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    own = own if first is None else own.orderBy("ord").limit(first)
+    return own.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
 
 
 def position_counts(events: DataFrame, *keys: str) -> DataFrame:
@@ -92,8 +93,8 @@ def support_histogram(counts: DataFrame, upto: int = 5, n: str = "n") -> DataFra
     return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(str(k)).alias("positions")) for k in range(1, upto + 1)))).alias("x")).select("x.k", "x.positions")
 
 
-def pileup(reads: DataFrame, bases: DataFrame, seq: str = "seq", qual: str = "qual", max_depth: int = 1000) -> DataFrame:
-    """(chrom, pos, n, bq_median, mapq_median, snv_fraction) of positions under 1 to max_depth - 1 aligned bases.
+def pileup(reads: DataFrame, bases: DataFrame, seq: str = "seq", qual: str = "qual", max_depth: int | None = None) -> DataFrame:
+    """(chrom, pos, n, bq_median, mapq_median, snv_fraction) of positions under aligned bases; with ``max_depth``, of those under fewer.
 
     Query offsets advance over M, I, S, = and X, reference positions over M, D, N, = and X.
     ``qual`` is text with an offset of 33; reads without sequence or quality are left out.
@@ -111,7 +112,7 @@ def pileup(reads: DataFrame, bases: DataFrame, seq: str = "seq", qual: str = "qu
     ref = bases.select("chrom", "pos", F.upper("base").alias("ref"))
     odd = F.upper("base").isin("A", "C", "G", "T") & (F.upper("base") != F.col("ref"))
     out = each.join(ref, ["chrom", "pos"], "left").groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.median("bq").alias("bq_median"), F.median("mapq").alias("mapq_median"), (F.count_if(odd) / F.count("*")).alias("snv_fraction"))
-    return out.filter(F.col("n") < max_depth)
+    return out if max_depth is None else out.filter(F.col("n") < max_depth)
 
 
 def drop_outliers(df: DataFrame, columns: list[str], threshold: float = 3.5) -> DataFrame:

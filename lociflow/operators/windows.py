@@ -102,12 +102,14 @@ def dense(sparse: DataFrame, rows: int = CHANNELS, width: int = 256) -> DataFram
 
     Cells are sorted and the gaps between them filled with runs of zeros, in one pass.
     """
-    cells = F.array_sort(F.collect_list(F.struct((F.col("channel") * width + F.col("offset")).alias("k"), F.col("value").cast("int").alias("v"))))
+    cells = F.sort_array(F.collect_list(F.struct((F.col("channel") * width + F.col("offset")).alias("k"), F.col("value").cast("int").alias("v"))))
     last = F.array(F.struct(F.lit(rows * width).alias("k"), F.lit(0).alias("v")))
     filled = sparse.groupBy("sv_id").agg(F.concat(cells, last).alias("m"))
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("m", i - 1)["k"])
     flat = F.flatten(F.transform("m", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["k"] - before(i) - 1), F.array(x["v"]))))
-    return filled.select("sv_id", flat.alias("flat")).select("sv_id", F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda c: F.slice("flat", c * width + 1, width)).alias("tensor"))
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda c: F.slice(whole, c * width + 1, width))
+    # Through an array of one element, so that the cells are laid out once and not again for each row cut from them.
+    return filled.select("sv_id", F.get(F.transform(F.array(flat), cut), F.lit(0)).alias("tensor"))
 
 
 def pair_slice(cands: DataFrame, table: DataFrame, columns: list[str], half: int = 100, pad: int = 10) -> DataFrame:

@@ -142,7 +142,7 @@ PILE = OPS + f""", b AS ({DUCK_BASES}),
 px AS (SELECT chrom, ref_start + j AS pos, mapq, substr('ACGT', CAST((ref_start + j + nm) % 4 AS INT) + 1, 1) AS base, 20 + (ref_start + j) % 15 AS bq FROM (SELECT *, unnest(range(len)) AS j FROM opr WHERE op IN ('M','=','X') AND (flag & 3844) = 0))"""
 
 
-@query("agg_pileup", f"{PILE}\nSELECT px.chrom, px.pos, count(*) AS n, median(px.mapq) AS mapq_median, round(CAST(count(CASE WHEN px.base <> b.base THEN 1 END) AS DOUBLE) / count(*), 9) AS snv_fraction FROM px LEFT JOIN b USING (chrom, pos) GROUP BY ALL HAVING count(*) < 1000")
+@query("agg_pileup", f"{PILE}\nSELECT px.chrom, px.pos, count(*) AS n, median(px.mapq) AS mapq_median, round(CAST(count(CASE WHEN px.base <> b.base THEN 1 END) AS DOUBLE) / count(*), 9) AS snv_fraction FROM px LEFT JOIN b USING (chrom, pos) GROUP BY ALL")
 def agg_pileup(fx):
     """Sequence is made so that the base over position p of a read with nm is the (p + nm) % 4-th of ACGT."""
     from lociflow.functions import cigar as C
@@ -288,7 +288,7 @@ def win_minmax(fx):
 
 
 TENSOR = f"""{W}, {DEPTH[DEPTH.index("ops AS"):]}, {WDEPTH}, {WHOT.replace(SIDES + ",", "").replace("base) AS channel", "base) AS channel")}, {ONE_D},
-{hits_sql(0)}, {hits_sql(3).replace("cz AS", "cz3 AS").replace("FROM cz ", "FROM cz3 ").replace("ev AS", "ev3 AS").replace("JOIN ev ", "JOIN ev3 ").replace("la AS", "la3 AS").replace("FROM la ", "FROM la3 ").replace("rb AS", "rb3 AS").replace("FROM rb", "FROM rb3").replace("hits AS", "hits3 AS")},
+{hits_sql(0)}, {hits_sql(3).replace("cz AS", "cz3 AS").replace("FROM cz)", "FROM cz3)").replace("ev AS", "ev3 AS").replace("JOIN ev ", "JOIN ev3 ").replace("la AS", "la3 AS").replace("FROM la ", "FROM la3 ").replace("rb AS", "rb3 AS").replace("FROM rb", "FROM rb3").replace("hits AS", "hits3 AS")},
 cells AS ({PLACE.format("(SELECT * FROM hits UNION ALL SELECT * FROM hits3 UNION ALL SELECT * FROM h1)")} UNION ALL SELECT * FROM wd UNION ALL SELECT * FROM wh)"""
 
 

@@ -25,14 +25,21 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(counts), label).withColumn("weight", F.lit(n or 0) / (F.lit(k) * F.col("__n"))).drop("__n")
 
 
-def numbered(df: DataFrame, order: list[str], to: str = "rank") -> DataFrame:
-    """``df`` with 1-based ranks by a global sort: ranks within range partitions plus the counts before them."""
-    spark = df.sparkSession
-    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    own = parts.withColumn("__i", inside)
+def numbered(df: DataFrame, order: list[str], to: str = "rank", sample: int = 20) -> DataFrame:
+    """``df`` with 1-based ranks by a global sort: ranks within ranges plus the counts before them.
+
+    The ranges' borders come once from ``sample`` rows a range, those of the smallest hashes. A
+    row's range depends on its values alone, so counts and ranks agree however often they are run.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picked = df.select(*order).orderBy(F.xxhash64(*order)).limit(parts * sample)
+    found = picked.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("x")).first()["x"][sample::sample]
+    types = [df.schema[c].dataType for c in order]
+    borders = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order))) for row in found))
+    own = df.withColumn("__p", F.size(F.filter(borders, lambda border: border <= F.struct(*order))) if found else F.lit(0))
+    own = own.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     counts = own.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")  # one row a partition
+    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")  # one row a range
     return own.join(F.broadcast(before), "__p").withColumn(to, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
 
 

@@ -57,12 +57,21 @@ def next_position(points: DataFrame, to: str, key: str = "chrom", pos: str = "po
     return own.withColumn("__in", lead).join(after, [key, "__k"]).withColumn(to, F.coalesce("__in", "__next")).drop("__k", "__in", "__next")
 
 
-def merge_intervals(regions: DataFrame, key: str = "chrom", s: str = "s", e: str = "e") -> DataFrame:
-    """Union of regions: overlapping and adjacent ones merged, as (key, s, e)."""
-    w = Window.partitionBy(key).orderBy(s, e)
+def _merged(regions: DataFrame, keys: list[str], s: str, e: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(s, e)
     reach = F.max(e).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = regions.filter(F.col(e) > F.col(s)).withColumn("__new", F.when(reach.isNull() | (F.col(s) > reach), 1).otherwise(0))
-    return marked.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "__g").agg(F.min(s).alias(s), F.max(e).alias(e)).drop("__g")
+    marked = regions.withColumn("__new", F.when(reach.isNull() | (F.col(s) > reach), 1).otherwise(0))
+    return marked.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__g").agg(F.min(s).alias(s), F.max(e).alias(e)).drop("__g")
+
+
+def merge_intervals(regions: DataFrame, key: str = "chrom", s: str = "s", e: str = "e", block: int = 65536) -> DataFrame:
+    """Union of regions: overlapping and adjacent ones merged, as (key, s, e).
+
+    Regions are merged by blocks of their starts first, so that the window over a whole key sees
+    only what the blocks could not join.
+    """
+    own = regions.filter(F.col(e) > F.col(s)).withColumn("__k", F.floor(F.col(s) / block))
+    return _merged(_merged(own, [key, "__k"], s, e).drop("__k"), [key], s, e)
 
 
 def runs_of(points: DataFrame, key: str = "chrom", pos: str = "pos", least: int = 2, block: int = 65536) -> DataFrame:

@@ -83,3 +83,40 @@ def runs_of(points: DataFrame, key: str = "chrom", pos: str = "pos", least: int
     g = F.col(pos) - F.row_number().over(Window.partitionBy(key, "__k").orderBy(pos))
     inner = own.withColumn("__g", g).groupBy(key, "__k", "__g").agg(F.min(pos).alias("s"), (F.max(pos) + 1).alias("e")).select(key, "s", "e")
     return merge_intervals(inner, key).filter(F.col("e") - F.col("s") >= least)
+
+
+def _range_of(borders: list, key: Column, types: list) -> Column:
+    """How many of the sorted ``borders`` are at most ``key``, by halving steps over one literal array."""
+    if not borders:
+        return F.lit(0)
+    names = [f"c{i}" for i in range(len(types))]
+    table = F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(row, types, names))) for row in borders))
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(borders).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], to: str, total: str | None = None, sample: int = 20) -> DataFrame:
+    """``df`` with 1-based ranks ``to`` by ``order`` within ``keys`` (none: over the whole table) and, if named, the group's row count ``total``.
+
+    The sorted table is cut into ranges of (keys, order); ranks are counted within a range of a
+    group, and the counts of the group's earlier ranges are added. A group with most of the rows
+    spreads over many ranges, so no task ranks a whole group. The borders come once from
+    ``sample`` random rows a range and only balance the work: a row's range depends on its values
+    alone, so a rerun gives the same ranks. Nulls are one group and sort first; rows equal in
+    ``order`` are ranked in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*keys, *order]
+    types = [df.schema[c].dataType for c in columns]
+    key = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    picked = df.select(key.alias("x")).orderBy(F.rand(42)).limit(parts * sample)
+    found = picked.agg(F.array_sort(F.collect_list("x")).alias("x")).first()["x"][sample::sample]
+    borders = [row for i, row in enumerate(found) if i == 0 or row != found[i - 1]]
+    group = F.struct(F.lit(0), *(F.col(c) for c in keys))
+    own = df.withColumn("__g", group).withColumn("__p", _range_of(borders, key, types))
+    own = own.withColumn("__i", F.row_number().over(Window.partitionBy("__g", "__p").orderBy(*order)))
+    counts = own.groupBy("__g", "__p").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy("__g")
+    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(w)).drop("__c")
+    out = own.join(before, ["__g", "__p"]).withColumn(to, F.col("__b") + F.col("__i"))
+    return (out if total is None else out.withColumn(total, F.col("__n"))).drop("__g", "__p", "__i", "__b", "__n")

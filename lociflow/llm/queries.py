@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import decontam, langid, licenses, linededup, media, mixing, records, simhash, surrogate, toxicity
-from lociflow.llm.shared import shared_path
+from lociflow.llm import decontam, langid, licenses, linededup, media, merkle, mixing, records, sharding, simhash, surrogate, toxicity, variants
+from lociflow.llm.shared import materialise, scratch, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +78,31 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all whole texts with their frequent neighbour and its last one; null and empty texts have no words."""
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, whole texts shuffled; a null text has size 1, one row for each row of ``documents``."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    with scratch(spark):
+        sent = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+        out = sent.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        return materialise(out, "shards", keep=True)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and tamper check of every document, by source; null fields are ``-``, one row for each row of ``documents``."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 #: Exponents of the target shares: equal sources, tempered languages and topics.
 MIX = {"source": 0.0, "lang": 0.5, "topic": 0.5}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_flac_media, op2_license_scan, op3_language_id, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_token_records, op8_mixing_weights, op9_pii_surrogates, op10_simhash_near_dedup)
+    for f in (op1_flac_media, op2_license_scan, op3_language_id, op4_line_dedup, op5_benchmark_decontamination, op6_toxicity, op7_token_records, op8_mixing_weights, op9_pii_surrogates, op10_simhash_near_dedup, op11_spelling_variants, op12_hypergeometric_shards, op13_merkle_manifest)
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op4_line_dedup": linededup.oracle_sql(), "op8_mixing_weights": mixing.oracle_sql(MIX)}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle_sql(), "op4_line_dedup": linededup.oracle_sql(), "op8_mixing_weights": mixing.oracle_sql(MIX), "op11_spelling_variants": variants.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}

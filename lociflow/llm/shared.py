@@ -95,3 +95,12 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         held += n
     if at < batch.num_rows:
         yield batch.slice(at)
+
+
+def crc32_sql(value: str | None = None) -> str:
+    """DuckDB text for an unsigned crc32: without ``value`` the tables a WITH RECURSIVE list needs first, with it the expression."""
+    if value is None:
+        return """crc_k(k, c, i) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM crc_k WHERE i < 8),
+crc_table AS (SELECT list(c ORDER BY k) AS crc_t FROM crc_k WHERE i = 8)"""
+    each = f"list_transform(range(octet_length(encode({value}))), lambda i: ('0x' || hex(encode({value}))[2 * i + 1 : 2 * i + 2])::bigint)"
+    return f"(SELECT xor(list_reduce(list_prepend(4294967295::bigint, {each}), lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295) FROM crc_table)"

@@ -191,4 +191,4 @@ pairs AS (SELECT x.word AS a, y.word AS b FROM forms x JOIN forms y USING (i, he
 best AS (SELECT a, count(*) AS n_near, min({{'less': -n, 'b': encode(b)}}) AS best FROM pairs JOIN vocab ON vocab.word = b GROUP BY a),
 formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= {RATIO} * n THEN decode(best.b) END AS form, CASE WHEN -best.less >= {RATIO} * n THEN -best.less END AS form_n FROM vocab LEFT JOIN best ON a = word),
 climb(word, here, step) AS (SELECT word, word, 0 FROM formed UNION ALL SELECT climb.word, form, step + 1 FROM climb JOIN formed ON formed.word = climb.here WHERE form IS NOT NULL)
-SELECT word, form, arg_max(here, step) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n FROM climb JOIN formed USING (word) GROUP BY word, form"""
+SELECT word, form, arg_max(here, step) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n)::bigint AS form_n FROM climb JOIN formed USING (word) GROUP BY word, form"""

@@ -37,7 +37,7 @@ def enveloped(cands: DataFrame, truth: DataFrame, half: int) -> DataFrame:
     for side, at, s, e in (("start", "l", "s1", "e1"), ("end", "r", "s2", "e2")):
         spans = cands.select("call_id", F.col("chrom").alias("__c"), F.col(at).alias("at"), (F.col(at) - half).alias("__lo"), (F.col(at) + half + 1).alias("__hi"))
         own = truth.select("chrom", F.col(s).alias("s"), F.col(e).alias("e"), "svtype", X.sv_id("svtype", "chrom", "s1", "chrom", "s2").alias("sv"))
-        met = point_in_interval(own, spans, "s", "__lo", "__hi", [("chrom", "__c")], 4 * half).filter("e <= __hi")
+        met = point_in_interval(own, spans, "s", "__lo", "__hi", [("chrom", "__c")], 4 * half, longest=2 * half + 1).filter("e <= __hi")
         out.append(met.select("call_id", F.lit(side).alias("side"), "sv", "svtype", "s", "e", "at"))
     return out[0].unionByName(out[1])
 
@@ -48,6 +48,17 @@ def label_counts(cands: DataFrame, truth: DataFrame, half: int) -> DataFrame:
     return cands.join(hit, "call_id", "left").fillna(0, ["n_start", "n_end"])
 
 
+def _by_variant(cands: DataFrame, truth: DataFrame, half: int) -> DataFrame:
+    """(call_id, sv, n_start, n_end, a, b, all_tight, t): hits of each candidate and variant, from one run of the range joins.
+
+    ``a`` and ``b`` say for each side whether a hit lies inside the window without its last base.
+    """
+    tight, own = F.col("e") <= F.col("at") + half, {k: F.col("side") == k for k in ("start", "end")}
+    counts = [F.size(F.collect_set(F.when(own[k], F.struct("s", "e")))).cast("bigint").alias(f"n_{k}") for k in own]
+    flags = [F.max(F.when(own[k], tight)).alias(n) for k, n in (("start", "a"), ("end", "b"))]
+    return enveloped(cands, truth, half).groupBy("call_id", "sv").agg(*counts, *flags, F.min(tight).alias("all_tight"), F.min("svtype").alias("t"))
+
+
 def decide(cands: DataFrame, truth: DataFrame, half: int, svtype: str = "DEL", strict: bool = False) -> DataFrame:
     """``label_counts`` with ``label``: the type, or ``no`` and the type.
 
@@ -55,11 +66,9 @@ def decide(cands: DataFrame, truth: DataFrame, half: int, svtype: str = "DEL", s
     base. Several hits at an end give the type without comparing variants; with ``strict`` the
     ends must share one.
     """
-    hits = enveloped(cands, truth, half)
-    tight = F.col("e") <= F.col("at") + half
-    both = hits.groupBy("call_id", "sv").agg(F.max(F.when(F.col("side") == "start", tight)).alias("a"), F.max(F.when(F.col("side") == "end", tight)).alias("b"), F.min("svtype").alias("t"))
-    shared = both.filter("a is not null and b is not null").groupBy("call_id").agg(F.max(F.expr("a and b")).alias("tight"), F.min("t").alias("t"))
-    out = label_counts(cands, truth, half).join(shared, "call_id", "left")
+    shared = F.expr("a is not null and b is not null")
+    hits = _by_variant(cands, truth, half).groupBy("call_id").agg(F.sum("n_start").alias("n_start"), F.sum("n_end").alias("n_end"), F.max(F.when(shared, F.expr("a and b"))).alias("tight"), F.min(F.when(shared, F.col("t"))).alias("t"))
+    out = cands.join(hits, "call_id", "left").fillna(0, ["n_start", "n_end"])
     several = (F.col("n_start") > 1) | (F.col("n_end") > 1)
     single = (F.col("n_start") == 1) & (F.col("n_end") == 1) & F.coalesce("tight", F.lit(False))
     if strict:
@@ -69,11 +78,9 @@ def decide(cands: DataFrame, truth: DataFrame, half: int, svtype: str = "DEL", s
 
 def covered(cands: DataFrame, truth: DataFrame, half: int) -> DataFrame:
     """(sv): variants that some candidate covers with both ends."""
-    hits = enveloped(cands, truth, half)
-    counts = label_counts(cands, truth, half).select("call_id", "n_start", "n_end")
-    tight = F.col("e") <= F.col("at") + half
-    both = hits.groupBy("call_id", "sv").agg(F.countDistinct("side").alias("k"), F.min(tight).alias("tight")).filter("k = 2").join(counts, "call_id")
-    return both.filter("n_start > 1 or n_end > 1 or tight").select("sv").distinct()
+    whole = Window.partitionBy("call_id")  # the variants in reach of one candidate
+    each = _by_variant(cands, truth, half).withColumn("all_start", F.sum("n_start").over(whole)).withColumn("all_end", F.sum("n_end").over(whole))
+    return each.filter("n_start > 0 and n_end > 0 and (all_start > 1 or all_end > 1 or all_tight)").select("sv").distinct()
 
 
 def uncovered(truth: DataFrame, covered_ids: DataFrame) -> DataFrame:
@@ -121,7 +128,7 @@ def matches(calls: DataFrame, truth: DataFrame, maxgap: int = 200, size_part: fl
     at most a quarter; without ``sizes`` (insertions) only the gap counts.
     """
     spans = truth.select("tid", F.col("chrom").alias("__c"), F.col("s1").alias("__s"), F.col("s2").alias("__e"), (F.col("s1") - maxgap).alias("__lo"), (F.col("s1") + maxgap + 1).alias("__hi"))
-    met = point_in_interval(calls, spans, "l", "__lo", "__hi", [("chrom", "__c")], 4 * maxgap)
+    met = point_in_interval(calls, spans, "l", "__lo", "__hi", [("chrom", "__c")], 4 * maxgap, longest=2 * maxgap + 1)
     size, own = F.col("__e") - F.col("__s"), F.col("r") - F.col("l")
     gap = F.least(F.lit(float(maxgap)), size_part * size) if sizes else F.lit(float(maxgap))
     ok = (F.abs(F.col("l") - F.col("__s")) <= gap) & (F.abs(F.col("r") - F.col("__e")) <= gap)

@@ -6,33 +6,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(lo: Column, hi: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(lo / width).cast("bigint"), F.floor(hi / width).cast("bigint")))
+#: Bins of one level are so many times as wide as those of the level below; the widest are longer than contigs.
+STEP, WIDEST = 64, 1 << 29
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, on: list[tuple[str, str]], width: int, how: str = "inner") -> DataFrame:
+def _widths(width: int, longest: int | None = None) -> list[int]:
+    """Bin widths of all levels, up to the first that holds ``longest`` positions."""
+    out = [width]
+    while out[-1] < (WIDEST if longest is None else longest):
+        out.append(out[-1] * STEP)
+    return out
+
+
+def _bin(pos: Column, width: int) -> Column:
+    return F.floor(pos / width).cast("bigint")
+
+
+def _held(lo: Column, hi: Column, widths: list[int]) -> Column:
+    """Array of (level, first, last): the levels at which [lo, hi) touches two bins at most, its own level first; the top level always."""
+    each = F.array(*(F.struct(F.lit(i).alias("level"), _bin(lo, w).alias("first"), _bin(hi - 1, w).alias("last")) for i, w in enumerate(widths)))
+    return F.filter(each, lambda x: (x["last"] - x["first"] <= 1) | (x["level"] == len(widths) - 1))
+
+
+def point_in_interval(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, on: list[tuple[str, str]], width: int, how: str = "inner", longest: int | None = None) -> DataFrame:
     """Pairs with ``lo <= point < hi`` and equal ``on`` columns.
 
-    Intervals are spread over bins of ``width`` positions, a point lies in one bin, so no pair
-    comes twice and the join is an equality join that Spark can deal out and split. Give a
-    ``width`` near the usual interval length. Empty intervals match nothing.
+    Bins come in levels, each 64 times as wide as the one below. An interval goes to the lowest level
+    at which it touches two bins at most, so it makes two rows at most however long it is; a point
+    looks into one bin of each level. No pair comes twice, and the join is an equality join that
+    Spark can deal out and split. Give a ``width`` near the usual interval length, and ``longest``
+    where it is known, which leaves out the levels above. Empty intervals match nothing.
     """
-    spread = intervals.filter(F.col(hi) > F.col(lo)).withColumn("__interval_bin", _bins(F.col(lo), F.col(hi) - 1, width))
-    keyed = points.withColumn("__point_bin", F.floor(F.col(point) / width).cast("bigint"))
-    cond = (F.col("__point_bin") == F.col("__interval_bin")) & (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
+    widths = _widths(width, longest)
+    spread = intervals.filter(F.col(hi) > F.col(lo)).withColumn("__own", _held(F.col(lo), F.col(hi), widths)[0])
+    spread = spread.withColumn("__level", F.col("__own.level")).withColumn("__bin", F.explode(F.sequence("__own.first", "__own.last"))).drop("__own")
+    looks = F.array(*(F.struct(F.lit(i).alias("level"), _bin(F.col(point), w).alias("bin")) for i, w in enumerate(widths)))
+    keyed = points.withColumn("__look", F.explode(looks)).withColumn("__look_level", F.col("__look.level")).withColumn("__look_bin", F.col("__look.bin")).drop("__look")
+    cond = (F.col("__look_level") == F.col("__level")) & (F.col("__look_bin") == F.col("__bin")) & (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
     for a, b in on:
         cond = cond & (keyed[a] == spread[b])
-    return keyed.join(spread, cond, how).drop("__point_bin", "__interval_bin")
+    return keyed.join(spread, cond, how).drop("__look_level", "__look_bin", "__level", "__bin")
 
 
-def overlap(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], on: list[tuple[str, str]], width: int) -> DataFrame:
-    """Pairs of half-open intervals that share a position; each pair is kept in the first bin of the later start only."""
-    x = left.filter(F.col(a[1]) > F.col(a[0])).withColumn("__left_bin", _bins(F.col(a[0]), F.col(a[1]) - 1, width))
-    y = right.filter(F.col(b[1]) > F.col(b[0])).withColumn("__right_bin", _bins(F.col(b[0]), F.col(b[1]) - 1, width))
-    cond = (F.col("__left_bin") == F.col("__right_bin")) & (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col("__left_bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width))
+def overlap(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], on: list[tuple[str, str]], width: int, longest: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Pairs of half-open intervals that share a position, each once, however long they are.
+
+    Of a pair the interval of the higher level lies in its own bins, and the other one looks there;
+    which of both it is makes part of the key, so intervals meet at no level above both of theirs.
+    A pair that meets in two bins is kept in the later start's. Both tables are read once.
+    """
+    widths = _widths(width, None if None in longest else max(longest))
+    top = [len(_widths(width, n)) - 1 if n is not None else len(widths) - 1 for n in longest]
+
+    def spread(df: DataFrame, span: tuple[str, str], to: str, own_role: int, other_top: int) -> DataFrame:
+        def rows(x: Column, i: Column) -> Column:
+            # 0: the left one's level is as high or higher, 1: the right one's is higher.
+            looks = F.when((i > (0 if own_role == 0 else -1)) & (x["level"] <= other_top), F.array(F.lit(1 - own_role)))
+            roles = F.concat(F.when(i == 0, F.array(F.lit(own_role))).otherwise(F.array().cast("array<int>")), F.coalesce(looks, F.array().cast("array<int>")))
+            return F.flatten(F.transform(F.sequence(x["first"], x["last"]), lambda k: F.transform(roles, lambda r: F.struct(r.alias("role"), x["level"].alias("level"), k.alias("bin")))))
+
+        return df.filter(F.col(span[1]) > F.col(span[0])).withColumn(to, F.explode(F.flatten(F.transform(_held(F.col(span[0]), F.col(span[1]), widths), rows))))
+
+    x, y = spread(left, a, "__left", 0, top[1]), spread(right, b, "__right", 1, top[0])
+    wide = F.element_at(F.array(*(F.lit(w) for w in widths)), F.col("__left.level") + 1)
+    cond = (F.col("__left") == F.col("__right")) & (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col("__left.bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / wide))
     for p, q in on:
         cond = cond & (x[p] == y[q])
-    return x.join(y, cond).drop("__left_bin", "__right_bin")
+    return x.join(y, cond).drop("__left", "__right")
 
 
 def prefix_sum(deltas: DataFrame, value: str, to: str, key: str = "chrom", pos: str = "pos", block: int = 65536) -> DataFrame:
@@ -48,6 +88,24 @@ def prefix_sum(deltas: DataFrame, value: str, to: str, key: str = "chrom", pos:
     return own.withColumn("__in", inside).join(before, [key, "__k"]).withColumn(to, F.col("__base") + F.col("__in")).drop("__k", "__in", "__base")
 
 
+def carry_forward(rows: DataFrame, value: str, to: str, pos: str, block: int = 4096, levels: int = 2, before: bool = False) -> DataFrame:
+    """``rows`` with the last non-null ``value`` at each ``pos`` or earlier (with ``before``: earlier only) as ``to``, over the whole table.
+
+    Rows are cut into blocks of positions. The last value of each block is carried over the blocks
+    first, in the same way again for ``levels``, then within blocks; the one window without a
+    partition sees a row for each ``block ** levels`` positions. ``pos`` must be unique.
+    """
+    frame = (Window.unboundedPreceding, -1 if before else 0)
+    if not levels:
+        return rows.withColumn(to, F.last(value, ignorenulls=True).over(Window.orderBy(pos).rowsBetween(*frame)))
+    k, got = f"__k{levels}", f"__v{levels}"
+    own = rows.withColumn(k, F.floor(F.col(pos) / block))
+    ends = own.groupBy(k).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias("__value"))
+    carried = carry_forward(ends, "__value", got, k, block, levels - 1, before=True).select(k, got)
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(k).orderBy(pos).rowsBetween(*frame))
+    return own.withColumn("__inside", inside).join(carried, k).withColumn(to, F.coalesce("__inside", got)).drop(k, got, "__inside")
+
+
 def next_position(points: DataFrame, to: str, key: str = "chrom", pos: str = "pos", block: int = 65536) -> DataFrame:
     """The next larger ``pos`` of the same ``key``, again without a window over a whole key."""
     own = points.withColumn("__k", F.floor(F.col(pos) / block))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import cigar as C
+from lociflow.operators.basestore import with_text
 from lociflow.operators.ranges import next_position, prefix_sum
 
 
@@ -93,11 +94,13 @@ def support_histogram(counts: DataFrame, upto: int = 5, n: str = "n") -> DataFra
     return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(str(k)).alias("positions")) for k in range(1, upto + 1)))).alias("x")).select("x.k", "x.positions")
 
 
-def pileup(reads: DataFrame, bases: DataFrame, seq: str = "seq", qual: str = "qual", max_depth: int | None = None) -> DataFrame:
+def pileup(reads: DataFrame, store: DataFrame, seq: str = "seq", qual: str = "qual", max_depth: int | None = None) -> DataFrame:
     """(chrom, pos, n, bq_median, mapq_median, snv_fraction) of positions under aligned bases; with ``max_depth``, of those under fewer.
 
     Query offsets advance over M, I, S, = and X, reference positions over M, D, N, = and X.
-    ``qual`` is text with an offset of 33; reads without sequence or quality are left out.
+    ``qual`` is text with an offset of 33; reads without sequence or quality are left out. Bases
+    over an unknown reference base (N, or none in the store) are no mismatches. Aligned stretches,
+    in pieces of 256 bases, meet the base store whole.
     """
     ops = F.aggregate(
         C.cigar_ops("cigar", "pos0"),
@@ -107,11 +110,15 @@ def pileup(reads: DataFrame, bases: DataFrame, seq: str = "seq", qual: str = "qu
             F.when(o["op"].isin("M", "=", "X"), F.array_append(a["out"], F.struct(o["ref_start"].alias("r"), a["q"].alias("q"), o["len"].alias("n")))).otherwise(a["out"]).alias("out"),
         ),
     )["out"]
-    own = drop_failed(reads).filter(~C.flag_has("flag", C.UNMAPPED) & F.col(seq).isNotNull() & F.col(qual).isNotNull()).select("chrom", "mapq", seq, qual, F.explode(ops).alias("b"))
-    each = own.select("chrom", "mapq", seq, qual, "b", F.explode(F.expr("sequence(0, b.n - 1)")).alias("i")).select("chrom", (F.col("b.r") + F.col("i")).alias("pos"), "mapq", F.substring(F.col(seq), F.col("b.q") + F.col("i") + 1, F.lit(1)).alias("base"), (F.ascii(F.substring(F.col(qual), F.col("b.q") + F.col("i") + 1, F.lit(1))) - 33).alias("bq"))
-    ref = bases.select("chrom", "pos", F.upper("base").alias("ref"))
-    odd = F.upper("base").isin("A", "C", "G", "T") & (F.upper("base") != F.col("ref"))
-    out = each.join(ref, ["chrom", "pos"], "left").groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.median("bq").alias("bq_median"), F.median("mapq").alias("mapq_median"), (F.count_if(odd) / F.count("*")).alias("snv_fraction"))
+    own = drop_failed(reads).filter(~C.flag_has("flag", C.UNMAPPED) & F.col(seq).isNotNull() & F.col(qual).isNotNull()).select("chrom", "mapq", seq, qual, F.explode(ops).alias("b")).filter("b.n > 0")
+    cut = own.select("chrom", "mapq", seq, qual, "b", F.explode(F.expr("sequence(0, b.n - 1, 256)")).alias("i"))
+    n, q = F.least(F.lit(256), F.col("b.n") - F.col("i")), F.col("b.q") + F.col("i")
+    cut = cut.select("chrom", "mapq", (F.col("b.r") + F.col("i")).alias("lo"), (F.col("b.r") + F.col("i") + n).alias("hi"), F.substring(seq, q + 1, n).alias("bases"), F.substring(qual, q + 1, n).alias("quals"))
+    each = with_text(cut, store, "chrom", "lo", "hi", "refs").select("chrom", "mapq", "lo", "bases", "quals", F.posexplode(F.split(F.upper("refs"), "")).alias("i", "ref"))
+    at = lambda c: F.substring(c, F.col("i") + 1, F.lit(1))
+    each = each.select("chrom", (F.col("lo") + F.col("i")).alias("pos"), "mapq", "ref", F.upper(at("bases")).alias("base"), (F.ascii(at("quals")) - 33).alias("bq"))
+    odd = F.col("base").isin("A", "C", "G", "T") & (F.col("base") != F.col("ref")) & ~F.col("ref").isin("N", " ")
+    out = each.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.median("bq").alias("bq_median"), F.median("mapq").alias("mapq_median"), (F.count_if(odd) / F.count("*")).alias("snv_fraction"))
     return out if max_depth is None else out.filter(F.col("n") < max_depth)
 
 

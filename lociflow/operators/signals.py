@@ -14,10 +14,41 @@ EVENTS = ("SOFT_LEFT_FWD SOFT_RIGHT_FWD SOFT_LEFT_REV SOFT_RIGHT_REV INS_FWD INS
 ONE, TWO = ["chrom", "pos", "event"], ["a_chrom", "a_pos", "b_chrom", "b_pos", "event"]
 
 
+#: The type of an event; one-position events have no second place.
+EVENT = "struct<a_chrom:string,a_pos:bigint,b_chrom:string,b_pos:bigint,event:int>"
+
+
+def _with_ops(each: DataFrame) -> DataFrame:
+    return each.withColumn("rev", C.flag_has("flag", C.REVERSE)).withColumn("end", C.cigar_ref_end("pos0", "cigar")).withColumn("ops", C.cigar_ops("cigar", "pos0"))
+
+
 def paired_reads(pairs: DataFrame) -> DataFrame:
     """Both reads of each pair as rows again, with ``rev``, ``end`` and the parsed ``ops``."""
-    each = pairs.select(F.explode(F.array("a", "b")).alias("r")).select("r.*")
-    return each.withColumn("rev", C.flag_has("flag", C.REVERSE)).withColumn("end", C.cigar_ref_end("pos0", "cigar")).withColumn("ops", C.cigar_ops("cigar", "pos0"))
+    return _with_ops(pairs.select(F.explode(F.array("a", "b")).alias("r")).select("r.*"))
+
+
+def _event(a_chrom: Column, a_pos: Column, b_chrom: Column | None, b_pos: Column | None, event: Column) -> Column:
+    none = F.lit(None)
+    return F.struct(a_chrom.alias("a_chrom"), a_pos.cast("bigint").alias("a_pos"), (none if b_chrom is None else b_chrom).cast("string").alias("b_chrom"), (none if b_pos is None else b_pos).cast("bigint").alias("b_pos"), event.cast("int").alias("event"))
+
+
+def _if(condition: Column, events: Column) -> Column:
+    """``events`` where the condition holds, none elsewhere."""
+    return F.coalesce(F.when(condition, events), F.array().cast(f"array<{EVENT}>"))
+
+
+def _rows(df: DataFrame, events: Column, columns: list[str]) -> DataFrame:
+    """One row an event, with the places that its kind has."""
+    out = df.select(F.explode(events).alias("x"))
+    return out.select("x.*") if columns is TWO else out.select(F.col("x.a_chrom").alias("chrom"), F.col("x.a_pos").alias("pos"), "x.event")
+
+
+def _soft_clips(min_len: int, min_mapq: int, exclude_double: bool) -> Column:
+    double = (F.col("ops")[0]["op"] == "S") & (F.element_at("ops", -1)["op"] == "S")
+    found = F.filter("ops", lambda o: (o["op"] == "S") & (o["len"] >= min_len))
+    code = lambda o: F.when(o["ref_start"] == F.col("pos0"), 1).otherwise(2) + F.when(F.col("rev"), 2).otherwise(0)
+    ok = (F.col("mapq") >= min_mapq) & (F.size("ops") >= 2)
+    return _if(ok & ~double if exclude_double else ok, F.transform(found, lambda o: _event(F.col("chrom"), o["ref_start"], None, None, code(o))))
 
 
 def soft_clips(each: DataFrame, min_len: int = 14, min_mapq: int = 10, exclude_double: bool = False) -> DataFrame:
@@ -25,73 +56,86 @@ def soft_clips(each: DataFrame, min_len: int = 14, min_mapq: int = 10, exclude_d
 
     Reads clipped on both sides count too unless ``exclude_double``.
     """
-    own = each.filter((F.col("mapq") >= min_mapq) & (F.size("ops") >= 2))
-    if exclude_double:
-        own = own.filter(~((F.col("ops")[0]["op"] == "S") & (F.element_at("ops", -1)["op"] == "S")))
-    own = own.select("chrom", "pos0", "rev", F.explode("ops").alias("o")).filter((F.col("o.op") == "S") & (F.col("o.len") >= min_len))
-    code = F.when(F.col("o.ref_start") == F.col("pos0"), 1).otherwise(2) + F.when(F.col("rev"), 2).otherwise(0)
-    return own.select("chrom", F.col("o.ref_start").alias("pos"), code.cast("int").alias("event"))
+    return _rows(each, _soft_clips(min_len, min_mapq, exclude_double), ONE)
+
+
+def _insertions(min_len: int, min_mapq: int) -> Column:
+    found = F.filter("ops", lambda o: (o["op"] == "I") & (o["len"] >= min_len))
+    return _if((F.col("mapq") >= min_mapq) & (F.size("ops") >= 2), F.transform(found, lambda o: _event(F.col("chrom"), o["ref_start"], None, None, F.when(F.col("rev"), 6).otherwise(5))))
 
 
 def insertions(each: DataFrame, min_len: int = 14, min_mapq: int = 10) -> DataFrame:
     """Codes 5 and 6: inserted bases of at least ``min_len``."""
-    own = each.filter((F.col("mapq") >= min_mapq) & (F.size("ops") >= 2)).select("chrom", "rev", F.explode("ops").alias("o")).filter((F.col("o.op") == "I") & (F.col("o.len") >= min_len))
-    return own.select("chrom", F.col("o.ref_start").alias("pos"), F.when(F.col("rev"), 6).otherwise(5).alias("event"))
+    return _rows(each, _insertions(min_len, min_mapq), ONE)
+
+
+def _high_nm(least: int, min_mapq: int) -> Column:
+    indel = F.aggregate(F.filter("ops", lambda o: o["op"].isin("I", "D")), F.lit(0).cast("bigint"), lambda a, o: a + o["len"])
+    middle = F.floor((F.col("pos0") + F.col("end")) / 2)
+    return _if((F.col("mapq") >= min_mapq) & (F.col("nm") >= least) & (F.col("nm") - indel >= least), F.array(_event(F.col("chrom"), middle, None, None, F.lit(7))))
 
 
 def high_nm(each: DataFrame, least: int = 10, min_mapq: int = 10) -> DataFrame:
     """Code 7 at the read's middle: many mismatches even without its indels."""
-    indel = F.aggregate(F.filter("ops", lambda o: o["op"].isin("I", "D")), F.lit(0).cast("bigint"), lambda a, o: a + o["len"])
-    own = each.filter((F.col("mapq") >= min_mapq) & (F.col("nm") >= least) & (F.col("nm") - indel >= least))
-    return own.select("chrom", F.floor((F.col("pos0") + F.col("end")) / 2).cast("bigint").alias("pos"), F.lit(7).alias("event"))
+    return _rows(each, _high_nm(least, min_mapq), ONE)
 
 
-def _two(a_chrom: Column | str, a_pos: Column, b_chrom: Column | str, b_pos: Column, event: Column) -> list[Column]:
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    return [c(a_chrom).alias("a_chrom"), a_pos.cast("bigint").alias("a_pos"), c(b_chrom).alias("b_chrom"), b_pos.cast("bigint").alias("b_pos"), event.cast("int").alias("event")]
+def _soft_both() -> Column:
+    double = (F.size("ops") >= 2) & (F.col("ops")[0]["op"] == "S") & (F.element_at("ops", -1)["op"] == "S")
+    return _if(double, F.array(_event(F.col("chrom"), F.col("pos0"), F.col("chrom"), F.col("end"), F.lit(8))))
 
 
 def soft_both(each: DataFrame) -> DataFrame:
     """Code 8: first and last operation are soft clips, at any mapping quality."""
-    own = each.filter((F.size("ops") >= 2) & (F.col("ops")[0]["op"] == "S") & (F.element_at("ops", -1)["op"] == "S"))
-    return own.select(*_two("chrom", F.col("pos0"), "chrom", F.col("end"), F.lit(8)))
+    return _rows(each, _soft_both(), TWO)
+
+
+def _cigar_deletions(min_len: int, min_mapq: int) -> Column:
+    found = F.filter("ops", lambda o: (o["op"] == "D") & (o["len"] >= min_len))
+    return _if(F.col("mapq") >= min_mapq, F.transform(found, lambda o: _event(F.col("chrom"), o["ref_start"], F.col("chrom"), o["ref_start"] + o["len"], F.when(F.col("rev"), 10).otherwise(9))))
 
 
 def cigar_deletions(each: DataFrame, min_len: int = 10, min_mapq: int = 10) -> DataFrame:
     """Codes 9 and 10: deletions of at least ``min_len``."""
-    own = each.filter(F.col("mapq") >= min_mapq).select("chrom", "rev", F.explode("ops").alias("o")).filter((F.col("o.op") == "D") & (F.col("o.len") >= min_len))
-    return own.select(*_two("chrom", F.col("o.ref_start"), "chrom", F.col("o.ref_start") + F.col("o.len"), F.when(F.col("rev"), 10).otherwise(9)))
+    return _rows(each, _cigar_deletions(min_len, min_mapq), TWO)
+
+
+def _splits(min_mapq: int) -> Column:
+    left, start, end = C.soft_left("cigar", "mapq", min_mapq), F.col("pos0"), F.col("end")
+
+    def one(s: Column) -> Column:
+        least = F.least(s["mapq"], F.col("mapq"))
+        p, p_end = s["pos"], C.cigar_ref_end(s["pos"], s["cigar"])
+        before, sa_left = p < start, ~s["cigar"].rlike("S$")
+        near = F.when(before, F.when(sa_left, p).otherwise(p_end - 1)).otherwise(F.when(sa_left, p - 1).otherwise(p_end))
+        mine = (
+            F.when(before & sa_left, F.when(left, start).otherwise(end))
+            .when(before, F.when(left, start).otherwise(end - 1))
+            .when(sa_left, F.when(left, start - 1).otherwise(end))
+            .otherwise(F.when(left, start).otherwise(end))
+        )
+        minus = s["strand"] == "-"
+        code = C.orientation_event(F.when(before, minus).otherwise(F.col("rev")), F.when(before, F.col("rev")).otherwise(minus), C.SPLIT_CODES)
+        code = F.when(least < min_mapq, 11).when(s["rname"] != F.col("chrom"), 12).otherwise(code)
+        pick = lambda yes, no: F.when(before, yes).otherwise(no)
+        return _event(pick(s["rname"], F.col("chrom")), pick(near, mine), pick(F.col("chrom"), s["rname"]), pick(mine, near), code)
+
+    return _if(F.col("sa").isNotNull(), F.transform(F.filter(C.sa_list("sa"), lambda s: F.least(s["mapq"], F.col("mapq")) > 0), one))
 
 
 def splits(each: DataFrame, min_mapq: int = 10) -> DataFrame:
     """Codes 11, 12 and 14 to 17: one event for each supplementary alignment.
 
-    The side with the smaller position comes first. The table below gives both coordinates by
-    order, the supplementary's side and the read's own clip; positions keep the mixed bases that
-    the offsets are tuned to (supplementary 1-based, read 0-based).
+    The side with the smaller position comes first. Coordinates follow from the order, the
+    supplementary's side and the read's own clip; positions keep the mixed bases that the offsets
+    are tuned to (supplementary 1-based, read 0-based).
     """
-    own = each.filter(F.col("sa").isNotNull()).withColumn("left", C.soft_left("cigar", "mapq", min_mapq)).withColumn("s", F.explode(C.sa_list("sa")))
-    own = own.withColumn("least", F.least(F.col("s.mapq"), F.col("mapq"))).filter("least > 0")
-    p, p_end, start, end = F.col("s.pos"), C.cigar_ref_end("s.pos", "s.cigar"), F.col("pos0"), F.col("end")
-    before, sa_left = p < start, ~F.col("s.cigar").rlike("S$")
-    near = F.when(before, F.when(sa_left, p).otherwise(p_end - 1)).otherwise(F.when(sa_left, p - 1).otherwise(p_end))
-    mine = (
-        F.when(before & sa_left, F.when(F.col("left"), start).otherwise(end))
-        .when(before, F.when(F.col("left"), start).otherwise(end - 1))
-        .when(sa_left, F.when(F.col("left"), start - 1).otherwise(end))
-        .otherwise(F.when(F.col("left"), start).otherwise(end))
-    )
-    minus = F.col("s.strand") == "-"
-    code = C.orientation_event(F.when(before, minus).otherwise(F.col("rev")), F.when(before, F.col("rev")).otherwise(minus), C.SPLIT_CODES)
-    code = F.when(F.col("least") < min_mapq, 11).when(F.col("s.rname") != F.col("chrom"), 12).otherwise(code)
-    pick = lambda yes, no: F.when(before, yes).otherwise(no)
-    return own.select(*_two(pick(F.col("s.rname"), F.col("chrom")), pick(near, mine), pick(F.col("chrom"), F.col("s.rname")), pick(mine, near), code))
-
-
-def _open_pairs(pairs: DataFrame, min_mapq: int, longest: int | None) -> DataFrame:
-    """Pairs that are not proper and of which some mate maps well."""
-    own = pairs.filter((F.col("a.mapq") >= min_mapq) | (F.col("b.mapq") >= min_mapq))
-    return own.filter(~C.proper_pair(F.col("a.flag"), F.col("a.tlen"), longest))
+    return _rows(each, _splits(min_mapq), TWO)
+
+
+def _open_pair(min_mapq: int, longest: int | None) -> Column:
+    """The pair is not proper, and some mate maps well."""
+    return ((F.col("a.mapq") >= min_mapq) | (F.col("b.mapq") >= min_mapq)) & ~C.proper_pair(F.col("a.flag"), F.col("a.tlen"), longest)
 
 
 def _best(read: str, side: str) -> Column:
@@ -99,34 +143,48 @@ def _best(read: str, side: str) -> Column:
     return C.best_position(side, start, C.cigar_ref_end(start, c), F.coalesce(c.rlike(r"^\d+S"), F.lit(False)), F.coalesce(c.rlike("S$"), F.lit(False)), C.several_ops(c))
 
 
-def mates_unmapped(pairs: DataFrame, min_mapq: int = 10, longest: int | None = None) -> DataFrame:
-    """Code 13: exactly one mate is unmapped; both positions are of the mapped one."""
+def _mates_unmapped(min_mapq: int, longest: int | None) -> Column:
     a, b = C.flag_has(F.col("a.flag"), C.UNMAPPED), C.flag_has(F.col("b.flag"), C.UNMAPPED)
-    own = _open_pairs(pairs, min_mapq, longest).filter(a != b)
     pick = lambda side: F.when(a, _best("b", side)).otherwise(_best("a", side))
     chrom = F.when(a, F.col("b.chrom")).otherwise(F.col("a.chrom"))
-    return own.select(*_two(chrom, pick("right"), chrom, pick("left"), F.lit(13)))
+    return _if(_open_pair(min_mapq, longest) & (a != b), F.array(_event(chrom, pick("right"), chrom, pick("left"), F.lit(13))))
 
 
-def discordants(pairs: DataFrame, min_mapq: int = 10, longest: int | None = None) -> DataFrame:
-    """Codes 18 to 21: pairs that are not proper, by strands in file order."""
+def mates_unmapped(pairs: DataFrame, min_mapq: int = 10, longest: int | None = None) -> DataFrame:
+    """Code 13: exactly one mate is unmapped; both positions are of the mapped one."""
+    return _rows(pairs, _mates_unmapped(min_mapq, longest), TWO)
+
+
+def _discordants(min_mapq: int, longest: int | None) -> Column:
     a, b = C.flag_has(F.col("a.flag"), C.UNMAPPED), C.flag_has(F.col("b.flag"), C.UNMAPPED)
-    own = _open_pairs(pairs, min_mapq, longest).filter(a == b)
     code = C.orientation_event(C.flag_has(F.col("a.flag"), C.REVERSE), C.flag_has(F.col("b.flag"), C.REVERSE), C.DISCORDANT_CODES)
-    return own.select(*_two("a.chrom", _best("a", "left"), "b.chrom", _best("b", "right"), code))
+    return _if(_open_pair(min_mapq, longest) & (a == b), F.array(_event(F.col("a.chrom"), _best("a", "left"), F.col("b.chrom"), _best("b", "right"), code)))
+
+
+def discordants(pairs: DataFrame, min_mapq: int = 10, longest: int | None = None) -> DataFrame:
+    """Codes 18 to 21: pairs that are not proper, by strands in file order."""
+    return _rows(pairs, _discordants(min_mapq, longest), TWO)
+
+
+def signals(reads: DataFrame, min_len: int = 14, min_mapq: int = 10, nm: int = 10, longest: int | None = None) -> DataFrame:
+    """All events (a_chrom, a_pos, b_chrom, b_pos, event), repeats kept; codes 1 to 7 have one position and a null second one.
+
+    Mates are paired once, by one shuffle on the read name, and all events of a pair come out of
+    one explode.
+    """
+    pairs = pair_mates(reads).withColumn("of_pair", F.concat(_mates_unmapped(min_mapq, longest), _discordants(min_mapq, longest)))
+    none = F.array().cast(f"array<{EVENT}>")
+    each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("r"), "of_pair"), F.struct(F.col("b").alias("r"), none.alias("of_pair")))).alias("x")).select("x.r.*", "x.of_pair")
+    own = F.concat("of_pair", _soft_clips(min_len, min_mapq, False), _insertions(min_len, min_mapq), _high_nm(nm, min_mapq), _soft_both(), _cigar_deletions(10, min_mapq), _splits(min_mapq))
+    return _rows(_with_ops(each), own, TWO)
 
 
 def signals_1d(reads: DataFrame, min_len: int = 14, min_mapq: int = 10, nm: int = 10) -> DataFrame:
     """All one-position events (chrom, pos, event), repeats kept."""
     each = paired_reads(pair_mates(reads))
-    return soft_clips(each, min_len, min_mapq).unionByName(insertions(each, min_len, min_mapq)).unionByName(high_nm(each, nm, min_mapq))
+    return _rows(each, F.concat(_soft_clips(min_len, min_mapq, False), _insertions(min_len, min_mapq), _high_nm(nm, min_mapq)), ONE)
 
 
 def signals_2d(reads: DataFrame, min_mapq: int = 10, longest: int | None = None) -> DataFrame:
     """All two-position events (a_chrom, a_pos, b_chrom, b_pos, event), repeats kept."""
-    pairs = pair_mates(reads)
-    each = paired_reads(pairs)
-    out = soft_both(each)
-    for more in (cigar_deletions(each, min_mapq=min_mapq), splits(each, min_mapq), mates_unmapped(pairs, min_mapq, longest), discordants(pairs, min_mapq, longest)):
-        out = out.unionByName(more)
-    return out
+    return signals(reads, min_mapq=min_mapq, longest=longest).filter("event > 7")

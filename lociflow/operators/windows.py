@@ -10,44 +10,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import calls, cigar
+from lociflow.operators.basestore import with_text
 from lociflow.operators.ranges import overlap, point_in_interval
 
 CHANNELS = 35
 DISCORDANT = [18, 19, 20, 21]
 
 
-def _around(cands: DataFrame, at: str, expand: int, closed: bool = True) -> DataFrame:
-    return cands.withColumn("__lo", F.col(at) - expand).withColumn("__hi", F.col(at) + expand + (1 if closed else 0))
+def event_hits(cands: DataFrame, events: DataFrame, expand: int = 62, scales: tuple[int, ...] = (0, 3), scale: Column | None = None) -> DataFrame:
+    """(sv_id, side, which, off, event, n): events in reach of a candidate, all kinds in one range join.
 
-
-def window_hits(cands: DataFrame, signals2d: DataFrame, expand: int = 62, shift: int = 0) -> DataFrame:
-    """(sv_id, side, which, off, event, n): two-position events in reach of a candidate.
-
-    ``which`` is ``shared`` where both ends are in reach of their sides, on the chromosome; else
-    ``left`` or ``right``. ``off`` counts from the side's own end, in units of ``2 ** shift`` bases.
-    Equal events are counted first, so hot spots join once. ``cands`` has sv_id, chrom, l, r.
+    Two-position events are looked up by their first end on the left and by their second on the
+    right; ``which`` is ``shared`` where both ends are in reach of their sides, on the chromosome;
+    else ``left`` or ``right``. One-position events (null second place) count on each side that sees
+    them. ``off`` counts from the side's own end, in units of ``2 ** scale`` bases: by default that is
+    3 for discordant pairs and 0 for others. Equal events are counted first, so hot spots join once.
+    ``cands`` has sv_id, chrom, l, r.
     """
-    at = cands.select("sv_id", "chrom", F.shiftright("l", shift).alias("l"), F.shiftright("r", shift).alias("r"))
-    ev = signals2d.withColumn("a_pos", F.shiftright("a_pos", shift)).withColumn("b_pos", F.shiftright("b_pos", shift)).groupBy("a_chrom", "a_pos", "b_chrom", "b_pos", "event").agg(F.count("*").alias("n"))
+    scale = F.when(F.col("event").isin(DISCORDANT), 3).otherwise(0) if scale is None else scale
+    scaled = lambda c: F.expr(f"shiftright({c}, scale)")
+    ev = events.withColumn("scale", scale).withColumn("a_pos", scaled("a_pos")).withColumn("b_pos", scaled("b_pos")).groupBy("a_chrom", "a_pos", "b_chrom", "b_pos", "event", "scale").agg(F.count("*").alias("n"))
+    ends = F.array(F.struct(F.lit("left").alias("end"), F.col("a_chrom").alias("e_chrom"), F.col("a_pos").alias("e_pos")), F.struct(F.lit("right").alias("end"), F.coalesce("b_chrom", "a_chrom").alias("e_chrom"), F.coalesce("b_pos", "a_pos").alias("e_pos")))
+    points = ev.withColumn("x", F.explode(ends)).select("a_chrom", "a_pos", "b_chrom", "b_pos", "event", "n", F.col("scale").alias("e_scale"), "x.*")
+    at = cands.select("sv_id", "chrom", "l", "r", F.explode(F.array(*(F.lit(s) for s in scales))).alias("scale")).select("sv_id", "chrom", "scale", scaled("l").alias("l"), scaled("r").alias("r"))
+    sides = at.select("*", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("l").alias("at")), F.struct(F.lit("right").alias("side"), F.col("r").alias("at")))).alias("x")).select("sv_id", "chrom", "scale", "l", "r", "x.side", (F.col("x.at") - expand).alias("lo"), (F.col("x.at") + expand + 1).alias("hi"))
+    met = point_in_interval(points, sides, "e_pos", "lo", "hi", [("e_chrom", "chrom"), ("e_scale", "scale"), ("end", "side")], 4 * expand, longest=2 * expand + 1)
+    one = F.col("b_pos").isNull()
     near_a = F.col("a_pos").between(F.col("l") - expand, F.col("l") + expand) & (F.col("a_chrom") == F.col("chrom"))
     near_b = F.col("b_pos").between(F.col("r") - expand, F.col("r") + expand) & (F.col("b_chrom") == F.col("chrom"))
-    left = point_in_interval(ev, _around(at, "l", expand), "a_pos", "__lo", "__hi", [("a_chrom", "chrom")], 4 * expand)
-    left = left.select("sv_id", F.when(near_b, "shared").otherwise("left").alias("which"), (F.col("a_pos") - F.col("l")).alias("x"), (F.col("b_pos") - F.col("r")).alias("y"), "event", "n")
-    sides = F.when(F.col("which") == "shared", F.array(F.struct(F.lit("left").alias("side"), F.col("x").alias("off")), F.struct(F.lit("right").alias("side"), F.col("y").alias("off")))).otherwise(F.array(F.struct(F.lit("left").alias("side"), F.col("x").alias("off"))))
-    left = left.select("sv_id", "which", F.explode(sides).alias("z"), "event", "n").select("sv_id", "z.side", "which", "z.off", "event", "n")
-    right = point_in_interval(ev, _around(at, "r", expand), "b_pos", "__lo", "__hi", [("b_chrom", "chrom")], 4 * expand).filter(~near_a)
-    right = right.select("sv_id", F.lit("right").alias("side"), F.lit("right").alias("which"), (F.col("b_pos") - F.col("r")).alias("off"), "event", "n")
-    return left.unionByName(right)
+    x, y = F.col("a_pos") - F.col("l"), F.col("b_pos") - F.col("r")
+    hit = lambda side, which, off: F.struct(F.lit(side).alias("side"), F.lit(which).alias("which"), off.alias("off"))
+    left = F.when(one, F.array(hit("left", "left", x))).when(near_b, F.array(hit("left", "shared", x), hit("right", "shared", y))).otherwise(F.array(hit("left", "left", x)))
+    right = F.when(one, F.array(hit("right", "right", F.col("a_pos") - F.col("r")))).when(~near_a, F.array(hit("right", "right", y)))
+    return met.select("sv_id", F.explode(F.when(F.col("side") == "left", left).otherwise(right)).alias("x"), "event", "n").select("sv_id", "x.side", "x.which", "x.off", "event", "n")
+
+
+def window_hits(cands: DataFrame, signals2d: DataFrame, expand: int = 62, shift: int = 0) -> DataFrame:
+    """(sv_id, side, which, off, event, n) of two-position events, as ``event_hits``, all in units of ``2 ** shift`` bases."""
+    return event_hits(cands, signals2d, expand, (shift,), F.lit(shift))
 
 
 def hits_1d(cands: DataFrame, signals1d: DataFrame, expand: int = 62) -> DataFrame:
     """(sv_id, side, which, off, event, n): one-position events, on both sides where windows overlap."""
-    ev = signals1d.groupBy("chrom", "pos", "event").agg(F.count("*").alias("n")).withColumnRenamed("chrom", "e_chrom")
-    out = []
-    for side, at in (("left", "l"), ("right", "r")):
-        got = point_in_interval(ev, _around(cands.select("sv_id", "chrom", at), at, expand), "pos", "__lo", "__hi", [("e_chrom", "chrom")], 4 * expand)
-        out.append(got.select("sv_id", F.lit(side).alias("side"), F.lit(side).alias("which"), (F.col("pos") - F.col(at)).alias("off"), "event", "n"))
-    return out[0].unionByName(out[1])
+    none = F.lit(None)
+    own = signals1d.select(F.col("chrom").alias("a_chrom"), F.col("pos").alias("a_pos"), none.cast("string").alias("b_chrom"), none.cast("bigint").alias("b_pos"), "event")
+    return event_hits(cands, own, expand, (0,), F.lit(0))
 
 
 def orphan_channel(event: Column, which: Column) -> Column:
@@ -77,24 +84,22 @@ def _sides(cands: DataFrame, expand: int, gap: int) -> DataFrame:
 
 def window_depth(cands: DataFrame, runs: DataFrame, expand: int = 62, gap: int = 8) -> DataFrame:
     """Channel 0: depth under both windows, from run-length depth (chrom, s, e, depth); zeros left out."""
-    met = overlap(_sides(cands, expand, gap), runs, ("lo", "hi"), ("s", "e"), [("c_chrom", "chrom")], 4 * expand)
+    met = overlap(_sides(cands, expand, gap), runs, ("lo", "hi"), ("s", "e"), [("c_chrom", "chrom")], 4 * expand, (2 * expand, None))
     each = met.select("sv_id", "lo", "to", "depth", F.explode(F.sequence(F.greatest("lo", "s"), F.least("hi", "e") - 1)).alias("p"))
     return each.select("sv_id", F.lit(0).alias("channel"), (F.col("p") - F.col("lo") + F.col("to")).cast("int").alias("offset"), F.col("depth").cast("bigint").alias("value"))
 
 
-def window_one_hot(cands: DataFrame, bases: DataFrame, expand: int = 62, gap: int = 8) -> DataFrame:
-    """Channels 30 to 34: bases under both windows."""
-    each = _sides(cands, expand, gap).select("sv_id", "c_chrom", F.explode(F.expr("sequence(lo, hi - 1)")).alias("p"), (F.col("to") - F.col("lo")).alias("d"))
-    met = each.join(bases, (each["c_chrom"] == bases["chrom"]) & (each["p"] == bases["pos"]))
-    row = F.expr(f"instr('{calls.PACKAGE_BASES}', upper(base))")
-    return met.filter(row > 0).select("sv_id", (row + 29).cast("int").alias("channel"), (F.col("p") + F.col("d")).cast("int").alias("offset"), F.lit(1).cast("bigint").alias("value"))
+def window_one_hot(cands: DataFrame, store: DataFrame, expand: int = 62, gap: int = 8) -> DataFrame:
+    """Channels 30 to 34: bases under both windows, cut from a base store; one join row a window."""
+    text = with_text(_sides(cands, expand, gap), store, "c_chrom", "lo", "hi", "text")
+    each = text.select("sv_id", "to", F.posexplode(F.split(F.upper("text"), "")).alias("i", "base"))
+    row = F.expr(f"instr('{calls.PACKAGE_BASES}', base)")
+    return each.filter(row > 0).select("sv_id", (row + 29).cast("int").alias("channel"), (F.col("i") + F.col("to")).cast("int").alias("offset"), F.lit(1).cast("bigint").alias("value"))
 
 
-def channels(cands: DataFrame, signals1d: DataFrame, signals2d: DataFrame, runs: DataFrame, bases: DataFrame, expand: int = 62, gap: int = 8, compat: bool = False) -> DataFrame:
-    """The sparse tensor (sv_id, channel, offset, value) of all candidates."""
-    disc = F.col("event").isin(DISCORDANT)
-    hits = window_hits(cands, signals2d.filter(~disc), expand).unionByName(window_hits(cands, signals2d.filter(disc), expand, shift=3)).unionByName(hits_1d(cands, signals1d, expand))
-    return place(hits, expand, gap, compat).unionByName(window_depth(cands, runs, expand, gap)).unionByName(window_one_hot(cands, bases, expand, gap))
+def channels(cands: DataFrame, events: DataFrame, runs: DataFrame, store: DataFrame, expand: int = 62, gap: int = 8, compat: bool = False) -> DataFrame:
+    """The sparse tensor (sv_id, channel, offset, value) of all candidates from events of all kinds, depth runs and a base store."""
+    return place(event_hits(cands, events, expand), expand, gap, compat).unionByName(window_depth(cands, runs, expand, gap)).unionByName(window_one_hot(cands, store, expand, gap))
 
 
 def dense(sparse: DataFrame, rows: int = CHANNELS, width: int = 256) -> DataFrame:
@@ -112,12 +117,16 @@ def dense(sparse: DataFrame, rows: int = CHANNELS, width: int = 256) -> DataFram
     return filled.select("sv_id", F.get(F.transform(F.array(flat), cut), F.lit(0)).alias("tensor"))
 
 
-def pair_slice(cands: DataFrame, table: DataFrame, columns: list[str], half: int = 100, pad: int = 10) -> DataFrame:
-    """(sv_id, offset, columns): a per-position table cut at both ends, zero padding between and where it has no row."""
-    rows = F.concat(F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda i: F.struct((F.col("l") + i).alias("p"), (i + half).alias("offset"))), F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda i: F.struct((F.col("r") + i).alias("p"), (i + 3 * half + pad).alias("offset"))), F.transform(F.sequence(F.lit(0), F.lit(pad - 1)), lambda i: F.struct(F.lit(-1).cast("bigint").alias("p"), (i + 2 * half).alias("offset"))))
-    each = cands.select("sv_id", F.col("chrom").alias("c_chrom"), F.explode(rows).alias("x")).select("sv_id", "c_chrom", "x.p", "x.offset")
-    met = each.join(table, (each["c_chrom"] == table["chrom"]) & (each["p"] == table["pos"]), "left")
-    return met.select("sv_id", F.col("offset").cast("int").alias("offset"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns))
+def pair_slice(cands: DataFrame, segments: DataFrame, columns: list[str], half: int = 100, pad: int = 10) -> DataFrame:
+    """(sv_id, offset, columns): a run-length table (chrom, s, e, columns) cut at both ends, zero padding between and where it has no row.
+
+    Windows meet segments whole; only what lies under a window becomes a row for each position.
+    """
+    met = overlap(_sides(cands, half, pad), segments, ("lo", "hi"), ("s", "e"), [("c_chrom", "chrom")], 4 * half, (2 * half, None))
+    each = met.select("sv_id", "lo", "to", *columns, F.explode(F.sequence(F.greatest("lo", "s"), F.least("hi", "e") - 1)).alias("p"))
+    cells = each.select("sv_id", (F.col("p") - F.col("lo") + F.col("to")).cast("int").alias("offset"), *columns)
+    empty = cands.select("sv_id", F.explode(F.sequence(F.lit(0), F.lit(4 * half + pad - 1))).alias("offset"))
+    return cells.unionByName(empty, allowMissingColumns=True).groupBy("sv_id", "offset").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns))
 
 
 def augment(cands: DataFrame, longest: int = 20, seed: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociflow.functions import calls as X
-from lociflow.operators import callsets, datasets, genome, metrics, models, ranges, reads, signals, windows
+from lociflow.operators import basestore, callsets, datasets, genome, metrics, models, ranges, reads, signals, windows
 from lociflow.plans.fixtures import BASE, DUCK_BASES, with_ctes
 from lociflow.plans.genome_queries import G
 from lociflow.plans.registry import query
@@ -479,11 +479,15 @@ def src_contigs_minus1(fx):
 
 @query("src_fasta", f"SELECT chrom, base, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM ({DUCK_BASES}) GROUP BY ALL")
 def src_fasta(fx):
-    """FASTA lines of sixty bases made from the base table, read back and summed up."""
-    body = fx.bases.groupBy("chrom", F.floor(F.col("pos") / 60).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("value"))
-    body = body.select("value", (F.col("chrom").cast("bigint") * 1_000_000 + F.col("k") + 1).alias("ord"))
-    heads = fx.contigs.select(F.concat(F.lit(">"), "chrom").alias("value"), (F.col("chrom").cast("bigint") * 1_000_000).alias("ord"))
-    return text.parse_fasta(body.unionByName(heads)).groupBy("chrom", "base").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+    """FASTA lines of 64 bases made from the base store, read back by place and summed up by base, a line at a time."""
+    cut = basestore.base_runs(fx.store).select("chrom", (F.col("pos") / 64).cast("bigint").alias("k"), "text", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    body = cut.select("chrom", (F.col("k") + F.col("i")).alias("k"), F.trim(F.substring("text", F.col("i") * 64 + 1, F.lit(64))).alias("value")).filter("value <> ''")
+    body = body.select("value", (F.col("chrom").cast("bigint") * (1 << 40) + F.col("k") + 1).alias("ord"))
+    heads = fx.contigs.select(F.concat(F.lit(">"), "chrom").alias("value"), (F.col("chrom").cast("bigint") * (1 << 40)).alias("ord"))
+    lines = text.parse_fasta(body.unionByName(heads))
+    found = lambda b: F.filter(F.transform(F.split("text", ""), lambda c, i: F.when(c == b, F.col("pos") + i)), lambda x: x.isNotNull())
+    each = lines.select("chrom", F.explode(F.array(*(F.struct(F.lit(b).alias("base"), found(b).alias("at")) for b in "ACGTN"))).alias("x")).filter("size(x.at) > 0")
+    return each.groupBy("chrom", "x.base").agg(F.sum(F.size("x.at")).alias("n"), F.sum(F.aggregate("x.at", F.lit(0).cast("bigint"), lambda a, p: a + p)).alias("places"))
 
 
 @query("src_signals", f"{OPS}\nSELECT chrom, ref_start AS pos, CAST(count(*) AS INT) AS event FROM opr WHERE op = 'S' GROUP BY ALL")
@@ -520,7 +524,7 @@ UNION ALL SELECT call_id * 4 + 2, concat(chrom, chr(9), l + 1, chr(9), 'sv', cal
 UNION ALL SELECT call_id * 4 + 3, concat(chrom, chr(9), r + 1, chr(9), 'sv', call_id, '_4', chr(9), ref2, chr(9), ref2, '[', chrom, ':', l + 1, '[', chr(9), qual, chr(9), 'PASS', chr(9), 'SVTYPE=BND;MATEID=sv', call_id, '_3') FROM o WHERE call_id % 5 = 0
 UNION ALL SELECT -3, '##fileformat=VCFv4.2' UNION ALL SELECT -2, concat('##contig=<ID=', chrom, ',length=', len, '>') FROM span, (SELECT unnest(['12', '22']) AS chrom) UNION ALL SELECT -1, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO')""")
 def snk_bedpe_to_vcf(fx):
-    return text.bedpe_to_vcf(typed(fx), fx.contigs, fx.bases)
+    return text.bedpe_to_vcf(typed(fx), fx.contigs, fx.store)
 
 
 @query("snk_vcf_to_bedpe", f"{K}\nSELECT chrom AS chrom1, l AS s1, l + 1 AS e1, chrom AS chrom2, r AS s2, r + 1 AS e2, svtype FROM cand WHERE r - l >= 400 AND (svtype <> 'INV' OR qual % 2 = 0)")

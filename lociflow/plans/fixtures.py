@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociflow.operators.basestore import chunked
+
 CTES = {
     "span": "SELECT (max(o_orderkey) + 1) * 40 AS len, greatest(1000, (max(o_orderkey) + 1) * 40 - 12000) AS m FROM orders",
     "contigs": "SELECT chrom, len FROM span CROSS JOIN (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE '22' END AS chrom FROM orders) AS named",
@@ -113,6 +115,13 @@ class Fixtures:
     def contigs(self) -> DataFrame:
         return self._sql(f"{with_ctes('contigs')} SELECT * FROM contigs")
 
+    @cached_property
+    def store(self) -> DataFrame:
+        """The bases in chunks; each order gives a stretch of 40."""
+        one = BASE.replace("pos", "(o_orderkey * 40 + i)")
+        pieces = self.table("orders").selectExpr("explode(array('12', '22')) AS chrom", "o_orderkey * 40 AS pos", f"concat_ws('', transform(sequence(0L, 39L), i -> {one})) AS text")
+        return chunked(pieces)
+
     @cached_property
     def bases(self) -> DataFrame:
         places = self.table("orders").selectExpr("o_custkey", "o_orderkey * 40 AS first", "explode(sequence(0L, 39L)) AS i").selectExpr("o_custkey", "first + i AS pos")

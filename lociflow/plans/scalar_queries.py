@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import calls as X
 from lociflow.functions import cigar as C
-from lociflow.operators import callsets, reads
+from lociflow.operators import basestore, callsets, reads
 from lociflow.plans.fixtures import DUCK_BASES, with_ctes
 from lociflow.plans.registry import query
 
@@ -121,8 +121,7 @@ def base_complement(fx):
 
 @query("flanked_by_n", f"{K}, b AS ({DUCK_BASES})\nSELECT call_id, coalesce(max(CAST(base = 'N' AS INT)), 0) = 1 AS v FROM (SELECT call_id, chrom, unnest([l - 1, l]) AS pos FROM cand) LEFT JOIN b USING (chrom, pos) GROUP BY call_id")
 def flanked_by_n(fx):
-    near = fx.cand.select("call_id", "chrom", F.explode(F.array(F.col("l") - 1, F.col("l"))).alias("pos"))
-    return near.join(fx.bases, ["chrom", "pos"], "left").groupBy("call_id").agg(F.coalesce(F.max(F.col("base") == "N"), F.lit(False)).alias("v"))
+    return basestore.flanked_by_n(fx.cand, fx.store).select("call_id", F.col("n_beside").alias("v"))
 
 
 READ_COLUMNS = "qname, ord, flag, chrom, pos0, mapq"

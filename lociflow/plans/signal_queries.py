@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociflow.operators import callsets, ranges, reads, signals, windows
+from lociflow.operators import basestore, callsets, ranges, reads, signals, windows
 from lociflow.plans.fixtures import DUCK_BASES, with_ctes
 from lociflow.plans.registry import query
 from lociflow.plans.scalar_queries import OPS, R, K
@@ -139,18 +139,28 @@ def agg_max_cigar_del(fx):
 
 
 PILE = OPS + f""", b AS ({DUCK_BASES}),
-px AS (SELECT chrom, ref_start + j AS pos, mapq, substr('ACGT', CAST((ref_start + j + nm) % 4 AS INT) + 1, 1) AS base, 20 + (ref_start + j) % 15 AS bq FROM (SELECT *, unnest(range(len)) AS j FROM opr WHERE op IN ('M','=','X') AND (flag & 3844) = 0))"""
+px AS (SELECT chrom, ref_start + j AS pos, mapq, substr('ACGT', CAST((ref_start + j + nm) % 4 AS INT) + 1, 1) AS base, 20 + (ref_start + j + nm) % 15 AS bq FROM (SELECT *, unnest(range(len)) AS j FROM opr WHERE op IN ('M','=','X') AND (flag & 3844) = 0)),
+pile AS (SELECT px.chrom, px.pos, count(*) AS n, median(px.bq) AS bq_median, median(px.mapq) AS mapq_median, CAST(count(CASE WHEN px.base <> b.base AND b.base <> 'N' THEN 1 END) AS DOUBLE) / count(*) AS snv_fraction FROM px LEFT JOIN b USING (chrom, pos) GROUP BY ALL)"""
 
 
-@query("agg_pileup", f"{PILE}\nSELECT px.chrom, px.pos, count(*) AS n, median(px.mapq) AS mapq_median, round(CAST(count(CASE WHEN px.base <> b.base THEN 1 END) AS DOUBLE) / count(*), 9) AS snv_fraction FROM px LEFT JOIN b USING (chrom, pos) GROUP BY ALL")
-def agg_pileup(fx):
-    """Sequence is made so that the base over position p of a read with nm is the (p + nm) % 4-th of ACGT."""
+def piled(fx):
+    """Pileup of made sequences: the base over position p of a read with nm is the (p + nm) % 4-th of ACGT, its quality 20 + (p + nm) % 15."""
     from lociflow.functions import cigar as C
 
     ops = C.cigar_ops("cigar", "pos0")
-    seq = F.array_join(F.flatten(F.transform(ops, lambda o: F.when(o["op"].isin("M", "=", "X"), F.transform(F.sequence(o["ref_start"], o["ref_start"] + o["len"] - 1), lambda p: F.substring(F.lit("ACGT"), F.pmod(p + F.col("nm"), F.lit(4)).cast("int") + 1, F.lit(1)))).when(o["op"].isin("I", "S"), F.array_repeat(F.lit("N"), o["len"])).otherwise(F.array().cast("array<string>")))), "")
-    own = fx.reads.withColumn("seq", seq).withColumn("qual", F.regexp_replace("seq", ".", "5"))
-    return reads.pileup(own, fx.bases).select("chrom", "pos", "n", "mapq_median", F.round("snv_fraction", 9).alias("snv_fraction"))
+
+    def laid(one):
+        at = lambda o: F.array_join(F.transform(F.sequence(o["ref_start"], o["ref_start"] + o["len"] - 1), lambda p: one(p + F.col("nm"))), "")
+        return F.array_join(F.transform(ops, lambda o: F.when(o["op"].isin("M", "=", "X"), at(o)).when(o["op"].isin("I", "S"), F.repeat(F.lit("N"), o["len"])).otherwise("")), "")
+
+    seq = laid(lambda x: F.substring(F.lit("ACGT"), F.pmod(x, F.lit(4)).cast("int") + 1, F.lit(1)))
+    qual = laid(lambda x: F.char(53 + F.pmod(x, F.lit(15))))
+    return reads.pileup(fx.reads.withColumn("seq", seq).withColumn("qual", qual), fx.store)
+
+
+@query("agg_pileup", f"{PILE}\nSELECT chrom, pos, n, bq_median, mapq_median, round(snv_fraction, 9) AS snv_fraction FROM pile")
+def agg_pileup(fx):
+    return piled(fx).withColumn("snv_fraction", F.round("snv_fraction", 9))
 
 
 @query("join_range_envelop", f"{SIG}\nSELECT call_id, side, count(*) AS n FROM (SELECT call_id, 'start' AS side FROM cand c JOIN truth t ON c.chrom = t.chrom AND s1 >= c.l - 100 AND e1 <= c.l + 101 UNION ALL SELECT call_id, 'end' FROM cand c JOIN truth t ON c.chrom = t.chrom AND s2 >= c.r - 100 AND e2 <= c.r + 101) GROUP BY ALL")
@@ -171,7 +181,7 @@ def join_signal_window(fx):
 
 @query("join_point_lookup", f"{K}, b AS ({DUCK_BASES})\nSELECT call_id, b.base FROM cand c JOIN b ON b.chrom = c.chrom AND b.pos = c.l")
 def join_point_lookup(fx):
-    return fx.cand.join(fx.bases, (fx.cand["chrom"] == fx.bases["chrom"]) & (F.col("l") == F.col("pos"))).select("call_id", "base")
+    return basestore.base_at(fx.cand, fx.store, "chrom", "l").select("call_id", "base")
 
 
 @query("join_interval_extract", f"{DEPTH}, {with_ctes('regions', after=('reads',))}\nSELECT runs.chrom, runs.s, runs.e, depth, g.s AS g_s, g.e AS g_e FROM runs JOIN regions g ON runs.chrom = g.chrom AND runs.s < g.e AND g.s < runs.e")
@@ -259,7 +269,7 @@ wh AS (SELECT sv_id, 29 + strpos('ACTGN', base) AS channel, pos - lo + col AS "o
 
 @query("win_one_hot", f"{K}, {WHOT}\n{SUMS} FROM wh GROUP BY sv_id, channel")
 def win_one_hot(fx):
-    return window_sums(windows.window_one_hot(cands(fx), fx.bases))
+    return window_sums(windows.window_one_hot(cands(fx), fx.store))
 
 
 @query("join_window_common_reads", f"""{with_ctes('reads', 'cand')}, sides AS (SELECT call_id AS sv_id, chrom, l - 62 AS lo, l + 62 AS hi, 'left' AS side FROM cand UNION ALL SELECT call_id, chrom, r - 62, r + 62, 'right' FROM cand),
@@ -272,7 +282,7 @@ def join_window_common_reads(fx):
 
 @query("win_pair_slice", f"{DEPTH}, {with_ctes('cand', after=('reads',))}, {WDEPTH}, z AS (SELECT call_id AS sv_id, unnest(range(256)) AS \"offset\" FROM cand)\nSELECT sv_id, count(*) AS n, CAST(sum(coalesce(value, 0)) AS BIGINT) AS total, CAST(sum(coalesce(value, 0) * (z.\"offset\" + 1)) AS BIGINT) AS weighted FROM z LEFT JOIN wd USING (sv_id, \"offset\") GROUP BY sv_id")
 def win_pair_slice(fx):
-    own = windows.pair_slice(cands(fx), reads.dense_depth(reads.depth(fx.reads)), ["depth"], half=62, pad=8)
+    own = windows.pair_slice(cands(fx), reads.depth(fx.reads), ["depth"], half=62, pad=8)
     return window_sums(own.withColumnRenamed("depth", "value"), "sv_id")
 
 
@@ -295,7 +305,7 @@ cells AS ({PLACE.format("(SELECT * FROM hits UNION ALL SELECT * FROM hits3 UNION
 @query("win_tensor", f"{TENSOR}\nSELECT sv_id, channel, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (\"offset\" + 1)) AS BIGINT) AS weighted FROM cells GROUP BY ALL HAVING sum(value) > 0")
 def win_tensor(fx):
     """Dense tensors of all candidates: each row's sum, and its sum weighted by place."""
-    sparse = windows.channels(cands(fx), signals.signals_1d(fx.reads), signals.signals_2d(fx.reads), reads.depth(fx.reads), fx.bases)
+    sparse = windows.channels(cands(fx), signals.signals(fx.reads), reads.depth(fx.reads), fx.store)
     row = windows.dense(sparse).select("sv_id", F.posexplode("tensor").alias("channel", "row"))
     sums = F.aggregate("row", F.lit(0).cast("bigint"), lambda a, x: a + x)
     placed = F.aggregate(F.transform("row", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lociflow.operators.basestore import with_text
+from lociflow.operators.ranges import carry_forward
+
 BEDPE = "chrom1 string, s1 bigint, e1 bigint, chrom2 string, s2 bigint, e2 bigint, svtype string"
 
 
@@ -77,7 +80,10 @@ def bedpe_breakpoints(rows: DataFrame) -> DataFrame:
 
 def _info(rows: DataFrame) -> DataFrame:
     own = rows.filter("value <> '' and value not like '#%'").withColumn("t", F.split("value", "\t"))
-    return own.withColumn("info", F.expr("str_to_map(get(t, 7), ';', '=')"))
+    pairs = F.transform(F.filter(F.split(F.get("t", F.lit(7)), ";"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    # Of a key that comes twice the first value holds; a map would refuse it.
+    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
+    return own.withColumn("info", F.map_from_entries(first))
 
 
 def vcf_breakpoints(rows: DataFrame) -> DataFrame:
@@ -136,21 +142,20 @@ def main_contigs(contigs: DataFrame) -> DataFrame:
 
 
 def parse_fasta(rows: DataFrame, block: int = 4096) -> DataFrame:
-    """(chrom, pos, base) of FASTA lines (value, ord).
+    """(chrom, pos, text) of FASTA lines (value, ord): each line of bases with its 0-based start; ``chunked`` makes a store of them.
 
-    A line's start is the sum of the lengths before it in its contig, in two levels: by block of
-    lines, then by line, so a contig is no single task. Headers are few and found by order.
+    A line's contig is the last header before it, carried forward by blocks of lines. Its start is
+    the sum of the lengths before it in its contig, in two levels: by block of lines, then by line,
+    so a contig is no single task. Lines before any header and empty ones are left out.
     """
-    heads = rows.filter("value like '>%'").select(F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"), F.col("ord").alias("h"))
-    spans = heads.withColumn("next", F.lead("h").over(Window.orderBy("h")))  # one row a contig
-    body = rows.filter("value not like '>%' and value <> ''")
-    own = body.join(F.broadcast(spans), (F.col("ord") > F.col("h")) & (F.col("next").isNull() | (F.col("ord") < F.col("next"))))
-    own = own.withColumn("k", F.floor(F.col("ord") / block))
+    named = rows.withColumn("head", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
+    body = carry_forward(named, "head", "chrom", "ord", block).filter("head is null and chrom is not null and value <> ''")
+    own = body.select("chrom", "value", "ord", F.floor(F.col("ord") / block).alias("k"))
     sums = own.groupBy("chrom", "k").agg(F.sum(F.length("value")).alias("n"))
     before = sums.withColumn("base_at", F.coalesce(F.sum("n").over(Window.partitionBy("chrom").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     w = Window.partitionBy("chrom", "k").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("in_block", F.coalesce(F.sum(F.length("value")).over(w), F.lit(0))).join(before, ["chrom", "k"])
-    return placed.select("chrom", (F.col("base_at") + F.col("in_block")).alias("at"), F.posexplode(F.split("value", "")).alias("i", "base")).select("chrom", (F.col("at") + F.col("i")).alias("pos"), "base")
+    return placed.select("chrom", (F.col("base_at") + F.col("in_block")).alias("pos"), F.col("value").alias("text"))
 
 
 def signal_lines(events: DataFrame) -> DataFrame:
@@ -183,16 +188,16 @@ def scored_vcf(rows: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.filter("value like '#%'").select("ord", "value").unionByName(body)
 
 
-def bedpe_to_vcf(calls: DataFrame, contigs: DataFrame, bases: DataFrame) -> DataFrame:
-    """VCF 4.2 lines (value, ord) of calls with call_id, chrom1, s1, chrom2, s2, svtype, qual.
+def bedpe_to_vcf(calls: DataFrame, contigs: DataFrame, store: DataFrame) -> DataFrame:
+    """VCF 4.2 lines (value, ord) of calls with call_id, chrom1, s1, chrom2, s2, svtype, qual, and a base store.
 
     Other types give one symbolic record (an insertion ends at its start plus one); TRA and CTX
     give four breakend records that name their mates.
     """
     far = F.col("svtype").isin("TRA", "CTX")
-    b1 = bases.select(F.col("chrom").alias("chrom1"), F.col("pos").alias("s1"), F.upper("base").alias("ref1"))
-    b2 = bases.select(F.col("chrom").alias("chrom2"), F.col("pos").alias("s2"), F.upper("base").alias("ref2"))
-    own = calls.join(b1, ["chrom1", "s1"], "left").join(b2, ["chrom2", "s2"], "left").fillna("N", ["ref1", "ref2"])
+    own = calls
+    for k in ("1", "2"):
+        own = with_text(own.withColumn("__to", F.col(f"s{k}") + 1), store, f"chrom{k}", f"s{k}", "__to", f"ref{k}").withColumn(f"ref{k}", F.when(F.col(f"ref{k}") == " ", "N").otherwise(F.upper(f"ref{k}"))).drop("__to")
     end = F.when(F.col("svtype") == "INS", F.col("s1") + 2).otherwise(F.col("s2") + 1)
     qual = F.coalesce(F.col("qual").cast("string"), F.lit("1"))
     one = own.filter(~far).select((F.col("call_id") * 4).alias("ord"), F.concat_ws("\t", "chrom1", (F.col("s1") + 1).cast("string"), F.concat(F.lit("sv"), F.col("call_id").cast("string")), "ref1", F.concat(F.lit("<"), "svtype", F.lit(">")), qual, F.lit("PASS"), F.concat(F.lit("SVTYPE="), "svtype", F.lit(";END="), end.cast("string"))).alias("value"))

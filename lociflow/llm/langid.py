@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import materialise, slices
+from lociflow.llm.shared import delete, shared_path, slices
 
 #: The first code point of each script's blocks, and its end.
 SCRIPTS = {
@@ -143,7 +143,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(id_col).alias("h"), F.xxhash64(text).alias("g"))
-    chosen = materialise(given.select("h", "g").orderBy("h", "g").limit(max_docs).distinct(), "language-sample")
+    picked = shared_path(docs.sparkSession, "language-sample")
+    given.select("h", "g").orderBy("h", "g").limit(max_docs).distinct().write.parquet(picked)
+    chosen = docs.sparkSession.read.schema("h bigint, g bigint").parquet(picked)
     sample = given.join(F.broadcast(chosen), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min("lang").alias("lang"), F.first("text").alias("text"))
     sample = sample.select("lang", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
@@ -165,7 +167,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
             own = np.flatnonzero(scripts[lang])
             yield pd.DataFrame({"lang": lang, "part": -1, "bucket": own, "n": scripts[lang][own]})
 
-    counts = sample.mapInPandas(count, "lang string, part int, bucket int, n bigint").groupBy("lang", "part", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInPandas(count, "lang string, part int, bucket int, n bigint").groupBy("lang", "part", "bucket").agg(F.sum("n").alias("n"))
+    try:
+        counts = counted.toPandas()
+    finally:
+        delete(docs.sparkSession, picked)
     langs = sorted(counts["lang"].unique())
     table, scripts = np.zeros((len(ORDERS), BUCKETS, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
     for i, lang in enumerate(langs):

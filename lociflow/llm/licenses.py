@@ -2,11 +2,14 @@
 
 Texts are cut into sentences, sentences are normalised and looked up among known licence
 sentences, and each text's sequence of identifiers is matched against ordered rules. A rule
-that matches takes its identifiers out, so later and more general rules see only the rest.
+that matches takes its identifiers out, so later and more general rules see only the rest. Line
+breaks are both tried, as a sentence's end and as none, so the width of lines does not matter.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,69 +201,112 @@ def known_rules() -> list[tuple[str, list[str]]]:
     return whole + RULES + alone + named
 
 
-#: Comment marks at the start of a line are dropped. A line goes on with the sentence of the line before it if it
-#: starts with a small letter, or if that line is as long as those of wrapped text and does not end a sentence. An SPDX line
-#: stands alone.
+#: Comment marks at the start of a line are dropped. An SPDX line stands alone.
 SPDX = "SPDX-License-Identifier"
 MARKS = r"^[ \t*#/;]+"
-WRAPPED = (50, 100)
 SENTENCE_END = r"([.!?])[ \t]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: small ASCII letters, digits and inner full stops, single spaces."""
+def blocks(text: Column) -> Column:
+    """Array of blocks of normalised pieces: small ASCII letters, digits and inner full stops, single spaces; pieces are parted by a carriage return.
+
+    A block ends at a sentence's end, an empty line, or a line that ends like a sentence. Within it
+    lines are pieces, whatever their width: a sentence may go on over any number of them, or be one.
+    A line that starts with a small letter belongs to the piece before it, but for one after an SPDX line.
+    """
 
     def joined(lines: Column) -> Column:
         def part(line: Column, i: Column) -> Column:
             before = F.rtrim(F.get(lines, i - 1))
-            wrapped = F.length(before).between(*WRAPPED) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", ";") & (line != "")
-            goes_on = (F.substring(line, 1, 1).between("a", "z") | wrapped) & ~F.contains(before, F.lit(SPDX))
-            return F.concat(F.when(i == 0, "").when(goes_on, " ").otherwise("\n"), line)
+            spdx = F.contains(before, F.lit(SPDX))
+            ended = (before == "") | (line == "") | F.substring(before, -1, 1).isin(".", "!", "?")
+            goes_on = F.substring(line, 1, 1).between("a", "z") & (before != "")
+            return F.concat(F.when(i == 0, "").when(spdx, "\n").when(goes_on, " ").when(ended, "\n").otherwise("\r"), line)
 
         return F.array_join(F.transform(lines, part), "")
 
-    bare = F.transform(F.split(text.cast("string"), "\n"), lambda x: F.regexp_replace(x, MARKS, ""))
+    bare = F.transform(F.split(F.translate(text.cast("string"), "\r", " "), "\n"), lambda x: F.regexp_replace(x, MARKS, ""))
     whole = F.regexp_replace(held_once(bare, joined), SENTENCE_END, "$1\n")
-    plain = F.regexp_replace(F.lower(whole), r"[^a-z0-9.\n]+", " ")
-    return F.split(F.regexp_replace(F.regexp_replace(plain, r"[ .]+\n[ .]*|\n[ .]+", "\n"), r"^[ .]+|[ .]+$", ""), "\n")
+    plain = F.regexp_replace(F.lower(whole), r"[^a-z0-9.\n\r]+", " ")
+    tidy = F.regexp_replace(F.regexp_replace(plain, r"[ .]*\r[ .\r]*", "\r"), r"[ .\r]*\n[ .\n\r]*", "\n")
+    return F.split(F.regexp_replace(tidy, r"^[ .\r\n]+|[ .\r\n]+$", ""), "\n")
+
+
+def _runs(pieces: Column, known: list[str]) -> Column:
+    """Array of (first, last, sentence): the runs of a block's pieces that begin with two words of a known sentence and are no longer than the longest one."""
+    starts = sorted({" ".join(k.split(" ")[:2]) for k in known})
+    longest = max(map(len, known))
+
+    def begins(i: Column) -> Column:
+        return F.substring_index(F.concat_ws(" ", F.get(pieces, i), F.get(pieces, i + 1)), " ", 2).isin(starts)
+
+    def run(i: Column, j: Column) -> Column:
+        return F.struct(i.alias("first"), j.alias("last"), F.array_join(F.slice(pieces, i + 1, j - i + 1), " ").alias("sentence"))
+
+    # Every piece has a letter at least, so that many of them hold the longest sentence.
+    own = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), begins)
+    runs = F.transform(own, lambda i: F.transform(F.sequence(i, F.least(F.size(pieces) - 1, i + longest // 2)), lambda j: F.when(F.aggregate(F.slice(pieces, i + 1, j - i + 1), F.lit(-1), lambda n, p: n + 1 + F.length(p)) <= longest, run(i, j))))
+    return F.filter(F.flatten(runs), lambda r: r.isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, identifiers, licenses, n_sentences) of every text with a known licence sentence.
 
-    ``identifiers`` is the sequence in text order, ``licenses`` the matched rules' names in rule
-    order, once each, and empty if sentences were known but no rule matched. The sentence table
-    has a fixed size and is broadcast; only matched sentences are shuffled. Null and empty texts
-    give no row; rows that repeat an id and a text are one.
+    A sentence is a run of pieces (``blocks``) whose words are those of a known one; of runs that
+    overlap the first counts, and of those that start together the longest. ``identifiers`` is the
+    sequence in text order, ``licenses`` the matched rules' names in rule order, once each, and empty
+    if sentences were known but no rule matched. The sentence table has a fixed size and is broadcast;
+    only matched sentences are shuffled. Null and empty texts give no row; rows that repeat an id and
+    a text are one; extra columns are ignored.
     """
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(known_sentences(), "sentence string, sid string"))
-    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(sentences(F.col(text_col))).alias("pos", "sentence"))
-    found = cut.join(known, "sentence").groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).alias("found"))
+    table = known_sentences()
+    known = F.broadcast(spark.createDataFrame(table, "sentence string, sid string"))
+    names = [k for k, _ in table]
+    starts = "|".join(sorted({re.escape(k.split(" ")[0]) for k in names}))
+    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(blocks(F.col(text_col))).alias("block", "whole"))
+    cut = cut.filter(F.col("whole").rlike(f"(?:^|\r)(?:{starts})(?: |\r)")).withColumn("pieces", F.split("whole", "\r"))
+    met = cut.select("id", "h", "block", F.explode(_runs(F.col("pieces"), names)).alias("r")).select("id", "h", "block", "r.*").join(known, "sentence")
+    found = met.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("block", "first", (-F.col("last")).alias("less"), "sid"))).alias("all"))
+    none = F.struct(F.lit(-1).alias("block"), F.lit(-1).alias("last"), F.array().cast("array<string>").alias("sids"))
+
+    def take(acc: Column, m: Column) -> Column:
+        free = (m["block"] > acc["block"]) | (m["first"] > acc["last"])
+        return F.when(free, F.struct(m["block"].alias("block"), (-m["less"]).alias("last"), F.array_append(acc["sids"], m["sid"]).alias("sids"))).otherwise(acc)
+
+    found = found.withColumn("sids", F.aggregate("all", none, take)["sids"])
     rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("pattern")) for name, ids in known_rules()))
-    start = F.struct(F.concat(F.lit("<"), F.array_join("found.sid", "><"), F.lit(">")).alias("rest"), F.array().cast("array<string>").alias("names"))
+    start = F.struct(F.concat(F.lit("<"), F.array_join("sids", "><"), F.lit(">")).alias("rest"), F.array().cast("array<string>").alias("names"))
 
     def step(acc: Column, rule: Column) -> Column:
         hit = F.contains(acc["rest"], rule["pattern"])
         return F.struct(F.replace(acc["rest"], rule["pattern"], F.lit("<>")).alias("rest"), F.when(hit, F.array_union(acc["names"], F.array(rule["name"]))).otherwise(acc["names"]).alias("names"))
 
-    return found.select(F.col("id").alias(id_col), F.array_join("found.sid", ",").alias("identifiers"), F.array_join(F.aggregate(rules, start, step)["names"], ",").alias("licenses"), F.size("found").cast("bigint").alias("n_sentences"))
+    return found.select(F.col("id").alias(id_col), F.array_join("sids", ",").alias("identifiers"), F.array_join(F.aggregate(rules, start, step)["names"], ",").alias("licenses"), F.size("sids").cast("bigint").alias("n_sentences"))
 
 
 def oracle_sql() -> str:
     """DuckDB twin of ``scan`` over documents, one step for each rule."""
     quoted = ", ".join(f"('{s}', '{i}')" for s, i in known_sentences())
     rules = known_rules()
-    sql = f"""WITH given AS (SELECT DISTINCT doc_id, text FROM documents),
-bare AS (SELECT doc_id, text, [regexp_replace(x, '^[ \\t*#/;]+', '') FOR x IN string_split(text, chr(10))] AS l FROM given),
-whole AS (SELECT doc_id, text, array_to_string([CASE WHEN i = 1 THEN '' WHEN contains(l[i - 1], '{SPDX}') THEN chr(10) WHEN x[1] BETWEEN 'a' AND 'z' OR (x <> '' AND length(rtrim(l[i - 1], ' ')) BETWEEN {WRAPPED[0]} AND {WRAPPED[1]} AND rtrim(l[i - 1], ' ')[-1] NOT IN ('.', '!', '?', ':', ';')) THEN ' ' ELSE chr(10) END || x FOR x, i IN l], '') AS t FROM bare),
+    longest = max(len(k) for k, _ in known_sentences())
+    sql = f"""WITH RECURSIVE given AS (SELECT DISTINCT doc_id, text FROM documents),
+bare AS (SELECT doc_id, text, [regexp_replace(x, '^[ \\t*#/;]+', '') FOR x IN string_split(translate(text, chr(13), ' '), chr(10))] AS l FROM given),
+whole AS (SELECT doc_id, text, array_to_string([CASE WHEN i = 1 THEN '' WHEN contains(l[i - 1], '{SPDX}') THEN chr(10) WHEN x[1] BETWEEN 'a' AND 'z' AND rtrim(l[i - 1], ' ') <> '' THEN ' '
+  WHEN x = '' OR rtrim(l[i - 1], ' ') = '' OR rtrim(l[i - 1], ' ')[-1] IN ('.', '!', '?') THEN chr(10) ELSE chr(13) END || x FOR x, i IN l], '') AS t FROM bare),
 cut AS (
-  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(t,
-    '([.!?])[ \\t]+', '\\1' || chr(10), 'g')), '[^a-z0-9.\\n]+', ' ', 'g'), '[ .]+\\n[ .]*|\\n[ .]+', chr(10), 'g'), '^[ .]+|[ .]+$', '', 'g'), chr(10)) AS s FROM whole),
-lines AS (SELECT doc_id, text, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM cut),
+  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(t,
+    '([.!?])[ \\t]+', '\\1' || chr(10), 'g')), '[^a-z0-9.\\n\\r]+', ' ', 'g'), '[ .]*\\r[ .\\r]*', chr(13), 'g'), '[ .\\r]*\\n[ .\\n\\r]*', chr(10), 'g'), '^[ .\\r\\n]+|[ .\\r\\n]+$', '', 'g'), chr(10)) AS s FROM whole),
+blocks AS (SELECT doc_id, text, string_split(unnest(s), chr(13)) AS p, generate_subscripts(s, 1) AS block FROM cut),
 known(sentence, sid) AS (VALUES {quoted}),
-s0 AS (SELECT doc_id, text, string_agg(sid, ',' ORDER BY pos) AS identifiers, '<' || string_agg(sid, '><' ORDER BY pos) || '>' AS rest,
-  CAST([] AS VARCHAR[]) AS names, count(*) AS n FROM lines JOIN known USING (sentence) GROUP BY doc_id, text)"""
+firsts AS (SELECT DISTINCT split_part(sentence, ' ', 1) AS w FROM known),
+begin AS (SELECT doc_id, text, block, p, unnest(range(1, len(p) + 1)) AS i FROM blocks),
+runs AS (SELECT doc_id, text, block, i, unnest(range(i, least(len(p), i + {longest // 2}) + 1)) AS j, p FROM begin WHERE split_part(p[i], ' ', 1) IN (SELECT w FROM firsts)),
+met AS (SELECT doc_id, text, sid, {{'block': block, 'i': i, 'less': -j}} AS m FROM runs JOIN known ON known.sentence = array_to_string(p[i : j], ' ')),
+follow AS (SELECT a.doc_id, a.text, a.m, min(b.m) AS next FROM met a LEFT JOIN met b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.text = b.text AND (b.m.block > a.m.block OR (b.m.block = a.m.block AND b.m.i > -a.m.less)) GROUP BY ALL),
+kept AS (SELECT doc_id, text, min(m) AS m FROM met GROUP BY ALL UNION ALL SELECT k.doc_id, k.text, f.next FROM kept k JOIN follow f ON f.doc_id IS NOT DISTINCT FROM k.doc_id AND f.text = k.text AND f.m = k.m WHERE f.next IS NOT NULL),
+s0 AS (SELECT doc_id, text, string_agg(sid, ',' ORDER BY m) AS identifiers, '<' || string_agg(sid, '><' ORDER BY m) || '>' AS rest,
+  CAST([] AS VARCHAR[]) AS names, count(*) AS n FROM kept JOIN met USING (doc_id, text, m) GROUP BY doc_id, text)"""
     for k, (name, ids) in enumerate(rules):
         p = "".join(f"<{i}>" for i in ids)
         sql += f""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import decontam, langid, licenses, linededup, media, merkle, mixing, records, sharding, simhash, surrogate, toxicity, variants
-from lociflow.llm.shared import materialise, scratch, shared_path
+from lociflow.llm.shared import materialise, scratch, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    folder = shared_path(spark, "token-records")
-    records.write_token_records(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
-    return records.read_token_records(spark, folder)
+    with scratch(spark):
+        folder = scratch_path(spark, "token-records")
+        records.write_token_records(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+        return materialise(records.read_token_records(spark, folder), "token-digests", keep=True)
 
 
 def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

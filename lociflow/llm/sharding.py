@@ -114,7 +114,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, rows_a_range: in
     repeated rows are rows like others, with more shards than rows some are empty, an empty table
     gives no rows. Columns named shard or slot are replaced. Call it within ``scratch``; rows are
     written once in locally permuted order, which also fixes them for what follows, and shuffled
-    once. ``rows_a_range`` bounds what one task sorts at the end.
+    once. ``rows_a_range`` bounds what one task sorts at the end; there are as many ranges as tasks at least.
     """
     own = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
     key, at = free_name(own, "permute_key"), free_name(own, "permuted_at")
@@ -128,7 +128,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0, rows_a_range: in
     cuts = F.aggregate("take", F.array().cast("array<bigint>"), lambda done, x: F.array_append(done, F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1), F.lit(0)) + x))
     ends = materialise(take.select("block", cuts.alias("ends")), "block-cuts")
     ends = broadcast_if_small(ends, F.lit(8 * shards + 64), 8 << 20)
-    ranges = max(1, -(-n // (shards * rows_a_range)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(-(-parts // shards), -(-n // (shards * rows_a_range)))
     names = {c: free_name(own, f"shuffle_{c}") for c in ("block", "ends", "range", "mix", "base", "own")}
     ends = ends.select(F.col("block").alias(names["block"]), F.col("ends").alias(names["ends"]))
     sent = rows.join(ends, block == F.col(names["block"]))

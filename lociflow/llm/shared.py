@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,32 +38,45 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-#: Folders written inside each open ``scratch``.
-_WRITTEN: list[list[str]] = []
+#: Folders written inside each open ``scratch`` of this thread, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what ``materialise`` has written inside, but for what was to be kept."""
-    _WRITTEN.append([])
+    """Deletes at its end what was written inside; what was to be kept goes to the ``scratch`` around it, if there is one."""
+    outer = _OPEN.get()
+    token = _OPEN.set((*outer, own := []))
     try:
         yield
     finally:
-        for path in _WRITTEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _OPEN.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
+def scratch_path(spark: SparkSession, what: str, keep: bool = False) -> str:
+    """A fresh folder name below the shared root, to be deleted at the end of the open ``scratch``, or of the one around it if ``keep`` is set."""
+    path, held = shared_path(spark, what), _OPEN.get()
+    held = held[:-1] if keep else held
+    if held:
+        held[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage at files that outlive any executor. Within ``scratch`` they go at its
-    end unless ``keep`` is set.
+    end, or with ``keep`` at the end of the one around it.
     """
-    path = shared_path(df.sparkSession, what)
+    path = scratch_path(df.sparkSession, what, keep)
     df.write.parquet(path)
-    if _WRITTEN and not keep:
-        _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.components import connected_components
-from lociflow.llm.shared import materialise
+from lociflow.llm.shared import materialise, scratch
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -89,20 +89,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with the same or nearly the same fingerprint share a component, named by its smallest
     id. Exact copies are reduced to one fingerprint before anything is joined. Rows with a null
-    id keep their fingerprint and get a null component unless others share it.
+    id keep their fingerprint and get a null component unless others share it; they link no two
+    others. Null texts count as empty, long ones are read in pieces, rows that repeat are reported
+    each, extra columns are ignored, and an empty table gives no rows.
     """
-    own = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(own.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
-    found = links(nodes.select("fp"), bucket_limit)
-    ends = nodes.filter("rep is not null")
-    found = found.join(ends.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(ends.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y")
-    comps = connected_components(found)
-    named = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component, one row for each id; rows without an id stay."""
-    kept = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col)
-    stay = docs.join(kept.distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
+    with scratch(docs.sparkSession):
+        own = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+        nodes = materialise(own.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
+        found = links(nodes.select("fp"), bucket_limit)
+        ends = nodes.filter("rep is not null")
+        found = found.join(ends.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(ends.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y")
+        comps = connected_components(found)
+        named = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        out = own.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return materialise(out, "near-duplicates", keep=True)

@@ -9,8 +9,12 @@ key: known names have theirs, others the one that most of their titles show. Sur
 with each other or with a real entity are made again, so different entities stay different and
 every mention of one entity gets the same surrogate, in the mention's own case and punctuation.
 
-A name is found by its title or by a known first name; the same words are then replaced wherever
+A name is found by its title, by a known first name, or as two capitalised words beside a word
+that speaks of a person (``wrote``, ``Dear``, ``Author:``); the same words are then replaced wherever
 else they stand alone with a capital in that text. Double names are replaced part by part.
+
+Nothing in clear is left behind: texts with entities, mentions and the table of surrogates are
+written to the shared folder only while a call runs, unless the caller asks for the table.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import held_once, materialise
+from lociflow.llm.shared import held_once, materialise, scratch
 
 #: Titles that show a gender, and first names that do.
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
@@ -45,23 +49,30 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES}"
 TITLE = rf"(?:{TITLES})(?![\p{{L}}])\.?[ ]"
 WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"
+#: Verbs after a person's name, words before one, and capitalised words that start a sentence rather than a name.
+SPEECH = "wrote|writes|said|says|asked|asks|replied|told|added|lives|lived|works|worked|called|emailed|signed|schrieb|sagte|fragte|antwortete|wohnt|arbeitet|écrit|déclare|demande|habite|travaille|dijo|escribió|preguntó|respondió|vive|trabaja|написал|написала|сказал|сказала|спросил|спросила|ответил|ответила|είπε|έγραψε|ρώτησε|απάντησε"
+HERALDS = "Dear|Hello|Hi|named|name is|by|contact|Contact|Author:|From:|To:|Cc:|Name:|Attn:|Regards,|regards,|Liebe|Lieber|Hallo|heißt|Cher|Chère|Bonjour|Querido|Querida|Hola"
+NO_NAMES = "The|A|An|This|That|These|Those|My|Our|Your|His|Her|Their|Its|In|On|At|As|And|But|For|From|If|When|Then|All|No|One|We|They|He|She|It|I|Der|Die|Das|Ein|Eine|Und|Le|La|Les|Un|Une|Des|Et|El|Los|Las|Una|Y"
+#: A label of a secret and what stands between them; the secret itself is replaced, the label stays.
+LABEL = r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|api[ _-]?key|access[ _-]?key|auth[ _-]?token|token|credential|passwort|contraseña|mot de passe|пароль)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
 #: Kinds of entities and their patterns, in order: of those that match at a place the first counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}",
     "token": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,128}|xox[abprs]-[A-Za-z0-9-]{10,128}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000})(?![A-Za-z0-9_-])",
+    "credential": rf"(?<![\p{{L}}\p{{N}}]){LABEL}(?!AKIA|gh[pousr]_|AIza|sk-|xox|eyJ|[0-9a-fA-F]{{32}})(?=(?:[^\s\"',;<>&\p{{L}}\p{{N}}]{{0,20}}[\p{{L}}\p{{N}}]){{4}})[^\s\"',;<>&]{{3,127}}[^\s\"',;<>&.)]",
     "secret": r"\b(?=[0-9a-fA-F]{32})(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "ipv6": r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F:]{0,38}[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5}|[0-9a-fA-F]{1,4}:(?::[0-9a-fA-F]{1,4}){2,6})(?![\p{L}\p{N}:])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{3,4}){2}\b",
+    "phone": r"\+(?=(?:[ .()/-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ ./-]?[0-9]{2,4}){2,5}\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b",
     "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
-    "local phone": r"(?<![\p{L}\p{N}.,+-])(?:(?:\([0-9]{3}\)[ ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|0[0-9]{2,4}[ /-][0-9]{6,8})(?![\p{N}-])",
+    "local phone": r"(?<![\p{L}\p{N}.,+-])(?:(?:\([0-9]{3}\)[ ]?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|0[0-9]{2,4}[ /-][0-9]{6,8}|0[1-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{3,4}[ -][0-9]{3,4}|[679][0-9]{2}(?:[ ][0-9]{2}){3}|[679][0-9]{2}(?:[ ][0-9]{3}){2})(?![\p{N}-])",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
-    "name": rf"(?=\p{{Lu}})\b(?:{TITLE}{WORD}(?:[ ]{WORD})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})[ ]{WORD})",
+    "name": rf"(?=\p{{Lu}})\b(?:{TITLE}{WORD}(?:[ ]{WORD})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})[ ]{WORD}|(?!(?:{NO_NAMES})\b){WORD}[ ]{WORD}(?=[ ](?:{SPEECH})\b)|(?<=\b(?:{HERALDS})[ ])(?!(?:{NO_NAMES})\b){WORD}[ ]{WORD})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: All but names have one of these in them; most texts have none, which is quickly seen.
-MARK = "[@0-9_]|AKIA|AIza|sk-|xox|eyJ"
+MARK = "[@0-9_]|AKIA|AIza|sk-|xox|eyJ|(?i:pass|pwd|secret|key|token|credential|contraseña|пароль)[^:=\n]{0,12}[:=]"
 MARKED = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "name")
 #: In texts with names every other capitalised word is looked at too.
 ENTITY_OR_WORD = rf"{ENTITY}|(?:\b{WORD})"
@@ -80,6 +91,8 @@ def kind_of(mention: Column) -> Column:
     """The kind of a mention; ``word`` for a capitalised word that is no entity by itself."""
     out = F.lit("word")
     for kind, pattern in reversed(PATTERNS.items()):
+        # A name may be known by what stood beside it, so two words are one; other capitalised words come singly.
+        pattern = rf"{pattern}|{WORD}[ ]{WORD}" if kind == "name" else pattern
         out = F.when(mention.rlike(rf"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
@@ -118,7 +131,7 @@ def parts(mention: Column, kind: Column) -> Column:
     alone = F.when(known, pieces(last, 100, "first", gender)).otherwise(pieces(last, 100, "surname", gender, False))
     name = F.when(F.size(words) > 1, F.concat(pieces(words[0], 0, "first", gender), pieces(last, 100, "surname", none))).otherwise(alone)
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    canon = F.when(kind.isin("phone", "local phone", "card", "ssn"), digits).when(kind == "token", mention).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(F.lower(mention))
+    canon = F.when(kind.isin("phone", "local phone", "card", "ssn"), digits).when(kind == "token", mention).when(kind == "credential", F.regexp_replace(mention, f"^{LABEL}", "")).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(F.lower(mention))
     single = F.array(entity(F.lit(0), F.when(kind == "local phone", "phone").otherwise(kind), canon, none))
     found = F.when(kind == "name", name).when(kind == "word", pieces(mention, 100, None, none)).otherwise(single)
     return F.filter(found, lambda e: F.length(e["canon"]) > 1)
@@ -188,22 +201,29 @@ def candidate(stream: Column, attempt: int) -> Column:
             name = F.when(own, F.concat(stem, F.lit(end))).otherwise(name)
     return (
         F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban)
-        .when(kind.isin("secret", "ipv6"), _spell(canon, s, True)).when(kind == "ssn", _spell(canon, s)).when(kind == "token", token).otherwise(name)
+        .when(kind.isin("secret", "ipv6"), _spell(canon, s, True)).when(kind == "ssn", _spell(canon, s)).when(kind == "token", token).when(kind == "credential", _spell(F.concat(canon, F.lit("x" * (attempt // 4))), s)).otherwise(name)
     )
 
 
-def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
+def surrogates(entities: DataFrame, key: str, known: DataFrame | None = None, max_attempts: int = 40) -> DataFrame:
     """(kind, canon, surrogate) for entities (kind, canon, gender), one to one within each kind.
 
+    Which of two clashing entities tries again depends on what else the corpus holds, so a grown
+    corpus may change a few old replacements. Give the table of an earlier run as ``known``
+    (kind, canon, surrogate) and its entities keep theirs.
+
     A candidate is taken by the smallest entity that got it, unless it is a real entity of the
     kind or was taken before; the rest try again with the next attempt's hash, names with one more
-    syllable every other time. Entities that find no free surrogate in ``max_attempts`` raise an error.
+    syllable every other time, labelled secrets with one more letter every fourth. Entities that find no free surrogate in ``max_attempts`` raise an error.
     """
     shown = entities.groupBy("kind", "canon").agg(F.count_if(F.col("gender") == "male").alias("m"), F.count_if(F.col("gender") == "female").alias("f"))
     male, female = ([n.lower() for n in names] for names in (MALE_NAMES, FEMALE_NAMES))
     gender = F.when(F.col("canon").isin(male), "male").when(F.col("canon").isin(female), "female").when(F.col("m") > F.col("f"), "male").when(F.col("f") > 0, "female").otherwise("other")
     real = materialise(shown.select("kind", "canon", gender.alias("gender")), "entities")
     left, done = real, []
+    if known is not None:
+        done = [known.select("kind", "canon", "surrogate")]
+        left = real.join(known, ["kind", "canon"], "left_anti")
     for attempt in range(max_attempts):
         tried = left.withColumn("surrogate", held_once(_stream(key, attempt), lambda s: candidate(s, attempt)))
         free = tried.join(real.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
@@ -254,19 +274,28 @@ def _render(mention: Column, kind: Column, got: Column) -> Column:
     words = name_words(mention)
     named = F.array_join(F.transform(words, lambda w, i: word(w, F.when((i == 0) & (F.size(words) > 1), 0).otherwise(100))), " ")
     name = F.concat(F.regexp_extract(mention, f"^{TITLE}", 0), named)
+    labelled = F.concat(F.regexp_extract(mention, f"^{LABEL}", 0), one)
     return (
-        F.when(kind == "name", name).when(kind == "word", word(mention, F.lit(100))).when(kind.isin("phone", "local phone", "card", "ssn"), digits).when(kind == "iban", spaced)
+        F.when(kind == "credential", labelled).when(kind == "name", name).when(kind == "word", word(mention, F.lit(100))).when(kind.isin("phone", "local phone", "card", "ssn"), digits).when(kind == "iban", spaced)
         .when(kind.isin("email", "secret", "ipv6"), F.array_join(F.transform(F.split(mention, ""), same_case), "")).otherwise(one)
     )
 
 
-def anonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def anonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, table_path: str | None = None) -> DataFrame:
     """``docs`` with entities replaced in the text, and ``n_entities`` (replaced mentions) added.
 
     Null texts stay null, texts without mentions pass unchanged and are not shuffled; the others
     meet their surrogates by a key of id and text, so rows that repeat both get the same text. An
     empty table gives an empty result. A column named ``n_entities`` is replaced, all others stay.
+
+    Only the replaced texts stay in the shared folder. The table of surrogates is a key to them: it
+    is written to ``table_path`` if the caller names one, and taken as ``known`` by a later run.
     """
+    with scratch(docs.sparkSession):
+        return _anonymise(docs, key, id_col, text_col, known, table_path)
+
+
+def _anonymise(docs: DataFrame, key: str, id_col: str, text_col: str, known: DataFrame | None, table_path: str | None) -> DataFrame:
     kept = [c for c in docs.columns if c not in (text_col, "n_entities")]
     text = F.col(text_col).cast("string")
     pure = docs.filter(~has_entity(text))
@@ -283,11 +312,14 @@ def anonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     names = names.unionByName(titled)
     open_ones = pieces.filter("not sure or kind is null").join(names, ["k", "l", "canon"]).withColumn("kind", F.col("known")).select("k", "l", "pos", "part", "kind", "canon", "gender")
     sure = materialise(pieces.filter("sure and kind is not null").select(open_ones.columns).unionByName(open_ones), "parts")
-    table = surrogates(sure.select("kind", "canon", "gender"), key)
+    table = surrogates(sure.select("kind", "canon", "gender"), key, known)
+    if table_path is not None:
+        table.write.parquet(table_path)
     got = sure.join(table, ["kind", "canon"]).groupBy("k", "l", "pos").agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("got"))
     shown = each.join(got, ["k", "l", "pos"], "left").select("k", "l", F.struct("pos", F.when(F.col("got").isNull(), F.col("mention")).otherwise(_render(F.col("mention"), F.col("of"), F.col("got"))).alias("new"), F.col("got").isNotNull().alias("hit")).alias("s"))
     found = shown.groupBy("k", "l").agg(F.array_sort(F.collect_list("s")).alias("s"))
     between = F.when(named, F.split("text", ENTITY_OR_WORD, -1)).otherwise(F.split("text", ENTITY, -1))
     whole = F.array_join(F.zip_with(between, F.transform("s", lambda s: s["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     hidden = own.join(found, ["k", "l"]).select(*(F.col(f"row.`{c}`") for c in kept), whole.alias(text_col), F.size(F.filter("s", lambda s: s["hit"])).cast("bigint").alias("n_entities"))
+    hidden = materialise(hidden, "anonymised", keep=True)
     return hidden.unionByName(pure.select(*(F.col(f"`{c}`") for c in kept), text.alias(text_col), F.lit(0).cast("bigint").alias("n_entities")))

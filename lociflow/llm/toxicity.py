@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import materialise
+from lociflow.llm.shared import materialise, scratch
 
 
 #: The sample is small; with so few partitions each step of a fit is one short job of one stage.
@@ -77,36 +77,37 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     all, gets its constant share as probability. Folds follow the text's hash, so equal texts
     share one.
     """
-    own = labels.select(F.col(id_col).alias("__id"), *(F.col(c).cast("double").alias(c) for c in categories)).dropna()
-    own = F.broadcast(own.orderBy(F.xxhash64("__id"), "__id", *categories).limit(max_rows))
-    met = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(own, F.col("__doc") == F.col("__id"))
-    sample = met.select(*categories, words(F.col("__text")).alias("__words"), F.pmod(F.xxhash64("__text"), F.lit(folds)).alias("__fold")).repartition(PARTITIONS)
-    sample = materialise(sample, "toxicity-sample")
-    if sample.filter(F.size("__words") > 0).limit(1).count() == 0:
-        n, *sums = sample.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
-        return ToxicityChain(categories, None, [float(s / n) if n else 0.0 for s in sums])
-    least = min(min_docs, max(1, sample.count() // 50))
-    vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size, minDF=float(least)).fit(sample)
-    if not vocabulary.vocabulary:
-        vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size).fit(sample)
-    data, models = vocabulary.transform(sample).drop("__words").coalesce(PARTITIONS).persist(), []
-    held = [data]
-    for i, c in enumerate(categories):
-        earlier = [f"p_{d}" for d in categories[:i]]
-        models.append(_fit(data, c, earlier, penalty))
-        if i + 1 < len(categories):
-            parts = []
-            for f in range(folds):
-                model = _fit(data.filter(F.col("__fold") != f), c, earlier, penalty)
-                parts.append(_apply(data.filter(F.col("__fold") == f), model, earlier, f"p_{c}"))
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            data = out.coalesce(PARTITIONS).persist()
-            held.append(data)
-    for frame in held:
-        frame.unpersist()
-    return ToxicityChain(categories, vocabulary, models)
+    with scratch(docs.sparkSession):
+        own = labels.select(F.col(id_col).alias("__id"), *(F.col(c).cast("double").alias(c) for c in categories)).dropna()
+        own = F.broadcast(own.orderBy(F.xxhash64("__id"), "__id", *categories).limit(max_rows))
+        met = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(own, F.col("__doc") == F.col("__id"))
+        sample = met.select(*categories, words(F.col("__text")).alias("__words"), F.pmod(F.xxhash64("__text"), F.lit(folds)).alias("__fold")).repartition(PARTITIONS)
+        sample = materialise(sample, "toxicity-sample")
+        if sample.filter(F.size("__words") > 0).limit(1).count() == 0:
+            n, *sums = sample.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
+            return ToxicityChain(categories, None, [float(s / n) if n else 0.0 for s in sums])
+        least = min(min_docs, max(1, sample.count() // 50))
+        vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size, minDF=float(least)).fit(sample)
+        if not vocabulary.vocabulary:
+            vocabulary = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary_size).fit(sample)
+        data, models = vocabulary.transform(sample).drop("__words").coalesce(PARTITIONS).persist(), []
+        held = [data]
+        for i, c in enumerate(categories):
+            earlier = [f"p_{d}" for d in categories[:i]]
+            models.append(_fit(data, c, earlier, penalty))
+            if i + 1 < len(categories):
+                parts = []
+                for f in range(folds):
+                    model = _fit(data.filter(F.col("__fold") != f), c, earlier, penalty)
+                    parts.append(_apply(data.filter(F.col("__fold") == f), model, earlier, f"p_{c}"))
+                out = parts[0]
+                for p in parts[1:]:
+                    out = out.unionByName(p)
+                data = out.coalesce(PARTITIONS).persist()
+                held.append(data)
+        for frame in held:
+            frame.unpersist()
+        return ToxicityChain(categories, vocabulary, models)
 
 
 def label_columns(labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociflow.llm import decontam, mixing, nearcopies, records, toxicity
 from lociflow.llm.queries import MIX
-from lociflow.llm.shared import materialise, shared_path
+from lociflow.llm.shared import delete, materialise, scratch, scratch_path, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token records of all documents left, read back as (doc_id, start, n_tokens, ids_crc32)."""
     import public_tokenizers
 
-    folder = shared_path(spark, "token-records")
-    records.write_token_records(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
-    return records.read_token_records(spark, folder)
+    with scratch(spark):
+        folder = scratch_path(spark, "token-records")
+        records.write_token_records(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+        return materialise(records.read_token_records(spark, folder), "token-digests", keep=True)
 
 
 STAGES = [
@@ -60,8 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over the documents table; a stage's table goes when the next one's is written, and only the last stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -107,14 +107,17 @@ def infer_svtype(chrom1, chrom2, start, partner, strand, partner_strand, ins_len
     )
 
 
-def infer_svtype_ct(declared, chrom1, chrom2, start, end, ct, ref, alt) -> Column:
-    """Type by connection text: BP across chromosomes, INS by ALT length, INV, DEL, else as declared."""
-    symbolic = _c(alt).rlike(r"[<\[\]]")
+def infer_svtype_ct(declared, chrom1, chrom2, start, end, ct, alt) -> Column:
+    """Type by connection text: BP across chromosomes, INS where ALT's text is 0.7 of the size or longer, INV, DEL, else as declared.
+
+    The size counts both ends, and a symbolic ALT's text counts like any other.
+    """
+    size = F.abs(_c(end) - _c(start) + 1)
     return (
         F.when(_c(chrom1) != _c(chrom2), "BP")
-        .when(~symbolic & (F.length(_c(alt)) > F.length(_c(ref))), "INS")
+        .when(F.length(_c(alt)) >= 0.7 * size, "INS")
         .when(_c(ct).isin("5to5", "3to3"), "INV")
-        .when((_c(start) < _c(end)) != _c(ct).isin("5to3"), "DEL")
+        .when((_c(start) < _c(end)) != _c(ct).isin("5to3", "3to5"), "DEL")
         .otherwise(_c(declared))
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import calls as X
-from lociflow.operators.ranges import overlap, point_in_interval
+from lociflow.operators.ranges import overlap, point_in_interval, ranked, running_sums
 
 
 def in_bounds(cands: DataFrame, contigs: DataFrame, expand: int = 62) -> DataFrame:
@@ -152,11 +152,10 @@ def match_counts(calls: DataFrame, best: DataFrame) -> DataFrame:
 def pr_curve(counted: DataFrame, n_truth: int) -> DataFrame:
     """(caller, qual, calls, tp, cum_tp, cum_n, cum_fp, precision, recall) by falling QUAL.
 
-    Calls are summed up by QUAL first; the window runs over different QUALs of a caller.
+    Calls are summed up by QUAL first; the sums run over ranges of QUALs of a caller.
     """
-    own = counted.groupBy("caller", "qual").agg(F.count("*").alias("calls"), F.count_if(F.col("hits") > 0).alias("tp"))
-    w = Window.partitionBy("caller").orderBy(F.desc("qual")).rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("cum_tp", F.sum("tp").over(w)).withColumn("cum_n", F.sum("calls").over(w)).withColumn("cum_fp", F.col("cum_n") - F.col("cum_tp"))
+    own = counted.groupBy("caller", "qual").agg(F.count("*").alias("calls"), F.count_if(F.col("hits") > 0).alias("tp")).withColumn("__falling", -F.col("qual"))
+    own = running_sums(own, ["caller"], ["__falling"], {"cum_tp": "tp", "cum_n": "calls"}).drop("__falling").withColumn("cum_fp", F.col("cum_n") - F.col("cum_tp"))
     return own.withColumn("precision", F.col("cum_tp") / F.col("cum_n")).withColumn("recall", F.col("cum_tp") / F.lit(n_truth))
 
 
@@ -172,6 +171,41 @@ def caller_summary(counted: DataFrame, n_truth: int, keys: list[str] | None = No
     return own.withColumn("f1", F.when(F.col("tp") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def param_sweep(counted: DataFrame, truth: DataFrame, keys: list[str], truth_keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """(keys, calls, tp, fp, n_truth, precision, recall, f1) for each set of keys, ``all`` for the keys outside it.
+
+    ``counted`` has the keys and hits, ``truth`` the ``truth_keys`` (those of the keys that a truth row
+    has too). Recall is by the truth of the same group, not by all of it; a group without truth has
+    recall 0. Null keys are a group of their own.
+    """
+    named = lambda c: F.when(F.grouping(c) == 1, "all").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("null"))).alias(c)
+    grouped = lambda s: [[F.col(c) for c in one] for one in s]
+    calls = counted.groupingSets(grouped(sets), *(F.col(c) for c in keys)).agg(F.count("*").alias("calls"), F.count_if(F.col("hits") > 0).alias("tp"), *(named(c).alias(f"__{c}") for c in keys))
+    calls = calls.select(*(F.col(f"__{c}").alias(c) for c in keys), "calls", "tp")
+    own_sets = [list(x) for x in dict.fromkeys(tuple(c for c in one if c in truth_keys) for one in sets)]
+    held = truth.groupingSets(grouped(own_sets), *(F.col(c) for c in truth_keys)).agg(F.count("*").alias("n_truth"), *(named(c).alias(f"__{c}") for c in truth_keys))
+    held = held.select(*(F.col(f"__{c}").alias(c) for c in truth_keys), "n_truth")
+    own = calls.join(held, truth_keys, "left").fillna(0, ["n_truth"]).withColumn("fp", F.col("calls") - F.col("tp")).withColumn("precision", F.col("tp") / F.col("calls"))
+    own = own.withColumn("recall", F.when(F.col("n_truth") > 0, F.col("tp") / F.col("n_truth")).otherwise(0.0))
+    f1 = F.when((F.col("tp") > 0) & (F.col("recall") > 0), 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return own.select(*keys, "calls", "tp", "fp", "n_truth", "precision", "recall", f1.alias("f1"))
+
+
+def on_chroms(calls: DataFrame, chroms: list[str], chrom1: str = "chrom1", chrom2: str = "chrom2") -> DataFrame:
+    """Calls whose ends lie on one chromosome, and on one of ``chroms``."""
+    return calls.filter((F.col(chrom1) == F.col(chrom2)) & F.col(chrom1).isin(chroms))
+
+
+def cut_by_qual(ends: DataFrame, above: float = 0.5, qual: str = "qual", key: str = "end_id", partner: str = "partner_id") -> DataFrame:
+    """Breakends with a QUAL above ``above`` whose partner has passed the cut too."""
+    return keep_partnered(ends.filter(F.col(qual) > above), key, partner)
+
+
+def restrict(calls: DataFrame, truth: DataFrame, chrom: str) -> tuple[DataFrame, DataFrame]:
+    """Calls and truth of one chromosome."""
+    return calls.filter(F.col("chrom") == chrom), truth.filter(F.col("chrom") == chrom)
+
+
 def as_truth(calls: DataFrame) -> DataFrame:
     """A callset in the truth's columns, to match callsets with each other."""
     return calls.select(F.col("call_id").alias("tid"), "chrom", F.col("l").alias("s1"), (F.col("l") + 1).alias("e1"), F.col("r").alias("s2"), (F.col("r") + 1).alias("e2"), "svtype")
@@ -238,6 +272,6 @@ def scores_to_calls(calls: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def fix_translocations(rows: DataFrame, order: str = "ord") -> DataFrame:
-    """TRA rows that come in twos get connections 3to3 and 5to5 and ids of their own; numbered within blocks by order."""
-    n = F.row_number().over(Window.partitionBy("chrom").orderBy(order))
-    return rows.withColumn("n", n).withColumn("connection", F.when(F.col("n") % 2 == 1, "3to3").otherwise("5to5")).withColumn("uid", F.concat_ws("_", F.lit("TRA"), "chrom", F.col("n").cast("string")))
+    """TRA rows that come in twos get connections 3to3 and 5to5 and ids of their own; numbered within a chromosome by order, a range at a time."""
+    own = ranked(rows, ["chrom"], [order], "n")
+    return own.withColumn("connection", F.when(F.col("n") % 2 == 1, "3to3").otherwise("5to5")).withColumn("uid", F.concat_ws("_", F.lit("TRA"), "chrom", F.col("n").cast("string")))

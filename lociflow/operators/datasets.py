@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.operators.ranges import ranked, running_sums
+
 
 def encode_label(label: Column, svtype: str = "DEL") -> Column:
     """0 for the type, 1 for its absence, null for other labels."""
@@ -25,22 +27,9 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(counts), label).withColumn("weight", F.lit(n or 0) / (F.lit(k) * F.col("__n"))).drop("__n")
 
 
-def numbered(df: DataFrame, order: list[str], to: str = "rank", sample: int = 20) -> DataFrame:
-    """``df`` with 1-based ranks by a global sort: ranks within ranges plus the counts before them.
-
-    The ranges' borders come once from ``sample`` rows a range, those of the smallest hashes. A
-    row's range depends on its values alone, so counts and ranks agree however often they are run.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picked = df.select(*order).orderBy(F.xxhash64(*order)).limit(parts * sample)
-    found = picked.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("x")).first()["x"][sample::sample]
-    types = [df.schema[c].dataType for c in order]
-    borders = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order))) for row in found))
-    own = df.withColumn("__p", F.size(F.filter(borders, lambda border: border <= F.struct(*order))) if found else F.lit(0))
-    own = own.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = own.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")  # one row a range
-    return own.join(F.broadcast(before), "__p").withColumn(to, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
+def numbered(df: DataFrame, order: list[str], to: str = "rank") -> DataFrame:
+    """``df`` with 1-based ranks by a global sort: ranks within ranges plus the counts before them."""
+    return ranked(df, [], order, to)
 
 
 def fold_of(rank: Column, n: int, k: int) -> Column:
@@ -113,14 +102,13 @@ def genomic_bins(df: DataFrame, bins: int = 3, pos: str = "pos") -> DataFrame:
     Equal positions all take the later bin.
     """
     at = df.groupBy("chrom", pos).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy("chrom").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    total = df.groupBy("chrom").agg(F.count("*").alias("__n"))
-    order = total.withColumn("__d", F.row_number().over(Window.orderBy("chrom")) - 1)  # one row a chromosome
+    summed = running_sums(at, ["chrom"], [pos], {"__r": "__c"}, {"__n": "__c"})
+    order = df.select("chrom").distinct().withColumn("__d", F.row_number().over(Window.orderBy("chrom")) - 1)  # one row a chromosome
     small, larger = F.floor(F.col("__n") / bins), F.col("__n") % bins
     border, r = larger * (small + 1), F.col("__r")
     own = F.when(r <= border, F.floor((r - 1) / (small + 1))).otherwise(larger + F.floor((r - 1 - border) / F.greatest(small, F.lit(1))))
-    ranked = at.withColumn("__r", F.sum("__c").over(w)).join(F.broadcast(order), "chrom").withColumn("bin", (F.col("__d") * bins + own).cast("int")).select("chrom", pos, "bin")
-    return df.join(ranked, ["chrom", pos])
+    placed = summed.join(F.broadcast(order), "chrom").withColumn("bin", (F.col("__d") * bins + own).cast("int")).select("chrom", pos, "bin")
+    return df.join(placed, ["chrom", pos])
 
 
 def check_split(parts: DataFrame, sample: str, column: str, test: list) -> DataFrame:

@@ -6,11 +6,12 @@ channels: a left clip counts at start + 1, a right clip at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import calls
 from lociflow.functions import cigar as C
+from lociflow.operators.basestore import WIDTH, with_text
 from lociflow.operators.ranges import next_position, prefix_sum
 
 COVERAGE = ["cov_proper", "cov_disc_F", "cov_disc_R", "cov_improper_F", "cov_improper_R"]
@@ -221,12 +222,96 @@ def one_hot(bases: DataFrame) -> DataFrame:
     return own.select("chrom", "pos", F.concat(F.lit("base_"), F.upper("base")).alias("channel"), F.lit(1.0).alias("value"))
 
 
-def chr_array(parts: list[DataFrame]) -> DataFrame:
-    """(chrom, pos, 53 columns): all channel tables side by side, null where a channel has no value."""
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return long.groupBy("chrom", "pos").pivot("channel", ALL).agg(F.first("value"))
+def _wide(df: DataFrame, names: list[str], value: str = "value") -> DataFrame:
+    """(chrom, pos, one column a name) of a channel table, one row for each of its rows."""
+    return df.select("chrom", F.col("pos").cast("bigint").alias("pos"), *(F.when(F.col("channel") == n, F.col(value)).alias(n) for n in names))
+
+
+def read_channels(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10, compat: bool = False) -> DataFrame:
+    """(chrom, pos, channel, value): all that a read adds to counts, coverage changes and distances, from one explode.
+
+    Counts add one at their place; a span adds one to its coverage channels at its start and takes
+    it away at its last base. Distances are z-scores of which a place's median counts.
+    """
+    own = _mapped(reads, min_mapq).withColumn("both", ~C.flag_has("flag", C.MATE_UNMAPPED)).withColumn("same", F.col("chrom") == F.col("next_chrom"))
+    own = own.withColumn("facing", F.col("rev") != F.col("mrev")).withColumn("clip", F.col("lc") | F.col("rc")).withColumn("at", clip_position()).withColumn("sfx", _split_suffix())
+    own = own.withColumn("big", C.get_indels("cigar", "pos0")).withColumn("first", C.sa_first("sa", min_mapq))
+    item = lambda when, channel, pos, value=1.0: F.when(when, F.struct(channel.alias("channel"), pos.cast("bigint").alias("pos"), (F.lit(value) if isinstance(value, float) else value).cast("double").alias("value")))
+    name = lambda *parts: F.concat_ws("_", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    strand, side = F.col("strand"), F.when(F.col("lc"), F.lit("left")).otherwise("right")
+    start, end, next_pos = F.col("pos0"), F.col("end"), F.col("next_pos0")
+
+    spans = [("cov_proper", C.is_properly_mapped("chrom", "next_chrom", "flag")), ("cov_disc", F.col("both") & F.col("same") & F.col("facing") & C.is_discordant_isize("pos0", "next_pos0", mean, sd)), ("cov_improper", F.col("both") & ~F.col("proper"))]
+    out = []
+    for channel, when in spans:
+        full = F.lit(channel) if channel == "cov_proper" else name(channel, strand)
+        out += [item(when & (end - 1 > start), full, start), item(when & (end - 1 > start), full, end - 1, -1.0)]
+    clean = F.col("both") & F.col("same") & F.col("facing") & F.col("sa").isNull() & F.col("clip")
+    out += [item(clean, name(side, strand), F.col("at")), item(clean & ~F.col("proper"), name("disc", side, strand), F.col("at"))]
+    turned = F.col("both") & F.col("same") & ~F.col("facing") & F.col("clip")
+    turned = turned & F.col("sa").isNull() if compat else turned
+    out.append(item(turned, F.concat(F.lit("inv_"), F.when(start > next_pos, "before").otherwise("after"), "sfx"), F.col("at")))
+    after, before = F.col("lc") & F.col("rev") & (start < next_pos), ~F.col("lc") & F.col("rc") & ~F.col("rev") & (start > next_pos)
+    out.append(item(F.col("both") & F.col("same") & F.col("facing") & (after | before), F.concat(F.lit("dup_"), F.when(after, "after").otherwise("before"), "sfx"), F.col("at")))
+    out.append(item(F.col("both") & ~F.col("same") & F.col("clip"), F.concat(F.lit("tra_"), F.when(F.col("facing"), "opposite").otherwise("same"), "sfx"), F.col("at")))
+    ahead, behind = ~F.col("rev") & F.col("mrev") & (start <= next_pos), F.col("rev") & ~F.col("mrev") & (start > next_pos)
+    paired, o, z = F.col("both") & F.col("same") & (ahead | behind), F.when(ahead, "forward").otherwise("reverse"), (F.abs(start - next_pos) - mean) / sd
+    out += [item(paired, name("clipdist", o, "all"), F.when(F.col("rev"), start).otherwise(end + 1), z), item(paired & F.col("clip"), name("clipdist", o, side), F.when(F.col("lc"), start).otherwise(end + 1), z)]
+    single = F.col("first").isNotNull() & (F.col("lc") != F.col("rc"))
+    sa = C.sa_list("sa")[0]["cigar"]
+    sa_pos = F.col("first.pos0") + F.when(C.is_left_clipped(sa), F.lit(1)).when(C.is_right_clipped(sa), C.cigar_consumed(sa)).otherwise(0)
+    place = F.when(F.col("rc"), end).otherwise(start + 1)
+    far = F.when(F.col("chrom") == F.col("first.rname"), (F.abs(place - sa_pos) - mean) / sd).otherwise(0.0)
+    out += [item(single, name("split", side, strand), place), item(single, name("splitdist", side, strand), place, far)]
+    indels = F.flatten(F.transform("big", lambda i: F.when(i["kind"] == "INS", F.array(item(F.lit(True), name("I", strand), i["s"]))).otherwise(F.array(item(F.lit(True), name("D_left", strand), i["s"]), item(F.lit(True), name("D_right", strand), i["e"])))))
+    none = F.array().cast("array<struct<channel:string,pos:bigint,value:double>>")
+    each = own.select("chrom", F.explode(F.filter(F.concat(F.array(*out), F.coalesce(indels, none)), lambda x: x.isNotNull())).alias("x"))
+    return each.select("chrom", "x.pos", "x.channel", "x.value")
+
+
+def chr_array(reads: DataFrame, contigs: DataFrame, store: DataFrame, mean: float, sd: float, pile: DataFrame | None = None, min_mapq: int = 10, block: int = 65536, width: int = WIDTH) -> DataFrame:
+    """(chrom, s, e, 48 channels, bases): the whole-genome array as segments over which no channel changes; ``dense`` gives its 53 columns by position.
+
+    Coverage is a step function, kept as changes; counts, medians and the pileup hold at single
+    positions. All are cut at the union of their borders and at those of the base store's chunks, and
+    coverage is carried on as a running sum: totals by block of positions first, then within blocks,
+    where each segment also finds its end. Contigs are covered from 0 to their length, missing values
+    are zero, and what lies outside is left out. A segment's ``bases`` are its stretch of the reference.
+    """
+    each = read_channels(reads, mean, sd, min_mapq)
+    distance = F.col("channel").startswith("clipdist") | F.col("channel").startswith("splitdist")
+    counts, medians = [c for c in ALL if c.split("_")[0] not in ("clipdist", "splitdist", "snv", "base")], CLIP_DISTANCE + SPLIT_DISTANCE
+    points = [c for c in counts if c not in COVERAGE] + medians + SNV
+    middle = each.filter(distance).groupBy("chrom", "pos", "channel").agg(F.median("value").alias("value"))
+    rows = _wide(each.filter(~distance), counts).unionByName(_wide(middle, medians), allowMissingColumns=True)
+    if pile is not None:
+        named = [F.col(v).cast("double").alias(n) for n, v in zip(SNV, ("bq_median", "snv_fraction", "mapq_median"))]
+        rows = rows.unionByName(pile.select("chrom", "pos", *named), allowMissingColumns=True)
+    for c in SNV if pile is None else []:
+        rows = rows.withColumn(c, F.lit(None).cast("double"))
+    # The place after a point is a border too, as the point ends there.
+    ends = each.filter(~F.col("channel").startswith("cov")).select("chrom", (F.col("pos") + 1).alias("pos"))
+    ends = ends if pile is None else ends.unionByName(pile.select("chrom", (F.col("pos") + 1).alias("pos")))
+    cuts = contigs.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1, F.lit(width).cast("bigint"))).alias("pos"))
+    held = rows.unionByName(ends.unionByName(cuts), allowMissingColumns=True).groupBy("chrom", "pos").agg(*(F.sum(c).alias(c) for c in COVERAGE + points))
+    lengths = F.broadcast(contigs.select(F.col("chrom").alias("c"), "len"))
+    # Coverage from before the contig's start counts from 0 on; a contig has its border there.
+    own = held.join(lengths, F.col("chrom") == F.col("c")).filter(F.col("pos") < F.col("len")).withColumn("k", F.floor(F.greatest("pos", F.lit(0)) / block))
+    totals = own.groupBy("chrom", "k").agg(F.min(F.when(F.col("pos") >= 0, F.col("pos"))).alias("begin"), *(F.sum(c).alias(f"t_{c}") for c in COVERAGE))
+    over = Window.partitionBy("chrom").orderBy("k")  # one row a block
+    before = totals.select("chrom", "k", F.lead("begin").over(over).alias("next_block"), *(F.coalesce(F.sum(f"t_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"t_{c}") for c in COVERAGE))
+    inside = Window.partitionBy("chrom", "k").orderBy("pos")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = own.select("chrom", "k", "pos", "len", F.lead("pos").over(inside).alias("next"), *(F.coalesce(F.sum(c).over(run), F.lit(0.0)).alias(c) for c in COVERAGE), *points)
+    cut = own.join(before, ["chrom", "k"]).filter("pos >= 0")
+    cut = cut.select("chrom", F.col("pos").alias("s"), F.coalesce("next", "next_block", "len").alias("e"), *((F.col(c) + F.col(f"t_{c}")).alias(c) if c in COVERAGE else F.coalesce(c, F.lit(0.0)).alias(c) for c in ALL if c not in BASES))
+    return with_text(cut, store, "chrom", "s", "e", "bases", width, width)
+
+
+def dense(segments: DataFrame) -> DataFrame:
+    """(chrom, pos, 53 columns) of array segments: each position's values, bases as indicators."""
+    each = segments.select("chrom", "s", *(c for c in ALL if c not in BASES), F.posexplode(F.split(F.upper("bases"), "")).alias("i", "base"))
+    return each.select("chrom", (F.col("s") + F.col("i")).alias("pos"), *((F.col("base") == c[-1]).cast("double").alias(c) if c in BASES else F.col(c) for c in ALL))
 
 
 def channel_stats(channels: DataFrame, contigs: DataFrame) -> DataFrame:

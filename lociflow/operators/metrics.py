@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.operators.ranges import running_sums
+
 
 def accuracy(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or [])).agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
@@ -23,11 +25,9 @@ def confusion(df: DataFrame, classes: list[int]) -> DataFrame:
 
 
 def _steps(df: DataFrame, keys: list[str]) -> DataFrame:
-    own = df.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if(F.col("hit")).alias("tp"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = df.groupBy(*keys).agg(F.count_if(F.col("hit")).alias("positives"))
-    own = own.withColumn("cum_n", F.sum("n").over(w)).withColumn("cum_tp", F.sum("tp").over(w))
-    own = own.join(F.broadcast(whole), keys) if keys else own.withColumn("positives", F.lit(whole.first()[0]))
+    """Counts at each different score of a key and above it; the sums run over ranges of scores, so a key may hold most rows."""
+    own = df.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if(F.col("hit")).alias("tp")).withColumn("__falling", -F.col("score"))
+    own = running_sums(own, keys, ["__falling"], {"cum_n": "n", "cum_tp": "tp"}, {"positives": "tp"}).drop("__falling")
     return own.withColumn("precision", F.col("cum_tp") / F.col("cum_n")).withColumn("recall", F.when(F.col("positives") > 0, F.col("cum_tp") / F.col("positives")).otherwise(0.0))
 
 
@@ -44,9 +44,8 @@ def one_against_rest(df: DataFrame, probs: dict[int, str]) -> DataFrame:
 
 def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of recall steps times precision over different scores, high to low."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    own = _steps(df, keys).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
-    return own.groupBy(*keys).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    step = F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0)
+    return _steps(df, keys).groupBy(*keys).agg(F.sum(step * F.col("precision")).alias("average_precision"))
 
 
 def f1_weighted(df: DataFrame) -> DataFrame:

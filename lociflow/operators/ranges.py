@@ -153,15 +153,14 @@ def _range_of(borders: list, key: Column, types: list) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], to: str, total: str | None = None, sample: int = 20) -> DataFrame:
-    """``df`` with 1-based ranks ``to`` by ``order`` within ``keys`` (none: over the whole table) and, if named, the group's row count ``total``.
-
-    The sorted table is cut into ranges of (keys, order); ranks are counted within a range of a
-    group, and the counts of the group's earlier ranges are added. A group with most of the rows
-    spreads over many ranges, so no task ranks a whole group. The borders come once from
-    ``sample`` random rows a range and only balance the work: a row's range depends on its values
-    alone, so a rerun gives the same ranks. Nulls are one group and sort first; rows equal in
-    ``order`` are ranked in any order.
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], totals: dict[str, str] | None = None, sample: int = 20) -> DataFrame:
+    """``df`` with running sums (new name: column) by ``order`` within ``keys`` (none: over the whole table), and whole sums of the group.
+
+    The sorted table is cut into ranges of (keys, order); sums run within a range of a group, and
+    those of the group's earlier ranges are added. A group with most of the rows spreads over many
+    ranges, so no task gets a whole group. The borders come once from ``sample`` random rows a range
+    and only balance the work: a row's range depends on its values alone, so a rerun gives the same
+    sums. Nulls are one group and sort first; rows equal in ``order`` come in any order.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [*keys, *order]
@@ -170,11 +169,54 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], to: str, total: str
     picked = df.select(key.alias("x")).orderBy(F.rand(42)).limit(parts * sample)
     found = picked.agg(F.array_sort(F.collect_list("x")).alias("x")).first()["x"][sample::sample]
     borders = [row for i, row in enumerate(found) if i == 0 or row != found[i - 1]]
-    group = F.struct(F.lit(0), *(F.col(c) for c in keys))
-    own = df.withColumn("__g", group).withColumn("__p", _range_of(borders, key, types))
-    own = own.withColumn("__i", F.row_number().over(Window.partitionBy("__g", "__p").orderBy(*order)))
-    counts = own.groupBy("__g", "__p").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy("__g")
-    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(w)).drop("__c")
-    out = own.join(before, ["__g", "__p"]).withColumn(to, F.col("__b") + F.col("__i"))
-    return (out if total is None else out.withColumn(total, F.col("__n"))).drop("__g", "__p", "__i", "__b", "__n")
+    totals = totals or {}
+    own = df.withColumn("__g", F.struct(F.lit(0), *(F.col(c) for c in keys))).withColumn("__p", _range_of(borders, key, types))
+    inside = Window.partitionBy("__g", "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    used = sorted({*sums.values(), *totals.values()})
+    counts = own.groupBy("__g", "__p").agg(*(F.sum(c).alias(f"__s{i}") for i, c in enumerate(used)))
+    w = Window.partitionBy("__g")  # one row a range
+    upto = w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__g", "__p", *(F.sum(f"__s{used.index(c)}").over(upto).alias(f"__b{i}") for i, c in enumerate(sums.values())), *(F.sum(f"__s{used.index(c)}").over(w).alias(f"__t{i}") for i, c in enumerate(totals.values())))
+    own = own.select("*", *(F.sum(c).over(inside).alias(f"__i{i}") for i, c in enumerate(sums.values()))).join(before, ["__g", "__p"])
+    out = {to: F.coalesce(F.col(f"__b{i}"), F.lit(0)) + F.coalesce(F.col(f"__i{i}"), F.lit(0)) for i, to in enumerate(sums)} | {to: F.coalesce(F.col(f"__t{i}"), F.lit(0)) for i, to in enumerate(totals)}
+    return own.select(*(F.col(f"`{c}`") for c in df.columns if c not in out), *(c.alias(to) for to, c in out.items()))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], to: str, total: str | None = None, sample: int = 20) -> DataFrame:
+    """``df`` with 1-based ranks ``to`` by ``order`` within ``keys`` and, if named, the group's row count ``total``, as ``running_sums`` of ones."""
+    own = df.withColumn("__one", F.lit(1).cast("bigint"))
+    return running_sums(own, keys, order, {to: "__one"}, {total: "__one"} if total else None, sample).drop("__one")
+
+
+def nth_smallest(df: DataFrame, column: str, k: int, few: int = 10_000):
+    """The ``k``-th smallest non-null value (from 1) of a column, exact, as a driver number.
+
+    A quantile sketch gives two values around the wanted rank, rows below and between are counted,
+    and the rows between are looked at again, until few are left or one value holds the rank. No task
+    gets more than ``few`` values.
+    """
+    own = df.select(F.col(column).alias("v")).filter("v is not null")
+    left, below = own.count(), 0
+    if not 0 < k <= left:
+        raise ValueError(f"no value of rank {k} among {left}")
+    reach = 2e-4
+    while left > few:
+        share = (k - below - 0.5) / left
+        low, high = own.agg(F.percentile_approx("v", [max(0.0, share - reach), min(1.0, share + reach)], 10_000)).first()[0]
+        under, upto = own.agg(F.count_if(F.col("v") < F.lit(low)), F.count_if(F.col("v") <= F.lit(high))).first()
+        if not under < k - below <= upto:  # the sketch was off by more
+            reach *= 8
+            continue
+        if low == high:
+            return low
+        own, below, left = own.filter(F.col("v").between(F.lit(low), F.lit(high))), below + under, upto - under
+    return own.orderBy("v").limit(k - below).agg(F.max("v")).first()[0]
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column's non-null values, the mean of both middle ones of an even number; null without any."""
+    n = df.filter(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    low = nth_smallest(df, column, (n + 1) // 2)
+    return float(low) if n % 2 else (float(low) + float(nth_smallest(df, column, n // 2 + 1))) / 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import cigar as C
 from lociflow.operators.basestore import with_text
-from lociflow.operators.ranges import next_position, prefix_sum
+from lociflow.operators.ranges import exact_median, next_position, nth_smallest, prefix_sum
 
 
 def drop_failed(reads: DataFrame) -> DataFrame:
@@ -70,10 +70,10 @@ def insert_size_percentile(reads: DataFrame, p: float = 0.995, least: int = 30,
     own = own.filter(rev | mate) if compat else own.filter(rev != mate)
     if large is not None and own.count() > large:
         own = own.orderBy("ord").offset(skip).limit(take)
-    sizes = own.groupBy(F.abs("tlen").alias("size")).agg(F.count("*").alias("c"))  # few distinct sizes
-    ranked = sizes.withColumn("upto", F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    rank = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(p)))
-    return ranked.filter(F.col("upto") >= rank).groupBy("n").agg(F.min("size").cast("bigint").alias("insert_size"))
+    sizes = own.select(F.abs("tlen").cast("bigint").alias("size"))
+    n = sizes.filter("size is not null").count()
+    found = [] if not n else [(n, nth_smallest(sizes, "size", max(1, int(n * p))))]
+    return reads.sparkSession.createDataFrame(found, "n bigint, insert_size bigint")
 
 
 def insert_size_stats(reads: DataFrame, longest: int = 1000, first: int | None = None) -> DataFrame:
@@ -124,8 +124,8 @@ def pileup(reads: DataFrame, store: DataFrame, seq: str = "seq", qual: str = "qu
 
 def drop_outliers(df: DataFrame, columns: list[str], threshold: float = 3.5) -> DataFrame:
     """Rows whose modified z-score of the distance from the medians is at most ``threshold``; a zero spread drops none."""
-    centre = df.agg(*(F.median(c).alias(c) for c in columns)).first()
+    centre = {c: exact_median(df, c) for c in columns}
     d = F.sqrt(sum(((F.col(c) - F.lit(centre[c])) ** 2 for c in columns), F.lit(0.0)))
     far = df.withColumn("__d", d)
-    mad = far.agg(F.median("__d")).first()[0]
+    mad = exact_median(far, "__d")
     return (far.filter(0.6745 * F.col("__d") / F.lit(mad) <= threshold) if mad else far).drop("__d")

@@ -10,7 +10,9 @@ from lociflow.plans.fixtures import BASE, DUCK_BASES, with_ctes
 from lociflow.plans.genome_queries import G
 from lociflow.plans.registry import query
 from lociflow.plans.scalar_queries import OPS, K, R
-from lociflow.sources import text
+from lociflow.plans.signal_queries import TENSOR
+from lociflow.sources import stores, text
+from lociflow.sources.places import shared_path
 
 KT, KR = with_ctes("cand", "truth"), with_ctes("cand", "regions")
 H = 100
@@ -135,9 +137,24 @@ def agg_caller_summary(fx):
     return callsets.caller_summary(counted(fx), fx.truth.count()).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
-@query("agg_param_sweep", f"{MATCH}\nSELECT caller, svtype, calls, tp, calls - tp AS fp, {SUMMARY} FROM sm, nt")
+#: Each call belongs to one simulated setting, found by its id; the truth is made with the same settings.
+SETTING = "CASE {0} % 3 WHEN 0 THEN 'coverage' WHEN 1 THEN 'insert size' ELSE 'read length' END AS parameter, ({0} * 7) % 4 AS setting, CASE WHEN {0} % 2 = 0 THEN 'hmz' ELSE 'htz' END AS genotype"
+SWEEP = ["parameter", "setting", "genotype", "svtype", "mode", "caller"]
+SWEEP_SETS = [SWEEP, ["parameter", "setting", "genotype", "mode", "caller"], ["parameter", "setting", "svtype", "caller"], ["svtype", "caller"], ["caller"]]
+_truth_sets = list(dict.fromkeys(tuple(c for c in one if c not in ("mode", "caller")) for one in SWEEP_SETS))
+_shown = lambda c: f"CASE WHEN grouping({c}) = 1 THEN 'all' ELSE CAST({c} AS VARCHAR) END AS {c}"
+_sets = lambda sets: ", ".join("(" + ", ".join(one) + ")" for one in sets)
+
+
+@query("agg_param_sweep", f"""{MATCH}, sc AS (SELECT *, {SETTING.format('call_id')}, CASE WHEN qual % 2 = 0 THEN 'split' ELSE 'clip' END AS mode FROM mc), st AS (SELECT *, {SETTING.format('tid')} FROM truth),
+gc AS (SELECT {', '.join(map(_shown, SWEEP))}, count(*) AS calls, count(CASE WHEN hits > 0 THEN 1 END) AS tp FROM sc GROUP BY GROUPING SETS ({_sets(SWEEP_SETS)})),
+gt AS (SELECT {', '.join(map(_shown, SWEEP[:4]))}, count(*) AS n_truth FROM st GROUP BY GROUPING SETS ({_sets(_truth_sets)}))
+SELECT {', '.join(SWEEP)}, calls, tp, calls - tp AS fp, coalesce(n_truth, 0) AS n_truth, round(CAST(tp AS DOUBLE) / calls, 9) AS precision, round(CASE WHEN n_truth > 0 THEN CAST(tp AS DOUBLE) / n_truth ELSE 0 END, 9) AS recall, round(CASE WHEN tp > 0 AND n_truth > 0 THEN 2.0 * tp / (calls + n_truth) ELSE 0 END, 9) AS f1
+FROM gc LEFT JOIN gt USING ({', '.join(SWEEP[:4])})""")
 def agg_param_sweep(fx):
-    return callsets.caller_summary(counted(fx), fx.truth.count(), ["caller", "svtype"]).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+    own = counted(fx).selectExpr("*", *SETTING.format("call_id").replace(" AS parameter, ", " AS parameter|").replace(" AS setting, ", " AS setting|").split("|"), "CASE WHEN qual % 2 = 0 THEN 'split' ELSE 'clip' END AS mode")
+    truth = fx.truth.selectExpr("*", *SETTING.format("tid").replace(" AS parameter, ", " AS parameter|").replace(" AS setting, ", " AS setting|").split("|"))
+    return callsets.param_sweep(own, truth, SWEEP, SWEEP[:4], SWEEP_SETS).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 @query("agg_max_recall", f"{MATCH}\nSELECT caller, round(max(CAST(cum_tp AS DOUBLE) / n_truth), 9) AS recall FROM pr, nt GROUP BY caller")
@@ -342,9 +359,16 @@ def met_average_precision(fx):
     return metrics.average_precision(known(fx).withColumn("hit", F.col("y") == 0), ["chrom"]).withColumn("average_precision", F.round("average_precision", 9))
 
 
-@query("met_pr_points", f"{STEPS}\nSELECT chrom, score, round(precision, 9) AS precision, round(recall, 9) AS recall FROM pt")
+@query("met_pr_points", KNOWN + """,
+pc AS (SELECT '0' AS cls, score AS v, y = 0 AS hit FROM kn UNION ALL SELECT '1', 1 - score, y = 1 FROM kn),
+pa AS (SELECT * FROM pc UNION ALL SELECT 'micro', v, hit FROM pc),
+p0 AS (SELECT cls, v, count(*) AS n, count(CASE WHEN hit THEN 1 END) AS tp FROM pa GROUP BY ALL),
+p1 AS (SELECT *, sum(tp) OVER w AS ct, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY cls) AS p FROM p0 WINDOW w AS (PARTITION BY cls ORDER BY v DESC))
+SELECT cls, round(v, 9) AS score, round(CAST(ct AS DOUBLE) / cn, 9) AS precision, round(CASE WHEN p > 0 THEN CAST(ct AS DOUBLE) / p ELSE 0 END, 9) AS recall FROM p1""")
 def met_pr_points(fx):
-    return metrics.pr_points(known(fx).withColumn("hit", F.col("y") == 0), ["chrom"]).withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
+    """One class against the rest, for each class and for the pool of all."""
+    own = metrics.one_against_rest(known(fx).withColumn("other", 1 - F.col("score")), {0: "score", 1: "other"})
+    return metrics.pr_points(own, ["cls"]).withColumns({c: F.round(c, 9) for c in ("score", "precision", "recall")})
 
 
 @query("met_f1_weighted", f"{KNOWN}, f AS (SELECT t.y, n, tp, coalesce(p, 0) AS p FROM (SELECT y, count(*) AS n, count(CASE WHEN y = pred THEN 1 END) AS tp FROM kn GROUP BY y) t LEFT JOIN (SELECT pred, count(*) AS p FROM kn GROUP BY pred) q ON q.pred = t.y)\nSELECT round(CAST(sum(CASE WHEN tp > 0 THEN 2.0 * tp / (n + p) ELSE 0 END * n) AS DOUBLE) / sum(n), 9) AS f1_weighted FROM f")
@@ -507,9 +531,29 @@ def snk_signals(fx):
     return text.signal_lines(own.groupBy("chrom", F.col("o.ref_start").alias("pos")).agg(F.count("*").alias("event")))
 
 
-@query("snk_channels", f"{K}\nSELECT call_id AS sv_id, chrom, l, r FROM cand")
+@query("snk_channels", f"{TENSOR}, t AS (SELECT sv_id, channel, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (\"offset\" + 1)) AS BIGINT) AS weighted FROM cells GROUP BY ALL HAVING sum(value) > 0)\nSELECT sv_id, cw.chrom, cw.l, cw.r, channel, total, weighted FROM t JOIN cw USING (sv_id)")
 def snk_channels(fx):
-    return fx.cand.select(F.col("call_id").alias("sv_id"), "chrom", "l", "r")
+    """Tensors with their positions, written to a store by place and read back by region: each row's sum, and its sum weighted by place."""
+    own = fx.cand.select(F.col("call_id").alias("sv_id"), "chrom", "l", "r")
+    sparse = windows.channels(own, signals.signals(fx.reads), reads.depth(fx.reads), fx.store)
+    path = shared_path(fx.spark, "channels")
+    stores.write_store(windows.dense(sparse).join(own, "sv_id"), path, key="sv_id")
+    whole = fx.contigs.select("chrom", F.lit(0).alias("s"), (F.col("len") + 100_000).alias("e"))
+    row = stores.read_regions(fx.spark, path, whole).select("sv_id", "chrom", "l", "r", F.posexplode("tensor").alias("channel", "row"))
+    sums = F.aggregate("row", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    placed = F.aggregate(F.transform("row", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return row.select("sv_id", "chrom", "l", "r", "channel", sums.alias("total"), placed.alias("weighted")).filter("total > 0")
+
+
+@query("src_reads_by_region", f"{R}, {with_ctes('regions', after=('reads',))}, sp AS (SELECT *, pos0 + CAST(coalesce(list_sum([CAST(v AS BIGINT) FOR v IN regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1)]), 0) AS BIGINT) AS e2 FROM reads)\nSELECT qname, ord, sp.chrom, pos0, e2 AS e FROM sp WHERE EXISTS (SELECT 1 FROM regions g WHERE g.chrom = sp.chrom AND pos0 < g.e AND e2 > g.s)")
+def src_reads_by_region(fx):
+    """Reads written to a store by place, and those over some region read back."""
+    from lociflow.functions import cigar as C
+
+    own = fx.reads.withColumn("e", F.coalesce(C.cigar_ref_end("pos0", "cigar"), F.col("pos0")))
+    path = shared_path(fx.spark, "reads")
+    stores.write_store(own, path, lo="pos0", hi="e", key="qname")
+    return stores.read_regions(fx.spark, path, fx.regions, lo="pos0", hi="e").select("qname", "ord", "chrom", "pos0", "e")
 
 
 def typed(fx):

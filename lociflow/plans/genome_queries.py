@@ -8,6 +8,7 @@ from lociflow.operators import genome, reads
 from lociflow.plans.fixtures import DUCK_BASES
 from lociflow.plans.registry import query
 from lociflow.plans.scalar_queries import OPS
+from lociflow.plans.signal_queries import PILE, piled
 
 MEAN, SD = 500.0, 200.0
 #: Reads with end, clip sides and strands, as the channels see them.
@@ -69,11 +70,11 @@ def agg_channel_meansd(fx):
     return genome.channel_stats(genome.coverage(fx.reads, MEAN, SD), fx.contigs)
 
 
-@query("gw_snv3")
+@query("gw_snv3", f"{PILE}\nSELECT chrom, pos // 1000 AS bin, channel, count(*) AS n, round(sum(value), 4) AS total, round(sum(value * (pos % 97)), 4) AS placed FROM (SELECT chrom, pos, 'snv_bq' AS channel, bq_median AS value FROM pile UNION ALL SELECT chrom, pos, 'snv_fraction', snv_fraction FROM pile UNION ALL SELECT chrom, pos, 'snv_mapq', mapq_median FROM pile) GROUP BY ALL")
 def gw_snv3(fx):
-    """Base quality and mapping quality medians and the fraction of other bases, from made sequences."""
-    own = fx.reads.withColumn("seq", F.rpad(F.lit("ACGT"), 400, "ACGT")).withColumn("qual", F.rpad(F.lit("5"), 400, "5"))
-    return genome.snv(reads.pileup(own, fx.bases))
+    """Base quality and mapping quality medians and the fraction of other bases, summed up by kilobase."""
+    own = genome.snv(piled(fx)).withColumn("bin", F.floor(F.col("pos") / 1000))
+    return own.groupBy("chrom", "bin", "channel").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * (F.col("pos") % 97)), 4).alias("placed"))
 
 
 @query("gw_clipped_pos", f"""{G}, okc AS (SELECT * FROM g WHERE sa IS NULL)
@@ -158,14 +159,38 @@ def gw_one_hot5(fx):
 LONG = f"""{G}, {COV}, {DIST}, long AS (SELECT chrom, pos, channel, CAST(count(*) AS DOUBLE) AS value FROM ({CLIPS} UNION ALL {INV} UNION ALL {DUP} UNION ALL {TRA} UNION ALL {SPLITS}) GROUP BY ALL
 UNION ALL SELECT chrom, pos, channel, CAST(sum(delta) OVER (PARTITION BY chrom, channel ORDER BY pos) AS DOUBLE) FROM cd UNION ALL SELECT chrom, pos, channel, median(z) FROM dk GROUP BY ALL
 UNION ALL SELECT chrom, pos, channel, median(z) FROM ({SDIST}) GROUP BY ALL)"""
-SHOWN = ["cov_proper", "left_F", "right_R", "inv_after", "dup_before", "tra_same", "split_left_F", "clipdist_forward_all"]
+VALUES = [c for c in genome.ALL if c not in genome.BASES]
 
 
-@query("gw_chr_array", f"{LONG}\nSELECT chrom, pos, {', '.join(f'''round(max(CASE WHEN channel = '{c}' THEN value END), 6) AS {c}''' for c in SHOWN)} FROM long GROUP BY chrom, pos")
+def sums_sql(names, table):
+    return " UNION ALL ".join(f"SELECT chrom, '{c}' AS channel, count(CASE WHEN {c} <> 0 THEN 1 END) AS nonzero, round(sum({c}), 5) AS total, round(sum({c} * (pos % 97)), 5) AS placed FROM {table} GROUP BY chrom" for c in names)
+
+
+#: The twin lays out every position: coverage is carried from its changes to each of them.
+@query("gw_chr_array", f"""{LONG}, {PILE[PILE.index("b AS ("):]},
+every AS MATERIALIZED (SELECT chrom, unnest(range(len)) AS pos FROM contigs_of, span),
+places AS (SELECT chrom, pos, {', '.join(f"max(CASE WHEN channel = '{c}' THEN value END) AS {c}" for c in VALUES if c not in genome.SNV)} FROM long GROUP BY chrom, pos),
+laid AS MATERIALIZED (SELECT every.chrom, every.pos, {', '.join(f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY every.chrom ORDER BY every.pos), 0) AS {c}" if c in genome.COVERAGE else f"coalesce({c}, 0) AS {c}" for c in VALUES if c not in genome.SNV)},
+  coalesce(bq_median, 0) AS snv_bq, coalesce(snv_fraction, 0) AS snv_fraction, coalesce(mapq_median, 0) AS snv_mapq, {', '.join(f"CAST(coalesce(base = '{c[-1]}', false) AS INT) AS {c}" for c in genome.BASES)}
+  FROM every LEFT JOIN places USING (chrom, pos) LEFT JOIN pile USING (chrom, pos) LEFT JOIN b USING (chrom, pos))
+{sums_sql(genome.ALL, 'laid')}""".replace("FROM contigs_of, span", "FROM (SELECT unnest(['12', '22']) AS chrom), span"))
 def gw_chr_array(fx):
-    """All 53 columns side by side but for pileup and bases, which cover every position; eight are compared."""
-    r = fx.reads
-    parts = [genome.coverage(r, MEAN, SD), genome.clipped(r), genome.inversions(r), genome.duplications(r), genome.translocations(r), genome.split_counts(r), genome.clip_distances(r, MEAN, SD), genome.split_distances(r, MEAN, SD)]
-    return genome.chr_array(parts).select("chrom", "pos", *(F.round(c, 6).alias(c) for c in SHOWN))
+    """All 53 columns of every position, summed up over segments: how many are not zero, their sum, and their sum weighted by place."""
+    array = genome.chr_array(fx.reads, fx.contigs, fx.store, MEAN, SD, piled(fx))
+
+    def below(x):
+        r = x % 97
+        return F.floor(x / 97) * (97 * 48) + r * (r - 1) / 2
+
+    n, w = F.col("e") - F.col("s"), below(F.col("e")) - below(F.col("s"))
+    sums = {c: (F.sum(F.when(F.col(c) != 0, n).otherwise(0)), F.sum(F.col(c) * n), F.sum(F.col(c) * w)) for c in VALUES}
 
+    def at(base):
+        return F.filter(F.transform(F.split("bases", ""), lambda x, i: F.when(x == base, (F.col("s") + i) % 97)), lambda x: x.isNotNull())
 
+    for c in genome.BASES:
+        found = F.length("bases") - F.length(F.replace("bases", F.lit(c[-1]), F.lit("")))
+        sums[c] = (F.sum(found), F.sum(found).cast("double"), F.sum(F.aggregate(at(c[-1]), F.lit(0.0), lambda a, x: a + x)))
+    own = array.groupBy("chrom").agg(*(x.alias(f"{c}_{i}") for c, xs in sums.items() for i, x in enumerate(xs)))
+    rows = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"{c}_0").cast("bigint").alias("nonzero"), F.round(f"{c}_1", 5).alias("total"), F.round(f"{c}_2", 5).alias("placed")) for c in sums))
+    return own.select("chrom", F.explode(rows).alias("x")).select("chrom", "x.*")

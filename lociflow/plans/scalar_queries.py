@@ -98,8 +98,9 @@ call("qual_proxy", lambda: X.qual_proxy(F.when(F.col("caller") == "A", "lumpy").
      "CASE caller WHEN 'A' THEN qual % 10 WHEN 'B' THEN CASE WHEN qual % 2 = 0 THEN qual % 7 ELSE 0 END + qual % 5 ELSE qual END")
 INFER = "CASE WHEN call_id % 50 = 0 THEN 'CTX' WHEN qual % 90 >= 0.7 * (r - l) THEN 'INS' WHEN call_id % 3 = 0 THEN 'INV' WHEN (l < r) <> (call_id % 9 = 1) THEN 'DEL' ELSE 'DUP' END"
 call("svtype_infer", lambda: X.infer_svtype(F.lit("12"), F.when(F.col("call_id") % 50 == 0, "22").otherwise("12"), "l", "r", F.when(F.col("call_id") % 9 == 1, "-").otherwise("+"), F.when((F.col("call_id") % 3 == 0) == (F.col("call_id") % 9 == 1), "-").otherwise("+"), F.col("qual") % 90, F.col("r") - F.col("l")), INFER)
-call("svtype_infer_py", lambda: X.infer_svtype_ct("svtype", F.lit("1"), F.when(F.col("call_id") % 50 == 0, "2").otherwise("1"), "l", "r", F.element_at(F.array(*(F.lit(x) for x in ("5to5", "3to3", "3to5", "5to3"))), (F.col("call_id") / 20 % 4).cast("int") + 1), F.lit("A"), F.when(F.col("qual") % 5 == 0, "ACGT").otherwise("<DEL>")),
-     "CASE WHEN call_id % 50 = 0 THEN 'BP' WHEN qual % 5 = 0 THEN 'INS' WHEN (call_id // 20) % 4 < 2 THEN 'INV' WHEN (l < r) <> ((call_id // 20) % 4 = 3) THEN 'DEL' ELSE svtype END")
+CT = ("5to5", "3to3", "3to5", "5to3", "none")
+call("svtype_infer_py", lambda: X.infer_svtype_ct("svtype", F.lit("1"), F.when(F.col("call_id") % 50 == 0, "2").otherwise("1"), "l", "r", F.element_at(F.array(*(F.lit(x) for x in CT)), (F.col("call_id") % 5 + 1).cast("int")), F.when(F.col("qual") % 5 == 0, F.lit("<DEL>")).otherwise(F.rpad(F.lit("A"), F.col("qual").cast("int") + 1, "C"))),
+     "CASE WHEN call_id % 50 = 0 THEN 'BP' WHEN CASE WHEN qual % 5 = 0 THEN 5 ELSE qual + 1 END >= 0.7 * (r - l + 1) THEN 'INS' WHEN call_id % 5 < 2 THEN 'INV' WHEN (l < r) <> (call_id % 5 < 4) THEN 'DEL' ELSE svtype END")
 
 
 @query("bnd_alt_parse", f"{K}\nSELECT call_id, '3to3' AS connection, chrom AS chrom2, r AS pos2, 0 AS inserted FROM cand")
@@ -152,15 +153,11 @@ def flt_dedup_first(fx):
     return callsets.first_of(fx.cand.withColumn("k", F.col("l") % 500), ["chrom", "k"], "call_id").select("call_id", "chrom", "svtype")
 
 
-@query("flt_chrom_allow", f"{K}\nSELECT call_id, chrom FROM cand WHERE chrom IN ('12', '22')")
+@query("flt_chrom_allow", f"{K}\nSELECT call_id, chrom FROM cand WHERE call_id % 11 <> 0 AND call_id % 13 <> 0")
 def flt_chrom_allow(fx):
-    return genome_allow(fx.cand).select("call_id", "chrom")
-
-
-def genome_allow(df):
-    from lociflow.sources.text import main_contigs
-
-    return main_contigs(df).filter(~F.col("chrom").isin("X", "Y"))
+    """Both ends on one of chr1 to chr22: some calls are moved to X, of some the second end."""
+    ends = fx.cand.select("call_id", F.when(F.col("call_id") % 11 == 0, "X").otherwise(F.col("chrom")).alias("chrom1"), F.when(F.col("call_id") % 13 == 0, "7").when(F.col("call_id") % 11 == 0, "X").otherwise(F.col("chrom")).alias("chrom2"))
+    return callsets.on_chroms(ends, [str(i) for i in range(1, 23)]).select("call_id", F.col("chrom1").alias("chrom"))
 
 
 @query("flt_pass", f"{K}\nSELECT call_id FROM cand WHERE qual % 3 = 0")
@@ -181,14 +178,16 @@ def flt_partner_present(fx):
     return callsets.keep_partnered(ends)
 
 
-@query("flt_qual_cut", f"{K}\nSELECT call_id, qual FROM cand WHERE qual / 1000.0 > 0.5")
+@query("flt_qual_cut", f"{K}, e AS (SELECT call_id AS end_id, call_id + CASE WHEN call_id % 40 = 0 THEN 20 ELSE -20 END AS partner_id, qual FROM cand WHERE qual / 1000.0 > 0.5)\nSELECT end_id, partner_id, qual FROM e WHERE partner_id IN (SELECT end_id FROM e)")
 def flt_qual_cut(fx):
-    return fx.cand.filter(F.col("qual") / 1000.0 > 0.5).select("call_id", "qual")
+    ends = fx.cand.select(F.col("call_id").alias("end_id"), (F.col("call_id") + F.when(F.col("call_id") % 40 == 0, 20).otherwise(-20)).alias("partner_id"), "qual")
+    return callsets.cut_by_qual(ends, 500)
 
 
-@query("flt_test_chrom", f"{K}\nSELECT call_id, chrom FROM cand WHERE chrom = '12'")
+@query("flt_test_chrom", f"{with_ctes('cand', 'truth')}\nSELECT 'call' AS kind, call_id AS id, chrom FROM cand WHERE chrom = '12' UNION ALL SELECT 'truth', tid, chrom FROM truth WHERE chrom = '12'")
 def flt_test_chrom(fx):
-    return fx.cand.filter(F.col("chrom") == "12").select("call_id", "chrom")
+    own, truth = callsets.restrict(fx.cand, fx.truth, "12")
+    return own.select(F.lit("call").alias("kind"), F.col("call_id").alias("id"), "chrom").unionByName(truth.select(F.lit("truth").alias("kind"), F.col("tid").alias("id"), "chrom"))
 
 
 @query("flt_labels_known", f"{K}\nSELECT call_id, CASE WHEN qual % 2 = 0 THEN 'DEL' ELSE 'noDEL' END AS label FROM cand WHERE qual % 5 <> 0")

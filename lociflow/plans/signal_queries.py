@@ -8,6 +8,8 @@ from lociflow.operators import basestore, callsets, ranges, reads, signals, wind
 from lociflow.plans.fixtures import DUCK_BASES, with_ctes
 from lociflow.plans.registry import query
 from lociflow.plans.scalar_queries import OPS, R, K
+from lociflow.sources import stores
+from lociflow.sources.places import shared_path
 
 #: Pairs, paired reads and events, as in the library but set by set.
 SIG = (
@@ -103,7 +105,12 @@ def agg_depth_bins(fx):
 
 @query("snk_depth", f"{DEPTH}\nSELECT chrom, count(*) AS runs, CAST(sum((e - s) * depth) AS BIGINT) AS bases, max(depth) AS deepest FROM runs GROUP BY chrom")
 def snk_depth(fx):
-    return reads.depth(fx.reads).groupBy("chrom").agg(F.count("*").alias("runs"), F.sum((F.col("e") - F.col("s")) * F.col("depth")).alias("bases"), F.max("depth").alias("deepest"))
+    """Depth runs written to a store by place, read back by contig and summed up."""
+    path = shared_path(fx.spark, "depth")
+    stores.write_store(reads.depth(fx.reads), path, lo="s", hi="e")
+    whole = [(r["chrom"], 0, r["len"] + 100_000) for r in fx.contigs.collect()]  # one row a contig
+    own = stores.read_region(fx.spark, path, whole, "s", "e")
+    return own.groupBy("chrom").agg(F.count("*").alias("runs"), F.sum((F.col("e") - F.col("s")) * F.col("depth")).alias("bases"), F.max("depth").alias("deepest"))
 
 
 INSERT = R + """,

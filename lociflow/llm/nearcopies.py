@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.llm import simhash
@@ -156,22 +156,34 @@ def _fits(similarity: float):
     return F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
 
 
+#: Classes of shingles by hash; their counts travel with the plan.
+CLASSES = 1 << 14
+
+
+def _class(shingle: Column) -> Column:
+    return F.pmod(shingle, F.lit(CLASSES)).cast("int")
+
+
 def across(apart: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Every pair (x, y) of sets of different components in ``apart`` (same, n, component) that can reach ``similarity``.
 
-    Shingles are ordered by how many of these sets hold them. After the first shingle that two sets
+    Shingles are ordered by how many shingles of these sets are in their class, rare classes first;
+    any order that is the same for all sets is right, and the classes' counts are few enough to be
+    a literal, so that no shingle meets a table of frequencies. After the first shingle that two sets
     share, at positions p and q, they share at most what follows, and at the limit s they share
     s / (1 + s) of their sizes' sum. Per shingle only the sets outside its largest component are
     paired, with all of the others.
     """
-    each = sets_of(apart.select("same")).select("same", F.explode("shingles").alias("shingle"))
-    held = each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
-    # Shingles of one set only come first in its order and meet nothing, so their number is enough.
-    ordered = each.join(held, "shingle").groupBy("same").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s")).join(apart, "same")
-    alone = F.col("n") - F.size("s")
-    counted = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1 - alone))
-    rare = ordered.select("same", "n", "component", alone.alias("alone"), F.posexplode(counted).alias("at", "r"))
-    rare = materialise(rare.select("same", "n", "component", "r.shingle", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "rare-shingles")
+    sets = sets_of(apart.select("same"))
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy(_class(F.col("shingle")).alias("class")).agg(F.count("*").alias("n")).collect()
+    held = [0] * CLASSES
+    for row in counted:
+        held[row["class"]] = row["n"]
+    rarity = F.lit(np.array(held, np.int64))
+    ordered = sets.join(apart, "same").select("same", "n", "component", F.array_sort(F.transform("shingles", lambda s: F.struct(F.get(rarity, _class(s)).alias("held"), s.alias("shingle")))).alias("s"))
+    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
+    rare = ordered.select("same", "n", "component", F.posexplode(first).alias("at", "r"))
+    rare = materialise(rare.select("same", "n", "component", "r.shingle", (F.col("n") - F.col("at")).alias("left")), "rare-shingles")
     size = rare.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("largest")).filter("k > 1").select("shingle", "largest")
     open_sets = rare.join(size, "shingle")
     one = open_sets.filter(F.col("component") != F.col("largest")).select("shingle", *(F.col(c).alias(v) for c, v in (("same", "x"), ("n", "n_x"), ("component", "c_x"), ("left", "left_x"))))

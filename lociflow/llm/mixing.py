@@ -17,7 +17,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import free_name, materialise, scratch
+from lociflow.llm.shared import broadcast_if_small, free_name, materialise, scratch
 
 WORD = r"[^ \t\n\r\x0B\x0C]+"
 
@@ -64,22 +64,44 @@ def _level(part: list[str], cap: Column, base: Column, total: Column, order: lis
     return F.when(level * base <= cap, level)
 
 
-def targets(table: DataFrame, exponents: dict[str, float], budget: float) -> DataFrame:
-    """(dim, value, available, share, target) of the cells of ``table``, one row for each value.
+#: What a dimension is to be: shares by value, or an exponent of its values' tokens (0: equal shares, 1: as they are).
+Wanted = float | dict[str, float]
 
-    ``share`` is the value's tokens to the power of its dimension's exponent, normalised (zero means
-    equal shares). ``target`` is that share of the budget, or all that is there, with the surplus
-    handed on within the dimension.
+
+def targets(table: DataFrame, wanted: dict[str, Wanted], budget: float) -> DataFrame:
+    """(dim, value, available, share, asked, target) of the cells of ``table``, one row for each value.
+
+    With an exponent ``share`` is the value's tokens to its power, normalised. With given shares it
+    is the value's own; values without one divide what the given shares leave of 1 in proportion to
+    their tokens, and shares are normalised over the values that occur. ``asked`` is the share of the
+    budget, ``target`` the nearest that can be reached within the dimension: at most all that is
+    there, with the surplus handed on to the dimension's other values in proportion to their shares.
     """
-    n = len(exponents)
+    n = len(wanted)
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"d{i}").alias("value")) for i in range(n))))
     own = table.select(each.alias("own"), F.col("tokens").cast("double").alias("tokens")).groupBy("own.dim", "own.value").agg(F.sum("tokens").alias("available"))
-    power = F.pow("available", F.element_at(F.array(*(F.lit(float(e)) for e in exponents.values())), F.col("dim") + 1))
+    given, raw = F.lit(None).cast("double"), F.lit(0.0)
     whole = Window.partitionBy("dim")
-    own = own.select("dim", "value", "available", (power / F.sum(power).over(whole)).alias("share"), (F.lit(float(budget)) * F.sum("available").over(whole)).alias("whole"))
-    own = own.withColumn("level", _level(["dim"], F.col("available"), F.col("share"), F.col("whole"), ["value"]))
+    for i, want in enumerate(wanted.values()):
+        if isinstance(want, dict):
+            for value, share in want.items():
+                given = F.when((F.col("dim") == i) & (F.col("value") == value), float(share)).otherwise(given)
+    own = own.withColumn("given", given)
+    spare = F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("given").over(whole), F.lit(0.0)))
+    open_tokens = F.sum(F.when(F.col("given").isNull(), F.col("available"))).over(whole)
+    for i, want in enumerate(wanted.values()):
+        mine = F.coalesce("given", spare * F.col("available") / open_tokens) if isinstance(want, dict) else F.pow("available", F.lit(float(want)))
+        raw = F.when(F.col("dim") == i, mine).otherwise(raw)
+    own = own.withColumn("raw", raw).withColumn("total", F.sum("raw").over(whole))
+    # Shares of zero, or of values that do not occur alone, leave nothing to give.
+    own = own.select("dim", "value", "available", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(0.0).alias("share"), (F.lit(float(budget)) * F.sum("available").over(whole)).alias("whole")).withColumn("asked", F.col("share") * F.col("whole"))
+    # Where one dimension's values of a positive share hold less than the budget, that is all the others are asked for as well.
+    most = own.filter("share > 0").groupBy("dim").agg(F.sum("available").alias("most")).agg(F.min("most")).first()[0] or 0.0
+    own = own.withColumn("whole", F.least("whole", F.lit(float(most))))
+    some = own.filter("share > 0").withColumn("level", _level(["dim"], F.col("available"), F.col("share"), F.col("whole"), ["value"]))
     filled = F.least(F.col("available"), F.max("level").over(whole) * F.col("share"))
-    return own.select("dim", "value", "available", "share", F.coalesce(filled, "available").alias("target"))
+    none = own.filter("share = 0").select("dim", "value", "available", "share", "asked", F.lit(0.0).alias("target"))
+    return some.select("dim", "value", "available", "share", "asked", F.coalesce(filled, "available").alias("target")).unionByName(none)
 
 
 def rake(table: DataFrame, goals: DataFrame, n_dims: int, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS, one_task_cells: int = ONE_TASK_CELLS) -> tuple[DataFrame, float]:
@@ -89,12 +111,13 @@ def rake(table: DataFrame, goals: DataFrame, n_dims: int, tolerance: float = TOL
     documents: their number depends on the values of the dimensions. Every few rounds the cells are
     written to the shared folder and the driver sees one number, the largest gap that the last
     round met. Targets that contradict each other are never met; then the last round stands.
+    Cells of a value with a target of zero are left out.
     """
     dims = [f"d{i}" for i in range(n_dims)]
     fitted = table.withColumn("weight", F.col("tokens").cast("double"))
     for i in range(n_dims):
         full = F.col("target") >= F.col("available") * (1 - 1e-9)  # such values give all that they have
-        own = goals.filter(F.col("dim") == i).select(F.col("value").alias(f"d{i}"), F.col("target").alias(f"t{i}"), full.alias(f"full{i}"))
+        own = goals.filter((F.col("dim") == i) & (F.col("target") > 0)).select(F.col("value").alias(f"d{i}"), F.col("target").alias(f"t{i}"), full.alias(f"full{i}"))
         fitted = fitted.join(own, f"d{i}")
     few = table.count() <= one_task_cells
     fitted = materialise(fitted.coalesce(1) if few else fitted, "raked")
@@ -125,16 +148,17 @@ def probabilities(fitted: DataFrame) -> DataFrame:
 
 
 def reached(fitted: DataFrame, goals: DataFrame, n_dims: int) -> DataFrame:
-    """(dim, value, available, share, target, reached): the expected tokens of each value beside its target."""
+    """(dim, value, available, share, asked, target, reached, gap): the expected tokens of each value beside what was asked for and its target; ``gap`` is what is missing or too much of ``asked``, as its share."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"d{i}").alias("value")) for i in range(n_dims))))
     got = fitted.select(each.alias("own"), F.least(F.col("tokens").cast("double"), F.col("weight")).alias("e")).groupBy("own.dim", "own.value").agg(F.sum("e").alias("reached"))
-    return goals.join(got, ["dim", "value"])
+    out = goals.join(got, ["dim", "value"], "left").fillna(0.0, ["reached"])
+    return out.withColumn("gap", F.when(F.col("asked") > 0, (F.col("reached") - F.col("asked")) / F.col("asked")).otherwise(0.0))
 
 
-def calibrate(docs: DataFrame, dims: dict[str, Column], exponents: dict[str, float], tokens: Column, budget: float = 0.5, strict: bool = False, **options) -> tuple[DataFrame, DataFrame]:
-    """Fitted cells and their targets; a gap above the tolerance is a warning, or with ``strict`` an error."""
+def calibrate(docs: DataFrame, dims: dict[str, Column], wanted: dict[str, Wanted], tokens: Column, budget: float = 0.5, strict: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Fitted cells and their targets; a gap above the tolerance is a warning, or with ``strict`` an error. ``reached`` makes the table of gaps of both."""
     table = materialise(cells(docs, dims, tokens), "cells")
-    goals = materialise(targets(table, {d: exponents[d] for d in dims}, budget), "targets")
+    goals = materialise(targets(table, {d: wanted[d] for d in dims}, budget), "targets")
     fitted, gap = rake(table, goals, len(dims), **options)
     if gap > options.get("tolerance", TOLERANCE):
         said = f"mixing targets contradict each other or need more rounds: one is missed by {gap:.2%} of itself"
@@ -149,28 +173,28 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], exponents: dict[str, float], tokens: Column, id_col: str = "doc_id", budget: float = 0.5, seed: str = "mix", broadcast_cells: int = 100_000, **options) -> DataFrame:
+def mix(docs: DataFrame, dims: dict[str, Column], wanted: dict[str, Wanted], tokens: Column, id_col: str = "doc_id", budget: float = 0.5, seed: str = "mix", broadcast_bytes: int = 32 << 20, **options) -> DataFrame:
     """Sampled rows of ``docs`` with their ``probability``; a column of that name in ``docs`` is replaced, all others stay.
 
     Null ids and null texts are drawn like others (a null text has no tokens); rows that repeat an
     id are drawn together. Documents of cells without any token are never drawn. An empty table
-    gives an empty result. The cell table is broadcast up to ``broadcast_cells`` rows and joined by
+    gives an empty result. The cell table is broadcast up to ``broadcast_bytes`` and joined by
     shuffle beyond.
     """
     names = [free_name(docs, f"cell_{i}") for i in range(len(dims))]
     chance = free_name(docs, "chance")
     with scratch(docs.sparkSession):
-        fitted, _ = calibrate(docs, dims, exponents, tokens, budget, **options)
+        fitted, _ = calibrate(docs, dims, wanted, tokens, budget, **options)
         p = materialise(probabilities(fitted).select(*(F.col(f"d{i}").alias(n) for i, n in enumerate(names)), F.col("probability").alias(chance)), "probabilities", keep=True)
-    p = F.broadcast(p) if p.count() <= broadcast_cells else p
+    p = broadcast_if_small(p, sum((F.octet_length(n) for n in names), F.lit(64)), broadcast_bytes)
     on = [_value(c) == F.col(n) for c, n in zip(dims.values(), names)]
     out = docs.join(p, on).filter(uniform(F.col(id_col), seed) < F.col(chance))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "probability"), F.col(chance).alias("probability"))
 
 
-def oracle_sql(exponents: dict[str, float], budget: float = 0.5, seed: str = "mix") -> str:
+def oracle_sql(wanted: dict[str, Wanted], budget: float = 0.5, seed: str = "mix") -> str:
     """DuckDB twin of ``mix`` over documents by source, lang and topic: the same rounds as a recursion."""
-    dims = list(exponents)
+    dims = list(wanted)
 
     def level(inner: str, part: str, cap: str, base: str, total: str, order: list[str]) -> str:
         up = f"PARTITION BY {part} ORDER BY {cap} / {base}, {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -184,7 +208,15 @@ def oracle_sql(exponents: dict[str, float], budget: float = 0.5, seed: str = "mi
         step = level(f"SELECT *, sum(least(tokens, weight)) OVER (PARTITION BY {d}) AS now FROM ({step})", d, "tokens", "weight", f"t_{d}", dims)
         step = f"SELECT *, max(CASE WHEN raw * weight <= tokens THEN raw END) OVER (PARTITION BY {d}) AS f FROM ({step})"
         step = f"SELECT {', '.join(dims)}, tokens, {', '.join(f't_{x}, full_{x}' for x in dims)}, round, coalesce(CASE WHEN NOT full_{d} THEN f * weight END, greatest(tokens, weight)) AS weight, {gap} AS missed FROM ({step})"
-    powers = " UNION ALL ".join(f"SELECT '{d}' AS dim, {d} AS value, sum(tokens) AS available, pow(sum(tokens), {float(e)}) AS p FROM cells GROUP BY {d}" for d, e in exponents.items())
+
+    def raw(d: str, want: Wanted) -> str:
+        if not isinstance(want, dict):
+            return f"SELECT '{d}' AS dim, {d} AS value, sum(tokens) AS available, pow(sum(tokens), {float(want)}) AS p FROM cells GROUP BY {d}"
+        own = " ".join(f"WHEN '{v}' THEN {float(x)}::DOUBLE" for v, x in want.items())
+        return f"""SELECT dim, value, available, coalesce(g, greatest(0, 1 - coalesce(sum(g) OVER (), 0)) * available / sum(CASE WHEN g IS NULL THEN available END) OVER ()) AS p
+  FROM (SELECT '{d}' AS dim, {d} AS value, sum(tokens) AS available, CASE {d} {own} END AS g FROM cells GROUP BY {d})"""
+
+    powers = " UNION ALL ".join(raw(d, w) for d, w in wanted.items())
     shares = f"SELECT *, p / sum(p) OVER (PARTITION BY dim) AS share, {float(budget)} * sum(available) OVER (PARTITION BY dim) AS whole FROM ({powers})"
     joins = " ".join(f"JOIN goals g_{d} ON g_{d}.dim = '{d}' AND g_{d}.value = cells.{d}" for d in dims)
     return f"""WITH RECURSIVE own AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,

@@ -98,8 +98,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
-#: Exponents of the target shares: equal sources, tempered languages and topics.
-MIX = {"source": 0.0, "lang": 0.5, "topic": 0.5}
+#: Targets of the mix: equal sources, given shares of two languages (the others divide the rest as they are), tempered topics.
+MIX = {"source": 0.0, "lang": {"en": 0.4, "de": 0.25}, "topic": 0.5}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f

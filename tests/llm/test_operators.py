@@ -604,6 +604,28 @@ def test_raking_meets_targets(spark, odd, empty):
         mixing.calibrate(against, dims, {"source": 1.0, "lang": 0.0}, F.col("n"), strict=True)
 
 
+def test_given_shares(spark):
+    """Shares by value are met where they can be; what cannot be met is the nearest that can, and the gap is told."""
+    rows = [(s, t, 1000) for s in ("web", "code", "books") for t in "xyz" for _ in range(10)] + [("rare", "x", 100)]
+    df = spark.createDataFrame(rows, "source string, topic string, n long")
+    dims = {"source": F.col("source"), "topic": F.col("topic")}
+
+    def table(want, strict=True):
+        fitted, goals = mixing.calibrate(df, dims, {"source": want, "topic": 1.0}, F.col("n"), 0.4, strict)
+        return {r["value"]: r for r in mixing.reached(fitted, goals, 2).filter("dim = 0").collect()}
+
+    total = sum(r[2] for r in rows) * 0.4
+    out = table({"web": 0.6, "code": 0.4})
+    assert {v: round(r["reached"] / total, 4) for v, r in out.items()} == {"web": 0.6, "code": 0.4, "books": 0.0, "rare": 0.0}
+    out = table({"web": 0.5, "code": 0.2})  # the others divide 0.3 as they are
+    assert out["web"]["reached"] / total == pytest.approx(0.5, rel=1e-3) and out["books"]["reached"] / out["rare"]["reached"] == pytest.approx(300, rel=1e-2)
+    with pytest.warns(UserWarning, match="contradict"):  # both give all they have, and the topics' shares are not quite theirs
+        out = table({"web": 0.5, "rare": 0.5}, False)
+    assert out["rare"]["reached"] == pytest.approx(100, rel=1e-2) and out["rare"]["gap"] == pytest.approx(100 / (total / 2) - 1, abs=1e-3) and out["web"]["reached"] == pytest.approx(30000, rel=1e-2)
+    drawn = mixing.mix(df.withColumn("doc_id", F.monotonically_increasing_id()), dims, {"source": {"web": 0.0, "code": 1.0}, "topic": 1.0}, F.col("n"))
+    assert {r[0] for r in drawn.select("source").distinct().collect()} == {"code"}
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
     exponents = dict.fromkeys(dims, 0.0)
@@ -611,7 +633,7 @@ def test_mixing_odd_rows(spark, odd, empty):
     out = mixing.mix(clash, dims, exponents, mixing.token_count(F.col("text")), budget=100.0)
     # Every cell has tokens but that of the null text; it shares its values with the text of document 6.
     assert out.count() == len(ODD) and set(out.columns) == set(clash.columns) and {r["cell_0"] for r in out.collect()} == {"x"}
-    assert mixing.mix(odd, dims, exponents, mixing.token_count(F.col("text")), budget=100.0, broadcast_cells=0).count() == len(ODD)
+    assert mixing.mix(odd, dims, exponents, mixing.token_count(F.col("text")), budget=100.0, broadcast_bytes=0).count() == len(ODD)
     assert mixing.mix(empty, dims, exponents, mixing.token_count(F.col("text"))).count() == 0
 
 

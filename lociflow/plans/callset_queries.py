@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from lociflow.functions import calls as X
@@ -12,7 +14,7 @@ from lociflow.plans.registry import query
 from lociflow.plans.scalar_queries import OPS, K, R
 from lociflow.plans.signal_queries import TENSOR
 from lociflow.sources import stores, text
-from lociflow.sources.places import shared_path
+from lociflow.sources.places import delete, shared_path
 
 KT, KR = with_ctes("cand", "truth"), with_ctes("cand", "regions")
 H = 100
@@ -388,35 +390,66 @@ def training(fx):
     sparse = windows.place(windows.hits_1d(cands, signals.signals_1d(fx.reads)))
     own = datasets.class_weights(rows(fx).filter("y is not null")).withColumn("fold", F.pmod(F.col("call_id"), F.lit(3)).cast("int"))
     pooled = models.pooled_features(sparse, pools=2).withColumnRenamed("sv_id", "call_id")
-    return own.join(pooled, "call_id").select("call_id", "chrom", "sample", "y", "weight", "fold", "features").persist()
+    return own.join(pooled, "call_id").select("call_id", "chrom", "sample", "y", "weight", "fold", "features")
+
+
+@contextmanager
+def trained_on(fx):
+    """The training rows in a written table, which goes when they are no longer needed."""
+    path = shared_path(fx.spark, "training")
+    own = training(fx)
+    own.write.parquet(path)
+    try:
+        yield fx.spark.read.schema(own.schema).parquet(path)
+    finally:
+        delete(fx.spark, path)
+
+
+#: What the search tries: 24 models a fold.
+GRID = {"reg_param": [0.01, 0.1, 1.0], "weight_power": [1.0, 0.0], "fit_intercept": [True, False], "standardize": [True, False]}
 
 
 @query("ml_train")
 def ml_train(fx):
-    model = models.train(training(fx))
+    with trained_on(fx) as own:
+        model = models.train(own)
     return fx.spark.createDataFrame([(float(model.intercept), int(model.numFeatures))], "intercept double, features int")
 
 
 @query("ml_score")
 def ml_score(fx):
-    own = training(fx)
-    return models.score(models.train(own), own).select("call_id", "y", "p_sv", "pred")
+    """Rows of two folds scored by a model that was fitted on the third: no row is scored by a model that saw it."""
+    with trained_on(fx) as own:
+        model = models.train(own.filter("fold = 0"))
+    return models.score(model, training(fx).filter("fold <> 0")).select("call_id", "y", "p_sv", "pred")
 
 
 @query("ml_param_search")
 def ml_param_search(fx):
-    best, all_means = models.param_search(training(fx), {"regParam": [0.01, 0.1]})
-    return fx.spark.createDataFrame([(p["regParam"], float(m), p == best) for p, m in all_means], "reg_param double, mean double, best boolean")
+    with trained_on(fx) as own:
+        best, found = models.param_search(own, GRID)
+    rows = [(*(r[k] for k in GRID), r["mean"], r["finished"], {k: r[k] for k in GRID} == best) for r in found]
+    return fx.spark.createDataFrame(rows, "reg_param double, weight_power double, fit_intercept boolean, standardize boolean, mean double, finished boolean, best boolean")
 
 
 @query("ml_nested_cv")
 def ml_nested_cv(fx):
-    return models.nested_cv(training(fx), "chrom", {"regParam": [0.01, 0.1]}).select("call_id", "chrom", "p_sv", "pred")
+    with trained_on(fx) as own:
+        out = models.nested_cv(own, "chrom", {"reg_param": [0.01, 0.1], "standardize": [True, False]}).select("call_id", "chrom", "p_sv", "pred")
+        return kept(fx, out, "nested-scores")
 
 
 @query("ml_score_grouped")
 def ml_score_grouped(fx):
-    return models.score_grouped(training(fx), "sample").select("call_id", "sample", "p_sv", "pred")
+    with trained_on(fx) as own:
+        return kept(fx, models.score_grouped(own, "sample").select("call_id", "sample", "p_sv", "pred"), "grouped-scores")
+
+
+def kept(fx, df, what):
+    """``df`` written, as what it reads goes."""
+    path = shared_path(fx.spark, what)
+    df.write.parquet(path)
+    return fx.spark.read.schema(df.schema).parquet(path)
 
 
 @query("ml_collect", f"{K}\nSELECT key, call_id, qual FROM (SELECT l // 5000 AS key, call_id, qual, row_number() OVER (PARTITION BY l // 5000 ORDER BY call_id DESC) AS n FROM cand) WHERE n = 1")

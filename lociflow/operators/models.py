@@ -110,7 +110,8 @@ def fit_many(df: DataFrame, specs: list[Spec], steps: int = 25, tolerance: float
     """Fit all specs together by Newton steps, one pass over ``df`` a step however many there are; ``beta`` is set on each.
 
     The loss is the weighted mean log loss plus half the penalty times the squared coefficients
-    (of unit-spread features if ``standardize``), without the intercept. A fit goes on where an earlier
+    (of unit-spread features if ``standardize``), without the intercept. Features without any spread
+    get zero. A fit goes on where an earlier
     call left it. Specs without rows get zeros. ``df`` has y, weight, features and the columns that
     ``without`` names; it is read ``steps`` + 1 times at most, so persist it or write it before.
     """
@@ -138,7 +139,7 @@ def fit_many(df: DataFrame, specs: list[Spec], steps: int = 25, tolerance: float
             grad, curve = sums[k][:size] / total[i], sums[k][size:].reshape(size, size) / total[i]
             ridge = s.reg_param * (spread[i] if s.standardize else np.ones(size))
             ridge[0] = 0
-            free = np.ones(size, bool) if not s.standardize else spread[i] > 0
+            free = spread[i] > 0
             free[0] = s.fit_intercept
             grad, curve = (grad + ridge * s.beta)[free], (curve + np.diag(ridge))[np.ix_(free, free)]
             move = np.linalg.lstsq(curve, -grad, rcond=None)[0]

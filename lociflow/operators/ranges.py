@@ -191,25 +191,29 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], to: str, total: str
 def nth_smallest(df: DataFrame, column: str, k: int, few: int = 10_000):
     """The ``k``-th smallest non-null value (from 1) of a column, exact, as a driver number.
 
-    A quantile sketch gives two values around the wanted rank, rows below and between are counted,
-    and the rows between are looked at again, until few are left or one value holds the rank. No task
-    gets more than ``few`` values.
+    A quantile sketch gives two values around the wanted rank and rows are counted on both sides of
+    each. Either one of them holds the rank, or it lies before, between or behind them, and only those
+    rows are looked at again until few are left. No task gets more than ``few`` values.
     """
     own = df.select(F.col(column).alias("v")).filter("v is not null")
     left, below = own.count(), 0
     if not 0 < k <= left:
         raise ValueError(f"no value of rank {k} among {left}")
-    reach = 2e-4
     while left > few:
         share = (k - below - 0.5) / left
-        low, high = own.agg(F.percentile_approx("v", [max(0.0, share - reach), min(1.0, share + reach)], 10_000)).first()[0]
-        under, upto = own.agg(F.count_if(F.col("v") < F.lit(low)), F.count_if(F.col("v") <= F.lit(high))).first()
-        if not under < k - below <= upto:  # the sketch was off by more
-            reach *= 8
-            continue
-        if low == high:
-            return low
-        own, below, left = own.filter(F.col("v").between(F.lit(low), F.lit(high))), below + under, upto - under
+        low, high = (F.lit(v) for v in own.agg(F.percentile_approx("v", [max(0.0, share - 2e-4), min(1.0, share + 2e-4)], 10_000).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b")).first())
+        found = own.agg(F.max(low).alias("low"), F.max(high).alias("high"), *(F.count_if(c) for c in (F.col("v") < low, F.col("v") <= low, F.col("v") < high, F.col("v") <= high))).first()
+        rank, (under, to_low, to_high, upto) = k - below, found[2:]
+        if under < rank <= to_low:
+            return found["low"]
+        if to_high < rank <= upto:
+            return found["high"]
+        if rank <= under:
+            own, left = own.filter(F.col("v") < low), under
+        elif rank > upto:
+            own, left, below = own.filter(F.col("v") > high), left - upto, below + upto
+        else:
+            own, left, below = own.filter((F.col("v") > low) & (F.col("v") < high)), to_high - to_low, below + to_low
     return own.orderBy("v").limit(k - below).agg(F.max("v")).first()[0]
 
 

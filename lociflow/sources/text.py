@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.operators.basestore import with_text
+from lociflow.operators.basestore import chunked, with_text
 from lociflow.operators.ranges import carry_forward
 
 BEDPE = "chrom1 string, s1 bigint, e1 bigint, chrom2 string, s2 bigint, e2 bigint, svtype string"
@@ -141,7 +141,7 @@ def main_contigs(contigs: DataFrame) -> DataFrame:
     return contigs.filter(F.regexp_replace("chrom", "^chr", "").isin([str(i) for i in range(1, 23)] + ["X", "Y"]))
 
 
-def parse_fasta(rows: DataFrame, block: int = 4096) -> DataFrame:
+def fasta_lines(rows: DataFrame, block: int = 4096) -> DataFrame:
     """(chrom, pos, text) of FASTA lines (value, ord): each line of bases with its 0-based start; ``chunked`` makes a store of them.
 
     A line's contig is the last header before it, carried forward by blocks of lines. Its start is
@@ -158,6 +158,37 @@ def parse_fasta(rows: DataFrame, block: int = 4096) -> DataFrame:
     return placed.select("chrom", (F.col("base_at") + F.col("in_block")).alias("pos"), F.col("value").alias("text"))
 
 
+def parse_fasta(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """(chrom, pos, base) of FASTA lines; for whole genomes keep them as lines and make a base store of them."""
+    each = fasta_lines(rows, block).select("chrom", "pos", F.posexplode(F.split("text", "")).alias("i", "base"))
+    return each.select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "base")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """A base store of the FASTA files at ``path``."""
+    return chunked(fasta_lines(lines(spark, path)))
+
+
+def read_fai(spark: SparkSession, path: str) -> DataFrame:
+    """Contigs of the FAI files at ``path``."""
+    return parse_fai(lines(spark, path))
+
+
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """Regions of the BED files at ``path``."""
+    return parse_bed(lines(spark, path))
+
+
+def read_bedpe(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of the BEDPE files at ``path``."""
+    return parse_bedpe(lines(spark, path))
+
+
+def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """Breakpoints of the VCF files at ``path``."""
+    return vcf_breakpoints(lines(spark, path))
+
+
 def signal_lines(events: DataFrame) -> DataFrame:
     """Tab lines of an event table in its column order."""
     return events.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in events.columns)).alias("value"))

@@ -108,7 +108,7 @@ def test_base_store(spark):
 def test_fasta_by_carried_headers(spark):
     given = [">a first", "ACG", "", "T", ">b", "NN", ">empty", ">c", *["ACGTA"] * 50]
     rows = spark.createDataFrame([(i * 7, v) for i, v in enumerate(["junk", *given])], "ord long, value string")
-    got = sorted((r["chrom"], r["pos"], r["text"]) for r in text.parse_fasta(rows, 8).collect())
+    got = sorted((r["chrom"], r["pos"], r["text"]) for r in text.fasta_lines(rows, 8).collect())
     assert got == [("a", 0, "ACG"), ("a", 3, "T"), ("b", 0, "NN"), *(("c", 5 * i, "ACGTA") for i in range(50))]
 
 
@@ -116,3 +116,14 @@ def test_info_keys_that_come_twice(spark):
     line = "1\t100\tx\tA\t<DEL>\t5\tPASS\tSVTYPE=DEL;END=200;SVTYPE=DUP;IMPRECISE;A=b=c"
     info = text._info(spark.createDataFrame([(line,)], "value string")).select("info").first()[0]
     assert info == {"SVTYPE": "DEL", "END": "200", "IMPRECISE": None, "A": "b=c"}
+
+
+def test_readers_by_path(spark, tmp_path):
+    """Files of each format read by their path."""
+    given = {"fasta": [">a x", "ACGT", "NN", ">b", "TT"], "fai": ["a\t6\t3\t4\t5"], "bed": ["a\t1\t5"], "bedpe": ["a\t1\t2\ta\t5\t6\tDEL"], "vcf": ["##x", "a\t2\tv\tA\t<DEL>\t1\tPASS\tSVTYPE=DEL;END=6"]}
+    for name, lines in given.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    path = lambda name: f"file://{tmp_path}/{name}"
+    assert sorted((r["chrom"], r["chunk"], r["bases"]) for r in text.read_fasta(spark, path("fasta")).collect()) == [("a", 0, "ACGTNN"), ("b", 0, "TT")]
+    assert text.read_fai(spark, path("fai")).first()["len"] == 6 and text.read_bed(spark, path("bed")).first()[:3] == ("chra", 1, 5)
+    assert text.read_bedpe(spark, path("bedpe")).first()["s2"] == 5 and text.read_vcf(spark, path("vcf")).first()["r"] == 5

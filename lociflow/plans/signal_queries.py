@@ -85,7 +85,9 @@ def join_mates(fx):
     return reads.pair_mates(fx.reads).select("qname", "pair", F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"))
 
 
-@query("join_mate_clip", f"{R}\nSELECT a.qname, a.ord, b.ord AS m_ord FROM reads a JOIN reads b ON a.qname = b.qname AND a.next_chrom = b.chrom AND a.next_pos0 = b.pos0 AND b.ord > a.ord WHERE regexp_matches(a.cigar, '^[0-9]+[SH]|[SH]$')")
+@query("join_mate_clip", f"""{R}, rr AS MATERIALIZED (SELECT qname, ord, chrom, pos0, next_chrom, next_pos0, cigar FROM reads), cl AS MATERIALIZED (SELECT qname, ord, next_chrom AS chrom, next_pos0 AS pos0 FROM rr WHERE regexp_matches(cigar, '^[0-9]+[SH]|[SH]$')),
+met AS MATERIALIZED (SELECT cl.qname, cl.ord, rr.ord AS m_ord FROM cl JOIN rr USING (qname, chrom, pos0))
+SELECT qname, ord, m_ord FROM met WHERE m_ord > ord""")
 def join_mate_clip(fx):
     return reads.clipped_with_later_mate(fx.reads).select("qname", "ord", "m_ord")
 

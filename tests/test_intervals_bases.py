@@ -126,4 +126,4 @@ def test_readers_by_path(spark, tmp_path):
     path = lambda name: f"file://{tmp_path}/{name}"
     assert sorted((r["chrom"], r["chunk"], r["bases"]) for r in text.read_fasta(spark, path("fasta")).collect()) == [("a", 0, "ACGTNN"), ("b", 0, "TT")]
     assert text.read_fai(spark, path("fai")).first()["len"] == 6 and text.read_bed(spark, path("bed")).first()[:3] == ("chra", 1, 5)
-    assert text.read_bedpe(spark, path("bedpe")).first()["s2"] == 5 and text.read_vcf(spark, path("vcf")).first()["r"] == 5
+    assert text.read_bedpe(spark, path("bedpe")).first()["s2"] == 5 and text.read_vcf(spark, path("vcf")).first()["r"] == 6

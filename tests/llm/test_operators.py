@@ -521,6 +521,30 @@ def test_toxicity_chain(spark, odd, empty):
     assert {r["p_toxic"] for r in none.score(odd).collect()} == {0.0}
 
 
+def test_toxicity_chain_hands_on_out_of_fold_scores(spark, monkeypatch):
+    """The second model is trained on the first one's probabilities of rows that the first one's fold model had not seen, worked out again with numpy."""
+    rng = random.Random(8)
+    rows = [(i, " ".join([rng.choice("abcdefgh") * 3 for _ in range(12)] + ["spam"] * (i % 4 == 0) + ["idiot"] * (i % 4 == 0 and i % 3 < 2)), int(i % 4 == 0), int(i % 4 == 0 and i % 3 < 2)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, low_quality int, toxic int")
+    seen, real = [], toxicity._fit
+
+    def watched(data, category, earlier, penalty):
+        model = real(data, category, earlier, penalty)
+        seen.append((category, earlier, model, data.select("__fold", "__counts", *earlier).collect()))
+        return model
+
+    monkeypatch.setattr(toxicity, "_fit", watched)
+    chain = toxicity.train(df, df.select("doc_id", "low_quality", "toxic"), toxicity.CATEGORIES, min_docs=1)
+    assert [(c, e) for c, e, _, _ in seen] == [("low_quality", []), ("low_quality", []), ("low_quality", []), ("toxic", ["p_low_quality"])]
+    for fold in (0, 1):
+        model = seen[1 + fold][2]
+        assert {r["__fold"] for r in seen[1 + fold][3]} == {1 - fold}
+        for r in (r for r in seen[3][3] if r["__fold"] == fold):
+            p = 1 / (1 + np.exp(-(model.intercept + model.coefficients.dot(r["__counts"]))))
+            assert r["p_low_quality"] == pytest.approx(p, abs=1e-9)
+    assert len(seen[3][3]) == 240 and chain.models[1].numFeatures == chain.models[0].numFeatures + 1
+
+
 # Records
 
 

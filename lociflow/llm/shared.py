@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -13,40 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session on one machine names none, as in tests, a temporary one is set; on a
-    cluster its absence is an error, as executors do not share their disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lociflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder name below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
+from lociflow.sources.places import delete, shared_path, shared_root  # noqa: F401
 
 #: Folders written inside each open ``scratch`` of this thread, the innermost last.
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was written inside; what was to be kept goes to the ``scratch`` around it, if there is one."""

@@ -77,7 +77,10 @@ def agg_sv_coverage_pct(fx):
 
 @query("snk_labels", f"{LAB}\nSELECT concat(chrom, '/', l, '/', chrom, '/', r, '/**/', svtype) AS window_id, label FROM lab")
 def snk_labels(fx):
-    return labelled(fx).select(X.window_id("chrom", "l", "chrom", "r", F.lit("**"), "svtype").alias("window_id"), "label")
+    """Labels with their windows, written to a store by place and read back."""
+    path = shared_path(fx.spark, "labels")
+    stores.write_store(labelled(fx).select("call_id", "chrom", "l", "r", "svtype", "label"), path, key="call_id")
+    return stores.read_store(fx.spark, path).select(X.window_id("chrom", "l", "chrom", "r", F.lit("**"), "svtype").alias("window_id"), "label")
 
 
 @query("flt_regions_remove", f"{KR}\nSELECT call_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM regions g WHERE g.chrom = c.chrom AND (c.l >= s AND c.l < e OR c.r >= s AND c.r < e))")

@@ -222,11 +222,6 @@ def one_hot(bases: DataFrame) -> DataFrame:
     return own.select("chrom", "pos", F.concat(F.lit("base_"), F.upper("base")).alias("channel"), F.lit(1.0).alias("value"))
 
 
-def _wide(df: DataFrame, names: list[str], value: str = "value") -> DataFrame:
-    """(chrom, pos, one column a name) of a channel table, one row for each of its rows."""
-    return df.select("chrom", F.col("pos").cast("bigint").alias("pos"), *(F.when(F.col("channel") == n, F.col(value)).alias(n) for n in names))
-
-
 def read_channels(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10, compat: bool = False) -> DataFrame:
     """(chrom, pos, channel, value): all that a read adds to counts, coverage changes and distances, from one explode.
 
@@ -279,21 +274,22 @@ def chr_array(reads: DataFrame, contigs: DataFrame, store: DataFrame, mean: floa
     are zero, and what lies outside is left out. A segment's ``bases`` are its stretch of the reference.
     """
     each = read_channels(reads, mean, sd, min_mapq)
-    distance = F.col("channel").startswith("clipdist") | F.col("channel").startswith("splitdist")
-    counts, medians = [c for c in ALL if c.split("_")[0] not in ("clipdist", "splitdist", "snv", "base")], CLIP_DISTANCE + SPLIT_DISTANCE
-    points = [c for c in counts if c not in COVERAGE] + medians + SNV
-    middle = each.filter(distance).groupBy("chrom", "pos", "channel").agg(F.median("value").alias("value"))
-    rows = _wide(each.filter(~distance), counts).unionByName(_wide(middle, medians), allowMissingColumns=True)
+    covers, distance = F.col("channel").startswith("cov"), F.col("channel").startswith("clipdist") | F.col("channel").startswith("splitdist")
+    unknown = [F.lit(None).cast("double").alias(c) for c in SNV]
+    # Channels of single places stay in one map a place, so that what is cut and summed up is narrow.
+    single = each.filter(~covers).groupBy("chrom", "pos", "channel").agg(F.when(distance, F.median("value")).otherwise(F.sum("value")).alias("value"))
+    points = single.groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct("channel", "value"))).alias("at"))
+    # The place after a point is a border too, as the point ends there.
+    borders = F.when(covers, F.array("pos")).otherwise(F.array(F.col("pos"), F.col("pos") + 1))
+    rows = each.select("chrom", F.explode(borders).alias("pos"), *(F.when(F.col("channel") == c, F.col("value")).alias(c) for c in COVERAGE), *unknown)
     if pile is not None:
         named = [F.col(v).cast("double").alias(n) for n, v in zip(SNV, ("bq_median", "snv_fraction", "mapq_median"))]
-        rows = rows.unionByName(pile.select("chrom", "pos", *named), allowMissingColumns=True)
-    for c in SNV if pile is None else []:
-        rows = rows.withColumn(c, F.lit(None).cast("double"))
-    # The place after a point is a border too, as the point ends there.
-    ends = each.filter(~F.col("channel").startswith("cov")).select("chrom", (F.col("pos") + 1).alias("pos"))
-    ends = ends if pile is None else ends.unionByName(pile.select("chrom", (F.col("pos") + 1).alias("pos")))
+        place = F.col("pos").cast("bigint")
+        both = pile.select("chrom", F.explode(F.array(F.struct(place.alias("pos"), *named), F.struct((place + 1).alias("pos"), *unknown))).alias("x"))
+        rows = rows.unionByName(both.select("chrom", "x.*"), allowMissingColumns=True)
     cuts = contigs.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1, F.lit(width).cast("bigint"))).alias("pos"))
-    held = rows.unionByName(ends.unionByName(cuts), allowMissingColumns=True).groupBy("chrom", "pos").agg(*(F.sum(c).alias(c) for c in COVERAGE + points))
+    held = rows.unionByName(cuts, allowMissingColumns=True).groupBy("chrom", "pos").agg(*(F.sum(c).alias(c) for c in COVERAGE + SNV))
+    held = held.join(points, ["chrom", "pos"], "left")
     lengths = F.broadcast(contigs.select(F.col("chrom").alias("c"), "len"))
     # Coverage from before the contig's start counts from 0 on; a contig has its border there.
     own = held.join(lengths, F.col("chrom") == F.col("c")).filter(F.col("pos") < F.col("len")).withColumn("k", F.floor(F.greatest("pos", F.lit(0)) / block))
@@ -302,9 +298,9 @@ def chr_array(reads: DataFrame, contigs: DataFrame, store: DataFrame, mean: floa
     before = totals.select("chrom", "k", F.lead("begin").over(over).alias("next_block"), *(F.coalesce(F.sum(f"t_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"t_{c}") for c in COVERAGE))
     inside = Window.partitionBy("chrom", "k").orderBy("pos")
     run = inside.rowsBetween(Window.unboundedPreceding, 0)
-    own = own.select("chrom", "k", "pos", "len", F.lead("pos").over(inside).alias("next"), *(F.coalesce(F.sum(c).over(run), F.lit(0.0)).alias(c) for c in COVERAGE), *points)
+    own = own.select("chrom", "k", "pos", "len", F.lead("pos").over(inside).alias("next"), *(F.coalesce(F.sum(c).over(run), F.lit(0.0)).alias(c) for c in COVERAGE), *SNV, "at")
     cut = own.join(before, ["chrom", "k"]).filter("pos >= 0")
-    cut = cut.select("chrom", F.col("pos").alias("s"), F.coalesce("next", "next_block", "len").alias("e"), *((F.col(c) + F.col(f"t_{c}")).alias(c) if c in COVERAGE else F.coalesce(c, F.lit(0.0)).alias(c) for c in ALL if c not in BASES))
+    cut = cut.select("chrom", F.col("pos").alias("s"), F.coalesce("next", "next_block", "len").alias("e"), *((F.col(c) + F.col(f"t_{c}")).alias(c) if c in COVERAGE else F.coalesce(c if c in SNV else F.col("at")[c], F.lit(0.0)).alias(c) for c in ALL if c not in BASES))
     return with_text(cut, store, "chrom", "s", "e", "bases", width, width)
 
 

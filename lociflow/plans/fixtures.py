@@ -94,6 +94,11 @@ class Fixtures:
     def reads(self) -> DataFrame:
         return self._fixture("reads")
 
+    @cached_property
+    def dealt(self) -> DataFrame:
+        """The reads dealt out by name. What they are made from is small and comes in few partitions, too few where a read becomes many rows."""
+        return self.reads.repartition("qname")
+
     @cached_property
     def cand(self) -> DataFrame:
         return self._fixture("cand")

@@ -176,7 +176,7 @@ laid AS MATERIALIZED (SELECT every.chrom, every.pos, {', '.join(f"coalesce(last_
 {sums_sql(genome.ALL, 'laid')}""".replace("FROM contigs_of, span", "FROM (SELECT unnest(['12', '22']) AS chrom), span"))
 def gw_chr_array(fx):
     """All 53 columns of every position, summed up over segments: how many are not zero, their sum, and their sum weighted by place."""
-    array = genome.chr_array(fx.reads, fx.contigs, fx.store, MEAN, SD, piled(fx))
+    array = genome.chr_array(fx.dealt, fx.contigs, fx.store, MEAN, SD, piled(fx))
 
     def below(x):
         r = x % 97

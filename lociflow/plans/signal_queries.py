@@ -164,7 +164,7 @@ def piled(fx):
 
     seq = laid(lambda x: F.substring(F.lit("ACGT"), F.pmod(x, F.lit(4)).cast("int") + 1, F.lit(1)))
     qual = laid(lambda x: F.char(53 + F.pmod(x, F.lit(15))))
-    return reads.pileup(fx.reads.withColumn("seq", seq).withColumn("qual", qual), fx.store)
+    return reads.pileup(fx.dealt.withColumn("seq", seq).withColumn("qual", qual), fx.store)
 
 
 @query("agg_pileup", f"{PILE}\nSELECT chrom, pos, n, bq_median, mapq_median, round(snv_fraction, 9) AS snv_fraction FROM pile")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lociflow.functions import calls
 from lociflow.functions import cigar as C
 from lociflow.operators.basestore import WIDTH, with_text
-from lociflow.operators.ranges import next_position, prefix_sum
+from lociflow.operators.ranges import next_position, steps
 
 COVERAGE = ["cov_proper", "cov_disc_F", "cov_disc_R", "cov_improper_F", "cov_improper_R"]
 CLIPPED = [f"{p}{s}_{d}" for p in ("", "disc_") for s in ("left", "right") for d in "FR"] + [f"{k}_{d}" for k in ("D_left", "D_right", "I") for d in "FR"]
@@ -41,17 +41,16 @@ def _count(df: DataFrame, pos: Column, names: Column) -> DataFrame:
     return each.groupBy("chrom", "pos", "channel").agg(F.count("*").cast("double").alias("value"))
 
 
-def coverage(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10) -> DataFrame:
-    """Five span depths over [start, end - 1): proper, discordant by strand, not proper by strand."""
+def coverage(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10, parts: int | None = None) -> DataFrame:
+    """Five span depths over [start, end - 1): proper, discordant by strand, not proper by strand; each with its next place, ``parts`` as in ``steps``."""
     own = _mapped(reads, min_mapq).filter(F.col("end") - 1 > F.col("pos0"))
     mate = ~C.flag_has("flag", C.MATE_UNMAPPED)
     disc = (F.col("chrom") == F.col("next_chrom")) & (F.col("rev") != F.col("mrev")) & C.is_discordant_isize("pos0", "next_pos0", mean, sd)
     names = F.array(F.when(C.is_properly_mapped("chrom", "next_chrom", "flag"), "cov_proper"), F.when(mate & disc, F.concat(F.lit("cov_disc_"), "strand")), F.when(mate & ~F.col("proper"), F.concat(F.lit("cov_improper_"), "strand")))
     each = own.select("chrom", "pos0", "end", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("channel"))
     ends = each.select("chrom", "channel", F.explode(F.array(F.struct(F.col("pos0").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") - 1).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    deltas = ends.groupBy(F.concat_ws("|", "chrom", "channel").alias("key"), F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("delta")).filter("delta <> 0")
-    out = prefix_sum(deltas, "delta", "depth", key="key")
-    return out.select(F.split("key", "[|]")[0].alias("chrom"), "pos", F.split("key", "[|]")[1].alias("channel"), F.col("depth").cast("double").alias("value"))
+    out = steps(ends.select(F.concat_ws("|", "chrom", "channel").alias("key"), "x.pos", "x.d"), "d", "depth", "next", key="key", parts=parts)
+    return out.select(F.split("key", "[|]")[0].alias("chrom"), "pos", F.split("key", "[|]")[1].alias("channel"), F.col("depth").cast("double").alias("value"), "next")
 
 
 def clipped(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
@@ -311,8 +310,9 @@ def dense(segments: DataFrame) -> DataFrame:
 
 
 def channel_stats(channels: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(chrom, channel, mean, sd) over the whole contig of run-length channels; uncovered positions count as zero."""
-    own = next_position(channels.withColumn("key", F.concat_ws("|", "chrom", "channel")), "next", key="key").filter("next is not null")
+    """(chrom, channel, mean, sd) over the whole contig of run-length channels; uncovered positions count as zero. Next places are found where ``channels`` has no ``next``."""
+    own = channels if "next" in channels.columns else next_position(channels.withColumn("key", F.concat_ws("|", "chrom", "channel")), "next", key="key")
+    own = own.filter("next is not null")
     n, v = F.col("next") - F.col("pos"), F.col("value")
     sums = own.groupBy("chrom", "channel").agg(F.sum(v * n).alias("s"), F.sum(v * v * n).alias("s2"))
     met = sums.join(F.broadcast(contigs), "chrom")

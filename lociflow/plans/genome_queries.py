@@ -62,12 +62,12 @@ cd AS (SELECT chrom, channel, pos, sum(d) AS delta FROM (SELECT chrom, channel,
 
 @query("gw_coverage5", f"{G}, {COV}\nSELECT chrom, pos, channel, CAST(sum(delta) OVER (PARTITION BY chrom, channel ORDER BY pos) AS DOUBLE) AS value FROM cd")
 def gw_coverage5(fx):
-    return genome.coverage(fx.reads, MEAN, SD)
+    return genome.coverage(fx.reads, MEAN, SD, parts=fx.parts).drop("next")
 
 
 @query("agg_channel_meansd", f"{G}, {COV}, sz AS (SELECT CAST(len AS DOUBLE) AS len FROM span), lv AS (SELECT chrom, channel, pos, lead(pos) OVER w AS nxt, sum(delta) OVER w AS v FROM cd WINDOW w AS (PARTITION BY chrom, channel ORDER BY pos))\nSELECT chrom, channel, round(CAST(sum(v * (nxt - pos)) AS DOUBLE) / len, 6) AS mean, round(sqrt(CAST(sum(v * v * (nxt - pos)) AS DOUBLE) / len - pow(CAST(sum(v * (nxt - pos)) AS DOUBLE) / len, 2)), 6) AS sd FROM lv, sz WHERE nxt IS NOT NULL GROUP BY chrom, channel, len")
 def agg_channel_meansd(fx):
-    return genome.channel_stats(genome.coverage(fx.reads, MEAN, SD), fx.contigs)
+    return genome.channel_stats(genome.coverage(fx.reads, MEAN, SD, parts=fx.parts), fx.contigs)
 
 
 @query("gw_snv3", f"{PILE}\nSELECT chrom, pos // 1000 AS bin, channel, count(*) AS n, round(sum(value), 4) AS total, round(sum(value * (pos % 97)), 4) AS placed FROM (SELECT chrom, pos, 'snv_bq' AS channel, bq_median AS value FROM pile UNION ALL SELECT chrom, pos, 'snv_fraction', snv_fraction FROM pile UNION ALL SELECT chrom, pos, 'snv_mapq', mapq_median FROM pile) GROUP BY ALL")
@@ -176,7 +176,7 @@ laid AS MATERIALIZED (SELECT every.chrom, every.pos, {', '.join(f"coalesce(last_
 {sums_sql(genome.ALL, 'laid')}""".replace("FROM contigs_of, span", "FROM (SELECT unnest(['12', '22']) AS chrom), span"))
 def gw_chr_array(fx):
     """All 53 columns of every position, summed up over segments: how many are not zero, their sum, and their sum weighted by place."""
-    array = genome.chr_array(fx.dealt, fx.contigs, fx.store, MEAN, SD, piled(fx))
+    array = genome.chr_array(fx.reads, fx.contigs, fx.store, MEAN, SD, piled(fx))
 
     def below(x):
         r = x % 97

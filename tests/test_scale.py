@@ -26,3 +26,19 @@ def test_range_joins_are_not_broadcast(spans):
     at = ranges.point_in_interval(other, own, "s", "lo", "hi", [("d", "c")], 64)
     assert "Broadcast" not in planned(at)
     assert at.count() == own.join(other, (F.col("lo") <= F.col("s")) & (F.col("s") < F.col("hi"))).count()
+
+
+def test_reads_are_dealt_out_by_rows(spark, monkeypatch):
+    from lociflow.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    fx = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    assert fx.parts == -(-fx.table("lineitem").count() // 500)
+    plan = planned(fx.reads)
+    assert f", {fx.parts}), REPARTITION_BY_NUM" in plan
+
+
+def test_steps_sum_run_and_look_ahead(spark):
+    rows = [("1", p, d) for p, d in [(-3, 1), (5, 1), (5, 1), (40, -1), (40, 1), (70, -2), (300, 1), (301, -2)]] + [("2", 9, 1)]
+    out = ranges.steps(spark.createDataFrame(rows, "chrom string, pos bigint, d int"), "d", "depth", "e", block=32, parts=3)
+    assert sorted(map(tuple, out.collect())) == [("1", -3, 1, 5), ("1", 5, 3, 70), ("1", 70, 1, 300), ("1", 300, 2, 301), ("1", 301, 0, None), ("2", 9, 1, None)]

@@ -42,3 +42,16 @@ def test_steps_sum_run_and_look_ahead(spark):
     rows = [("1", p, d) for p, d in [(-3, 1), (5, 1), (5, 1), (40, -1), (40, 1), (70, -2), (300, 1), (301, -2)]] + [("2", 9, 1)]
     out = ranges.steps(spark.createDataFrame(rows, "chrom string, pos bigint, d int"), "d", "depth", "e", block=32, parts=3)
     assert sorted(map(tuple, out.collect())) == [("1", -3, 1, 5), ("1", 5, 3, 70), ("1", 70, 1, 300), ("1", 300, 2, 301), ("1", 301, 0, None), ("2", 9, 1, None)]
+
+
+def test_insert_size_percentile_reads_once(spark, monkeypatch):
+    from lociflow.operators import reads
+
+    rows = [("a", 1 + 64 + 16, "1", "1", 60, t) for t in [300] * 50 + [-500] * 49 + [900]]
+    own = spark.createDataFrame(rows, "qname string, flag int, chrom string, next_chrom string, mapq int, tlen int")
+    plain = [tuple(reads.insert_size_percentile(own, p).first()) for p in (0.5, 0.51, 0.99, 0.995, 1.0)]
+    assert plain == [(100, 300), (100, 500), (100, 500), (100, 500), (100, 900)]
+    assert reads.insert_size_percentile(own.filter("false")).count() == 0
+    monkeypatch.setattr(reads, "nth_smallest", lambda *a: pytest.fail("sizes that repeat take one pass"))
+    assert tuple(reads.insert_size_percentile(own, 0.5).first()) == (100, 300)
+    assert ranges.few_values(own, "tlen", few=2) is None

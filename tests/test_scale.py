@@ -55,3 +55,28 @@ def test_insert_size_percentile_reads_once(spark, monkeypatch):
     monkeypatch.setattr(reads, "nth_smallest", lambda *a: pytest.fail("sizes that repeat take one pass"))
     assert tuple(reads.insert_size_percentile(own, 0.5).first()) == (100, 300)
     assert ranges.few_values(own, "tlen", few=2) is None
+
+
+def test_pileup_makes_no_row_a_base(spark):
+    from lociflow.operators import basestore, reads
+
+    text = "ACGTN" * 2000
+    store = basestore.chunked(spark.createDataFrame([("1", 0, text)], "chrom string, pos bigint, text string"))
+    rows = [("1", 0, 4090, m, "3S12M", "ACG" + "acgtACGTNACG", "".join(chr(33 + q + i) for i in range(15))) for m, q in [(10, 5), (20, 9), (None, 30), (31, 2)]]
+    rows += [("1", 0, 4000, 7, "1300M", "A" * 1290, "I" * 1290), ("1", 0, 9995, 9, "10M", "C" * 10, "5" * 10), ("1", 4, 1, 9, "2M", "CC", "55"), ("1", 0, 1, 9, "2M", None, "55")]
+    own = spark.createDataFrame(rows, "chrom string, flag int, pos0 bigint, mapq int, cigar string, seq string, qual string")
+    counted = {}
+    for _, flag, at, mapq, cigar, seq, qual in rows:
+        if flag == 4 or seq is None:
+            continue
+        skip, n = (3, 12) if cigar == "3S12M" else (0, int(cigar[:-1]))
+        for i in range(n):
+            b, q = seq[skip + i : skip + i + 1].upper(), qual[skip + i : skip + i + 1]
+            ref = text[at + i : at + i + 1] or " "
+            counted.setdefault(at + i, []).append((ord(q) - 33 if q else -33, mapq, b in tuple("ACGT") and b != ref and ref not in "N "))
+    import statistics
+
+    wanted = {p: (len(v), statistics.median(x[0] for x in v), statistics.median([x[1] for x in v if x[1] is not None]), sum(x[2] for x in v) / len(v)) for p, v in counted.items()}
+    out = reads.pileup(own, store, parts=2)
+    assert {r["pos"]: tuple(r)[2:] for r in out.collect()} == wanted
+    assert "SortMergeJoin" not in planned(out)

@@ -914,3 +914,19 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     out = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
     assert out == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+def test_components_contract_their_links(spark, monkeypatch):
+    kept, plain = [], components.materialise
+
+    def noted(df, what, keep=False):
+        out = plain(df, what, keep)
+        if what == "links":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialise", noted)
+    rows = [(a, b) for a in range(30) for b in range(a)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 240, 3)]
+    out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(rows + [(b, a) for a, b in rows], "a long, b long")).collect()}
+    assert out == {k: 0 for k in range(30)} | {k: 100 for k in range(100, 160)} | {k + i: k for k in range(200, 240, 3) for i in (0, 1)}
+    assert kept == [len(rows), 0]  # all links of the groups go in the first round

@@ -80,3 +80,14 @@ def test_pileup_makes_no_row_a_base(spark):
     out = reads.pileup(own, store, parts=2)
     assert {r["pos"]: tuple(r)[2:] for r in out.collect()} == wanted
     assert "SortMergeJoin" not in planned(out)
+
+
+def test_common_reads_meet_windows_once(spark):
+    from lociflow.operators import windows
+
+    rows = [("a", "1", 1000, "50M"), ("a", "1", 5000, "50M"), ("b", "1", 1010, "50M"), ("c", "1", 900, "9000M"), ("d", "2", 1000, "50M"), ("d", "1", 5010, "50M")]
+    own = spark.createDataFrame(rows, "qname string, chrom string, pos0 bigint, cigar string")
+    cands = spark.createDataFrame([(7, "1", 1020, 5020)], "sv_id int, chrom string, l bigint, r bigint")
+    met = windows.common_reads(own, cands)
+    assert planned(met).split("Initial Plan")[0].count("SortMergeJoin") == 1  # no second meeting of reads and windows
+    assert sorted((r["side"], r["qname"], r["s"]) for r in met.collect()) == [("left", "a", 1000), ("left", "c", 900), ("right", "a", 5000), ("right", "c", 900)]

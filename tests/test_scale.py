@@ -91,3 +91,18 @@ def test_common_reads_meet_windows_once(spark):
     met = windows.common_reads(own, cands)
     assert planned(met).split("Initial Plan")[0].count("SortMergeJoin") == 1  # no second meeting of reads and windows
     assert sorted((r["side"], r["qname"], r["s"]) for r in met.collect()) == [("left", "a", 1000), ("left", "c", 900), ("right", "a", 5000), ("right", "c", 900)]
+
+
+def test_depth_sums_lay_out_no_cells(spark, monkeypatch):
+    from lociflow.operators import windows
+    from lociflow.plans import registry, signal_queries
+
+    runs = spark.createDataFrame([(1, 0, 3, 6, 2), (1, 0, 9, 9, 5), (2, 0, 0, 255, 4)], "sv_id int, channel int, first int, last int, value bigint")
+    plain = signal_queries.window_sums(windows.spread_runs(runs))
+    assert sorted(map(tuple, signal_queries.run_sums(runs).collect())) == sorted(map(tuple, plain.collect()))
+    scaled = windows.min_max(windows.spread_runs(runs)).groupBy("sv_id", "channel").agg(F.count("*"), F.min("scaled"), F.max("scaled"), F.round(F.sum("scaled"), 9))
+    assert sorted(map(tuple, windows.min_max_sums(runs).withColumn("total", F.round("total", 9)).collect())) == sorted(map(tuple, scaled.collect()))
+    for name in ("window_depth", "pair_slice", "min_max"):
+        monkeypatch.setattr(windows, name, lambda *a, **k: pytest.fail("sums need no row for each cell"))
+    for name in ("win_depth", "win_pair_slice", "win_minmax"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").columns

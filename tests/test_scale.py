@@ -106,3 +106,27 @@ def test_depth_sums_lay_out_no_cells(spark, monkeypatch):
         monkeypatch.setattr(windows, name, lambda *a, **k: pytest.fail("sums need no row for each cell"))
     for name in ("win_depth", "win_pair_slice", "win_minmax"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_steps_make_one_exchange(spark):
+    from lociflow.plans.fixtures import Fixtures
+
+    out = Fixtures(spark, "/root/testdata/sf0.001").depth
+    assert out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_stores_are_written_by_as_many_tasks_as_asked(spark, tmp_path):
+    from pathlib import Path
+
+    from lociflow.sources import stores
+
+    own = spark.range(3000).select(F.col("id").alias("name"), F.lit("1").alias("chrom"), (F.col("id") * 4001).alias("l"), (F.col("id") * 4001 + 5).alias("r"))
+    for parts, least in ((None, 1), (20, 9)):
+        path = f"{tmp_path}/store-{parts}"
+        stores.write_store(own, path, key="name", parts=parts)
+        for folder in ("data", "ids"):
+            tasks = {f.name.split("-")[1] for f in Path(path, folder).rglob("part-*.parquet")}
+            assert len(tasks) >= least and (parts is None or len(tasks) > 4)
+        assert stores.read_store(spark, path).count() == 3000 and spark.read.parquet(f"{path}/ids").count() == 3000
+        assert sorted(r["name"] for r in stores.read_ids(spark, path, [0, 17, 2999], "name").collect()) == [0, 17, 2999]

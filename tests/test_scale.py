@@ -130,3 +130,15 @@ def test_stores_are_written_by_as_many_tasks_as_asked(spark, tmp_path):
             assert len(tasks) >= least and (parts is None or len(tasks) > 4)
         assert stores.read_store(spark, path).count() == 3000 and spark.read.parquet(f"{path}/ids").count() == 3000
         assert sorted(r["name"] for r in stores.read_ids(spark, path, [0, 17, 2999], "name").collect()) == [0, 17, 2999]
+
+
+def test_one_position_hits_take_two_exchanges(spark):
+    from lociflow.operators import windows
+
+    events = spark.createDataFrame([("1", p, 1 + p % 3) for p in [0, 37, 38, 99, 100, 100, 161, 162, 163, 247, 248, 250]], "chrom string, pos bigint, event int")
+    cands = spark.createDataFrame([(1, "1", 100, 310), (2, "1", 100, 130), (3, "2", 100, 130), (4, "1", 10, 40)], "sv_id int, chrom string, l bigint, r bigint")
+    met = windows.hits_1d(cands, events)
+    wide = cands.select("sv_id", F.col("chrom").alias("c"), F.explode(F.array("l", "r")).alias("at"))
+    brute = wide.join(events, (F.col("c") == F.col("chrom")) & (F.abs(F.col("pos") - F.col("at")) <= 62)).count()
+    assert met.agg(F.sum("n")).first()[0] == brute
+    assert planned(met).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2

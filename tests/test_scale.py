@@ -142,3 +142,13 @@ def test_one_position_hits_take_two_exchanges(spark):
     brute = wide.join(events, (F.col("c") == F.col("chrom")) & (F.abs(F.col("pos") - F.col("at")) <= 62)).count()
     assert met.agg(F.sum("n")).first()[0] == brute
     assert planned(met).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+
+
+def test_bases_are_not_broadcast(spark):
+    from lociflow.operators import basestore
+
+    store = basestore.chunked(spark.createDataFrame([("1", 0, "ACGTN" * 2000)], "chrom string, pos bigint, text string"))
+    spans = spark.createDataFrame([("1", 4090, 4100), ("1", 0, 3), ("2", 5, 7)], "c string, lo bigint, hi bigint")
+    cut = basestore.with_text(spans, store, "c", "lo", "hi", "text")
+    assert "Broadcast" not in planned(cut)
+    assert {r["lo"]: r["text"] for r in cut.collect()} == {4090: "ACGTNACGTN", 0: "ACG", 5: "  "}

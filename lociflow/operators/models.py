@@ -15,6 +15,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 
 def pooled_features(sparse: DataFrame, rows: int = 35, width: int = 256, pools: int = 8) -> DataFrame:
-    """(sv_id, features): channel sums over ``pools`` stretches of the window, from the sparse tensor."""
-    own = sparse.groupBy("sv_id", (F.col("channel") * pools + F.floor(F.col("offset") * pools / width)).cast("int").alias("k")).agg(F.sum("value").cast("double").alias("v"))
-    m = own.groupBy("sv_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return m.select("sv_id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(rows * pools - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))).alias("features"))
+    """(sv_id, features): channel sums over ``pools`` stretches of the window, from the sparse tensor; its cells may come in parts.
+
+    Cells are dealt out by candidate once, as narrow rows, for their sums and for the vectors.
+    """
+    k = (F.col("channel") * pools + F.floor(F.col("offset") * pools / width)).cast("int")
+    own = sparse.select("sv_id", k.alias("k"), "value").repartition("sv_id").groupBy("sv_id").pivot("k", list(range(rows * pools))).agg(F.sum("value").cast("double"))
+    return own.select("sv_id", array_to_vector(F.array(*(F.coalesce(F.col(str(i)), F.lit(0.0)) for i in range(rows * pools)))).alias("features"))
 
 
 def train(df: DataFrame, params: dict | None = None):
@@ -59,35 +63,45 @@ class Spec:
     settled: bool = field(default=False, compare=False)
 
 
-def _sums(df: DataFrame, specs: list[Spec], of: Callable[[np.ndarray, np.ndarray, np.ndarray, Spec], np.ndarray]) -> dict[int, np.ndarray]:
+def _sums(df: DataFrame, specs: list[Spec], of: Callable[[np.ndarray, np.ndarray, np.ndarray, Spec], np.ndarray], used: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """Per spec the sum over its rows of what ``of`` (features with a leading one, y, weight) gives for a batch of rows; one pass over ``df``.
 
     Each task adds up its rows for all specs; tasks' sums are added in two steps. The driver gets one
-    array a spec.
+    array a spec. Specs with equal exclusions share their rows; ``used`` gives the features that ``of``
+    sees, by place, all without.
     """
     columns = sorted({c for s in specs for c, _ in s.without})
     given = df.select("y", "weight", vector_to_array("features").alias("x"), *(F.col(c).alias(f"by_{c}") for c in columns))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    alike: dict[tuple, list[int]] = {}
+    for i, spec in enumerate(specs):
+        alike.setdefault(spec.without, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            x = np.column_stack([np.ones(len(frame)), np.stack(frame["x"].to_numpy())])
-            y, w = frame["y"].to_numpy(np.float64), frame["weight"].to_numpy(np.float64)
-            for i, spec in enumerate(specs):
-                mine = np.logical_and.reduce([np.ones(len(frame), bool), *(frame[f"by_{c}"].to_numpy() != v for c, v in spec.without)])
+            x = np.column_stack([np.ones(n), batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)])
+            x = x if used is None else x[:, used]
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("y", "weight"))
+            by = {c: batch.column(f"by_{c}").to_pandas().to_numpy() for c in columns}
+            for without, own in alike.items():
+                mine = np.logical_and.reduce([np.ones(n, bool), *(by[c] != v for c, v in without)])
                 if mine.any():
-                    got = of(x[mine], y[mine], w[mine], spec)
-                    held[i] = held[i] + got if i in held else got
+                    rows = x[mine], y[mine], w[mine]
+                    for i in own:
+                        got = of(*rows, specs[i])
+                        held[i] = held[i] + got if i in held else got
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        yield pd.DataFrame({"spec": list(held), "part": [part % 64] * len(held), "v": [v.tolist() for v in held.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([part % 64] * len(held), pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["spec", "part", "v"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"spec": [frame["spec"].iloc[0]], "part": [frame["part"].iloc[0]], "v": [np.sum(np.stack(frame["v"].to_numpy()), axis=0).tolist()]})
 
     kind = "spec int, part int, v array<double>"
-    each = given.mapInPandas(run, kind).groupBy("spec", "part").applyInPandas(add, kind).groupBy("spec").applyInPandas(add, kind)
+    each = given.mapInArrow(run, kind).groupBy("spec", "part").applyInPandas(add, kind).groupBy("spec").applyInPandas(add, kind)
     return {r["spec"]: np.array(r["v"]) for r in each.collect()}
 
 
@@ -111,7 +125,7 @@ def fit_many(df: DataFrame, specs: list[Spec], steps: int = 25, tolerance: float
 
     The loss is the weighted mean log loss plus half the penalty times the squared coefficients
     (of unit-spread features if ``standardize``), without the intercept. Features without any spread
-    get zero. A fit goes on where an earlier
+    get zero and are in no gradient or curvature. A fit goes on where an earlier
     call left it. Specs without rows get zeros. ``df`` has y, weight, features and the columns that
     ``without`` names; it is read ``steps`` + 1 times at most, so persist it or write it before.
     """
@@ -134,16 +148,17 @@ def fit_many(df: DataFrame, specs: list[Spec], steps: int = 25, tolerance: float
         own = [(i, s) for i, s in enumerate(todo) if not s.settled]
         if not own:
             break
-        sums = _sums(df, [s for _, s in own], _curvature)
+        used = np.flatnonzero(np.logical_or.reduce([np.arange(size) == 0, *(spread[i] > 0 for i, _ in own), *(s.beta != 0 for _, s in own)]))
+        sums = _sums(df, [replace(s, beta=s.beta[used]) for _, s in own], _curvature, used)
         for k, (i, s) in enumerate(own):
-            grad, curve = sums[k][:size] / total[i], sums[k][size:].reshape(size, size) / total[i]
-            ridge = s.reg_param * (spread[i] if s.standardize else np.ones(size))
+            grad, curve = sums[k][: len(used)] / total[i], sums[k][len(used) :].reshape(len(used), -1) / total[i]
+            ridge = s.reg_param * (spread[i][used] if s.standardize else np.ones(len(used)))
             ridge[0] = 0
-            free = spread[i] > 0
+            free = spread[i][used] > 0
             free[0] = s.fit_intercept
-            grad, curve = (grad + ridge * s.beta)[free], (curve + np.diag(ridge))[np.ix_(free, free)]
+            grad, curve = (grad + ridge * s.beta[used])[free], (curve + np.diag(ridge))[np.ix_(free, free)]
             move = np.linalg.lstsq(curve, -grad, rcond=None)[0]
-            s.beta[free] += move
+            s.beta[used[free]] += move
             s.settled = bool(np.abs(move).max(initial=0) < tolerance)
     return specs
 
@@ -155,8 +170,10 @@ def balanced_accuracies(df: DataFrame, specs: list[Spec], held: list[tuple[str,
         return np.array([np.sum(y == c) for c in (0, 1)] + [np.sum(right & (y == c)) for c in (0, 1)], float)
 
     # A spec's rows are those it leaves in; the wanted ones are all those less the ones without them.
-    wide = [replace(s, without=tuple(e for e in s.without if e != h), beta=s.beta) for s, h in zip(specs, held)]
-    all_rows, rest = _sums(df, wide, counts), _sums(df, specs, counts)
+    used = np.flatnonzero(np.logical_or.reduce([np.arange(len(specs[0].beta)) == 0, *(s.beta != 0 for s in specs)]))
+    own = [replace(s, beta=s.beta[used]) for s in specs]
+    wide = [replace(s, without=tuple(e for e in s.without if e != h)) for s, h in zip(own, held)]
+    all_rows, rest = _sums(df, wide, counts, used), _sums(df, own, counts, used)
     out = []
     for i in range(len(specs)):
         n0, n1, r0, r1 = all_rows.get(i, np.zeros(4)) - rest.get(i, np.zeros(4))

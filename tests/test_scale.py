@@ -152,3 +152,23 @@ def test_bases_are_not_broadcast(spark):
     cut = basestore.with_text(spans, store, "c", "lo", "hi", "text")
     assert "Broadcast" not in planned(cut)
     assert {r["lo"]: r["text"] for r in cut.collect()} == {4090: "ACGTNACGTN", 0: "ACG", 5: "  "}
+
+
+def test_models_see_only_features_with_spread(spark, monkeypatch):
+    from lociflow.operators import models
+    from pyspark.ml.functions import array_to_vector
+
+    own = spark.range(300).select((F.col("id") % 7 < 3).cast("int").alias("y"), F.lit(1.0).alias("weight"), array_to_vector(F.array(*[F.lit(0.0)] * 30, (F.col("id") % 5).cast("double"), *[F.lit(2.0)] * 30)).alias("features"))
+    real, seen = models._sums, []
+    monkeypatch.setattr(models, "_sums", lambda df, specs, of, used=None: seen.append(used) or real(df, specs, of, used))
+    spec = models.fit_many(own, [models.Spec()])[0]
+    assert spec.settled and set(map(int, spec.beta.nonzero()[0])) <= {0, 31} and len(spec.beta) == 62
+    assert len(seen) > 1 and all(list(u) == [0, 31] for u in seen[1:])
+
+
+def test_training_rows_are_made_once(spark, monkeypatch):
+    from lociflow.plans import callset_queries, registry
+
+    calls, real = [], callset_queries.training
+    monkeypatch.setattr(callset_queries, "training", lambda fx: calls.append(1) or real(fx))
+    assert registry.QUERIES["ml_score"](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1

@@ -6,12 +6,16 @@ channels: a left clip counts at start + 1, a right clip at the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import calls
 from lociflow.functions import cigar as C
-from lociflow.operators.basestore import WIDTH, with_text
+from lociflow.operators.basestore import WIDTH
 from lociflow.operators.ranges import next_position, steps
 
 COVERAGE = ["cov_proper", "cov_disc_F", "cov_disc_R", "cov_improper_F", "cov_improper_R"]
@@ -35,10 +39,10 @@ def _mapped(reads: DataFrame, min_mapq: int, mates: bool = False) -> DataFrame:
     return own.withColumn("rev", C.flag_has("flag", C.REVERSE)).withColumn("mrev", C.flag_has("flag", C.MATE_REVERSE)).withColumn("proper", C.flag_has("flag", C.PROPER)).withColumn("end", C.cigar_ref_end("pos0", "cigar")).withColumn("lc", C.is_left_clipped("cigar")).withColumn("rc", C.is_right_clipped("cigar")).withColumn("strand", F.when(F.col("rev"), "R").otherwise("F"))
 
 
-def _count(df: DataFrame, pos: Column, names: Column) -> DataFrame:
+def _count(df: DataFrame, pos: Column, *names: Column) -> DataFrame:
     """Counts of all non-null channel names of each row at its position."""
-    each = df.select("chrom", pos.cast("bigint").alias("pos"), F.explode(F.filter(names, lambda x: x.isNotNull())).alias("channel"))
-    return each.groupBy("chrom", "pos", "channel").agg(F.count("*").cast("double").alias("value"))
+    each = df.select("chrom", pos.cast("bigint").alias("pos"), (names[0] if len(names) == 1 else F.explode(F.array(*names))).alias("channel"))
+    return each.filter("channel is not null").groupBy("chrom", "pos", "channel").agg(F.count("*").cast("double").alias("value"))
 
 
 def coverage(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10, parts: int | None = None) -> DataFrame:
@@ -57,11 +61,11 @@ def clipped(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
     """Fourteen counts: clips without supplementary alignment facing an opposite mate, all and not proper, and indels of 50 bases or more."""
     own = _mapped(reads, min_mapq, mates=True).filter((F.col("chrom") == F.col("next_chrom")) & (F.col("rev") != F.col("mrev")) & F.col("sa").isNull() & (F.col("lc") | F.col("rc")))
     side = F.when(F.col("lc"), "left").otherwise("right")
-    clips = _count(own, clip_position(), F.array(F.concat_ws("_", side, "strand"), F.when(~F.col("proper"), F.concat_ws("_", F.lit("disc"), side, "strand"))))
+    clips = _count(own, clip_position(), F.concat_ws("_", side, "strand"), F.when(~F.col("proper"), F.concat_ws("_", F.lit("disc"), side, "strand")))
     big = _mapped(reads, min_mapq).select("chrom", "strand", F.explode(C.get_indels("cigar", "pos0")).alias("i"))
     at = F.when(F.col("i.kind") == "INS", F.array(F.struct(F.lit("I").alias("k"), F.col("i.s").alias("p")))).otherwise(F.array(F.struct(F.lit("D_left").alias("k"), F.col("i.s").alias("p")), F.struct(F.lit("D_right").alias("k"), F.col("i.e").alias("p"))))
     ends = big.select("chrom", "strand", F.explode(at).alias("x"))
-    return clips.unionByName(_count(ends, F.col("x.p"), F.array(F.concat_ws("_", "x.k", "strand"))))
+    return clips.unionByName(_count(ends, F.col("x.p"), F.concat_ws("_", "x.k", "strand")))
 
 
 def clip_position() -> Column:
@@ -76,21 +80,22 @@ def inversions(reads: DataFrame, min_mapq: int = 10, compat: bool = False) -> Da
     """Clips whose mate lies on the same strand, before or after; with ``compat`` only those without supplementary alignment."""
     own = _mapped(reads, min_mapq, mates=True).filter((F.col("chrom") == F.col("next_chrom")) & (F.col("rev") == F.col("mrev")) & (F.col("lc") | F.col("rc")))
     own = own.filter(F.col("sa").isNull()) if compat else own
-    return _count(own, clip_position(), F.array(F.concat(F.lit("inv_"), F.when(F.col("pos0") > F.col("next_pos0"), "before").otherwise("after"), _split_suffix())))
+    return _count(own, clip_position(), F.concat(F.lit("inv_"), F.when(F.col("pos0") > F.col("next_pos0"), "before").otherwise("after"), _split_suffix()))
 
 
 def duplications(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
     """Reverse left clips with the mate after, forward right clips with the mate before."""
     own = _mapped(reads, min_mapq, mates=True).filter((F.col("chrom") == F.col("next_chrom")) & (F.col("rev") != F.col("mrev")))
-    after = F.col("lc") & F.col("rev") & (F.col("pos0") < F.col("next_pos0"))
-    before = ~F.col("lc") & F.col("rc") & ~F.col("rev") & (F.col("pos0") > F.col("next_pos0"))
-    return _count(own.filter(after | before), clip_position(), F.array(F.concat(F.lit("dup_"), F.when(after, "after").otherwise("before"), _split_suffix())))
+    # What flags and places decide comes first; the CIGAR text is looked at for the rest only.
+    own = own.filter((F.col("rev") & (F.col("pos0") < F.col("next_pos0"))) | (~F.col("rev") & (F.col("pos0") > F.col("next_pos0"))))
+    after, before = F.col("rev") & F.col("lc"), ~F.col("rev") & F.col("rc") & ~F.col("lc")
+    return _count(own.filter(after | before), clip_position(), F.concat(F.lit("dup_"), F.when(after, "after").otherwise("before"), _split_suffix()))
 
 
 def translocations(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
     """Clips whose mate lies on another chromosome, by strands."""
     own = _mapped(reads, min_mapq, mates=True).filter((F.col("chrom") != F.col("next_chrom")) & (F.col("lc") | F.col("rc")))
-    return _count(own, clip_position(), F.array(F.concat(F.lit("tra_"), F.when(F.col("rev") != F.col("mrev"), "opposite").otherwise("same"), _split_suffix())))
+    return _count(own, clip_position(), F.concat(F.lit("tra_"), F.when(F.col("rev") != F.col("mrev"), "opposite").otherwise("same"), _split_suffix()))
 
 
 def clipped_positions(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
@@ -134,7 +139,7 @@ def split_reads(reads: DataFrame, min_mapq: int = 10) -> DataFrame:
 def split_counts(reads: DataFrame, min_mapq: int = 10, both: bool = False) -> DataFrame:
     own = split_reads(reads, min_mapq)
     own = own if both else own.filter("side <> 'both'")
-    return _count(own, F.col("pos"), F.array(F.concat_ws("_", F.lit("split"), "side", "strand")))
+    return _count(own, F.col("pos"), F.concat_ws("_", F.lit("split"), "side", "strand"))
 
 
 def split_distances(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10) -> DataFrame:
@@ -259,48 +264,114 @@ def read_channels(reads: DataFrame, mean: float, sd: float, min_mapq: int = 10,
     out += [item(single, name("split", side, strand), place), item(single, name("splitdist", side, strand), place, far)]
     indels = F.flatten(F.transform("big", lambda i: F.when(i["kind"] == "INS", F.array(item(F.lit(True), name("I", strand), i["s"]))).otherwise(F.array(item(F.lit(True), name("D_left", strand), i["s"]), item(F.lit(True), name("D_right", strand), i["e"])))))
     none = F.array().cast("array<struct<channel:string,pos:bigint,value:double>>")
-    each = own.select("chrom", F.explode(F.filter(F.concat(F.array(*out), F.coalesce(indels, none)), lambda x: x.isNotNull())).alias("x"))
+    # Missing items go after the explode: a lambda over the array would be evaluated without generated code.
+    each = own.select("chrom", F.explode(F.concat(F.array(*out), F.coalesce(indels, none))).alias("x")).filter("x is not null")
     return each.select("chrom", "x.pos", "x.channel", "x.value")
 
 
-def chr_array(reads: DataFrame, contigs: DataFrame, store: DataFrame, mean: float, sd: float, pile: DataFrame | None = None, min_mapq: int = 10, block: int = 65536, width: int = WIDTH) -> DataFrame:
-    """(chrom, s, e, 48 channels, bases): the whole-genome array as segments over which no channel changes; ``dense`` gives its 53 columns by position.
+#: Channels that are laid out from reads and pileup; the bases come from the store.
+LAID = [c for c in ALL if c not in BASES]
+#: Channels of which a place takes the median, not the sum.
+DISTANCE = np.array([c in CLIP_DISTANCE + SPLIT_DISTANCE for c in LAID])
+_CODES = 64  # an event's code is its place in the chunk times this, plus its channel
+
+
+def chr_chunks(reads: DataFrame, contigs: DataFrame, store: DataFrame, mean: float, sd: float, pile: DataFrame | None = None, min_mapq: int = 10, width: int = WIDTH, parts: int | None = None) -> DataFrame:
+    """(chrom, chunk, places, before, events, bq, fraction, mapq, bases): all that the whole-genome array is laid out from, one row for each chunk of the contigs.
 
-    Coverage is a step function, kept as changes; counts, medians and the pileup hold at single
-    positions. All are cut at the union of their borders and at those of the base store's chunks, and
-    coverage is carried on as a running sum: totals by block of positions first, then within blocks,
-    where each segment also finds its end. Contigs are covered from 0 to their length, missing values
-    are zero, and what lies outside is left out. A segment's ``bases`` are its stretch of the reference.
+    ``events`` are (code, value, n), equal ones counted, so a row does not grow with the depth where values
+    repeat; ``before`` are the coverages carried in from earlier chunks, made from one row a chunk. ``pile`` is
+    ``pileup_chunks``. Coverage from before the contig's start counts from 0 on, what lies outside is
+    left out. ``parts`` gives the partitions (the session's without).
     """
-    each = read_channels(reads, mean, sd, min_mapq)
-    covers, distance = F.col("channel").startswith("cov"), F.col("channel").startswith("clipdist") | F.col("channel").startswith("splitdist")
-    unknown = [F.lit(None).cast("double").alias(c) for c in SNV]
-    # Channels of single places stay in one map a place, so that what is cut and summed up is narrow.
-    single = each.filter(~covers).groupBy("chrom", "pos", "channel").agg(F.when(distance, F.median("value")).otherwise(F.sum("value")).alias("value"))
-    points = single.groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct("channel", "value"))).alias("at"))
-    # The place after a point is a border too, as the point ends there.
-    borders = F.when(covers, F.array("pos")).otherwise(F.array(F.col("pos"), F.col("pos") + 1))
-    rows = each.select("chrom", F.explode(borders).alias("pos"), *(F.when(F.col("channel") == c, F.col("value")).alias(c) for c in COVERAGE), *unknown)
-    if pile is not None:
-        named = [F.col(v).cast("double").alias(n) for n, v in zip(SNV, ("bq_median", "snv_fraction", "mapq_median"))]
-        place = F.col("pos").cast("bigint")
-        both = pile.select("chrom", F.explode(F.array(F.struct(place.alias("pos"), *named), F.struct((place + 1).alias("pos"), *unknown))).alias("x"))
-        rows = rows.unionByName(both.select("chrom", "x.*"), allowMissingColumns=True)
-    cuts = contigs.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1, F.lit(width).cast("bigint"))).alias("pos"))
-    held = rows.unionByName(cuts, allowMissingColumns=True).groupBy("chrom", "pos").agg(*(F.sum(c).alias(c) for c in COVERAGE + SNV))
-    held = held.join(points, ["chrom", "pos"], "left")
+    dealt = lambda df: df.repartition("chrom", "chunk") if parts is None else df.repartition(parts, "chrom", "chunk")
     lengths = F.broadcast(contigs.select(F.col("chrom").alias("c"), "len"))
-    # Coverage from before the contig's start counts from 0 on; a contig has its border there.
-    own = held.join(lengths, F.col("chrom") == F.col("c")).filter(F.col("pos") < F.col("len")).withColumn("k", F.floor(F.greatest("pos", F.lit(0)) / block))
-    totals = own.groupBy("chrom", "k").agg(F.min(F.when(F.col("pos") >= 0, F.col("pos"))).alias("begin"), *(F.sum(c).alias(f"t_{c}") for c in COVERAGE))
-    over = Window.partitionBy("chrom").orderBy("k")  # one row a block
-    before = totals.select("chrom", "k", F.lead("begin").over(over).alias("next_block"), *(F.coalesce(F.sum(f"t_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"t_{c}") for c in COVERAGE))
-    inside = Window.partitionBy("chrom", "k").orderBy("pos")
-    run = inside.rowsBetween(Window.unboundedPreceding, 0)
-    own = own.select("chrom", "k", "pos", "len", F.lead("pos").over(inside).alias("next"), *(F.coalesce(F.sum(c).over(run), F.lit(0.0)).alias(c) for c in COVERAGE), *SNV, "at")
-    cut = own.join(before, ["chrom", "k"]).filter("pos >= 0")
-    cut = cut.select("chrom", F.col("pos").alias("s"), F.coalesce("next", "next_block", "len").alias("e"), *((F.col(c) + F.col(f"t_{c}")).alias(c) if c in COVERAGE else F.coalesce(c if c in SNV else F.col("at")[c], F.lit(0.0)).alias(c) for c in ALL if c not in BASES))
-    return with_text(cut, store, "chrom", "s", "e", "bases", width, width)
+    channel = F.array_position(F.array(*(F.lit(c) for c in LAID)), F.col("channel")) - 1
+    each = read_channels(reads, mean, sd, min_mapq).join(lengths, F.col("chrom") == F.col("c")).filter((F.col("pos") < F.col("len")) & ((F.col("pos") >= 0) | F.col("channel").startswith("cov")))
+    pos = F.greatest("pos", F.lit(0))
+    # Totals and events ask for the same columns, so both come from the same exchange.
+    own = each.select("chrom", F.floor(pos / width).alias("chunk"), (pos % width * _CODES + channel).cast("int").alias("code"), "value")
+    events = dealt(own.filter(F.col("chrom").isNotNull() & F.col("chunk").isNotNull()))
+    counted = events.groupBy("chrom", "chunk", "code", "value").agg(F.count("*").alias("n"))
+    held = counted.groupBy("chrom", "chunk").agg(F.collect_list(F.struct("code", "value", "n")).alias("events"))
+    totals = events.groupBy("chrom", "chunk").agg(*(F.sum(F.when(F.col("code") % _CODES == i, F.col("value"))).alias(c) for i, c in enumerate(COVERAGE)))
+    chunks = contigs.filter("len > 0").select("chrom", "len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("len") - 1) / width))).alias("chunk"))
+    over = Window.partitionBy("chrom").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
+    before = F.array(*(F.coalesce(F.sum(c).over(over), F.lit(0.0)) for c in COVERAGE))
+    spine = chunks.join(totals, ["chrom", "chunk"], "left").select("chrom", "chunk", F.least(F.lit(width), F.col("len") - F.col("chunk") * width).cast("int").alias("places"), before.alias("before"))
+    out = dealt(spine).join(held, ["chrom", "chunk"], "left")
+    if pile is None:
+        out = out.select("*", *(F.lit(None).cast("array<double>").alias(c) for c in ("bq", "fraction", "mapq")))
+    else:
+        out = out.hint("merge").join(dealt(pile).hint("merge"), ["chrom", "chunk"], "left")
+    bases = store.select("chrom", "chunk", F.upper(F.substring("bases", 1, width)).alias("bases"))
+    return out.hint("merge").join(dealt(bases).hint("merge"), ["chrom", "chunk"], "left")
+
+
+def _summed(events: pa.Array, places: int) -> np.ndarray:
+    """Channels by place: sums of the events at a place, the median for distances."""
+    code, value, n = (events.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    cell = code % _CODES * places + code // _CODES
+    far = DISTANCE[code % _CODES]
+    out = np.bincount(cell[~far], value[~far] * n[~far], minlength=len(LAID) * places).astype(float)
+    order = np.lexsort((value[far], cell[far]))
+    cell, value, n = cell[far][order], value[far][order], n[far][order]
+    if len(cell):
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        upto, size = np.cumsum(n), np.add.reduceat(n, first)
+        start = upto[first] - n[first]
+        one, two = (value[np.searchsorted(upto, start + rank)] for rank in ((size + 1) // 2, size // 2 + 1))
+        out[cell[first]] = (one + two) / 2
+    return out.reshape(len(LAID), places)
+
+
+def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(chrom, chunk, channels by place, letters) of the rows of ``chr_chunks``: 48 rows of values; letters are blanks where there are none."""
+    for batch in batches:
+        own = {c: batch.column(c) for c in batch.schema.names}
+        for i in range(batch.num_rows):
+            places, events = own["places"][i].as_py(), own["events"][i].values
+            out = np.zeros((len(LAID), places)) if events is None else _summed(events, places)
+            out[: len(COVERAGE)] = np.cumsum(out[: len(COVERAGE)], axis=1) + own["before"][i].values.to_numpy()[:, None]
+            for c, name in zip(("bq", "fraction", "mapq"), SNV):
+                if own[c][i].is_valid:
+                    out[LAID.index(name)] = np.nan_to_num(own[c][i].values.to_numpy()[:places])
+            text = (own["bases"][i].as_py() or "").encode("latin-1", "replace")[:places]
+            yield own["chrom"][i].as_py(), own["chunk"][i].as_py(), out, np.frombuffer(text.ljust(places), np.uint8)
+
+
+def chr_array(reads: DataFrame, contigs: DataFrame, store: DataFrame, mean: float, sd: float, pile: DataFrame | None = None, min_mapq: int = 10, width: int = WIDTH, parts: int | None = None, block: int | None = None) -> DataFrame:
+    """(chrom, s, e, 48 channels, bases): the whole-genome array as segments over which no channel changes; ``dense`` gives its 53 columns by position.
+
+    A chunk of ``chr_chunks`` is laid out at a time and cut where any channel changes. Contigs are covered from
+    0 to their length and missing values are zero. A segment's ``bases`` are its stretch of the reference, in
+    capitals. ``block`` is of no effect any more.
+    """
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chrom, chunk, out, letters in _layers(batches):
+            s = np.flatnonzero(np.r_[True, (out[:, 1:] != out[:, :-1]).any(axis=0)])
+            e = np.r_[s[1:], out.shape[1]]
+            text = letters.tobytes().decode("latin-1")
+            found = [pa.array([chrom] * len(s), pa.string()), pa.array(chunk * width + s), pa.array(chunk * width + e), *(pa.array(x[s]) for x in out), pa.array([text[a:b] for a, b in zip(s, e)], pa.string())]
+            yield pa.RecordBatch.from_arrays(found, names=["chrom", "s", "e", *LAID, "bases"])
+
+    chunks = chr_chunks(reads, contigs, store, mean, sd, pile, min_mapq, width, parts)
+    return chunks.mapInArrow(segments, f"chrom string, s bigint, e bigint, {', '.join(f'{c} double' for c in LAID)}, bases string")
+
+
+def array_sums(chunks: DataFrame, width: int = WIDTH, weight: int = 97) -> DataFrame:
+    """(chrom, channel, nonzero, total, placed) of all 53 columns, from ``chr_chunks``: each chunk is laid out by position and summed up; ``placed`` weighs by place modulo ``weight``."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chrom, chunk, out, letters in _layers(batches):
+            array = np.vstack([out, *(letters == ord(c[-1]) for c in BASES)])
+            w = (chunk * width + np.arange(array.shape[1])) % weight
+            found = [pa.array([chrom] * len(array), pa.string()), pa.array(LAID + BASES), pa.array(np.count_nonzero(array, axis=1)), pa.array(array.sum(axis=1)), pa.array(array @ w.astype(float))]
+            yield pa.RecordBatch.from_arrays(found, names=["chrom", "channel", "nonzero", "total", "placed"])
+
+    each = chunks.mapInArrow(sums, "chrom string, channel string, nonzero bigint, total double, placed double")
+    return each.groupBy("chrom", "channel").agg(*(F.sum(c).alias(c) for c in ("nonzero", "total", "placed")))
 
 
 def dense(segments: DataFrame) -> DataFrame:

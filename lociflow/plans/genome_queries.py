@@ -8,7 +8,7 @@ from lociflow.operators import genome, reads
 from lociflow.plans.fixtures import DUCK_BASES
 from lociflow.plans.registry import query
 from lociflow.plans.scalar_queries import OPS
-from lociflow.plans.signal_queries import PILE, piled
+from lociflow.plans.signal_queries import PILE, piled, sequenced
 
 MEAN, SD = 500.0, 200.0
 #: Reads with end, clip sides and strands, as the channels see them.
@@ -175,22 +175,7 @@ laid AS MATERIALIZED (SELECT every.chrom, every.pos, {', '.join(f"coalesce(last_
   FROM every LEFT JOIN places USING (chrom, pos) LEFT JOIN pile USING (chrom, pos) LEFT JOIN b USING (chrom, pos))
 {sums_sql(genome.ALL, 'laid')}""".replace("FROM contigs_of, span", "FROM (SELECT unnest(['12', '22']) AS chrom), span"))
 def gw_chr_array(fx):
-    """All 53 columns of every position, summed up over segments: how many are not zero, their sum, and their sum weighted by place."""
-    array = genome.chr_array(fx.reads, fx.contigs, fx.store, MEAN, SD, piled(fx))
-
-    def below(x):
-        r = x % 97
-        return F.floor(x / 97) * (97 * 48) + r * (r - 1) / 2
-
-    n, w = F.col("e") - F.col("s"), below(F.col("e")) - below(F.col("s"))
-    sums = {c: (F.sum(F.when(F.col(c) != 0, n).otherwise(0)), F.sum(F.col(c) * n), F.sum(F.col(c) * w)) for c in VALUES}
-
-    def at(base):
-        return F.filter(F.transform(F.split("bases", ""), lambda x, i: F.when(x == base, (F.col("s") + i) % 97)), lambda x: x.isNotNull())
-
-    for c in genome.BASES:
-        found = F.length("bases") - F.length(F.replace("bases", F.lit(c[-1]), F.lit("")))
-        sums[c] = (F.sum(found), F.sum(found).cast("double"), F.sum(F.aggregate(at(c[-1]), F.lit(0.0), lambda a, x: a + x)))
-    own = array.groupBy("chrom").agg(*(x.alias(f"{c}_{i}") for c, xs in sums.items() for i, x in enumerate(xs)))
-    rows = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"{c}_0").cast("bigint").alias("nonzero"), F.round(f"{c}_1", 5).alias("total"), F.round(f"{c}_2", 5).alias("placed")) for c in sums))
-    return own.select("chrom", F.explode(rows).alias("x")).select("chrom", "x.*")
+    """All 53 columns of every position, laid out and summed up by chunk: how many are not zero, their sum, and their sum weighted by place."""
+    pile = reads.pileup_chunks(sequenced(fx), fx.store, parts=fx.parts)
+    own = genome.array_sums(genome.chr_chunks(fx.reads, fx.contigs, fx.store, MEAN, SD, pile, parts=fx.parts))
+    return own.select("chrom", "channel", "nonzero", F.round("total", 5).alias("total"), F.round("placed", 5).alias("placed"))

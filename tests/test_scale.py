@@ -172,3 +172,25 @@ def test_training_rows_are_made_once(spark, monkeypatch):
     calls, real = [], callset_queries.training
     monkeypatch.setattr(callset_queries, "training", lambda fx: calls.append(1) or real(fx))
     assert registry.QUERIES["ml_score"](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_array_sums_by_chunk(spark):
+    from lociflow.operators import basestore, genome, reads
+
+    data = [("a", 1, 1 + 2 + 32, "1", 3, 60, "4S10M", "1", 9, 16, 0, None), ("b", 2, 1 + 2 + 32, "1", 3, 60, "4S10M", "1", 40, 16, 0, None), ("a", 3, 1 + 2 + 16, "1", 9, 60, "10M", "1", 3, -16, 0, None), ("c", 4, 1 + 8, "1", 18, 60, "6M", "1", 18, 0, 0, None)]
+    df = spark.createDataFrame(data, "qname string, ord long, flag int, chrom string, pos0 long, mapq int, cigar string, next_chrom string, next_pos0 long, tlen long, nm int, sa string")
+    store = basestore.chunked(spark.createDataFrame([("1", 0, "ACGTNACGTNACGTNACGTN")], "chrom string, pos long, text string"), 8, 8)
+    sized = spark.createDataFrame([("1", 25), ("2", 3)], "chrom string, len long")
+    chunks = genome.chr_chunks(df, sized, store, 10.0, 2.0, width=8)
+    at = genome.dense(genome.chr_array(df, sized, store, 10.0, 2.0, width=8))
+    wanted = at.groupBy("chrom").agg(*(F.struct(F.count_if(F.col(c) != 0).alias("nonzero"), F.sum(c).alias("total"), F.sum(F.col(c) * (F.col("pos") % 97)).alias("placed")).alias(c) for c in genome.ALL)).collect()
+    got = {(r["chrom"], r["channel"]): tuple(r)[2:] for r in genome.array_sums(chunks, 8).collect()}
+    assert got == {(r["chrom"], c): tuple(r[c]) for r in wanted for c in genome.ALL}
+    assert at.filter("chrom = '1' and pos = 3").first()["clipdist_forward_left"] == ((6 - 10) / 2 + (37 - 10) / 2) / 2  # the median of both reads there
+    assert chunks.collect() and "ReusedExchange" in chunks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # The packed pileup says what the pileup says by position.
+    rows = spark.createDataFrame([("1", 0, 2, m, "12M", "ACGTACGTACGT", "56789:;<=>?@") for m in (4, 9, None)], "chrom string, flag int, pos0 bigint, mapq int, cigar string, seq string, qual string")
+    whole = basestore.chunked(spark.createDataFrame([("1", 0, "ACGTNACGTNACGTNACGTN")], "chrom string, pos long, text string"))
+    packed = reads.pileup_chunks(rows, whole).first()
+    for r in reads.pileup(rows, whole).collect():
+        assert (packed["bq"][r["pos"]], packed["fraction"][r["pos"]], packed["mapq"][r["pos"]]) == (r["bq_median"], r["snv_fraction"], r["mapq_median"])

@@ -194,3 +194,25 @@ def test_array_sums_by_chunk(spark):
     packed = reads.pileup_chunks(rows, whole).first()
     for r in reads.pileup(rows, whole).collect():
         assert (packed["bq"][r["pos"]], packed["fraction"][r["pos"]], packed["mapq"][r["pos"]]) == (r["bq_median"], r["snv_fraction"], r["mapq_median"])
+
+
+def test_reads_are_made_in_one_pass(spark):
+    from lociflow.operators import genome
+    from lociflow.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    twin = fx._fixture("reads")
+    assert fx.reads.dtypes == twin.dtypes and not fx.reads.exceptAll(twin).count() and not twin.exceptAll(fx.reads).count()
+    plan = planned(genome.duplications(fx.reads)).split("Initial Plan")[0]
+    assert "Union" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_bases_come_from_patterns(spark):
+    from lociflow.plans.fixtures import BASE, Fixtures
+    from lociflow.operators.basestore import base_runs
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    each = base_runs(fx.store).select("chrom", "pos", F.posexplode(F.split("text", "")).alias("i", "base")).select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "base").filter("base <> ' '")
+    places = fx.table("orders").selectExpr("o_custkey", "explode(sequence(o_orderkey * 40, o_orderkey * 40 + 39)) AS pos").selectExpr("explode(array('12', '22')) AS chrom", "pos", f"{BASE} AS base")
+    assert each.exceptAll(places).count() == 0 and each.count() == places.count()
+    assert "transform(" not in fx.store._jdf.queryExecution().optimizedPlan().toString()

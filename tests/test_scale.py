@@ -215,4 +215,14 @@ def test_bases_come_from_patterns(spark):
     each = base_runs(fx.store).select("chrom", "pos", F.posexplode(F.split("text", "")).alias("i", "base")).select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "base").filter("base <> ' '")
     places = fx.table("orders").selectExpr("o_custkey", "explode(sequence(o_orderkey * 40, o_orderkey * 40 + 39)) AS pos").selectExpr("explode(array('12', '22')) AS chrom", "pos", f"{BASE} AS base")
     assert each.exceptAll(places).count() == 0 and each.count() == places.count()
-    assert "transform(" not in fx.store._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 39" not in fx.store._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bases_are_summed_by_batch(spark):
+    from lociflow.sources import text
+
+    own = spark.createDataFrame([("a", 5, "ACGTN"), ("a", 10, "AANx"), ("b", 0, "T"), ("b", 1, "")], "chrom string, pos bigint, text string")
+    wanted = {("a", "A"): (3, 5 + 10 + 11), ("a", "C"): (1, 6), ("a", "G"): (1, 7), ("a", "T"): (1, 8), ("a", "N"): (2, 9 + 12), ("b", "T"): (1, 0)}
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in text.base_sums(own).collect()} == wanted
+    with pytest.raises(Exception, match="several bytes"):
+        text.base_sums(own.withColumn("text", F.lit("é"))).collect()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.components import connected_components
-from lociflow.llm.shared import materialise, scratch
+from lociflow.llm.shared import materialise, not_broadcast, scratch
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -73,10 +73,10 @@ def links(fps: DataFrame, bucket_limit: int = 256) -> DataFrame:
     """
     keys = variants(fps)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialise(keys.join(shared, "key"), "variants")
+    met = materialise(not_broadcast(keys).join(shared, "key"), "variants")
     few = met.filter(F.col("n") <= bucket_limit).select("key", "fp")
     near = (F.col("x") < F.col("y")) & (F.expr("bit_count(x ^ y)") <= 2)
-    plain = few.select("key", F.col("fp").alias("x")).join(few.select("key", F.col("fp").alias("y")), "key").filter(near).select("x", "y")
+    plain = not_broadcast(few.select("key", F.col("fp").alias("x"))).join(few.select("key", F.col("fp").alias("y")), "key").filter(near).select("x", "y")
     hot = met.filter(F.col("n") > bucket_limit).select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("p")).select("fp", "p", F.explode(F.expr("sequence(p + 1, 63)")).alias("q"))
     kept = F.col("fp").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, p) | shiftleft(1L, q)")))
     cliques = hot.groupBy("p", "q", kept.alias("kept")).agg(F.min("fp").alias("x"), F.collect_set("fp").alias("all"))
@@ -98,8 +98,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = materialise(own.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
         found = links(nodes.select("fp"), bucket_limit)
         ends = nodes.filter("rep is not null")
-        found = found.join(ends.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(ends.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y")
+        a, b = (not_broadcast(ends.select(F.col("fp").alias(v), F.col("rep").alias(r))) for v, r in ("xa", "yb"))
+        found = found.join(a, "x").join(b, "y")
         comps = connected_components(found)
-        named = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-        out = own.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        named = nodes.join(not_broadcast(comps), nodes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        out = own.join(not_broadcast(named), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
         return materialise(out, "near-duplicates", keep=True)

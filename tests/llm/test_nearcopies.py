@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from lociflow.llm import nearcopies
 
@@ -58,3 +59,36 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] or 0 for r in nearcopies.keep_first(docs).collect()) == [0, 1, 4]
     assert nearcopies.keep_first(docs.limit(0)).count() == 0
+
+
+def test_made_rows_are_not_broadcast(spark, monkeypatch):
+    """Keys that are exploded from a small file look small to Spark; they never go through the driver."""
+    from lociflow.llm import components, nearcopies, shared, simhash
+
+    plans = []
+    plain = shared.materialise
+
+    def watched(df, what, keep=False):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, what, keep)
+
+    for module in (components, nearcopies, simhash):
+        monkeypatch.setattr(module, "materialise", watched)
+    texts = [" ".join(f"w{i}x{j % 40}" for j in range(60)) + f" end{i % 2}" for i in range(6)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fps = plain(spark.range(500).select(F.col("id").alias("fp")), "fps")
+    assert simhash.links(fps, bucket_limit=4).count() > 0
+    assert simhash.near_duplicates(docs).select("component_id").distinct().count() == 6
+    assert nearcopies.keep_first(docs).count() == 6
+    assert nearcopies.keep_first(docs, bucket_limit=1).count() == 6
+    joins = [(what, p) for what, p in plans if "Join" in p]
+    assert {"variants", "near-duplicates"} <= {what for what, _ in joins}
+    assert not [what for what, p in joins if "BroadcastHashJoin" in p and what not in ("wanted-ids", "sets")]
+
+
+def test_tables_over_the_limit_are_not_broadcast(spark):
+    from lociflow.llm.shared import broadcast_if_small
+
+    own, few = spark.range(100), spark.range(10)
+    joined = lambda limit: own.join(broadcast_if_small(few, F.lit(8), limit), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined(80) and "BroadcastHashJoin" not in joined(79)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lociflow.llm import simhash
 from lociflow.llm.components import connected_components
-from lociflow.llm.shared import broadcast_if_small, materialise, scratch, slices
+from lociflow.llm.shared import broadcast_if_small, materialise, not_broadcast, scratch, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -100,28 +100,29 @@ def shingle_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, id_col: str
                 sets = [shingles(t.as_py()) for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([_same(sets), _lists(sets)], names=["same", "shingles"])
 
-    one_each = own.join(wanted, "same", "left_semi").groupBy("same").agg(F.min("id").alias("wanted_id"))
+    one_each = own.join(not_broadcast(wanted), "same", "left_semi").groupBy("same").agg(F.min("id").alias("wanted_id"))
     ids = materialise(one_each.select("wanted_id").distinct(), "wanted-ids")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = given.join(broadcast_if_small(ids, F.lit(32), broadcast_bytes), F.col("id") == F.col("wanted_id"), "left_semi").select("text")
     made = chosen.mapInArrow(run, "same bigint, shingles array<bigint>")
-    return materialise(made.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
+    return materialise(made.join(not_broadcast(wanted), "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def simhash_pairs(own: DataFrame) -> DataFrame:
     """Candidate pairs (x, y) of ``same`` values by SimHash links: between the first sets of linked fingerprints, and to the others of each."""
     sets = own.select("fp", "same").distinct()
     first = materialise(sets.groupBy("fp").agg(F.min("same").alias("rep")), "fingerprints")
-    equal = sets.join(first, "fp").filter("rep < same").select(F.col("rep").alias("x"), F.col("same").alias("y"))
+    equal = sets.join(not_broadcast(first), "fp").filter("rep < same").select(F.col("rep").alias("x"), F.col("same").alias("y"))
     linked = simhash.links(first.select("fp")).select(F.col("x").alias("f"), F.col("y").alias("g"))
-    linked = linked.join(first.select(F.col("fp").alias("f"), F.col("rep").alias("a")), "f").join(first.select(F.col("fp").alias("g"), F.col("rep").alias("b")), "g")
+    ends = [not_broadcast(first.select(F.col("fp").alias(v), F.col("rep").alias(r))) for v, r in ("fa", "gb")]
+    linked = linked.join(ends[0], "f").join(ends[1], "g")
     return equal.union(linked.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")))
 
 
 def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs whose shingle sets are at ``similarity`` or above; ``sets_of`` gives the sets of a table of ``same`` values."""
     sets = sets_of(pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct())
-    left, right = (sets.select(F.col("same").alias(v), F.col("shingles").alias(f"s_{v}")) for v in "xy")
+    left, right = (not_broadcast(sets.select(F.col("same").alias(v), F.col("shingles").alias(f"s_{v}"))) for v in "xy")
     both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size(F.array_intersect("s_x", "s_y")).alias("common"), (F.size("s_x") + F.size("s_y")).alias("all"))
     return materialise(both.filter(F.col("common") >= F.lit(similarity) * (F.col("all") - F.col("common")) - 1e-9).select("x", "y"), "near-links")
 
@@ -134,10 +135,10 @@ def links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity:
     index = materialise(own.select("same", "n", F.explode("keys").alias("key")).distinct(), "bands")
     shared = index.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     group = F.when(F.col("held") > bucket_limit, F.pmod(F.xxhash64("key", "same"), F.ceil(F.col("held") / deal))).otherwise(F.lit(0))
-    met = materialise(index.join(shared, "key").select("key", "same", "n", "held", group.alias("group")), "met")
+    met = materialise(index.join(not_broadcast(shared), "key").select("key", "same", "n", "held", group.alias("group")), "met")
     light = met.filter(F.col("held") <= bucket_limit)
     one, two = (light.select("key", F.col("same").alias(v), F.col("n").alias(f"n_{v}")) for v in "xy")
-    banded = one.join(two, "key").filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
+    banded = one.join(not_broadcast(two), "key").filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
     first = Window.partitionBy("key", "group").orderBy("same")
     dealt = met.filter(F.col("held") > bucket_limit).select(F.first("same").over(first).alias("x"), F.first("n").over(first).alias("n_x"), F.col("same").alias("y"), F.col("n").alias("n_y"))
     dealt = dealt.filter((F.col("x") < F.col("y")) & _fits(similarity)).select("x", "y")
@@ -146,9 +147,9 @@ def links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity:
     if not heavy.limit(1).count():
         return sure
     comps = connected_components(sure, "x", "y")
-    named = heavy.join(comps, F.col("same") == F.col("node"), "left").select("key", "same", "n", F.coalesce("component", "same").alias("component"))
+    named = heavy.join(not_broadcast(comps), F.col("same") == F.col("node"), "left").select("key", "same", "n", F.coalesce("component", "same").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    apart = materialise(named.join(mixed, "key", "left_semi").select("same", "n", "component").distinct(), "apart")
+    apart = materialise(named.join(not_broadcast(mixed), "key", "left_semi").select("same", "n", "component").distinct(), "apart")
     return sure.union(verified(across(apart, sets_of, similarity), sets_of, similarity)) if apart.limit(1).count() else sure
 
 
@@ -180,32 +181,32 @@ def across(apart: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     for row in counted:
         held[row["class"]] = row["n"]
     rarity = F.lit(np.array(held, np.int64))
-    ordered = sets.join(apart, "same").select("same", "n", "component", F.array_sort(F.transform("shingles", lambda s: F.struct(F.get(rarity, _class(s)).alias("held"), s.alias("shingle")))).alias("s"))
+    ordered = sets.join(not_broadcast(apart), "same").select("same", "n", "component", F.array_sort(F.transform("shingles", lambda s: F.struct(F.get(rarity, _class(s)).alias("held"), s.alias("shingle")))).alias("s"))
     first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1)
     rare = ordered.select("same", "n", "component", F.posexplode(first).alias("at", "r"))
     rare = materialise(rare.select("same", "n", "component", "r.shingle", (F.col("n") - F.col("at")).alias("left")), "rare-shingles")
     size = rare.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("largest")).filter("k > 1").select("shingle", "largest")
-    open_sets = rare.join(size, "shingle")
+    open_sets = rare.join(not_broadcast(size), "shingle")
     one = open_sets.filter(F.col("component") != F.col("largest")).select("shingle", *(F.col(c).alias(v) for c, v in (("same", "x"), ("n", "n_x"), ("component", "c_x"), ("left", "left_x"))))
     two = open_sets.select("shingle", *(F.col(c).alias(v) for c, v in (("same", "y"), ("n", "n_y"), ("component", "c_y"), ("left", "left_y"))))
     enough = F.least("left_x", "left_y") >= F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - 1e-9
-    met = one.join(two, "shingle").filter((F.col("c_x") != F.col("c_y")) & _fits(similarity) & enough)
+    met = one.join(not_broadcast(two), "shingle").filter((F.col("c_x") != F.col("c_y")) & _fits(similarity) & enough)
     return materialise(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs-across")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32 << 20, **options) -> DataFrame:
     """Rows of ``docs`` with the smallest id of each group of near copies, one row for each id; rows without an id stay.
 
     Groups are the connected components of the links. Null and empty texts and texts of white space
     only are one group. Of rows that repeat an id one stays. An empty table gives an empty result;
-    all columns of ``docs`` are kept.
+    all columns of ``docs`` are kept. The ids that stay are broadcast up to ``broadcast_bytes``.
     """
     with scratch(docs.sparkSession):
         given = docs.filter(F.col(id_col).isNotNull())
         own = materialise(described(given, id_col, text_col), "bands-by-row")
-        comps = connected_components(links(own, lambda wanted: shingle_sets(given, own, wanted, id_col, text_col), **options), "x", "y")
+        comps = connected_components(links(own, lambda wanted: shingle_sets(given, own, wanted, id_col, text_col, broadcast_bytes), **options), "x", "y")
         firsts = own.groupBy("same").agg(F.min("id").alias("id"))
-        named = firsts.join(comps, F.col("same") == F.col("node"), "left").select("id", F.coalesce("component", "same").alias("group"))
+        named = firsts.join(not_broadcast(comps), F.col("same") == F.col("node"), "left").select("id", F.coalesce("component", "same").alias("group"))
         kept = materialise(named.groupBy("group").agg(F.min("id").alias(id_col)).select(id_col).distinct(), "kept", keep=True)
-    stay = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    stay = docs.join(broadcast_if_small(kept, F.lit(32), broadcast_bytes), id_col, "left_semi").dropDuplicates([id_col])
     return stay.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)

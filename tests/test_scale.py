@@ -226,3 +226,31 @@ def test_bases_are_summed_by_batch(spark):
     assert {tuple(r)[:2]: tuple(r)[2:] for r in text.base_sums(own).collect()} == wanted
     with pytest.raises(Exception, match="several bytes"):
         text.base_sums(own.withColumn("text", F.lit("é"))).collect()
+
+
+def test_read_channels_count_without_a_row_a_base(spark):
+    from lociflow.operators import windows
+
+    rows = [("a", "1", 1000, "50M", 16 + 1, "1", 5000, None), ("a", "1", 5000, "30M20S", 1, "1", 1000, None), ("b", "1", 1010, "20S30M", 1 + 2, "1", 5010, "1,5,+,3M,9,0;"), ("b", "1", 5010, "5S40M5S", 1 + 32, "2", 1010, None)]
+    rows += [("c", "1", 10, "2M9000N2M", 1 + 2, "1", 10, None), ("d", "1", 1000, "50M", 1, "1", 9, None), ("a", "1", 1020, "10M", 16 + 1, "1", 5000, None)]
+    own = spark.createDataFrame(rows, "qname string, chrom string, pos0 bigint, cigar string, flag int, next_chrom string, next_pos0 bigint, sa string")
+    cands = spark.createDataFrame([(7, "1", 1020, 5020), (8, "1", 1000, 1062)], "sv_id int, chrom string, l bigint, r bigint")
+    wanted = {}
+    for sv, l, r in ((7, 1020, 5020), (8, 1000, 1062)):
+        spans = {q: [] for q, *_ in rows}
+        for q, chrom, s, c, flag, next_chrom, next_pos, sa in rows:
+            e = s + {"50M": 50, "30M20S": 30, "20S30M": 30, "5S40M5S": 40, "2M9000N2M": 9004, "10M": 10}[c]
+            spans[q] += [(side, at - 62, at + 62, s, e, c, flag, next_chrom, next_pos, sa) for side, at in (("left", l), ("right", r)) if s < at + 62 and at - 62 < e]
+        for q, found in spans.items():
+            for side, lo, hi, s, e, c, flag, next_chrom, next_pos, sa in found if len({x[0] for x in found}) == 2 else ():
+                rev, mate, left, right = bool(flag & 16), bool(flag & 32), c.find("S") in (1, 2) and c[0] != "3", c.endswith("S")
+                names = [f"{'R' if rev else 'F'}_{'SR' if sa else 'CR' if left or right else 'AR'}_{'B' if left and right else 'L' if left else 'R' if right else 'N'}"]
+                names += [("TRA_S" if rev == mate else "TRA_O") if next_chrom != "1" else ("INV_A" if next_pos > s else "INV_B") if rev == mate else "DUP_A" if rev and next_pos > s else "DUP_B" if not rev and next_pos < s else None if flag & 2 else "DR_R" if rev else "DR_F"]
+                for name in filter(None, names):
+                    for p in [s] if left else [e] if right else range(s, e):
+                        if lo <= p < hi:
+                            wanted[sv, side, name, p] = wanted.get((sv, side, name, p), 0) + 1
+    out = windows.read_channels(own, cands, parts=2)
+    assert {(r["sv_id"], r["side"], r["channel"], r["pos"]): r["n"] for r in out.collect()} == wanted and max(wanted.values()) > 1
+    plan = planned(out).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 3 and "Generate explode(sequence" in plan.split("Exchange")[0]  # both sides, and what met

@@ -186,12 +186,12 @@ def _combinations(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def search(df: DataFrame, grid: dict[str, list], fold: str = "fold", without: list[tuple] = [()], rung: int = 2, keep: int = 4) -> list[list[dict]]:
+def search(df: DataFrame, grid: dict[str, list], fold: str = "fold", without: list[tuple] = [()], rung: int = 2, keep: int = 0) -> list[list[dict]]:
     """For each exclusion of ``without`` all parameters with their mean balanced accuracy over the folds, best first.
 
-    All exclusions, parameters and folds are fitted together. After every ``rung`` steps the worse
-    half of an exclusion's parameters is left as it stands, until ``keep`` are left, which are fitted
-    to the end; ``keep`` of zero fits all. Rows are dicts of the parameters, ``mean`` and ``finished``;
+    All exclusions, parameters and folds are fitted together, all of them to the end. Only with ``keep``
+    set the worse half of an exclusion's parameters is left as it stands after every ``rung`` steps,
+    until ``keep`` are left, which are fitted to the end. Rows are dicts of the parameters, ``mean`` and ``finished``;
     of equals the earlier in the grid is better.
     """
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # few

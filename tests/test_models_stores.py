@@ -60,6 +60,13 @@ def test_search_and_halving(rows):
     assert sum(r["finished"] for r in halved) == 2 and len(halved) == 8 and halved[0]["mean"] >= sorted(r["mean"] for r in found)[-3]
 
 
+def test_search_fits_all_unless_asked(rows):
+    grid = {"reg_param": [0.001, 0.01, 0.1, 1.0, 10.0], "threshold": [0.5, 0.9]}
+    best, found = models.param_search(rows, grid)
+    assert len(found) == 10 and all(r["finished"] for r in found)
+    assert found == models.param_search(rows, grid, keep=0)[1] and found[0]["mean"] == max(r["mean"] for r in found)
+
+
 def test_grouped_and_nested_scores(rows):
     out = {r["id"]: r for r in models.score_grouped(rows, "sample", {"reg_param": 0.1}).collect()}
     for value in "abc":

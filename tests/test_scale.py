@@ -254,3 +254,39 @@ def test_read_channels_count_without_a_row_a_base(spark):
     assert {(r["sv_id"], r["side"], r["channel"], r["pos"]): r["n"] for r in out.collect()} == wanted and max(wanted.values()) > 1
     plan = planned(out).split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 3 and "Generate explode(sequence" in plan.split("Exchange")[0]  # both sides, and what met
+
+
+def test_tensors_are_laid_out_from_stretches(spark):
+    from lociflow.operators import signals, windows
+    from lociflow.plans import fixtures, signal_queries
+
+    fx = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    own = signal_queries.cands(fx).filter("sv_id % 8 = 0")
+    given = own, signals.signals(fx.reads), fx.depth, fx.store
+    plain = {r["sv_id"]: r["tensor"] for r in windows.dense(windows.channels(*given)).collect()}
+    stretches = windows.stretches(*given)
+    laid = windows.tensors(stretches, parts=3)
+    assert {r["sv_id"]: r["tensor"] for r in laid.collect()} == plain and len(plain) > 100
+    sums = {(i, c): (sum(row), sum(v * (k + 1) for k, v in enumerate(row))) for i, t in plain.items() for c, row in enumerate(t) if sum(row)}
+    for tensors in (laid, windows.tensors(stretches, parts=3, packed=True)):
+        assert {(r["sv_id"], r["channel"]): (r["total"], r["weighted"]) for r in windows.tensor_sums(tensors, ["sv_id"]).collect()} == sums
+    cells = stretches.agg(F.count("*")).first()[0]
+    assert cells * 2 < windows.channels(*given).count()  # no row for each cell
+    assert "explode(sequence(first" not in planned(laid)
+
+
+def test_tensors_across_batches(spark):
+    from lociflow.operators import windows
+
+    rows = [(i, 0, k, k + 3, 2, None) for i in range(90) for k in range(i * 3 % 200)] + [(i, None, 132, None, None, "ACGTN X") for i in range(90)]
+    own = spark.createDataFrame(rows, "sv_id bigint, channel int, first int, last int, value bigint, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        out = {r["sv_id"]: r["tensor"] for r in windows.tensors(own, parts=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 90
+    for i, t in out.items():
+        n = i * 3 % 200
+        assert t[0] == [2 * sum(k <= c <= k + 3 for k in range(n)) for c in range(256)]
+        assert [next((b for b in range(30, 35) if t[b][132 + k]), 0) for k in range(7)] == [30, 31, 33, 32, 34, 0, 0]

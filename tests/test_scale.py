@@ -290,3 +290,29 @@ def test_tensors_across_batches(spark):
         n = i * 3 % 200
         assert t[0] == [2 * sum(k <= c <= k + 3 for k in range(n)) for c in range(256)]
         assert [next((b for b in range(30, 35) if t[b][132 + k]), 0) for k in range(7)] == [30, 31, 33, 32, 34, 0, 0]
+
+
+def test_pileup_of_deep_and_shallow_chunks(spark, monkeypatch):
+    """Few bases of a chunk are sorted, many are counted in tables; both give the same medians."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lociflow.operators import reads
+
+    rng = np.random.default_rng(5)
+    rows = [("1", 0, None, None, None, None, "ACGTN" * 819 + "A")]
+    for _ in range(400):
+        n = int(rng.integers(1, 90))
+        rows.append(("1", 0, int(rng.integers(0, 4000)), None if rng.random() < 0.2 else int(rng.integers(0, 61)), "".join("ACGTé"[i] for i in rng.integers(0, 5, n)), "".join(chr(33 + q) for q in rng.integers(0, 60, n)), None))
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["chrom", "k", "lo", "mapq", "bases", "quals", "refs"])
+    given = [batch.slice(0, 7), batch.slice(7, 200), batch.slice(207)]
+    shallow = pa.Table.from_batches(reads._piled(iter(given))).to_pylist()
+    monkeypatch.setattr(reads, "HELD", 3000)
+    assert pa.Table.from_batches(reads._piled(iter(given))).to_pylist() == shallow and len(shallow) > 2000
+    by, ref = {}, rows[0][-1]
+    for _, _, lo, mapq, bases, quals, _ in rows[1:]:
+        for i, (b, q) in enumerate(zip(bases, quals)):
+            by.setdefault(lo + i, []).append((ord(q) - 33, mapq, b in "ACGT" and b != ref[lo + i] and ref[lo + i] != "N"))
+    wanted = [("1", p, len(v), np.median([x[0] for x in v]), np.median([x[1] for x in v if x[1] is not None]) if any(x[1] is not None for x in v) else None, sum(x[2] for x in v) / len(v)) for p, v in sorted(by.items())]
+    assert [tuple(r.values()) for r in shallow] == wanted
